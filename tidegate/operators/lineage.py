@@ -64,13 +64,10 @@ def runs(events: DataFrame) -> DataFrame:
     state = F.when(kind.isin("START", "COMPLETE", "FAIL"), kind).otherwise("RUNNING")
     # the status breaks ties of time, so that an end beats a start
     order = F.struct(F.col("eventTime"), (kind != "START").cast("int"), state)
-    # an event that names no inputs or outputs still replaces those of an earlier one
-    names = lambda side: F.transform(
-        F.coalesce(F.col(side), F.array().cast("array<struct<namespace:string,name:string>>")
-                   if side == "inputs" else F.col(side)),
-        lambda d: qualified(d["namespace"], d["name"]),
-    )
-    folded = events.groupBy(F.col("run.runId").alias("run_id")).agg(
+    def names(side: str) -> Column:
+        return F.transform(side, lambda d: qualified(d["namespace"], d["name"]))
+
+    return events.groupBy(F.col("run.runId").alias("run_id")).agg(
         F.max_by(pipeline_of(events), order).alias("pipeline_id"),
         F.max_by(state, order).alias("status"),
         F.coalesce(F.min(F.when(kind == "START", F.col("eventTime"))), F.min("eventTime")).alias("start_time"),
@@ -78,7 +75,6 @@ def runs(events: DataFrame) -> DataFrame:
         F.max_by(names("inputs"), order).alias("inputs"),
         F.max_by(names("outputs"), order).alias("outputs"),
     )
-    return folded
 
 
 def run_facets(events: DataFrame) -> DataFrame:
