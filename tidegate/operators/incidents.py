@@ -86,7 +86,7 @@ def deduplicate(
         )
         .filter(F.col("_first").isNotNull())
         .select(
-            F.concat(F.lit("inc_"), F.substring(signature, 5, 12), F.lit("_"), F.col("_epoch").cast("string"))
+            F.concat(F.lit("inc_"), F.substring(signature, 5, 12), F.lit("_"), F.col(f"_first.{row_id}").cast("string"))
             .alias("incident_id"),
             signature,
             F.col("_epoch").alias("epoch"),

@@ -170,7 +170,7 @@ def track_incidents(signals: DataFrame, path: str, checkpoint: str) -> None:
                 F.lit("FAIL").alias("kind"),
             )
             signals_now = signals_now.unionByName(carried)
-        found = incidents.deduplicate(signals_now).drop("incident_id", "epoch")
+        found = incidents.deduplicate(signals_now).drop("epoch")
         if earlier is not None:
             known = earlier.select(
                 F.col("opened_by").alias("_by"), F.col("failure_count").alias("_before")
@@ -179,10 +179,7 @@ def track_incidents(signals: DataFrame, path: str, checkpoint: str) -> None:
                 # the carried row stands for the failures counted before
                 "failure_count", F.col("failure_count") + F.coalesce(F.col("_before") - 1, F.lit(0))
             ).drop("_by", "_before")
-        rows = found.withColumn(
-            "incident_id", F.concat(F.lit("inc_"), F.substring("failure_signature", 5, 12), F.lit("_"), F.col("opened_by").cast("string"))
-        )
-        write_changes(rows, path, f"batch-{batch_id}")
+        write_changes(found, path, f"batch-{batch_id}")
 
     run_batches(signals, handle, checkpoint)
 
