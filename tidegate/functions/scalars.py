@@ -58,7 +58,7 @@ def col(c: str | Column) -> Column:
 def normalize_type(c: str | Column) -> Column:
     """Canonical contract type: parameters stripped, aliases resolved, empty is string."""
     base = F.trim(F.lower(F.substring_index(F.trim(col(c)), "(", 1)))
-    aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+    aliases = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in TYPE_ALIASES.items()) + ")")
     return F.when(F.coalesce(base, F.lit("")) == "", F.lit("string")).otherwise(
         F.coalesce(F.try_element_at(aliases, base), base)
     )

@@ -109,8 +109,10 @@ def schema_diff(
         )
 
     versions = roots.select(*head)
-    matched = columns(base, "b").join(columns(target, "t"), [*pair, "name"], "full_outer").join(
-        versions, pair, "inner"
+    matched = (
+        columns(base, "b").join(columns(target, "t"), [*pair, "name"], "full_outer")
+        .join(versions, pair, "inner")
+        .withColumns({"b_type": normalize_type(F.col("b")["type"]), "t_type": normalize_type(F.col("t")["type"])})
     )
     name, b, t = F.col("name"), F.col("b"), F.col("t")
 
@@ -118,7 +120,7 @@ def schema_diff(
         return F.coalesce(c, F.lit(value))
 
     common = b.isNotNull() & t.isNotNull()
-    b_type, t_type = normalize_type(b["type"]), normalize_type(t["type"])
+    b_type, t_type = F.col("b_type"), F.col("t_type")
     severity, explanation = type_change(b_type, t_type)
     b_null, t_null = default(b["nullable"], True), default(t["nullable"], True)
     b_uniq, t_uniq = default(b["unique"], False), default(t["unique"], False)

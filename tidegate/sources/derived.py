@@ -280,10 +280,10 @@ def lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared column mappings from parts: target ds_(n % 60), pipeline pipe_(n % 40)."""
+    """Declared column mappings from parts, for the pipelines of ``lineage_events``."""
     p = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         text("postgres.src_", p % 11).alias("source_dataset"), text("s_", p % 13).alias("source_column"),
-        text("ds_", p % 60).alias("target_dataset"), text("t_", F.col("p_size") % 4).alias("target_column"),
+        text("ds_", (p % 40 * 3 + 1) % 60).alias("target_dataset"), text("t_", F.col("p_size") % 4).alias("target_column"),
         text("pipe_", p % 40).alias("pipeline_id"), F.concat(F.lit("CAST "), F.col("p_type")).alias("transformation"),
     ).distinct()

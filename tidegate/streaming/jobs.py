@@ -173,12 +173,14 @@ def track_incidents(signals: DataFrame, path: str, checkpoint: str) -> None:
         found = incidents.deduplicate(signals_now).drop("epoch")
         if earlier is not None:
             known = earlier.select(
-                F.col("opened_by").alias("_by"), F.col("failure_count").alias("_before")
+                F.col("opened_by").alias("_by"), F.col("failure_count").alias("_before"),
+                F.col("last_failure_at").alias("_last"),
             )
-            found = found.join(known, found["opened_by"] == known["_by"], "left").withColumn(
-                # the carried row stands for the failures counted before
-                "failure_count", F.col("failure_count") + F.coalesce(F.col("_before") - 1, F.lit(0))
-            ).drop("_by", "_before")
+            # the carried row stands for all failures counted before
+            found = found.join(known, found["opened_by"] == known["_by"], "left").withColumns({
+                "failure_count": F.col("failure_count") + F.coalesce(F.col("_before") - 1, F.lit(0)),
+                "last_failure_at": F.greatest("last_failure_at", "_last"),
+            }).drop("_by", "_before", "_last")
         write_changes(found, path, f"batch-{batch_id}")
 
     run_batches(signals, handle, checkpoint)
