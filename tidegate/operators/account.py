@@ -7,13 +7,15 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.scalars import DAY, ratio0
+from tidegate.functions.scalars import DAY
 from tidegate.operators.customer import (
-    DEFAULTS, HORIZON, RiskParams, daily_profile, instant, profile, sample_std, since,
-    unusual_hour, visited,
+    DEFAULTS, UNUSUAL_HOUR, RiskParams, aggregate, daily_profile, in_horizon, instant, profile, ratio_sql, since,
+    std_sql, visited,
 )
 from tidegate.operators.slices import Running, running
 
+SPANS = {"24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
+
 
 def overdraft_counts(txn: DataFrame, accounts: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Times in 30 days an account's balance crossed below zero.
@@ -21,21 +23,17 @@ def overdraft_counts(txn: DataFrame, accounts: DataFrame, as_of: dt.datetime) ->
     Balances are rebuilt backwards from the current one: the balance after an event is the
     current balance plus the settled amounts of all later events.
     """
-    settled = txn.filter(
-        since(as_of, HORIZON) & (F.col("ts") <= instant(as_of))
-        & (F.col("status") != "FAILED") & F.col("account_id").isNotNull()
-    ).select("account_id", "transaction_id", "ts", "amount")
+    settled = in_horizon(txn, "account_id", as_of).filter("status != 'FAILED'").select(
+        "account_id", "transaction_id", "ts", "amount"
+    )
     later = running(
         settled, ["account_id"], "ts", "transaction_id",
         {"spent_later": Running(F.col("amount"), exclusive=True)}, descending=True,
     )
-    balance = accounts.select("account_id", "current_balance")
-    after = F.col("current_balance") + F.coalesce(F.col("spent_later"), F.lit(0.0))
-    return (
-        later.join(balance, "account_id", "inner")
-        .groupBy("account_id")
-        .agg(F.count_if((after < 0) & (after + F.col("amount") >= 0)).alias("overdrafts"))
+    after = later.join(accounts.select("account_id", "current_balance"), "account_id", "inner").selectExpr(
+        "account_id", "amount", "current_balance + coalesce(spent_later, 0D) AS balance_after"
     )
+    return aggregate(after, ["account_id"], ["count_if(balance_after < 0 AND balance_after + amount >= 0) AS overdrafts"])
 
 
 def account_features(
@@ -46,71 +44,52 @@ def account_features(
     params: RiskParams = DEFAULTS,
 ) -> DataFrame:
     """All account features at ``as_of``, one row per account with an event in 30 days."""
-    recent = txn.filter(
-        since(as_of, HORIZON) & (F.col("ts") <= instant(as_of)) & F.col("account_id").isNotNull()
-    )
-    spans = {"24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
-    extremes = recent.groupBy("account_id").agg(
-        F.max(F.when(since(as_of, spans["7d"]), F.col("amount"))).alias("max_7d"),
-        F.max("amount").alias("max_30d"),
-        F.min("amount").alias("min_30d"),
-        *[F.count_if(since(as_of, s) & (F.col("amount") > params.high_value)).alias(f"high_{w}")
-          for w, s in spans.items()],
-    )
-    pairs = visited(history if history is not None else txn, "account_id", as_of)
-    known = F.col("merchant_id").isNotNull()
-    firsts = pairs.groupBy("account_id").agg(
-        F.min("first_ts").alias("first_ts"),
-        F.count_if(known & since(as_of, spans["7d"], "first_ts")).alias("new_7d"),
-    )
-    p = profile(daily_profile(txn, "account_id", as_of, params), "account_id")
+    extremes = aggregate(in_horizon(txn, "account_id", as_of), ["account_id"], [
+        f"max(CASE WHEN {since(as_of, SPANS['7d'])} THEN amount END) AS max_7d",
+        "max(amount) AS max_30d", "min(amount) AS min_30d",
+        *[f"count_if({since(as_of, s)} AND amount > {params.high_value}D) AS high_{w}" for w, s in SPANS.items()],
+    ])
+    firsts = aggregate(visited(history if history is not None else txn, "account_id", as_of), ["account_id"], [
+        "min(first_ts) AS first_event",
+        f"count_if(merchant_id IS NOT NULL AND {since(as_of, SPANS['7d'], 'first_ts')}) AS new_7d",
+    ])
     f = (
-        p.join(extremes, "account_id", "inner")
+        profile(daily_profile(txn, "account_id", as_of, params), "account_id", as_of, params)
+        .join(extremes, "account_id", "inner")
         .join(firsts, "account_id", "left")
         .join(overdraft_counts(txn, accounts, as_of), "account_id", "left")
         .join(
-            accounts.select("account_id", "account_type", "created_at", "current_balance", "credit_limit"),
+            accounts.selectExpr("account_id", "account_type", "created_at", "current_balance AS balance", "credit_limit"),
             "account_id", "left",
         )
     )
-    balance = F.col("current_balance")
 
-    def drained(w):
-        spent = F.coalesce(F.col(f"amt_{w}"), F.lit(0.0))
-        return ratio0(spent, balance + spent)
+    def spend(w: str) -> str:
+        return f"coalesce(amt_{w}, 0D)"
 
-    def spend(w):
-        return F.coalesce(F.col(f"amt_{w}"), F.lit(0.0))
+    def drained(w: str) -> str:
+        return ratio_sql(spend(w), f"(balance + {spend(w)})")
 
-    takeover = (
-        F.least(F.lit(1.0), F.col("fail_streak") / params.streak_cap)
-        + F.least(F.lit(1.0), F.coalesce(F.col("new_7d"), F.lit(0)) / params.streak_cap)
-        + unusual_hour(F.col("last._band"), F.col("n_30d"))
-    ) / 3.0
-    return f.select(
+    cap = f"{params.streak_cap}D"
+    takeover = (f"(least(1D, fail_streak / {cap}) + least(1D, coalesce(new_7d, 0) / {cap}) + {UNUSUAL_HOUR}) / 3D")
+    return f.selectExpr(
         "account_id",
-        instant(as_of).alias("feature_timestamp"),
-        ratio0(spend("24h"), balance).alias("acc_balance_ratio_24h"),
-        ratio0(spend("7d"), balance).alias("acc_balance_ratio_7d"),
-        F.datediff(instant(as_of), F.col("created_at")).cast("bigint").alias("acc_age_days"),
-        balance.alias("acc_current_balance"),
-        *[(spend(w) / float(d)).alias(f"acc_avg_daily_spend_{w}") for w, d in (("7d", 7), ("14d", 14), ("30d", 30))],
-        F.coalesce(F.col("max_7d"), F.lit(0.0)).alias("acc_max_txn_amount_7d"),
-        F.col("max_30d").alias("acc_max_txn_amount_30d"),
-        F.col("min_30d").alias("acc_min_txn_amount_30d"),
-        F.coalesce(sample_std(F.col("n_30d"), F.col("amt_30d"), F.col("amt_sq")), F.lit(0.0))
-        .alias("acc_stddev_txn_amount_30d"),
-        drained("24h").alias("acc_balance_drain_rate_24h"),
-        drained("7d").alias("acc_balance_drain_rate_7d"),
-        *[F.col(f"high_{w}").alias(f"acc_high_val_txn_count_{w}") for w in spans],
-        F.coalesce(balance < 0, F.lit(False)).cast("bigint").alias("acc_is_overdrawn_flag"),
-        F.coalesce(F.col("overdrafts"), F.lit(0)).alias("acc_overdraft_count_30d"),
-        F.when(
-            F.col("account_type") == "CREDIT",
-            ratio0(F.greatest(F.lit(0.0), F.col("credit_limit") - balance), F.col("credit_limit")),
-        ).alias("acc_credit_utilization_ratio"),
-        F.datediff(instant(as_of), F.col("first_ts")).cast("bigint").alias("acc_days_since_first_txn"),
-        F.least(F.lit(1.0), drained("24h")).alias("acc_rapid_depletion_score"),
-        F.least(F.lit(1.0), F.col("atm_streak") / params.streak_cap).alias("atm_cash_drain_score_24h"),
-        F.least(F.lit(1.0), takeover).alias("account_takeover_risk_index"),
+        f"{instant(as_of)} AS feature_timestamp",
+        *[f"{ratio_sql(spend(w), 'balance')} AS acc_balance_ratio_{w}" for w in ("24h", "7d")],
+        f"cast(datediff({instant(as_of)}, created_at) AS bigint) AS acc_age_days",
+        "balance AS acc_current_balance",
+        *[f"{spend(w)} / {d}D AS acc_avg_daily_spend_{w}" for w, d in (("7d", 7), ("14d", 14), ("30d", 30))],
+        "coalesce(max_7d, 0D) AS acc_max_txn_amount_7d", "max_30d AS acc_max_txn_amount_30d",
+        "min_30d AS acc_min_txn_amount_30d",
+        f"{std_sql('n_30d', 'amt_30d', 'amt_sq')} AS acc_stddev_txn_amount_30d",
+        *[f"{drained(w)} AS acc_balance_drain_rate_{w}" for w in ("24h", "7d")],
+        *[f"high_{w} AS acc_high_val_txn_count_{w}" for w in SPANS],
+        "cast(coalesce(balance < 0, false) AS bigint) AS acc_is_overdrawn_flag",
+        "coalesce(overdrafts, 0) AS acc_overdraft_count_30d",
+        f"CASE WHEN account_type = 'CREDIT' THEN {ratio_sql('greatest(0D, credit_limit - balance)', 'credit_limit')} END "
+        "AS acc_credit_utilization_ratio",
+        f"cast(datediff({instant(as_of)}, first_event) AS bigint) AS acc_days_since_first_txn",
+        f"least(1D, {drained('24h')}) AS acc_rapid_depletion_score",
+        f"least(1D, atm_streak / {cap}) AS atm_cash_drain_score_24h",
+        f"least(1D, {takeover}) AS account_takeover_risk_index",
     )

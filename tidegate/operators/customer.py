@@ -5,6 +5,8 @@ for everything that needs the order of events (gaps, streaks) and rolls up to on
 customer and day, then to one row per customer.  The second reduces to one row per
 (customer, merchant) with map-side combine, from which all distinct counts and all
 features that depend on merchant attributes follow without a distinct aggregate.
+
+Expressions are SQL text: a plan has hundreds of them, and one text is one call to the JVM.
 """
 
 from __future__ import annotations
@@ -12,11 +14,9 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidegate.functions.scalars import DAY, HOUR, ratio, ratio0, seconds_between
-from tidegate.operators.slices import add_slice, with_previous
+from tidegate.functions.scalars import DAY, HOUR
 from tidegate.sources.tables import CHANNELS
 
 WINDOWS = {"1h": HOUR, "6h": 6 * HOUR, "12h": 12 * HOUR, "24h": DAY, "3d": 3 * DAY,
@@ -42,160 +42,154 @@ class RiskParams:
 DEFAULTS = RiskParams()
 
 
-def instant(as_of: dt.datetime) -> Column:
-    return F.lit(as_of).cast("timestamp")
+def instant(as_of: dt.datetime) -> str:
+    """SQL literal of a snapshot time (UTC)."""
+    return f"timestamp'{as_of:%Y-%m-%d %H:%M:%S.%f} UTC'"
+
+
+def since(as_of: dt.datetime, seconds: int, ts: str = "ts") -> str:
+    """SQL: inside ``[as_of - seconds, ...]``; the lower bound is inclusive."""
+    return f"{ts} >= {instant(as_of - dt.timedelta(seconds=seconds))}"
+
 
+def ratio_sql(num: str, den: str) -> str:
+    """SQL: num / den, 0 where undefined."""
+    return f"coalesce(cast({num} AS double) / nullif(cast({den} AS double), 0D), 0D)"
 
-def since(as_of: dt.datetime, seconds: int, ts: str = "ts") -> Column:
-    """True inside ``[as_of - seconds, as_of]``; the lower bound is inclusive."""
-    return F.col(ts) >= instant(as_of - dt.timedelta(seconds=seconds))
+
+def std_sql(n: str, total: str, squares: str) -> str:
+    """SQL: sample standard deviation from sums; 0 below two rows."""
+    return (f"CASE WHEN {n} >= 2 THEN sqrt(greatest(({squares} - {total} * {total} / {n}) / nullif({n} - 1, 0), 0D)) "
+            "ELSE 0D END")
+
+
+def in_horizon(txn: DataFrame, key: str, as_of: dt.datetime) -> DataFrame:
+    return txn.filter(f"{key} IS NOT NULL AND {since(as_of, HORIZON)} AND ts <= {instant(as_of)}")
 
 
 def flag_columns(txn: DataFrame) -> DataFrame:
     """The 0/1 flags every aggregate is built from."""
-    return txn.withColumns(
-        {
-            "is_failed": (F.col("status") == "FAILED").cast("int"),
-            "is_night": (F.hour("ts") < 5).cast("int"),
-            "is_weekend": (F.weekday("ts") >= 5).cast("int"),
-            **{f"on_{c.lower()}": (F.col("channel") == c).cast("int") for c in CHANNELS},
-        }
+    return txn.selectExpr(
+        "*", "cast(status = 'FAILED' AS int) AS is_failed", "cast(hour(ts) < 5 AS int) AS is_night",
+        "cast(weekday(ts) >= 5 AS int) AS is_weekend",
+        *[f"cast(channel = '{c}' AS int) AS on_{c.lower()}" for c in CHANNELS],
     )
 
 
+def aggregate(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Grouped aggregate from SQL texts ``<aggregate> AS <name>``."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy(*keys).agg(*[F.expr(m) for m in measures])
+
+
 def velocity(txn: DataFrame, key: str, as_of: dt.datetime) -> DataFrame:
     """Counts, sums, means and failures per window by one grouped aggregate."""
-    recent = flag_columns(txn).filter(F.col(key).isNotNull() & since(as_of, HORIZON)
-                                      & (F.col("ts") <= instant(as_of)))
     measures = []
     for name, seconds in WINDOWS.items():
         inside = since(as_of, seconds)
-        measures.append(F.count_if(inside).alias(f"n_{name}"))
+        measures.append(f"count_if({inside}) AS n_{name}")
         if name in ("1h", "6h", "24h", "7d", "30d"):
-            measures.append(F.sum(F.when(inside, F.col("amount"))).alias(f"amt_{name}"))
+            measures.append(f"sum(CASE WHEN {inside} THEN amount END) AS amt_{name}")
         if name in ("1h", "24h", "7d", "30d"):
-            measures.append(F.avg(F.when(inside, F.col("amount"))).alias(f"avg_{name}"))
-            measures.append(F.count_if(inside & (F.col("is_failed") == 1)).alias(f"failed_{name}"))
-    return recent.groupBy(key).agg(*measures)
+            measures.append(f"avg(CASE WHEN {inside} THEN amount END) AS avg_{name}")
+            measures.append(f"count_if({inside} AND status = 'FAILED') AS failed_{name}")
+    return aggregate(in_horizon(txn, key, as_of), [key], measures)
 
 
 def velocity_features(txn: DataFrame, as_of: dt.datetime) -> DataFrame:
     """The customer_velocity group except its distinct counts (see ``visited``)."""
-    v = velocity(txn, "customer_id", as_of)
-    return v.select(
+    return velocity(txn, "customer_id", as_of).selectExpr(
         "customer_id",
-        *[F.col(f"n_{w}").alias(f"cust_txn_count_{w}") for w in WINDOWS],
-        *[F.coalesce(F.col(f"amt_{w}"), F.lit(0.0)).alias(f"cust_txn_amount_sum_{w}")
-          for w in ("1h", "6h", "24h", "7d", "30d")],
-        *[F.coalesce(F.col(f"avg_{w}"), F.lit(0.0)).alias(f"cust_txn_amount_avg_{w}")
-          for w in ("1h", "24h", "7d", "30d")],
-        *[F.col(f"failed_{w}").alias(f"cust_failed_txn_count_{w}") for w in ("1h", "24h", "7d")],
+        *[f"n_{w} AS cust_txn_count_{w}" for w in WINDOWS],
+        *[f"coalesce(amt_{w}, 0D) AS cust_txn_amount_sum_{w}" for w in ("1h", "6h", "24h", "7d", "30d")],
+        *[f"coalesce(avg_{w}, 0D) AS cust_txn_amount_avg_{w}" for w in ("1h", "24h", "7d", "30d")],
+        *[f"failed_{w} AS cust_failed_txn_count_{w}" for w in ("1h", "24h", "7d")],
     )
 
 
 def daily_profile(txn: DataFrame, key: str, as_of: dt.datetime, params: RiskParams = DEFAULTS) -> DataFrame:
     """One row per (key, day) of the last 30 days with everything that adds up over days.
 
-    The gap to the previous event and the trailing failure streak are taken inside this
-    shuffle by (key, day), so a key of any size is spread over its days.
+    Gaps and trailing failure streaks are taken inside the shuffle by (key, day), so a key
+    of any size is spread over its days; gaps across midnight follow in ``profile``.
     """
-    recent = flag_columns(
-        txn.filter(F.col(key).isNotNull() & since(as_of, HORIZON) & (F.col("ts") <= instant(as_of)))
-    )
-    ordered = with_previous(recent, [key], "ts", "transaction_id", slice_seconds=DAY)
-    by_day = add_slice(ordered, "ts", DAY, "_day")
-    backwards = (
-        Window.partitionBy(key, "_day")
-        .orderBy(F.desc("ts"), F.desc("transaction_id"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = by_day.withColumns(
-        {
-            "_ok_after": F.sum(1 - F.col("is_failed")).over(backwards),
-            "_not_atm_after": F.sum(1 - F.col("on_atm")).over(backwards),
-            "_gap": seconds_between(F.col("ts"), F.col("_prev.ts")),
-            "_band": F.floor(F.hour("ts") / 6).cast("int"),
-        }
+    part = f"(PARTITION BY {key}, _day ORDER BY ts, transaction_id)"
+    back = (f"(PARTITION BY {key}, _day ORDER BY ts DESC, transaction_id DESC "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    rows = flag_columns(in_horizon(txn, key, as_of)).selectExpr("*", "to_date(ts) AS _day").selectExpr(
+        "*",
+        f"(unix_micros(ts) - unix_micros(lag(ts) OVER {part})) / 1e6D AS _gap",
+        f"sum(1 - is_failed) OVER {back} AS _ok_after",
+        f"sum(1 - on_atm) OVER {back} AS _not_atm_after",
+        "cast(hour(ts) DIV 6 AS int) AS _band",
     )
-
-    def total(cond: Column, name: str) -> Column:
-        return F.count_if(cond).alias(name)
-
     in_1h, in_24h = since(as_of, HOUR), since(as_of, DAY)
     low, high = 0.9 * params.reporting_threshold, params.reporting_threshold
     measures = []
     for w, seconds in WINDOWS.items():
         inside = since(as_of, seconds)
-        measures.append(total(inside, f"n_{w}"))
-        measures.append(F.sum(F.when(inside, F.col("amount"))).alias(f"amt_{w}"))
-        measures.append(total(inside & (F.col("is_failed") == 1), f"failed_{w}"))
-    return rows.groupBy(key, "_day").agg(
-        *measures,
-        F.sum(F.col("amount") * F.col("amount")).alias("amt_sq"),
-        F.sum("is_night").alias("night"),
-        F.sum(F.when(F.col("is_weekend") == 1, F.col("amount"))).alias("weekend_amt"),
-        *[F.sum(f"on_{c.lower()}").alias(f"on_{c.lower()}") for c in CHANNELS],
-        *[F.max(F.when(in_24h, F.col(f"on_{c.lower()}"))).alias(f"seen_{c.lower()}") for c in CHANNELS],
-        F.count("_gap").alias("gaps"),
-        F.sum("_gap").alias("gap_sum"),
-        F.sum(F.col("_gap") * F.col("_gap")).alias("gap_sq"),
-        total(in_24h & (F.col("_gap") <= params.repeat_seconds), "repeats_24h"),
-        *[total(F.col("_band") == b, f"band_{b}") for b in range(4)],
-        F.max(F.struct("ts", "transaction_id", "_band", "_gap")).alias("last"),
-        total(F.col("_ok_after") == 0, "fail_tail"),
-        F.sum(1 - F.col("is_failed")).alias("ok"),
-        total(in_24h & (F.col("_not_atm_after") == 0), "atm_tail"),
-        F.sum(1 - F.col("on_atm")).alias("not_atm"),
-        total(in_1h & (F.col("amount") < params.micro_amount), "micro_1h"),
-        total(in_24h & (F.col("amount") >= low) & (F.col("amount") < high), "structured_24h"),
-        total(since(as_of, 600), "n_10min"),
-        F.sum(F.when(since(as_of, 600), F.col("amount"))).alias("amt_10min"),
-    )
+        measures += [
+            f"count_if({inside}) AS n_{w}",
+            f"sum(CASE WHEN {inside} THEN amount END) AS amt_{w}",
+            f"count_if({inside} AND is_failed = 1) AS failed_{w}",
+        ]
+    measures += [
+        "sum(amount * amount) AS amt_sq",
+        "sum(is_night) AS night",
+        "sum(CASE WHEN is_weekend = 1 THEN amount END) AS weekend_amt",
+        *[f"sum(on_{c.lower()}) AS on_{c.lower()}" for c in CHANNELS],
+        *[f"max(CASE WHEN {in_24h} THEN on_{c.lower()} END) AS seen_{c.lower()}" for c in CHANNELS],
+        "count(_gap) AS gaps", "sum(_gap) AS gap_sum", "sum(_gap * _gap) AS gap_sq",
+        f"count_if({in_24h} AND _gap <= {params.repeat_seconds}) AS repeats_24h",
+        *[f"count_if(_band = {b}) AS band_{b}" for b in range(4)],
+        "min(ts) AS first_ts",
+        "max(struct(ts, transaction_id, _band, _gap)) AS last",
+        "count_if(_ok_after = 0) AS fail_tail", "sum(1 - is_failed) AS ok",
+        f"count_if({in_24h} AND _not_atm_after = 0) AS atm_tail", "sum(1 - on_atm) AS not_atm",
+        f"count_if({in_1h} AND amount < {params.micro_amount}D) AS micro_1h",
+        f"count_if({in_24h} AND amount >= {low}D AND amount < {high}D) AS structured_24h",
+        f"count_if({since(as_of, 600)}) AS n_10min",
+        f"sum(CASE WHEN {since(as_of, 600)} THEN amount END) AS amt_10min",
+    ]
+    return aggregate(rows, [key, "_day"], measures)
 
 
-def profile(days: DataFrame, key: str) -> DataFrame:
+def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams = DEFAULTS) -> DataFrame:
     """Roll ``daily_profile`` up to one row per key; each key has at most 31 day rows here."""
-    later = Window.partitionBy(key).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    marked = days.withColumns(
-        {
-            "_later_ok": F.coalesce(F.sum("ok").over(later), F.lit(0)),
-            "_later_not_atm": F.coalesce(F.sum("not_atm").over(later), F.lit(0)),
-        }
+    later = f"(PARTITION BY {key} ORDER BY _day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    marked = days.selectExpr(
+        "*",
+        f"coalesce(sum(ok) OVER {later}, 0) AS _later_ok",
+        f"coalesce(sum(not_atm) OVER {later}, 0) AS _later_not_atm",
+        f"(unix_micros(first_ts) - unix_micros(lag(last.ts) OVER (PARTITION BY {key} ORDER BY _day))) / 1e6D AS _join_gap",
     )
     added = [c for w in WINDOWS for c in (f"n_{w}", f"amt_{w}", f"failed_{w}")] + [
         "amt_sq", "night", "weekend_amt", *[f"on_{c.lower()}" for c in CHANNELS],
-        "gaps", "gap_sum", "gap_sq", "repeats_24h", *[f"band_{b}" for b in range(4)],
-        "micro_1h", "structured_24h", "n_10min", "amt_10min",
+        *[f"band_{b}" for b in range(4)], "micro_1h", "structured_24h", "n_10min", "amt_10min",
     ]
-    return marked.groupBy(key).agg(
-        *[F.sum(c).alias(c) for c in added],
-        *[F.max(f"seen_{c.lower()}").alias(f"seen_{c.lower()}") for c in CHANNELS],
-        F.max("last").alias("last"),
-        F.max("n_30d").alias("best_day_n"),
-        F.max("amt_30d").alias("best_day_amt"),
-        F.sum(F.when(F.col("_later_ok") == 0, F.col("fail_tail")).otherwise(0)).alias("fail_streak"),
-        F.sum(F.when(F.col("_later_not_atm") == 0, F.col("atm_tail")).otherwise(0)).alias("atm_streak"),
-    )
-
-
-def sample_std(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from sums; null below two rows."""
-    var = (squares - total * total / n) / F.nullif(n - 1, F.lit(0))
-    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return aggregate(marked, [key], [
+        *[f"sum({c}) AS {c}" for c in added],
+        *[f"max(seen_{c.lower()}) AS seen_{c.lower()}" for c in CHANNELS],
+        "sum(gaps) + count(_join_gap) AS gaps",
+        "coalesce(sum(gap_sum), 0D) + coalesce(sum(_join_gap), 0D) AS gap_sum",
+        "coalesce(sum(gap_sq), 0D) + coalesce(sum(_join_gap * _join_gap), 0D) AS gap_sq",
+        f"sum(repeats_24h) + count_if({since(as_of, DAY, 'first_ts')} AND _join_gap <= {params.repeat_seconds}) AS repeats_24h",
+        "max(struct(last.ts, last.transaction_id, last._band, coalesce(last._gap, _join_gap) AS _gap)) AS last",
+        "max(n_30d) AS best_day_n", "max(amt_30d) AS best_day_amt",
+        "sum(CASE WHEN _later_ok = 0 THEN fail_tail ELSE 0 END) AS fail_streak",
+        "sum(CASE WHEN _later_not_atm = 0 THEN atm_tail ELSE 0 END) AS atm_streak",
+    ])
 
 
 def visited(txn: DataFrame, key: str, as_of: dt.datetime) -> DataFrame:
     """One row per (key, merchant) over all history up to ``as_of``."""
-    past = txn.filter((F.col("ts") <= instant(as_of)) & F.col(key).isNotNull())
-    return past.groupBy(key, "merchant_id").agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.max(F.when(~since(as_of, HORIZON), F.col("ts"))).alias("older_ts"),
-        F.count_if(since(as_of, WINDOWS["7d"])).alias("n_7d"),
-        F.count_if(since(as_of, HORIZON)).alias("n_30d"),
-        F.sum(F.when(since(as_of, WINDOWS["7d"]), F.col("amount"))).alias("amt_7d"),
-        F.sum(F.when(since(as_of, HORIZON), F.col("amount"))).alias("amt_30d"),
-    )
+    month, week = since(as_of, HORIZON), since(as_of, WINDOWS["7d"])
+    return aggregate(txn.filter(f"ts <= {instant(as_of)} AND {key} IS NOT NULL"), [key, "merchant_id"], [
+        "min(ts) AS first_ts", "max(ts) AS last_ts", f"max(CASE WHEN NOT ({month}) THEN ts END) AS older_ts",
+        f"count_if({week}) AS n_7d", f"count_if({month}) AS n_30d",
+        f"sum(CASE WHEN {week} THEN amount END) AS amt_7d", f"sum(CASE WHEN {month} THEN amount END) AS amt_30d",
+    ])
 
 
 def merchant_habits(
@@ -206,69 +200,49 @@ def merchant_habits(
     params: RiskParams = DEFAULTS,
 ) -> DataFrame:
     """Per customer: distinct and new merchants, cross-border counts, risk spend, entropy, centrality."""
-    degree = pairs.filter((F.col("n_30d") > 0) & F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(
-        (F.count(F.lit(1)) - 1).alias("others")
-    )
-    traits = merchants.select(
-        "merchant_id",
-        "merchant_category",
-        "risk_score",
-        F.col("country").alias("merchant_country"),
-    )
-    homes = customers.select("customer_id", F.col("country").alias("home_country"))
+    degree = aggregate(pairs.filter("n_30d > 0 AND merchant_id IS NOT NULL"), ["merchant_id"], ["count(1) - 1 AS others"])
+    traits = merchants.selectExpr("merchant_id", "merchant_category", "risk_score", "country AS merchant_country")
+    homes = customers.selectExpr("customer_id", "country AS home_country")
     rich = (
         pairs.join(traits, "merchant_id", "left")
         .join(degree, "merchant_id", "left")
         .join(homes, "customer_id", "left")
+        .selectExpr(
+            "*", "merchant_id IS NOT NULL AS known", "home_country != merchant_country AS abroad",
+            f"coalesce(risk_score, {params.default_risk}D) > {params.high_risk_score}D AS risky",
+        )
     )
-    abroad = F.col("home_country") != F.col("merchant_country")
-    risky = F.coalesce(F.col("risk_score"), F.lit(params.default_risk)) > params.high_risk_score
-    known = F.col("merchant_id").isNotNull()
-
-    def sum_if(cond: Column, value: str, name: str) -> Column:
-        return F.sum(F.when(cond, F.col(value))).alias(name)
-
+    week = WINDOWS["7d"]
     # a null category (unknown merchant) is a category of its own
-    per_category = rich.groupBy("customer_id", "merchant_category").agg(
-        F.count_if(known & since(as_of, DAY, "last_ts")).alias("uniq_24h"),
-        F.count_if(known & since(as_of, WINDOWS["7d"], "last_ts")).alias("uniq_7d"),
-        F.count_if(known & since(as_of, WINDOWS["7d"], "first_ts")).alias("new_7d"),
-        F.count_if(known & since(as_of, HORIZON, "first_ts")).alias("new_30d"),
-        sum_if(abroad, "n_7d", "abroad_7d"),
-        sum_if(abroad, "n_30d", "abroad_30d"),
-        sum_if(risky, "amt_7d", "risky_7d"),
-        sum_if(risky, "amt_30d", "risky_30d"),
-        F.sum("n_30d").alias("n_30d"),
-        F.sum("amt_7d").alias("amt_7d"),
-        F.sum("amt_30d").alias("amt_30d"),
-        F.max("older_ts").alias("older_ts"),
-        F.sum(F.when(F.col("n_30d") > 0, F.col("others"))).alias("shared"),
-    )
-    weight = F.col("n_30d") * F.log(F.nullif(F.col("n_30d"), F.lit(0)).cast("double"))
-    sums = ["uniq_24h", "uniq_7d", "new_7d", "new_30d", "abroad_7d", "abroad_30d",
-            "risky_7d", "risky_30d", "amt_7d", "amt_30d", "shared"]
-    per_customer = per_category.groupBy("customer_id").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.sum("n_30d").alias("n"),
-        F.sum(weight).alias("n_log_n"),
-        F.max("older_ts").alias("older_ts"),
-    )
-    entropy = F.log(F.nullif(F.col("n"), F.lit(0)).cast("double")) - F.col("n_log_n") / F.nullif(F.col("n"), F.lit(0))
-    return per_customer.select(
-        "customer_id",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(f"h_{c}")
-          for c in ("uniq_24h", "uniq_7d", "new_7d", "new_30d", "abroad_7d", "abroad_30d", "shared")],
-        ratio0(F.col("risky_7d"), F.col("amt_7d")).alias("h_risky_7d"),
-        ratio0(F.col("risky_30d"), F.col("amt_30d")).alias("h_risky_30d"),
-        F.coalesce(F.greatest(entropy, F.lit(0.0)), F.lit(0.0)).alias("h_entropy"),
-        F.col("older_ts").alias("h_older_ts"),
+    per_category = aggregate(rich, ["customer_id", "merchant_category"], [
+        f"count_if(known AND {since(as_of, DAY, 'last_ts')}) AS uniq_24h",
+        f"count_if(known AND {since(as_of, week, 'last_ts')}) AS uniq_7d",
+        f"count_if(known AND {since(as_of, week, 'first_ts')}) AS new_7d",
+        f"count_if(known AND {since(as_of, HORIZON, 'first_ts')}) AS new_30d",
+        *[f"sum(CASE WHEN abroad THEN n_{w} END) AS abroad_{w}" for w in ("7d", "30d")],
+        *[f"sum(CASE WHEN risky THEN amt_{w} END) AS risky_{w}" for w in ("7d", "30d")],
+        "sum(n_30d) AS n_30d", "sum(amt_7d) AS amt_7d", "sum(amt_30d) AS amt_30d", "max(older_ts) AS older_ts",
+        "sum(CASE WHEN n_30d > 0 THEN others END) AS shared",
+    ])
+    counts = ["uniq_24h", "uniq_7d", "new_7d", "new_30d", "abroad_7d", "abroad_30d", "shared"]
+    per_customer = aggregate(per_category, ["customer_id"], [
+        *[f"coalesce(sum({c}), 0) AS h_{c}" for c in counts],
+        *[f"sum({c}) AS {c}" for c in ("risky_7d", "risky_30d", "amt_7d", "amt_30d")],
+        "cast(sum(n_30d) AS double) AS n",
+        "sum(n_30d * ln(nullif(cast(n_30d AS double), 0D))) AS n_log_n",
+        "max(older_ts) AS h_older_ts",
+    ])
+    return per_customer.selectExpr(
+        "customer_id", *[f"h_{c}" for c in counts],
+        ratio_sql("risky_7d", "amt_7d") + " AS h_risky_7d", ratio_sql("risky_30d", "amt_30d") + " AS h_risky_30d",
+        "coalesce(greatest(ln(nullif(n, 0D)) - n_log_n / nullif(n, 0D), 0D), 0D) AS h_entropy", "h_older_ts",
     )
 
 
-def unusual_hour(last_band: Column, n: Column) -> Column:
-    """1 minus the share of events in the 6-hour band of the latest event."""
-    in_band = F.coalesce(*[F.when(last_band == b, F.col(f"band_{b}")) for b in range(4)])
-    return F.lit(1.0) - ratio0(in_band, n)
+# 1 minus the share of events in the 6-hour band of the latest event
+UNUSUAL_HOUR = "1D - " + ratio_sql(
+    "CASE last._band WHEN 0 THEN band_0 WHEN 1 THEN band_1 WHEN 2 THEN band_2 ELSE band_3 END", "n_30d"
+)
 
 
 def customer_features(
@@ -284,74 +258,56 @@ def customer_features(
     ``history`` is the unrestricted transaction table; pass it when ``txn`` is already cut
     to the last 30 days (so that the cut reaches the scan).
     """
-    p = profile(daily_profile(txn, "customer_id", as_of, params), "customer_id")
+    p = profile(daily_profile(txn, "customer_id", as_of, params), "customer_id", as_of, params)
     habits = merchant_habits(
         visited(history if history is not None else txn, "customer_id", as_of),
         customers, merchants, as_of, params,
     )
-    f = p.join(habits, "customer_id", "left")
-    n30, amt30 = F.col("n_30d"), F.col("amt_30d")
-    std30 = F.coalesce(sample_std(n30, amt30, F.col("amt_sq")), F.lit(0.0))
-    avg30 = ratio0(amt30, n30)
-    gap_mean = ratio0(F.col("gap_sum"), F.col("gaps")) / DAY
-    gap_std = F.coalesce(sample_std(F.col("gaps"), F.col("gap_sum"), F.col("gap_sq")), F.lit(0.0)) / DAY
     # the gap before the latest event may reach back beyond the 30 days
-    last_gap = F.coalesce(
-        F.col("last._gap"), seconds_between(F.col("last.ts"), F.col("h_older_ts")), F.lit(0.0)
-    )
-    channel_counts = [F.col(f"on_{c.lower()}") for c in CHANNELS]
-    channels_24h = sum((F.coalesce(F.col(f"seen_{c.lower()}"), F.lit(0)) for c in CHANNELS), F.lit(0))
-
-    def big(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0)).cast("bigint")
+    last_gap = "coalesce(last._gap, (unix_micros(last.ts) - unix_micros(h_older_ts)) / 1e6D, 0D)"
+    channel_max = "greatest(" + ", ".join(f"on_{c.lower()}" for c in CHANNELS) + ")"
+    channels_24h = " + ".join(f"coalesce(seen_{c.lower()}, 0)" for c in CHANNELS)
 
-    def dbl(c: Column) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(0.0))
+    def count(c: str) -> str:
+        return f"cast(coalesce({c}, 0) AS bigint)"
 
-    return f.select(
+    return p.join(habits, "customer_id", "left").selectExpr(
         "customer_id",
-        instant(as_of).alias("feature_timestamp"),
+        f"{instant(as_of)} AS feature_timestamp",
         # customer_velocity
-        *[big(F.col(f"n_{w}")).alias(f"cust_txn_count_{w}") for w in WINDOWS],
-        *[dbl(F.col(f"amt_{w}")).alias(f"cust_txn_amount_sum_{w}") for w in ("1h", "6h", "24h", "7d", "30d")],
-        *[ratio0(F.col(f"amt_{w}"), F.col(f"n_{w}")).alias(f"cust_txn_amount_avg_{w}")
-          for w in ("1h", "24h", "7d", "30d")],
-        *[big(F.col(f"failed_{w}")).alias(f"cust_failed_txn_count_{w}") for w in ("1h", "24h", "7d")],
-        big(F.col("h_uniq_24h")).alias("cust_unique_merchants_24h"),
-        big(F.col("h_uniq_7d")).alias("cust_unique_merchants_7d"),
+        *[f"{count(f'n_{w}')} AS cust_txn_count_{w}" for w in WINDOWS],
+        *[f"coalesce(amt_{w}, 0D) AS cust_txn_amount_sum_{w}" for w in ("1h", "6h", "24h", "7d", "30d")],
+        *[f"{ratio_sql(f'amt_{w}', f'n_{w}')} AS cust_txn_amount_avg_{w}" for w in ("1h", "24h", "7d", "30d")],
+        *[f"{count(f'failed_{w}')} AS cust_failed_txn_count_{w}" for w in ("1h", "24h", "7d")],
+        *[f"{count(f'h_uniq_{w}')} AS cust_unique_merchants_{w}" for w in ("24h", "7d")],
         # temporal_behavioral
-        F.least(n30 / 50.0, F.lit(1.0)).alias("cust_activity_score"),
-        ratio0(F.col("night"), n30).alias("cust_night_owl_ratio_30d"),
-        ratio0(dbl(F.col("weekend_amt")), amt30).alias("cust_weekend_spend_ratio_30d"),
-        ratio0(F.greatest(*channel_counts), n30).alias("cust_preferred_channel_ratio_30d"),
-        big(F.col("h_new_7d")).alias("cust_new_merchants_count_7d"),
-        big(F.col("h_new_30d")).alias("cust_new_merchants_count_30d"),
-        big(F.col("h_abroad_7d")).alias("cust_cross_border_count_7d"),
-        big(F.col("h_abroad_30d")).alias("cust_cross_border_count_30d"),
-        gap_mean.alias("cust_avg_days_between_txns_30d"),
-        gap_std.alias("cust_stddev_days_between_txns_30d"),
-        dbl(F.col("h_entropy")).alias("cust_preferred_category_entropy_30d"),
-        ratio0(F.col("on_mobile_app"), n30).alias("cust_mobile_usage_ratio_30d"),
-        ratio0(F.col("on_pos"), n30).alias("cust_pos_usage_ratio_30d"),
-        ratio0(F.col("on_wire"), n30).alias("cust_wire_usage_ratio_30d"),
-        ratio0(F.col("failed_7d"), F.col("n_7d")).alias("cust_declined_ratio_7d"),
-        ratio0(F.col("failed_30d"), n30).alias("cust_declined_ratio_30d"),
-        big(F.col("best_day_n")).alias("cust_max_daily_txn_count_30d"),
-        dbl(F.col("best_day_amt")).alias("cust_max_daily_spend_30d"),
-        F.floor(last_gap / DAY).cast("bigint").alias("cust_dormancy_days_before_latest_txn"),
-        big(F.col("repeats_24h")).alias("cust_rapid_repeat_txn_count_24h"),
+        "least(n_30d / 50D, 1D) AS cust_activity_score",
+        f"{ratio_sql('night', 'n_30d')} AS cust_night_owl_ratio_30d",
+        f"{ratio_sql('coalesce(weekend_amt, 0D)', 'amt_30d')} AS cust_weekend_spend_ratio_30d",
+        f"{ratio_sql(channel_max, 'n_30d')} AS cust_preferred_channel_ratio_30d",
+        *[f"{count(f'h_new_{w}')} AS cust_new_merchants_count_{w}" for w in ("7d", "30d")],
+        *[f"{count(f'h_abroad_{w}')} AS cust_cross_border_count_{w}" for w in ("7d", "30d")],
+        f"{ratio_sql('gap_sum', 'gaps')} / {DAY} AS cust_avg_days_between_txns_30d",
+        f"{std_sql('gaps', 'gap_sum', 'gap_sq')} / {DAY} AS cust_stddev_days_between_txns_30d",
+        "coalesce(h_entropy, 0D) AS cust_preferred_category_entropy_30d",
+        *[f"{ratio_sql(f'on_{c}', 'n_30d')} AS cust_{n}_usage_ratio_30d"
+          for c, n in (("mobile_app", "mobile"), ("pos", "pos"), ("wire", "wire"))],
+        *[f"{ratio_sql(f'failed_{w}', f'n_{w}')} AS cust_declined_ratio_{w}" for w in ("7d", "30d")],
+        f"{count('best_day_n')} AS cust_max_daily_txn_count_30d",
+        "coalesce(best_day_amt, 0D) AS cust_max_daily_spend_30d",
+        f"cast(floor({last_gap} / {DAY}) AS bigint) AS cust_dormancy_days_before_latest_txn",
+        f"{count('repeats_24h')} AS cust_rapid_repeat_txn_count_24h",
         # velocity_and_risk_scores
-        F.least(F.lit(1.0), 0.3 * F.col("n_1h") + 0.7 * F.col("failed_24h")).alias("cust_risk_velocity_composite"),
-        big(F.col("fail_streak")).alias("consecutive_failed_auth_count"),
-        unusual_hour(F.col("last._band"), n30).alias("unusual_hour_spending_index"),
-        (std30 / (avg30 + F.lit(1e-5))).alias("amount_dispersion_index_30d"),
-        dbl(F.col("h_risky_7d")).alias("high_risk_merchant_spend_ratio_7d"),
-        dbl(F.col("h_risky_30d")).alias("high_risk_merchant_spend_ratio_30d"),
-        (F.col("micro_1h") >= params.micro_count).cast("bigint").alias("card_testing_pattern_flag"),
-        (F.col("structured_24h") >= params.structuring_count).cast("bigint").alias("structuring_pattern_flag"),
-        big(F.col("n_10min")).alias("burst_txn_count_10min"),
-        dbl(F.col("amt_10min")).alias("burst_txn_amount_10min"),
-        (channels_24h / float(len(CHANNELS))).alias("device_fingerprint_anomaly_score"),
-        # share of possible links: d / (d + 100) keeps the degree in [0, 1) on any graph size
-        (F.col("h_shared") / (F.col("h_shared") + 100.0)).alias("network_risk_centrality_score"),
+        "least(1D, 0.3D * n_1h + 0.7D * failed_24h) AS cust_risk_velocity_composite",
+        f"{count('fail_streak')} AS consecutive_failed_auth_count",
+        f"{UNUSUAL_HOUR} AS unusual_hour_spending_index",
+        f"{std_sql('n_30d', 'amt_30d', 'amt_sq')} / ({ratio_sql('amt_30d', 'n_30d')} + 1e-5D) AS amount_dispersion_index_30d",
+        *[f"coalesce(h_risky_{w}, 0D) AS high_risk_merchant_spend_ratio_{w}" for w in ("7d", "30d")],
+        f"cast(micro_1h >= {params.micro_count} AS bigint) AS card_testing_pattern_flag",
+        f"cast(structured_24h >= {params.structuring_count} AS bigint) AS structuring_pattern_flag",
+        f"{count('n_10min')} AS burst_txn_count_10min",
+        "coalesce(amt_10min, 0D) AS burst_txn_amount_10min",
+        f"({channels_24h}) / {len(CHANNELS)}D AS device_fingerprint_anomaly_score",
+        # d / (d + 100) keeps the degree in [0, 1) on a graph of any size
+        "coalesce(h_shared / (h_shared + 100D), 0D) AS network_risk_centrality_score",
     )

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidegate.functions.scalars import DAY, HOUR, ratio, ratio0
-from tidegate.operators.customer import DEFAULTS, HORIZON, RiskParams, instant, since
+from tidegate.functions.scalars import DAY, HOUR
+from tidegate.operators.customer import DEFAULTS, RiskParams, aggregate, in_horizon, instant, ratio_sql, since
 from tidegate.sources.tables import HIGH_RISK_CATEGORIES
 
 WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
@@ -16,23 +15,16 @@ WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 
 def merchant_pairs(txn: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per (merchant, customer) of the last 30 days; all measures add up over pairs."""
-    recent = txn.filter(
-        since(as_of, HORIZON) & (F.col("ts") <= instant(as_of)) & F.col("merchant_id").isNotNull()
-    )
-    measures = []
+    measures = ["max(amount) AS max_amount", "sum(CASE WHEN status = 'REFUNDED' THEN amount END) AS refunded"]
     for w, seconds in WINDOWS.items():
         inside = since(as_of, seconds)
         measures += [
-            F.count_if(inside).alias(f"n_{w}"),
-            F.sum(F.when(inside, F.col("amount"))).alias(f"amt_{w}"),
-            F.count_if(inside & (F.col("status") == "FAILED")).alias(f"failed_{w}"),
-            F.sum(F.when(inside, F.col("is_fraud"))).alias(f"fraud_{w}"),
+            f"count_if({inside}) AS n_{w}",
+            f"sum(CASE WHEN {inside} THEN amount END) AS amt_{w}",
+            f"count_if({inside} AND status = 'FAILED') AS failed_{w}",
+            f"sum(CASE WHEN {inside} THEN is_fraud END) AS fraud_{w}",
         ]
-    return recent.groupBy("merchant_id", "customer_id").agg(
-        *measures,
-        F.max("amount").alias("max_amount"),
-        F.sum(F.when(F.col("status") == "REFUNDED", F.col("amount"))).alias("refunded"),
-    )
+    return aggregate(in_horizon(txn, "merchant_id", as_of), ["merchant_id", "customer_id"], measures)
 
 
 def merchant_features(
@@ -43,46 +35,32 @@ def merchant_features(
     params: RiskParams = DEFAULTS,
 ) -> DataFrame:
     """All merchant features at ``as_of``, one row per merchant with an event in 30 days."""
-    pairs = merchant_pairs(txn, as_of)
-    homes = customers.select("customer_id", F.col("country").alias("home_country"))
-    traits = merchants.select(
-        "merchant_id", "merchant_category", "risk_score", F.col("country").alias("merchant_country")
-    )
-    rich = pairs.join(homes, "customer_id", "left").join(traits, "merchant_id", "left")
-    abroad = F.col("home_country") != F.col("merchant_country")
-    known = F.col("customer_id").isNotNull()
+    homes = customers.selectExpr("customer_id", "country AS home_country")
+    traits = merchants.selectExpr("merchant_id", "merchant_category", "risk_score", "country AS merchant_country")
+    rich = merchant_pairs(txn, as_of).join(homes, "customer_id", "left").join(traits, "merchant_id", "left")
     added = [f"{m}_{w}" for w in WINDOWS for m in ("n", "amt", "failed", "fraud")] + ["refunded"]
-    f = rich.groupBy("merchant_id").agg(
-        *[F.sum(c).alias(c) for c in added],
-        *[F.count_if(known & (F.col(f"n_{w}") > 0)).alias(f"cust_{w}") for w in ("24h", "7d", "30d")],
-        F.max("max_amount").alias("max_amount"),
-        F.max("amt_30d").alias("top_customer"),
-        F.sum(F.when(abroad, F.col("n_7d"))).alias("abroad_7d"),
-        F.max("risk_score").alias("risk_score"),
-        F.max("merchant_category").alias("merchant_category"),
-    )
-
-    def mean(w: str) -> Column:
-        return ratio0(F.col(f"amt_{w}"), F.col(f"n_{w}"))
-
-    risk = F.coalesce(F.col("risk_score"), F.lit(params.default_risk))
-    spike = F.col("n_1h") / (F.col("n_24h") / F.lit(24.0) + F.lit(1e-5))
-    return f.select(
+    f = aggregate(rich, ["merchant_id"], [
+        *[f"sum({c}) AS {c}" for c in added],
+        *[f"count_if(customer_id IS NOT NULL AND n_{w} > 0) AS cust_{w}" for w in ("24h", "7d", "30d")],
+        "max(max_amount) AS max_amount", "max(amt_30d) AS top_customer",
+        "sum(CASE WHEN home_country != merchant_country THEN n_7d END) AS abroad_7d",
+        f"coalesce(max(risk_score), {params.default_risk}D) AS risk", "max(merchant_category) AS category",
+    ])
+    risky = ", ".join(f"'{c}'" for c in HIGH_RISK_CATEGORIES)
+    return f.selectExpr(
         "merchant_id",
-        instant(as_of).alias("feature_timestamp"),
-        risk.alias("merch_risk_score"),
-        *[F.col(f"n_{w}").alias(f"merch_txn_count_{w}") for w in WINDOWS],
-        *[mean(w).alias(f"merch_avg_txn_amount_{w}") for w in ("24h", "7d", "30d")],
-        *[ratio0(F.col(f"fraud_{w}"), F.col(f"n_{w}")).alias(f"merch_fraud_rate_{w}") for w in ("7d", "30d")],
-        *[ratio0(F.col(f"failed_{w}"), F.col(f"n_{w}")).alias(f"merch_declined_txn_rate_{w}")
-          for w in ("24h", "7d")],
-        *[F.col(f"cust_{w}").alias(f"merch_unique_customers_{w}") for w in ("24h", "7d", "30d")],
-        F.coalesce(F.col("merchant_category").isin(HIGH_RISK_CATEGORIES), F.lit(False))
-        .cast("bigint").alias("merch_high_risk_cat_flag"),
-        ratio0(F.coalesce(F.col("abroad_7d"), F.lit(0)), F.col("n_7d")).alias("merch_cross_border_ratio_7d"),
-        F.col("max_amount").alias("merch_max_txn_amount_30d"),
-        F.least(spike, F.lit(10.0)).alias("merch_velocity_spike_index"),
-        ratio0(F.coalesce(F.col("refunded"), F.lit(0.0)), F.col("amt_30d")).alias("merch_refund_ratio_30d"),
-        (risk * F.lit(1.2)).alias("merch_category_risk_index"),
-        ratio0(F.col("top_customer"), F.col("amt_30d")).alias("merchant_collusion_risk_score"),
+        f"{instant(as_of)} AS feature_timestamp",
+        "risk AS merch_risk_score",
+        *[f"n_{w} AS merch_txn_count_{w}" for w in WINDOWS],
+        *[f"{ratio_sql(f'amt_{w}', f'n_{w}')} AS merch_avg_txn_amount_{w}" for w in ("24h", "7d", "30d")],
+        *[f"{ratio_sql(f'fraud_{w}', f'n_{w}')} AS merch_fraud_rate_{w}" for w in ("7d", "30d")],
+        *[f"{ratio_sql(f'failed_{w}', f'n_{w}')} AS merch_declined_txn_rate_{w}" for w in ("24h", "7d")],
+        *[f"cust_{w} AS merch_unique_customers_{w}" for w in ("24h", "7d", "30d")],
+        f"cast(coalesce(category IN ({risky}), false) AS bigint) AS merch_high_risk_cat_flag",
+        f"{ratio_sql('coalesce(abroad_7d, 0)', 'n_7d')} AS merch_cross_border_ratio_7d",
+        "max_amount AS merch_max_txn_amount_30d",
+        "least(n_1h / (n_24h / 24D + 1e-5D), 10D) AS merch_velocity_spike_index",
+        f"{ratio_sql('coalesce(refunded, 0D)', 'amt_30d')} AS merch_refund_ratio_30d",
+        "risk * 1.2D AS merch_category_risk_index",
+        f"{ratio_sql('top_customer', 'amt_30d')} AS merchant_collusion_risk_score",
     )

@@ -98,99 +98,91 @@ def with_previous(
     )
 
 
+def slice_sql(micros_sql: str, seconds: int) -> str:
+    """SQL twin of ``slice_id``."""
+    return f"(({micros_sql}) - pmod({micros_sql}, {seconds * MICROS}L)) DIV {seconds * MICROS}L"
+
+
 def trailing(
     events: DataFrame,
     key: Sequence[str],
     ts: str,
-    measures: Mapping[str, Column],
+    measures: Mapping[str, str],
     windows: Mapping[str, int],
     slice_seconds: int = HOUR,
+    wanted: Mapping[str, Sequence[str]] | None = None,
+    steps: Sequence[Sequence[str]] = (),
+    carried: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Sums over ``[ts - w, ts]`` at each event, for several windows in one shuffle.
 
-    Adds ``{measure}_{window}``.  Both bounds are inclusive and rows with equal time count
-    each other, as in ``RANGE BETWEEN w PRECEDING AND CURRENT ROW``.  Each window must be a
-    multiple of the slice.  The sum is made of three parts: the event's own slice up to the
-    event, the whole slices in between (one pre-aggregated row each), and the end of the
-    slice in which the window starts.  For the last part every event also enters the slice
-    ``w`` later as a narrow "expiring" row, where it still counts for events that come no
-    later than its own time plus ``w``.
+    ``measures`` are SQL texts; adds ``{measure}_{window}`` (for the windows in ``wanted``,
+    else for all).  Both bounds are inclusive and rows with equal time count each other, as in
+    ``RANGE BETWEEN w PRECEDING AND CURRENT ROW``.  Each window must be a multiple of the
+    slice.  The sum is made of three parts: the event's own slice up to the event, the whole
+    slices in between (one pre-aggregated row each), and the end of the slice in which the
+    window starts.  For the last part every event also enters the slice ``w`` later as a
+    narrow "expiring" row, where it still counts for events that come no later than its own
+    time plus ``w``.
+
+    ``steps`` are further SQL columns, evaluated step by step while the rows of a
+    (key, slice) are together: ``_role`` is -1 on events and the index of the window on
+    expiring rows, ``_us`` the time in microseconds, ``_row`` the event's columns (also there on
+    expiring rows of the first window if steps are given), ``_head_m_n_w`` the tail sums.
+    ``carried`` names aggregates of which each slice gets the maximum over earlier slices.
     """
-    key = list(key)
+    keys, width, carried = list(key), slice_seconds, dict(carried or {})
     for name, seconds in windows.items():
-        if seconds % slice_seconds:
-            raise ValueError(f"window {name} is no multiple of the {slice_seconds} s slice")
-    width = slice_seconds
-    base = (
-        events.withColumns({f"_m_{n}": v.cast("double") for n, v in measures.items()})
-        .withColumn("_us", micros(ts))
-        .withColumn("_slice", slice_id(F.col("_us"), width))
-    )
-    sums = [f"_m_{n}" for n in measures]
-    names = list(windows)
+        if seconds % width:
+            raise ValueError(f"window {name} is no multiple of the {width} s slice")
+    use = {m: list((wanted or {}).get(m, windows)) for m in measures}
+    pairs = [(m, w) for m in measures for w in use[m]]
+    order = {w: i for i, w in enumerate(windows)}
+    base = events.selectExpr(
+        "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()], f"unix_micros({ts}) AS _us"
+    ).selectExpr("*", f"{slice_sql('_us', width)} AS _slice")
 
     # one row per event and one per window it expires from
-    steps = F.array(
-        F.struct(F.lit(-1).alias("role"), F.lit(0).cast("bigint").alias("shift")),
-        *[
-            F.struct(F.lit(i).alias("role"), F.lit(windows[n]).cast("bigint").alias("shift"))
-            for i, n in enumerate(names)
-        ],
-    )
-    exploded = base.select(
-        *[c for c in base.columns], F.explode(steps).alias("_step")
+    shifts = ", ".join(f"named_struct('role', {i}, 'by', {windows[w]}L)" for w, i in order.items())
+    payload = [c for c in events.columns if c not in keys]
+    keeps_row = "_step.role <= 0" if steps else "_step.role = -1"
+    rows = base.selectExpr(
+        "*", f"explode(array(named_struct('role', -1, 'by', 0L), {shifts})) AS _step"
+    ).selectExpr(
+        *keys, "_step.role AS _role", f"_us + _step.by * {MICROS}L AS _us", f"_slice + _step.by DIV {width}L AS _slice",
+        *[f"_m_{m}" for m in measures], f"CASE WHEN {keeps_row} THEN struct({', '.join(payload)}) END AS _row",
     )
-    payload = [c for c in events.columns if c not in key]
-    rows = exploded.select(
-        *key,
-        F.col("_step.role").alias("_role"),
-        (F.col("_us") + F.col("_step.shift") * MICROS).alias("_us"),
-        (F.col("_slice") + F.col("_step.shift") / width).cast("bigint").alias("_slice"),
-        *sums,
-        F.when(F.col("_step.role") == -1, F.struct(*[F.col(c) for c in payload])).alias("_row"),
-    )
-    part = Window.partitionBy(*key, "_slice")
-    upto = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = part.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.select(
-        "*",
-        *[
-            F.coalesce(F.sum(F.when(F.col("_role") == -1, F.col(m))).over(upto), F.lit(0.0)).alias(f"_own{m}")
-            for m in sums
-        ],
-    ).select(
+    part = f"PARTITION BY {', '.join(keys)}, _slice"
+    frame = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    local = rows.selectExpr(
         "*",
-        *[
-            F.coalesce(F.sum(F.when(F.col("_role") == i, F.col(m))).over(after), F.lit(0.0)).alias(
-                f"_head{m}_{n}"
-            )
-            for i, n in enumerate(names)
-            for m in sums
-        ],
-    ).filter(F.col("_role") == -1)
-
-    whole = {n: s // width for n, s in windows.items() if s // width >= 2}
-    if whole:
-        per_slice = base.groupBy(*key, "_slice").agg(*[F.sum(m).alias(m) for m in sums])
-        over_slices = Window.partitionBy(*key).orderBy("_slice")
-        middle = per_slice.select(
-            *key,
-            "_slice",
-            *[
-                F.coalesce(
-                    F.sum(m).over(over_slices.rangeBetween(-(k - 1), -1)), F.lit(0.0)
-                ).alias(f"_mid{m}_{n}")
-                for n, k in whole.items()
-                for m in sums
-            ],
+        *[f"coalesce(sum(CASE WHEN _role = -1 THEN _m_{m} END) OVER ({part} ORDER BY _us {frame}), 0D) AS _own_{m}" for m in measures],
+        *[f"coalesce(sum(CASE WHEN _role = {order[w]} THEN _m_{m} END) OVER ({part} ORDER BY _us DESC {frame}), 0D) AS _head_{m}_{w}"
+          for m, w in pairs],
+    )
+    for step in steps:
+        local = local.selectExpr("*", *[e.replace("{part}", part) for e in step])
+    local = local.filter("_role = -1")
+
+    whole = {w: s // width for w, s in windows.items() if s // width >= 2}
+    middle = [(m, w) for m, w in pairs if w in whole]
+    if middle or carried:
+        by_key = f"PARTITION BY {', '.join(keys)} ORDER BY _slice"
+        per_slice = base.groupBy(*keys, "_slice").agg(
+            *[F.sum(f"_m_{m}").alias(f"_m_{m}") for m in measures], *[F.expr(f"{e} AS {n}") for n, e in carried.items()]
         )
-        local = local.join(middle, [*key, "_slice"], "inner")
-
-    results = []
-    for n in names:
-        for m in sums:
-            total = F.col(f"_own{m}") + F.col(f"_head{m}_{n}")
-            if n in whole:
-                total = total + F.col(f"_mid{m}_{n}")
-            results.append(total.alias(f"{m[3:]}_{n}"))
-    return local.select(*key, *[F.col("_row")[c].alias(c) for c in payload], *results)
+        local = local.join(
+            per_slice.selectExpr(
+                *keys, "_slice",
+                *[f"coalesce(sum(_m_{m}) OVER ({by_key} RANGE BETWEEN {whole[w] - 1} PRECEDING AND 1 PRECEDING), 0D) AS _mid_{m}_{w}"
+                  for m, w in middle],
+                *[f"max({n}) OVER ({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}" for n in carried],
+            ),
+            [*keys, "_slice"], "inner",
+        )
+    extra = [c for step in steps for c in (e.rsplit(" AS ", 1)[1] for e in step)]
+    return local.selectExpr(
+        *keys, *[f"_row.{c} AS {c}" for c in payload],
+        *[f"_own_{m} + _head_{m}_{w}" + (f" + _mid_{m}_{w}" if (m, w) in middle else "") + f" AS {m}_{w}" for m, w in pairs],
+        *extra, *carried,
+    )

@@ -5,50 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.scalars import DAY, HOUR, haversine_km, ratio, ratio0, seconds_between
-from tidegate.operators.customer import DEFAULTS, RiskParams, sample_std
-from tidegate.operators.slices import Running, running, trailing
+from tidegate.functions.scalars import DAY, HOUR
+from tidegate.operators.customer import DEFAULTS, RiskParams, ratio_sql, std_sql
+from tidegate.operators.slices import trailing
 
 CUSTOMER_WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 MERCHANT_WINDOWS = {"7d": 7 * DAY, "30d": 30 * DAY}
-KEPT = ["transaction_id", "customer_id", "merchant_id", "amount", "ts", "status", "channel"]
+EARTH_DIAMETER_KM = 12742.0
 
 
-def customer_windows(txn: DataFrame, slice_seconds: int = HOUR) -> DataFrame:
-    """Trailing count, sum and sum of squares per customer at each event."""
-    return trailing(
-        txn.filter(F.col("customer_id").isNotNull() & F.col("ts").isNotNull()),
-        ["customer_id"], "ts",
-        {"c_n": F.lit(1), "c_amt": F.col("amount"), "c_sq": F.col("amount") * F.col("amount")},
-        CUSTOMER_WINDOWS, slice_seconds,
-    )
-
-
-def merchant_windows(txn: DataFrame, slice_seconds: int = DAY) -> DataFrame:
-    """Trailing count and sum per merchant at each event."""
-    return trailing(
-        txn.filter(F.col("merchant_id").isNotNull() & F.col("ts").isNotNull()),
-        ["merchant_id"], "ts", {"m_n": F.lit(1), "m_amt": F.col("amount")}, MERCHANT_WINDOWS,
-        slice_seconds,
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL: great-circle distance in kilometres."""
+    return (
+        f"{EARTH_DIAMETER_KM}D * asin(sqrt(least(1D, pow(sin(radians({lat2} - {lat1}) / 2), 2D) + cos(radians({lat1}))"
+        f" * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2D))))"
     )
 
 
-def sequence(txn: DataFrame, params: RiskParams = DEFAULTS) -> DataFrame:
-    """Running row number, last non-high-value row number and previous event per customer.
+def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds: int = HOUR) -> DataFrame:
+    """Trailing windows, previous event and run of high-value events, in one shuffle by (customer, hour).
 
+    The run counts the high-value events up to this one within an hour.  It ends inside the
+    event's own slice at the last event that is not of high value; without one it goes on
+    into the slice before, whose events are at hand as rows expiring after an hour.
     ``txn`` may carry ``lat`` and ``lon``; the previous event then carries its own.
     """
     place = [c for c in ("lat", "lon") if c in txn.columns]
-    rows = txn.filter(F.col("customer_id").isNotNull() & F.col("ts").isNotNull())
-    previous = F.struct("ts", "transaction_id", *place)
-    numbered = running(
-        rows, ["customer_id"], "ts", "transaction_id",
-        {"_rn": Running(F.lit(1).cast("bigint")), "_prev": Running(previous, "max", exclusive=True)},
-    )
-    calm = F.when(~(F.col("amount") > params.high_value), F.col("_rn"))
-    return running(
-        numbered, ["customer_id"], "ts", "transaction_id", {"_calm_rn": Running(calm, "max")}
-    )
+    previous = f"struct(ts, transaction_id{''.join(', ' + c for c in place)})"
+    row_previous = f"struct(_row.ts, _row.transaction_id{''.join(', _row.' + c for c in place)})"
+    upto = "{part} ORDER BY _us, _row.transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    back = "{part} ORDER BY _us DESC, _row.transaction_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    calm = f"NOT coalesce(_row.amount > {params.high_value}D, false)"
+    steps = [
+        [
+            f"sum(CASE WHEN _role = -1 THEN 1 END) OVER ({upto} CURRENT ROW) AS _n",
+            f"max(CASE WHEN _role = -1 THEN {row_previous} END) OVER ({upto} 1 PRECEDING) AS _before",
+            f"coalesce(sum(CASE WHEN _role = 0 AND {calm} THEN 1 END) OVER ({back}), 0) AS _calm_after",
+        ],
+        [
+            f"max(CASE WHEN _role = -1 AND {calm} THEN _n END) OVER ({upto} CURRENT ROW) AS _calm_n",
+            "sum(CASE WHEN _role = 0 AND _calm_after = 0 THEN 1 ELSE 0 END) OVER ({part}) AS _earlier_run",
+        ],
+        ["coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run"],
+    ]
+    return trailing(
+        txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL"), ["customer_id"], "ts",
+        {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, slice_seconds,
+        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, steps=steps, carried={"_last": f"max({previous})"},
+    ).selectExpr("*", "coalesce(_before, _last) AS prev").drop("_n", "_before", "_calm_after", "_calm_n", "_earlier_run", "_last")
+
+
+def merchant_windows(txn: DataFrame, slice_seconds: int = DAY) -> DataFrame:
+    """Trailing count and sum per merchant at each event."""
+    return trailing(
+        txn.filter("merchant_id IS NOT NULL AND ts IS NOT NULL").select("transaction_id", "merchant_id", "ts", "amount"),
+        ["merchant_id"], "ts", {"m_n": "1", "m_amt": "amount"}, MERCHANT_WINDOWS, slice_seconds,
+    ).drop("merchant_id", "ts", "amount")
 
 
 def first_visits(txn: DataFrame, where: list[str], flag: str) -> DataFrame:
@@ -57,24 +69,18 @@ def first_visits(txn: DataFrame, where: list[str], flag: str) -> DataFrame:
     Minimum per group with map-side combine; the ids are unique, so the join back to the
     events is on a key without skew."""
     firsts = txn.groupBy(*where).agg(F.min(F.struct("ts", "transaction_id")).alias("_first"))
-    return firsts.select(F.col("_first.transaction_id").alias("transaction_id"), F.lit(1).alias(flag))
+    return firsts.selectExpr("_first.transaction_id AS transaction_id", f"1L AS {flag}")
 
 
 def locate(txn: DataFrame, customers: DataFrame, merchants: DataFrame, countries: DataFrame) -> DataFrame:
     """Attach merchant country with its centroid, and the centroid of the customer's home."""
-    here = merchants.select("merchant_id", F.col("country").alias("merchant_country")).join(
-        countries.select(F.col("country").alias("merchant_country"), "lat", "lon"),
-        "merchant_country", "left",
+    here = merchants.selectExpr("merchant_id", "country AS merchant_country").join(
+        countries.selectExpr("country AS merchant_country", "lat", "lon"), "merchant_country", "left"
     )
-    home = customers.select("customer_id", F.col("country").alias("home_country")).join(
-        countries.select(
-            F.col("country").alias("home_country"),
-            F.col("lat").alias("home_lat"),
-            F.col("lon").alias("home_lon"),
-        ),
-        "home_country", "left",
+    home = customers.selectExpr("customer_id", "country AS home_country").join(
+        countries.selectExpr("country AS home_country", "lat AS home_lat", "lon AS home_lon"), "home_country", "left"
     )
-    return txn.join(here, "merchant_id", "left").join(home, "customer_id", "left")
+    return txn.join(here, "merchant_id", "left").join(home.drop("home_country"), "customer_id", "left")
 
 
 def transaction_features(
@@ -86,71 +92,46 @@ def transaction_features(
 ) -> DataFrame:
     """All transaction-level features, one row per transaction.
 
-    The customer chain (windows, then sequence) and the merchant chain each shuffle narrow
-    rows by (key, time slice); their results meet on the unique transaction id.  Events
-    without a customer, merchant or time keep their row with the features that need none.
+    The customer chain and the merchant windows each shuffle narrow rows by (key, time
+    slice); their results meet on the unique transaction id.  Events without a customer,
+    merchant or time keep their row with the features that need none.
     """
-    base = txn.select(*KEPT)
+    base = txn.select("transaction_id", "customer_id", "merchant_id", "amount", "ts", "channel")
     located = locate(base, customers, merchants, countries)
-    seq = sequence(located, params).withColumn(
-        "geo_distance_from_home_km",
-        haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon")),
-    ).withColumn(
-        "_hop_km", haversine_km(F.col("_prev.lat"), F.col("_prev.lon"), F.col("lat"), F.col("lon"))
-    ).select(
-        "transaction_id", "_rn", "_calm_rn", F.col("_prev.ts").alias("_prev_ts"),
-        "geo_distance_from_home_km", "_hop_km",
+    placed = located.filter("customer_id IS NOT NULL AND ts IS NOT NULL")
+    f = customer_chain(located, params).unionByName(
+        located.filter("customer_id IS NULL OR ts IS NULL"), allowMissingColumns=True
     )
-    by_customer = customer_windows(base).select(
-        "transaction_id",
-        *[f"{m}_{w}" for w in CUSTOMER_WINDOWS for m in ("c_n", "c_amt", "c_sq")],
-    )
-    by_merchant = merchant_windows(base).select(
-        "transaction_id", *[f"{m}_{w}" for w in MERCHANT_WINDOWS for m in ("m_n", "m_amt")]
-    )
-    placed = located.filter(F.col("customer_id").isNotNull() & F.col("ts").isNotNull())
-    new_merchant = first_visits(
-        placed.filter(F.col("merchant_id").isNotNull()), ["customer_id", "merchant_id"], "_new_merchant"
-    )
-    new_country = first_visits(
-        placed.filter(F.col("merchant_country").isNotNull()), ["customer_id", "merchant_country"], "_new_country"
-    )
-    f = base
-    for part in (by_customer, by_merchant, seq, new_merchant, new_country):
+    for part in (
+        merchant_windows(base),
+        first_visits(placed.filter("merchant_id IS NOT NULL"), ["customer_id", "merchant_id"], "new_merchant"),
+        first_visits(placed.filter("merchant_country IS NOT NULL"), ["customer_id", "merchant_country"], "new_country"),
+    ):
         f = f.join(part, "transaction_id", "left")
-
-    amount = F.col("amount")
-    std30 = sample_std(F.col("c_n_30d"), F.col("c_amt_30d"), F.col("c_sq_30d"))
-    since_last = seconds_between(F.col("ts"), F.col("_prev_ts"))
-    high_run = F.least(F.col("_rn") - F.coalesce(F.col("_calm_rn"), F.lit(0)), F.col("c_n_1h").cast("bigint"))
-
-    def flag(cond):
-        return F.coalesce(cond, F.lit(False)).cast("bigint")
-
-    return f.select(
-        "transaction_id",
-        "customer_id",
-        "merchant_id",
-        F.col("ts").alias("feature_timestamp"),
-        *[ratio0(amount, F.col(f"c_amt_{w}") / F.nullif(F.col(f"c_n_{w}"), F.lit(0.0)))
-          .alias(f"txn_amount_to_cust_avg_ratio_{w}") for w in ("7d", "30d")],
-        *[ratio0(amount, F.col(f"m_amt_{w}") / F.nullif(F.col(f"m_n_{w}"), F.lit(0.0)))
-          .alias(f"txn_amount_to_merch_avg_ratio_{w}") for w in ("7d", "30d")],
-        F.coalesce(since_last, F.lit(0.0)).alias("txn_time_since_last_txn_sec"),
-        flag(F.hour("ts") < 5).alias("txn_is_night_time_flag"),
-        flag(F.weekday("ts") >= 5).alias("txn_is_weekend_flag"),
-        F.hour("ts").cast("bigint").alias("txn_hour_of_day"),
-        F.weekday("ts").cast("bigint").alias("txn_day_of_week"),
-        *[flag(F.col("channel") == c).alias(f"txn_channel_is_{n}")
-          for c, n in (("MOBILE_APP", "mobile"), ("WEB", "web"), ("POS", "pos"), ("ATM", "atm"), ("WIRE", "wire"))],
-        ratio0(amount - F.col("c_amt_30d") / F.nullif(F.col("c_n_30d"), F.lit(0.0)), std30)
-        .alias("txn_amount_zscore_30d"),
-        F.coalesce(high_run, F.lit(0)).alias("txn_consecutive_high_val_count"),
-        F.coalesce(F.col("_new_merchant"), F.lit(0)).cast("bigint").alias("txn_is_first_time_merchant"),
-        F.coalesce(F.col("_new_country"), F.lit(0)).cast("bigint").alias("txn_is_first_time_country"),
-        ratio0(F.col("c_n_1h"), F.col("c_n_24h") / 24.0).alias("txn_velocity_spike_ratio_1h_vs_24h"),
-        flag((amount > 0) & (F.pmod(amount, F.lit(100.0)) == 0)).alias("txn_is_round_amount_flag"),
-        F.least(F.lit(1.0), F.coalesce(F.col("c_n_1h"), F.lit(0.0)) / 10.0).alias("txn_velocity_score"),
-        F.coalesce(F.col("geo_distance_from_home_km"), F.lit(0.0)).alias("geo_distance_from_home_km"),
-        ratio0(F.col("_hop_km"), since_last / 3600.0).alias("geo_velocity_kph"),
+    elapsed = "(unix_micros(ts) - unix_micros(prev.ts)) / 1e6D"
+    std30 = f"nullif({std_sql('c_n_30d', 'c_amt_30d', 'c_sq_30d')}, 0D)"
+    channels = (("MOBILE_APP", "mobile"), ("WEB", "web"), ("POS", "pos"), ("ATM", "atm"), ("WIRE", "wire"))
+
+    def flag(cond: str) -> str:
+        return f"cast(coalesce({cond}, false) AS bigint)"
+
+    return f.selectExpr(
+        "transaction_id", "customer_id", "merchant_id", "ts AS feature_timestamp",
+        *[f"{ratio_sql('amount', f'(c_amt_{w} / nullif(c_n_{w}, 0D))')} AS txn_amount_to_cust_avg_ratio_{w}" for w in ("7d", "30d")],
+        *[f"{ratio_sql('amount', f'(m_amt_{w} / nullif(m_n_{w}, 0D))')} AS txn_amount_to_merch_avg_ratio_{w}" for w in ("7d", "30d")],
+        f"coalesce({elapsed}, 0D) AS txn_time_since_last_txn_sec",
+        f"{flag('hour(ts) < 5')} AS txn_is_night_time_flag",
+        f"{flag('weekday(ts) >= 5')} AS txn_is_weekend_flag",
+        "cast(hour(ts) AS bigint) AS txn_hour_of_day",
+        "cast(weekday(ts) AS bigint) AS txn_day_of_week",
+        *[f"""{flag(f"channel = '{c}'")} AS txn_channel_is_{n}""" for c, n in channels],
+        f"coalesce((amount - c_amt_30d / nullif(c_n_30d, 0D)) / {std30}, 0D) AS txn_amount_zscore_30d",
+        "coalesce(high_run, 0L) AS txn_consecutive_high_val_count",
+        "coalesce(new_merchant, 0L) AS txn_is_first_time_merchant",
+        "coalesce(new_country, 0L) AS txn_is_first_time_country",
+        f"{ratio_sql('c_n_1h', '(c_n_24h / 24D)')} AS txn_velocity_spike_ratio_1h_vs_24h",
+        f"{flag('amount > 0 AND pmod(amount, 100D) = 0')} AS txn_is_round_amount_flag",
+        "least(1D, coalesce(c_n_1h, 0D) / 10D) AS txn_velocity_score",
+        f"coalesce({haversine_sql('home_lat', 'home_lon', 'lat', 'lon')}, 0D) AS geo_distance_from_home_km",
+        f"coalesce({haversine_sql('prev.lat', 'prev.lon', 'lat', 'lon')} / nullif({elapsed} / 3600D, 0D), 0D) AS geo_velocity_kph",
     )

@@ -323,7 +323,7 @@ def burst_windows(spark, sf):
     """The busiest ten minutes of every customer."""
     rows = trailing(
         t.bind_transactions(spark, sf).select("transaction_id", "customer_id", "ts", "amount"), ["customer_id"], "ts",
-        {"n": F.lit(1), "a": F.col("amount")}, {"10min": 600}, slice_seconds=600,
+        {"n": "1", "a": "amount"}, {"10min": 600}, slice_seconds=600,
     )
     return rows.groupBy("customer_id").agg(
         F.max("n_10min").cast("bigint").alias("most_txns_10min"), F.max("a_10min").alias("most_amount_10min")

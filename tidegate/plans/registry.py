@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.session import tune
@@ -22,17 +21,19 @@ def presentable(df: DataFrame) -> DataFrame:
     """Result columns in engine-neutral types: rounded doubles, zone-free times, text for arrays."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c + NUDGE, DIGITS)
+            e = f"round({name} + {NUDGE:.9f}D, {DIGITS})"
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
+            e = f"cast({name} AS timestamp_ntz)"
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.concat_ws("|", c) if isinstance(f.dataType.elementType, T.StringType) else F.to_json(c)
+            e = f"concat_ws('|', {name})" if isinstance(f.dataType.elementType, T.StringType) else f"to_json({name})"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            e = f"cast({name} AS bigint)"
+        else:
+            e = name
+        out.append(f"{e} AS {name}")
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None):

@@ -56,8 +56,25 @@ class Catalog:
         return df.select(*columns) if columns else df
 
 
+# Declared schemas of the supplied tables: reading them needs no job to infer one.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def latest_event_time(spark: SparkSession, sf_dir: str) -> dt.datetime:
@@ -65,24 +82,19 @@ def latest_event_time(spark: SparkSession, sf_dir: str) -> dt.datetime:
     return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 
+def sql_list(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 def shape_transactions(events: DataFrame) -> DataFrame:
     """Transactions from rows of ``events`` (batch or stream)."""
-    slot = F.pmod(F.col("event_id"), F.lit(len(CHANNELS))).cast("int") + 1
-    status = (
-        F.when(F.col("event_type") == "error", "FAILED")
-        .when(F.col("event_type") == "signup", "REFUNDED")
-        .otherwise("APPROVED")
-    )
-    return events.select(
-        F.col("event_id").alias("transaction_id"),
-        F.col("user_id").alias("customer_id"),
-        F.col("user_id").alias("account_id"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("merchant_id"),
-        F.col("value").alias("amount"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        status.alias("status"),
-        F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), slot).alias("channel"),
-        ((F.col("event_type") == "purchase") & (F.col("value") > 100)).cast("int").alias("is_fraud"),
+    return events.selectExpr(
+        "event_id AS transaction_id", "user_id AS customer_id", "user_id AS account_id",
+        "cast(get_json_object(props, '$.k') AS bigint) AS merchant_id",
+        "value AS amount", "cast(ts AS timestamp) AS ts",
+        "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'REFUNDED' ELSE 'APPROVED' END AS status",
+        f"element_at({sql_list(CHANNELS)}, cast(pmod(event_id, {len(CHANNELS)}) AS int) + 1) AS channel",
+        "cast(event_type = 'purchase' AND value > 100 AS int) AS is_fraud",
     )
 
 
@@ -103,54 +115,39 @@ def bind_transactions(
     return shape_transactions(events)
 
 
+def with_nation(df: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").selectExpr(f"n_nationkey AS {key}", "n_name AS country")
+    return df.join(nations, key, "left")
+
+
 def bind_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (
-        table(spark, sf_dir, "customer")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("country"))
-    )
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS customer_id", "c_nationkey")
+    return with_nation(rows, "c_nationkey", spark, sf_dir).select("customer_id", "country")
 
 
 def bind_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    slot = F.pmod(F.col("s_suppkey"), F.lit(len(CATEGORIES))).cast("int") + 1
-    risk = F.least(F.lit(1.0), F.greatest(F.lit(0.01), (F.col("s_acctbal") + 1000) / 11000))
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            F.col("s_suppkey").alias("merchant_id"),
-            F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), slot).alias("merchant_category"),
-            risk.alias("risk_score"),
-            F.col("n_name").alias("country"),
-        )
+    rows = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS merchant_id", "s_nationkey",
+        f"element_at({sql_list(CATEGORIES)}, cast(pmod(s_suppkey, {len(CATEGORIES)}) AS int) + 1) AS merchant_category",
+        "least(1D, greatest(0.01D, (s_acctbal + 1000) / 11000)) AS risk_score",
     )
+    return with_nation(rows, "s_nationkey", spark, sf_dir).drop("s_nationkey")
 
 
 def bind_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = (
-        F.when(F.col("c_mktsegment") == "BUILDING", "CREDIT")
-        .when(F.col("c_mktsegment") == "MACHINERY", "SAVINGS")
-        .otherwise("CHECKING")
-    )
-    opened = F.date_sub(F.lit(dt.date(2024, 1, 1)), F.pmod(F.col("c_custkey"), F.lit(400)).cast("int"))
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("account_id"),
-        F.col("c_custkey").alias("customer_id"),
-        kind.alias("account_type"),
-        opened.cast("timestamp").alias("created_at"),
-        F.col("c_acctbal").alias("current_balance"),
-        F.when(kind == "CREDIT", F.lit(10000.0)).alias("credit_limit"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS account_id", "c_custkey AS customer_id",
+        "CASE c_mktsegment WHEN 'BUILDING' THEN 'CREDIT' WHEN 'MACHINERY' THEN 'SAVINGS' ELSE 'CHECKING' END AS account_type",
+        "cast(date_sub(DATE'2024-01-01', cast(pmod(c_custkey, 400) AS int)) AS timestamp) AS created_at",
+        "c_acctbal AS current_balance",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 10000D END AS credit_limit",
     )
 
 
 def bind_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country centroids: a spread of points over the globe, one per nation."""
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("country"),
-        (F.col("n_nationkey") * 6.0 - 72.0).alias("lat"),
-        (F.col("n_nationkey") * 13.0 - 160.0).alias("lon"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_name AS country", "n_nationkey * 6D - 72D AS lat", "n_nationkey * 13D - 160D AS lon"
     )
 
 
