@@ -94,70 +94,60 @@ def compile_checks(contract: Mapping) -> list[Check]:
     return checks
 
 
-def _violation(check: Check, df: DataFrame) -> Column:
-    """True on rows that break a row-level check; nulls only break the not-null check."""
-    c = F.col(f"`{check.column}`")
-    missing = is_missing(c, dict(df.dtypes)[check.column])
+def _quoted(text) -> str:
+    """SQL literal of a text (or null)."""
+    return "cast(NULL AS string)" if text is None else "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def missing_sql(column: str, dtype: str) -> str:
+    """SQL: null, or NaN in a floating column."""
+    c = f"`{column}`"
+    return f"({c} IS NULL OR isnan({c}))" if dtype in ("double", "float") else f"({c} IS NULL)"
+
+
+def violation_sql(check: Check, dtype: str) -> str:
+    """SQL: true on rows that break a row-level check; nulls only break the not-null check."""
+    c, missing = f"`{check.column}`", missing_sql(check.column, dtype)
     if check.kind == NOT_NULL:
         return missing
     if check.kind == IN_SET:
-        return ~missing & ~c.cast("string").isin([str(v) for v in check.values])
-    out = F.lit(False)
+        return f"(NOT {missing} AND cast({c} AS string) NOT IN ({', '.join(_quoted(v) for v in check.values)}))"
+    out = []
     if check.low is not None:
-        out = out | (c.cast("double") < check.low)
+        out.append(f"cast({c} AS double) < {check.low!r}D")
     if check.high is not None:
-        out = out | (c.cast("double") > check.high)
-    return ~missing & out
-
-
-def _result(dataset: str, check: Check, unexpected: Column, base: Column, rows: Column) -> Column:
-    """One check-result struct; counts keep their meaning per check type."""
-    ok = unexpected == 0
-    percent = F.when(base > 0, 100.0 * unexpected / base)
-    observed = F.when(ok, F.lit("Compliant (0 unexpected)")).otherwise(
-        F.when(percent.isNull(), F.concat(unexpected.cast("string"), F.lit(" unexpected"))).otherwise(
-            F.concat(
-                unexpected.cast("string"), F.lit(" unexpected records ("),
-                F.format_string("%.2f", percent), F.lit("%)"),
-            )
-        )
+        out.append(f"cast({c} AS double) > {check.high!r}D")
+    return f"(NOT {missing} AND ({' OR '.join(out)}))"
+
+
+def _result(dataset: str, check: Check, unexpected: str, base: str, rows: str) -> str:
+    """SQL: one check-result struct."""
+    ok = f"({unexpected}) = 0"
+    bad = f"cast({unexpected} AS string)"
+    observed = (
+        f"CASE WHEN {ok} THEN 'Compliant (0 unexpected)' WHEN {base} > 0 THEN concat({bad}, ' unexpected records (', "
+        f"format_string('%.2f', 100D * ({unexpected}) / {base}), '%)') ELSE concat({bad}, ' unexpected') END"
     )
     if check.kind == ROW_COUNT:
-        ok = rows >= int(check.low)
-        unexpected = F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-        observed = F.when(ok, F.lit("Compliant (0 unexpected)")).otherwise(
-            F.concat(rows.cast("string"), F.lit(" rows"))
-        )
-    return F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit(check.name).alias("check_name"),
-        F.lit(check.column).cast("string").alias("column"),
-        F.lit(check.kind).alias("expectation_type"),
-        F.when(ok, "PASS").otherwise("FAIL").alias("status"),
-        F.lit(CHECK_SEVERITY[check.kind]).alias("severity"),
-        observed.alias("observed_value"),
-        F.lit(check.expected).alias("expected_value"),
-        ok.alias("success"),
-        unexpected.cast("bigint").alias("unexpected"),
-        base.cast("bigint").alias("base"),
-        F.to_json(F.struct(unexpected.cast("bigint").alias("unexpected_count"), rows.cast("bigint").alias("element_count"))).alias("details"),
+        ok = f"{rows} >= {int(check.low)}"
+        unexpected = f"CASE WHEN {ok} THEN 0 ELSE 1 END"
+        observed = f"CASE WHEN {ok} THEN 'Compliant (0 unexpected)' ELSE concat(cast({rows} AS string), ' rows') END"
+    return (
+        f"named_struct('dataset', {_quoted(dataset)}, 'check_name', {_quoted(check.name)}, 'column', {_quoted(check.column)}, "
+        f"'expectation_type', {_quoted(check.kind)}, 'status', CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END, "
+        f"'severity', {_quoted(CHECK_SEVERITY[check.kind])}, 'observed_value', {observed}, 'expected_value', {_quoted(check.expected)}, "
+        f"'success', {ok}, 'unexpected', cast({unexpected} AS bigint), 'base', cast({base} AS bigint), 'details', "
+        f"to_json(named_struct('unexpected_count', cast({unexpected} AS bigint), 'element_count', cast({rows} AS bigint))))"
     )
 
 
-def _missing_column(dataset: str, check: Check) -> Column:
-    return F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit(check.name).alias("check_name"),
-        F.lit(check.column).alias("column"),
-        F.lit(check.kind).alias("expectation_type"),
-        F.lit("FAIL").alias("status"),
-        F.lit(CHECK_SEVERITY[check.kind]).alias("severity"),
-        F.lit(f'column "{check.column}" is missing').alias("observed_value"),
-        F.lit(check.expected).alias("expected_value"),
-        F.lit(False).alias("success"),
-        F.lit(None).cast("bigint").alias("unexpected"),
-        F.lit(None).cast("bigint").alias("base"),
-        F.lit('{"error":"column missing"}').alias("details"),
+def _missing_column(dataset: str, check: Check) -> str:
+    note = f'column "{check.column}" is missing'
+    return (
+        f"named_struct('dataset', {_quoted(dataset)}, 'check_name', {_quoted(check.name)}, 'column', {_quoted(check.column)}, "
+        f"'expectation_type', {_quoted(check.kind)}, 'status', 'FAIL', 'severity', {_quoted(CHECK_SEVERITY[check.kind])}, "
+        f"'observed_value', {_quoted(note)}, 'expected_value', {_quoted(check.expected)}, 'success', false, "
+        "'unexpected', cast(NULL AS bigint), 'base', cast(NULL AS bigint), 'details', '{\"error\":\"column missing\"}')"
     )
 
 
@@ -165,44 +155,34 @@ def run_suite(df: DataFrame, contract: Mapping) -> DataFrame:
     """All checks of the contract on one frame: one row per check."""
     dataset = contract["dataset"]
     checks = compile_checks(contract)
-    present = set(df.columns)
+    present, types = set(df.columns), dict(df.dtypes)
     usable = [c for c in checks if c.column is None or c.column in present]
     row_level = [c for c in usable if c.kind in (NOT_NULL, IN_SET, BETWEEN)]
-    types = dict(df.dtypes)
 
     needed = sorted({c.column for c in row_level})
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
-    aggregates += [
-        F.count_if(~is_missing(F.col(f"`{c}`"), types[c])).alias(f"_filled_{i}") for i, c in enumerate(needed)
-    ]
-    aggregates += [F.count_if(_violation(c, df)).alias(f"_bad_{i}") for i, c in enumerate(row_level)]
-    totals = df.agg(*aggregates)
-
-    rows = F.col("_rows")
+    aggregates = ["count(1) AS _rows"]
+    aggregates += [f"count_if(NOT {missing_sql(c, types[c])}) AS _filled_{i}" for i, c in enumerate(needed)]
+    aggregates += [f"count_if({violation_sql(c, types[c.column])}) AS _bad_{i}" for i, c in enumerate(row_level)]
     structs = []
     for check in checks:
         if check.column is not None and check.column not in present:
             structs.append(_missing_column(dataset, check))
         elif check.kind in (ROW_COUNT, EXISTS):
-            structs.append(_result(dataset, check, F.lit(0), rows, rows))
+            structs.append(_result(dataset, check, "0L", "_rows", "_rows"))
         elif check.kind != UNIQUE:
-            base = rows if check.kind == NOT_NULL else F.col(f"_filled_{needed.index(check.column)}")
-            structs.append(_result(dataset, check, F.col(f"_bad_{row_level.index(check)}"), base, rows))
-    results = totals.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+            base = "_rows" if check.kind == NOT_NULL else f"_filled_{needed.index(check.column)}"
+            structs.append(_result(dataset, check, f"_bad_{row_level.index(check)}", base, "_rows"))
+    results = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(structs)}))")
 
     for check in [c for c in usable if c.kind == UNIQUE]:
-        c = F.col(f"`{check.column}`")
         counted = (
-            df.filter(~is_missing(c, types[check.column]))
-            .groupBy(c.alias("_v"))
+            df.filter(f"NOT {missing_sql(check.column, types[check.column])}")
+            .groupBy(F.col(f"`{check.column}`").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_n"))
-            .agg(
-                F.coalesce(F.sum("_n"), F.lit(0)).alias("_base"),
-                F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("_bad"),
-            )
+            .selectExpr("coalesce(sum(_n), 0L) AS _base", "coalesce(sum(CASE WHEN _n > 1 THEN _n END), 0L) AS _bad")
         )
         results = results.unionByName(
-            counted.select(_result(dataset, check, F.col("_bad"), F.col("_base"), F.col("_base")).alias("r")).select("r.*")
+            counted.selectExpr(f"inline(array({_result(dataset, check, '_bad', '_base', '_base')}))")
         )
     return results
 
@@ -213,9 +193,11 @@ def quarantine(df: DataFrame, contract: Mapping, reasons: str = "violations") ->
     Members of duplicate groups are found by a join with the duplicated values only.
     """
     checks = compile_checks(contract)
-    present = set(df.columns)
+    present, types = set(df.columns), dict(df.dtypes)
     row_level = [c for c in checks if c.kind in (NOT_NULL, IN_SET, BETWEEN) and c.column in present]
-    out, found = df, [F.when(_violation(c, df), F.lit(c.name)) for c in row_level]
+    out, found = df, [
+        F.expr(f"CASE WHEN {violation_sql(c, types[c.column])} THEN {_quoted(c.name)} END") for c in row_level
+    ]
     found += [F.lit(c.name) for c in checks if c.kind == EXISTS and c.column not in present]
     for i, check in enumerate(c for c in checks if c.kind == UNIQUE and c.column in present):
         repeated = (
