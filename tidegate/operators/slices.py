@@ -111,10 +111,13 @@ def trailing(
     windows: Mapping[str, int],
     slice_seconds: int = HOUR,
     wanted: Mapping[str, Sequence[str]] | None = None,
+    row_id: str | None = None,
+    marks: Mapping[str, str] | None = None,
     steps: Sequence[Sequence[str]] = (),
     carried: Mapping[str, str] | None = None,
+    after: Sequence[str] = (),
 ) -> DataFrame:
-    """Sums over ``[ts - w, ts]`` at each event, for several windows in one shuffle.
+    """Sums over ``[ts - w, ts]`` at each event, for several windows in one shuffle and one sort.
 
     ``measures`` are SQL texts; adds ``{measure}_{window}`` (for the windows in ``wanted``,
     else for all).  Both bounds are inclusive and rows with equal time count each other, as in
@@ -125,44 +128,50 @@ def trailing(
     narrow "expiring" row, where it still counts for events that come no later than its own
     time plus ``w``.
 
-    ``steps`` are further SQL columns, evaluated step by step while the rows of a
-    (key, slice) are together: ``_role`` is -1 on events and the index of the window on
-    expiring rows, ``_us`` the time in microseconds, ``_row`` the event's columns (also there on
-    expiring rows of the first window if steps are given), ``_head_m_n_w`` the tail sums.
+    More can be computed while the rows of a (key, slice) are together.  ``steps`` are SQL
+    columns, evaluated step by step in a window text ``{rows}`` that is ordered by time and
+    ``row_id``: ``_role`` is -1 on events and the index of the window on expiring rows,
+    ``_row`` holds the event's columns, ``marks`` are SQL columns that expiring rows have too.
     ``carried`` names aggregates of which each slice gets the maximum over earlier slices.
+    ``after`` are SQL columns over all of these and the sums' parts.
     """
-    keys, width, carried = list(key), slice_seconds, dict(carried or {})
+    keys, width, carried, marks = list(key), slice_seconds, dict(carried or {}), dict(marks or {})
     for name, seconds in windows.items():
         if seconds % width:
             raise ValueError(f"window {name} is no multiple of the {width} s slice")
     use = {m: list((wanted or {}).get(m, windows)) for m in measures}
     pairs = [(m, w) for m in measures for w in use[m]]
-    order = {w: i for i, w in enumerate(windows)}
+    role = {w: i for i, w in enumerate(windows)}
     base = events.selectExpr(
-        "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()], f"unix_micros({ts}) AS _us"
+        "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()],
+        *[f"{v} AS {n}" for n, v in marks.items()], f"{row_id or 'NULL'} AS _id", f"unix_micros({ts}) AS _us",
     ).selectExpr("*", f"{slice_sql('_us', width)} AS _slice")
 
     # one row per event and one per window it expires from
-    shifts = ", ".join(f"named_struct('role', {i}, 'by', {windows[w]}L)" for w, i in order.items())
+    shifts = ", ".join(f"named_struct('role', {i}, 'by', {windows[w]}L)" for w, i in role.items())
     payload = [c for c in events.columns if c not in keys]
-    keeps_row = "_step.role <= 0" if steps else "_step.role = -1"
     rows = base.selectExpr(
         "*", f"explode(array(named_struct('role', -1, 'by', 0L), {shifts})) AS _step"
     ).selectExpr(
-        *keys, "_step.role AS _role", f"_us + _step.by * {MICROS}L AS _us", f"_slice + _step.by DIV {width}L AS _slice",
-        *[f"_m_{m}" for m in measures], f"CASE WHEN {keeps_row} THEN struct({', '.join(payload)}) END AS _row",
+        *keys, "_step.role AS _role", f"_us + _step.by * {MICROS}L AS _us", f"_slice + _step.by DIV {width}L AS _slice", "_id",
+        *[f"_m_{m}" for m in measures], *marks, f"CASE WHEN _step.role = -1 THEN struct({', '.join(payload)}) END AS _row",
     )
+    # windows by (time, id) come first: their sort also serves the windows by time
     part = f"PARTITION BY {', '.join(keys)}, _slice"
-    frame = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    local = rows.selectExpr(
-        "*",
-        *[f"coalesce(sum(CASE WHEN _role = -1 THEN _m_{m} END) OVER ({part} ORDER BY _us {frame}), 0D) AS _own_{m}" for m in measures],
-        *[f"coalesce(sum(CASE WHEN _role = {order[w]} THEN _m_{m} END) OVER ({part} ORDER BY _us DESC {frame}), 0D) AS _head_{m}_{w}"
-          for m, w in pairs],
-    )
+    local = rows
     for step in steps:
-        local = local.selectExpr("*", *[e.replace("{part}", part) for e in step])
-    local = local.filter("_role = -1")
+        local = local.selectExpr("*", *[e.replace("{rows}", f"{part} ORDER BY _us, _id") for e in step])
+    by_time = f"{part} ORDER BY _us RANGE BETWEEN UNBOUNDED PRECEDING AND"
+
+    def over(m: str, r: int, upto: str) -> str:
+        return f"coalesce(sum(CASE WHEN _role = {r} THEN _m_{m} END) OVER ({by_time} {upto}), 0D)"
+
+    # rows that have not expired: all of the slice minus those strictly before
+    local = local.selectExpr(
+        "*",
+        *[f"{over(m, -1, 'CURRENT ROW')} AS _own_{m}" for m in measures],
+        *[f"{over(m, role[w], 'UNBOUNDED FOLLOWING')} - {over(m, role[w], '1 PRECEDING')} AS _head_{m}_{w}" for m, w in pairs],
+    ).filter("_role = -1")
 
     whole = {w: s // width for w, s in windows.items() if s // width >= 2}
     middle = [(m, w) for m, w in pairs if w in whole]
@@ -180,9 +189,8 @@ def trailing(
             ),
             [*keys, "_slice"], "inner",
         )
-    extra = [c for step in steps for c in (e.rsplit(" AS ", 1)[1] for e in step)]
     return local.selectExpr(
         *keys, *[f"_row.{c} AS {c}" for c in payload],
         *[f"_own_{m} + _head_{m}_{w}" + (f" + _mid_{m}_{w}" if (m, w) in middle else "") + f" AS {m}_{w}" for m, w in pairs],
-        *extra, *carried,
+        *after,
     )

@@ -31,28 +31,34 @@ def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds:
     ``txn`` may carry ``lat`` and ``lon``; the previous event then carries its own.
     """
     place = [c for c in ("lat", "lon") if c in txn.columns]
-    previous = f"struct(ts, transaction_id{''.join(', ' + c for c in place)})"
-    row_previous = f"struct(_row.ts, _row.transaction_id{''.join(', _row.' + c for c in place)})"
-    upto = "{part} ORDER BY _us, _row.transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    back = "{part} ORDER BY _us DESC, _row.transaction_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    calm = f"NOT coalesce(_row.amount > {params.high_value}D, false)"
+
+    def previous(prefix: str) -> str:
+        return "struct(" + ", ".join(f"{prefix}{c}" for c in ("ts", "transaction_id", *place)) + ")"
+
+    upto, whole = "{rows} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "{rows} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     steps = [
         [
-            f"sum(CASE WHEN _role = -1 THEN 1 END) OVER ({upto} CURRENT ROW) AS _n",
-            f"max(CASE WHEN _role = -1 THEN {row_previous} END) OVER ({upto} 1 PRECEDING) AS _before",
-            f"coalesce(sum(CASE WHEN _role = 0 AND {calm} THEN 1 END) OVER ({back}), 0) AS _calm_after",
+            f"sum(CASE WHEN _role = -1 THEN 1 END) OVER ({upto}) AS _n",
+            f"sum(CASE WHEN _role = 0 THEN 1 END) OVER ({upto}) AS _n0",
+            f"max(CASE WHEN _role = -1 THEN {previous('_row.')} END) OVER ({{rows}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before",
         ],
         [
-            f"max(CASE WHEN _role = -1 AND {calm} THEN _n END) OVER ({upto} CURRENT ROW) AS _calm_n",
-            "sum(CASE WHEN _role = 0 AND _calm_after = 0 THEN 1 ELSE 0 END) OVER ({part}) AS _earlier_run",
+            f"max(CASE WHEN _role = -1 AND _calm THEN _n END) OVER ({upto}) AS _calm_n",
+            f"coalesce(max(CASE WHEN _role = 0 THEN _n0 END) OVER ({whole}), 0) "
+            f"- coalesce(max(CASE WHEN _role = 0 AND _calm THEN _n0 END) OVER ({whole}), 0) AS _earlier_run",
         ],
-        ["coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run"],
     ]
     return trailing(
         txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL"), ["customer_id"], "ts",
         {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, slice_seconds,
-        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, steps=steps, carried={"_last": f"max({previous})"},
-    ).selectExpr("*", "coalesce(_before, _last) AS prev").drop("_n", "_before", "_calm_after", "_calm_n", "_earlier_run", "_last")
+        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id",
+        marks={"_calm": f"NOT coalesce(amount > {params.high_value}D, false)"}, steps=steps,
+        carried={"_last": f"max({previous('')})"},
+        after=[
+            "coalesce(_before, _last) AS prev",
+            "coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run",
+        ],
+    )
 
 
 def merchant_windows(txn: DataFrame, slice_seconds: int = DAY) -> DataFrame:
