@@ -11,44 +11,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.scalars import is_widening, normalize_type
+from tidegate.functions.scalars import SAFE_WIDENINGS, normalize_type
 from tidegate.operators.slices import with_previous
 
 CHANGE_COLUMNS = ["column", "change_type", "old_value", "new_value", "severity", "description"]
 
 
-def _change(cond, column, change_type, old, new, severity, text) -> Column:
-    def lit(x):
-        return x if isinstance(x, Column) else F.lit(x)
-
-    return F.when(
-        F.coalesce(cond, F.lit(False)),
-        F.struct(
-            lit(column).cast("string").alias("column"),
-            lit(change_type).alias("change_type"),
-            lit(old).cast("string").alias("old_value"),
-            lit(new).cast("string").alias("new_value"),
-            lit(severity).alias("severity"),
-            lit(text).alias("description"),
-        ),
+def _change(cond: str, column: str, change_type: str, old: str, new: str, severity: str, text: str) -> str:
+    """SQL: a change struct where the condition holds, else null.  All parts are SQL texts."""
+    return (
+        f"CASE WHEN {cond} THEN named_struct('column', cast({column} AS string), 'change_type', {change_type}, "
+        f"'old_value', cast({old} AS string), 'new_value', cast({new} AS string), 'severity', {severity}, 'description', {text}) END"
     )
 
 
-def type_change(old: Column, new: Column) -> tuple[Column, Column]:
+def widening_sql(old: str, new: str) -> str:
+    pairs = ", ".join(f"'{a}>{b}'" for a, b in SAFE_WIDENINGS)
+    return f"concat({old}, '>', {new}) IN ({pairs})"
+
+
+def type_change_sql(old: str, new: str) -> tuple[str, str]:
     """(severity, text) of a change between two normalised types."""
-    severity = F.when(is_widening(old, new), "SAFE").otherwise("BREAKING")
+    wide = widening_sql(old, new)
     kind = (
-        F.when(is_widening(old, new), "widening")
-        .when(old.isin("float", "numeric") & (new == "integer"), "narrowing, fractions are lost")
-        .when((old == "bigint") & (new == "integer"), "narrowing, large values overflow")
-        .otherwise("incompatible types")
+        f"CASE WHEN {wide} THEN 'widening' WHEN {old} IN ('float', 'numeric') AND {new} = 'integer' THEN 'narrowing, fractions are lost' "
+        f"WHEN {old} = 'bigint' AND {new} = 'integer' THEN 'narrowing, large values overflow' ELSE 'incompatible types' END"
     )
-    return severity, F.concat(F.lit("type "), old, F.lit(" to "), new, F.lit(": "), kind)
-
-
-def _list(values: Column) -> Column:
-    """An array of texts as one text, in order of value."""
-    return F.array_join(F.array_sort(values), ",")
+    return f"CASE WHEN {wide} THEN 'SAFE' ELSE 'BREAKING' END", f"concat('type ', {old}, ' to ', {new}, ': ', {kind})"
 
 
 def schema_diff(
@@ -61,123 +50,92 @@ def schema_diff(
     nullability) are left out.
     """
     pair = list(pair)
-    roots = base.select(
-        *pair, *[F.col(c).alias(f"b_{c}") for c in ("version", "description", "freshness_sla_minutes", "constraint_texts")]
-    ).join(
-        target.select(
-            *pair, *[F.col(c).alias(f"t_{c}") for c in ("version", "description", "freshness_sla_minutes", "constraint_texts")]
-        ),
-        pair, "inner",
+    fields = ("version", "description", "freshness_sla_minutes", "constraint_texts")
+    roots = base.selectExpr(*pair, *[f"{c} AS b_{c}" for c in fields]).join(
+        target.selectExpr(*pair, *[f"{c} AS t_{c}" for c in fields]), pair, "inner"
     )
-    head = [*pair, F.col("b_version").alias("from_version"), F.col("t_version").alias("to_version")]
+    head = [*pair, "b_version AS from_version", "t_version AS to_version"]
+    keep = [*pair, "from_version", "to_version"]
 
     # -- document level -------------------------------------------------------------
-    def text(c: str) -> Column:
-        return F.trim(F.coalesce(F.col(c), F.lit("")))
-
-    b_sla, t_sla = F.col("b_freshness_sla_minutes"), F.col("t_freshness_sla_minutes")
+    b_desc, t_desc = "trim(coalesce(b_description, ''))", "trim(coalesce(t_description, ''))"
+    b_sla, t_sla = "b_freshness_sla_minutes", "t_freshness_sla_minutes"
     root_rules = [
-        _change(
-            (text("b_description") != "") & (text("t_description") != "") & (text("b_description") != text("t_description")),
-            "(root)", "DESCRIPTION_CHANGED", text("b_description"), text("t_description"), "SAFE", "description edited",
-        ),
-        _change(t_sla < b_sla, "(root)", "SLA_CHANGED", b_sla, t_sla, "WARNING", "freshness SLA is stricter"),
-        _change(t_sla > b_sla, "(root)", "SLA_CHANGED", b_sla, t_sla, "SAFE", "freshness SLA is looser"),
+        _change(f"{b_desc} != '' AND {t_desc} != '' AND {b_desc} != {t_desc}", "'(root)'", "'DESCRIPTION_CHANGED'", b_desc, t_desc,
+                "'SAFE'", "'description edited'"),
+        _change(f"{t_sla} < {b_sla}", "'(root)'", "'SLA_CHANGED'", b_sla, t_sla, "'WARNING'", "'freshness SLA is stricter'"),
+        _change(f"{t_sla} > {b_sla}", "'(root)'", "'SLA_CHANGED'", b_sla, t_sla, "'SAFE'", "'freshness SLA is looser'"),
     ]
-    lists = []
+    changes = f"array_compact(array({', '.join(root_rules)}))"
     if not live:
-        both = F.col("b_constraint_texts").isNotNull() & F.col("t_constraint_texts").isNotNull()
-        none = F.array().cast("array<string>")
-        added = F.when(both, F.array_except("t_constraint_texts", "b_constraint_texts")).otherwise(none)
-        removed = F.when(both, F.array_except("b_constraint_texts", "t_constraint_texts")).otherwise(none)
-        always = F.lit(True)
-        lists = [
-            F.transform(added, lambda x: _change(
-                always, "(constraints)", "CONSTRAINT_ADDED", None, x, "WARNING", "constraint added")),
-            F.transform(removed, lambda x: _change(
-                always, "(constraints)", "CONSTRAINT_REMOVED", x, None, "WARNING", "constraint removed")),
-        ]
-    root_changes = F.array_compact(F.array(*root_rules))
-    root_rows = roots.select(*head, F.explode(F.concat(root_changes, *lists)).alias("x")).select(
-        *pair, "from_version", "to_version", "x.*"
-    )
+        def texts(kind: str, one: str, other: str, old: str, new: str, note: str) -> str:
+            row = _change("true", "'(constraints)'", f"'{kind}'", old, new, "'WARNING'", f"'{note}'")
+            return (f"transform(coalesce(array_except({one}_constraint_texts, {other}_constraint_texts), "
+                    f"cast(array() AS array<string>)), x -> {row})")
+
+        changes = (
+            f"concat({changes}, {texts('CONSTRAINT_ADDED', 't', 'b', 'NULL', 'x', 'constraint added')}, "
+            f"{texts('CONSTRAINT_REMOVED', 'b', 't', 'x', 'NULL', 'constraint removed')})"
+        )
+    root_rows = roots.selectExpr(*head, f"inline({changes})")
 
     # -- column level ---------------------------------------------------------------
     def columns(side: DataFrame, tag: str) -> DataFrame:
-        return side.select(*pair, F.explode("columns").alias("c")).select(
-            *pair, F.col("c.name").alias("name"), F.col("c").alias(tag)
+        return side.selectExpr(*pair, "explode(columns) AS c").select(
+            *pair, F.col("c.name").alias("name"), F.col("c").alias(tag), normalize_type("c.type").alias(f"{tag}_type")
         )
 
-    versions = roots.select(*head)
     matched = (
         columns(base, "b").join(columns(target, "t"), [*pair, "name"], "full_outer")
-        .join(versions, pair, "inner")
-        .withColumns({"b_type": normalize_type(F.col("b")["type"]), "t_type": normalize_type(F.col("t")["type"])})
+        .join(roots.selectExpr(*head), pair, "inner")
+        .selectExpr(
+            "*", "b IS NOT NULL AND t IS NOT NULL AS common",
+            *[f"coalesce({x}.nullable, true) AS {x}_null" for x in "bt"],
+            *[f"coalesce({x}.unique, false) AS {x}_uniq" for x in "bt"],
+            *[f"trim(coalesce({x}.description, '')) AS {x}_desc" for x in "bt"],
+            *[f"coalesce({x}.allowed_values, cast(array() AS array<string>)) AS {x}_enum" for x in "bt"],
+        )
+        .selectExpr(
+            "*", "array_sort(array_except(t_enum, b_enum)) AS more", "array_sort(array_except(b_enum, t_enum)) AS fewer"
+        )
     )
-    name, b, t = F.col("name"), F.col("b"), F.col("t")
-
-    def default(c: Column, value) -> Column:
-        return F.coalesce(c, F.lit(value))
-
-    common = b.isNotNull() & t.isNotNull()
-    b_type, t_type = F.col("b_type"), F.col("t_type")
-    severity, explanation = type_change(b_type, t_type)
-    b_null, t_null = default(b["nullable"], True), default(t["nullable"], True)
-    b_uniq, t_uniq = default(b["unique"], False), default(t["unique"], False)
-    b_desc, t_desc = F.trim(default(b["description"], "")), F.trim(default(t["description"], ""))
-    none = F.array().cast("array<string>")
-    b_enum, t_enum = F.coalesce(b["allowed_values"], none), F.coalesce(t["allowed_values"], none)
-    more, fewer = F.array_except(t_enum, b_enum), F.array_except(b_enum, t_enum)
-
+    severity, explanation = type_change_sql("b_type", "t_type")
+    t_kind, b_kind = "coalesce(t.type, 'string')", "coalesce(b.type, 'string')"
+    b_list, t_list = "array_join(array_sort(b_enum), ',')", "array_join(array_sort(t_enum), ',')"
     rules = [
-        _change(b.isNull() & default(t["nullable"], True), name, "COLUMN_ADDED", None, default(t["type"], "string"),
-                "SAFE", "nullable column added"),
-        _change(b.isNull() & ~default(t["nullable"], True), name, "COLUMN_ADDED", None, default(t["type"], "string"),
-                "WARNING", "column added that producers must fill"),
-        _change(t.isNull(), name, "COLUMN_REMOVED", default(b["type"], "string"), None, "BREAKING", "column removed"),
-        _change(common & (b_type != t_type), name, "TYPE_CHANGED", b["type"], t["type"], severity, explanation),
-        _change(common & ~b_null & t_null, name, "NULLABILITY_CHANGED", b_null, t_null, "SAFE", "nulls are now allowed"),
-        _change(common & (b_desc != "") & (t_desc != "") & (b_desc != t_desc), name, "DESCRIPTION_CHANGED",
-                b_desc, t_desc, "SAFE", "description edited"),
+        _change("b IS NULL AND t_null", "name", "'COLUMN_ADDED'", "NULL", t_kind, "'SAFE'", "'nullable column added'"),
+        _change("b IS NULL AND NOT t_null", "name", "'COLUMN_ADDED'", "NULL", t_kind, "'WARNING'", "'column added that producers must fill'"),
+        _change("t IS NULL", "name", "'COLUMN_REMOVED'", b_kind, "NULL", "'BREAKING'", "'column removed'"),
+        _change("common AND b_type != t_type", "name", "'TYPE_CHANGED'", "b.type", "t.type", severity, explanation),
+        _change("common AND NOT b_null AND t_null", "name", "'NULLABILITY_CHANGED'", "b_null", "t_null", "'SAFE'", "'nulls are now allowed'"),
+        _change("common AND b_desc != '' AND t_desc != '' AND b_desc != t_desc", "name", "'DESCRIPTION_CHANGED'", "b_desc", "t_desc",
+                "'SAFE'", "'description edited'"),
     ]
-    for bound, tighter in (("min", t["min"] > b["min"]), ("max", t["max"] < b["max"])):
-        differs = common & (b[bound] != t[bound])
-        rules.append(_change(differs & tighter, name, "RANGE_TIGHTENED", b[bound], t[bound], "WARNING", f"{bound} tightened"))
-        rules.append(_change(differs & ~tighter, name, "RANGE_EXPANDED", b[bound], t[bound], "SAFE", f"{bound} relaxed"))
+    for bound, tighter in (("min", "t.min > b.min"), ("max", "t.max < b.max")):
+        differs = f"common AND b.{bound} != t.{bound}"
+        rules.append(_change(f"{differs} AND {tighter}", "name", "'RANGE_TIGHTENED'", f"b.{bound}", f"t.{bound}", "'WARNING'", f"'{bound} tightened'"))
+        rules.append(_change(f"{differs} AND NOT ({tighter})", "name", "'RANGE_EXPANDED'", f"b.{bound}", f"t.{bound}", "'SAFE'", f"'{bound} relaxed'"))
     if not live:
         rules += [
-            _change(common & b_null & ~t_null, name, "NULLABILITY_CHANGED", b_null, t_null, "BREAKING",
-                    "nulls are no longer allowed"),
-            _change(common & ~b_uniq & t_uniq, name, "UNIQUE_CHANGED", b_uniq, t_uniq, "BREAKING", "values must now be unique"),
-            _change(common & b_uniq & ~t_uniq, name, "UNIQUE_CHANGED", b_uniq, t_uniq, "SAFE", "values may now repeat"),
-            _change(common & (F.size(more) > 0), name, "ENUM_VALUE_ADDED", _list(b_enum), _list(t_enum), "SAFE",
-                    F.concat(F.lit("values added: "), _list(more))),
-            _change(common & (F.size(fewer) > 0), name, "ENUM_VALUE_REMOVED", _list(b_enum), _list(t_enum), "BREAKING",
-                    F.concat(F.lit("values removed: "), _list(fewer))),
+            _change("common AND b_null AND NOT t_null", "name", "'NULLABILITY_CHANGED'", "b_null", "t_null", "'BREAKING'",
+                    "'nulls are no longer allowed'"),
+            _change("common AND NOT b_uniq AND t_uniq", "name", "'UNIQUE_CHANGED'", "b_uniq", "t_uniq", "'BREAKING'", "'values must now be unique'"),
+            _change("common AND b_uniq AND NOT t_uniq", "name", "'UNIQUE_CHANGED'", "b_uniq", "t_uniq", "'SAFE'", "'values may now repeat'"),
+            _change("common AND size(more) > 0", "name", "'ENUM_VALUE_ADDED'", b_list, t_list, "'SAFE'",
+                    "concat('values added: ', array_join(more, ','))"),
+            _change("common AND size(fewer) > 0", "name", "'ENUM_VALUE_REMOVED'", b_list, t_list, "'BREAKING'",
+                    "concat('values removed: ', array_join(fewer, ','))"),
         ]
-    column_rows = matched.select(
-        *pair, "from_version", "to_version", F.explode(F.array_compact(F.array(*rules))).alias("x")
-    ).select(*pair, "from_version", "to_version", "x.*")
+    column_rows = matched.selectExpr(*keep, f"inline(array_compact(array({', '.join(rules)})))")
 
     # -- rename: exactly one column gone and one new, of the same type ------------------
-    def only(side: Column, value: Column) -> Column:
-        return F.max(F.when(side, value))
-
-    renamed = (
-        matched.filter(b.isNull() | t.isNull())
-        .groupBy(*pair, "from_version", "to_version")
-        .agg(
-            F.count_if(t.isNull()).alias("gone"), F.count_if(b.isNull()).alias("new"),
-            only(t.isNull(), name).alias("old_name"), only(b.isNull(), name).alias("new_name"),
-            only(t.isNull(), b_type).alias("old_type"), only(b.isNull(), t_type).alias("new_type"),
-        )
-        .filter("gone = 1 AND new = 1 AND old_type = new_type")
-    )
-    rename_rows = renamed.select(
-        *pair, "from_version", "to_version",
-        _change(F.lit(True), F.col("new_name"), "COLUMN_RENAMED", F.col("old_name"), F.col("new_name"),
-                "BREAKING", "looks like a rename").alias("x"),
-    ).select(*pair, "from_version", "to_version", "x.*")
+    renamed = matched.filter("b IS NULL OR t IS NULL").groupBy(*keep).agg(*[F.expr(e) for e in (
+        "count_if(t IS NULL) AS gone", "count_if(b IS NULL) AS new",
+        "max(CASE WHEN t IS NULL THEN name END) AS old_name", "max(CASE WHEN b IS NULL THEN name END) AS new_name",
+        "max(CASE WHEN t IS NULL THEN b_type END) AS old_type", "max(CASE WHEN b IS NULL THEN t_type END) AS new_type",
+    )]).filter("gone = 1 AND new = 1 AND old_type = new_type")
+    rename = _change("true", "new_name", "'COLUMN_RENAMED'", "old_name", "new_name", "'BREAKING'", "'looks like a rename'")
+    rename_rows = renamed.selectExpr(*keep, f"inline(array({rename}))")
     return root_rows.unionByName(column_rows).unionByName(rename_rows)
 
 
