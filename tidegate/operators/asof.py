@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, MICROS, micros, slice_id
+from tidegate.operators.slices import fit_slice
 
 
 class LeakageError(RuntimeError):
@@ -40,7 +41,7 @@ def asof_join(
     columns: Sequence[str] | None = None,
     ttl_seconds: int = 30 * DAY,
     tie_break: Sequence[str] = (),
-    slice_seconds: int = DAY,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Backward as-of join of one feature table; see ``asof_join_groups``."""
     if columns is None:
@@ -54,7 +55,7 @@ def asof_join_groups(
     groups: Sequence[FeatureGroup],
     key: str,
     obs_ts: str,
-    slice_seconds: int = DAY,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Backward as-of join of several feature tables on one observation set.
 
@@ -64,6 +65,10 @@ def asof_join_groups(
     a null in the newest row is not replaced by an older value.  Every observation is kept
     exactly once; null keys and times match nothing and bypass the shuffle.
     """
+    if slice_seconds is None:
+        slice_seconds = min(
+            [fit_slice(observations, [key], obs_ts)] + [fit_slice(g.df, [key], g.ts) for g in groups]
+        )
     matchable = F.col(key).isNotNull() & F.col(obs_ts).isNotNull()
     obs_cols = observations.columns
     slots = [f"_f{i}" for i in range(len(groups))]

@@ -2,7 +2,7 @@
 
 Two passes over the transactions.  The first shuffles the last 30 days by (customer, day)
 for everything that needs the order of events (gaps, streaks) and rolls up to one row per
-customer and day, then to one row per customer.  The second reduces to one row per
+customer and day (or shorter slice), then to one row per customer.  The second reduces to one row per
 (customer, merchant) with map-side combine, from which all distinct counts and all
 features that depend on merchant attributes follow without a distinct aggregate.
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tidegate.functions.scalars import DAY, HOUR
+from tidegate.operators.slices import fit_slice, slice_sql
 from tidegate.sources.tables import CHANNELS
 
 WINDOWS = {"1h": HOUR, "6h": 6 * HOUR, "12h": 12 * HOUR, "24h": DAY, "3d": 3 * DAY,
@@ -109,15 +110,19 @@ def velocity_features(txn: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def daily_profile(txn: DataFrame, key: str, as_of: dt.datetime, params: RiskParams = DEFAULTS) -> DataFrame:
-    """One row per (key, day) of the last 30 days with everything that adds up over days.
+    """One row per (key, slice) of the last 30 days with everything that adds up over slices.
 
-    Gaps and trailing failure streaks are taken inside the shuffle by (key, day), so a key
-    of any size is spread over its days; gaps across midnight follow in ``profile``.
+    Slices are days, or shorter if a key is too hot for that.  Gaps and trailing failure
+    streaks are taken inside the shuffle by (key, slice), so a key of any size is spread
+    over its slices; gaps across their borders follow in ``profile``.
     """
-    part = f"(PARTITION BY {key}, _day ORDER BY ts, transaction_id)"
-    back = (f"(PARTITION BY {key}, _day ORDER BY ts DESC, transaction_id DESC "
+    recent = in_horizon(txn, key, as_of)
+    part = f"(PARTITION BY {key}, _slice ORDER BY ts, transaction_id)"
+    back = (f"(PARTITION BY {key}, _slice ORDER BY ts DESC, transaction_id DESC "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    rows = flag_columns(in_horizon(txn, key, as_of)).selectExpr("*", "to_date(ts) AS _day").selectExpr(
+    rows = flag_columns(recent).selectExpr(
+        "*", f"{slice_sql('unix_micros(ts)', fit_slice(recent, [key], 'ts'))} AS _slice"
+    ).selectExpr(
         "*",
         f"(unix_micros(ts) - unix_micros(lag(ts) OVER {part})) / 1e6D AS _gap",
         f"sum(1 - is_failed) OVER {back} AS _ok_after",
@@ -152,17 +157,20 @@ def daily_profile(txn: DataFrame, key: str, as_of: dt.datetime, params: RiskPara
         f"count_if({since(as_of, 600)}) AS n_10min",
         f"sum(CASE WHEN {since(as_of, 600)} THEN amount END) AS amt_10min",
     ]
-    return aggregate(rows, [key, "_day"], measures)
+    return aggregate(rows, [key, "_slice"], measures)
 
 
 def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams = DEFAULTS) -> DataFrame:
-    """Roll ``daily_profile`` up to one row per key; each key has at most 31 day rows here."""
-    later = f"(PARTITION BY {key} ORDER BY _day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    """Roll ``daily_profile`` up to one row per key; a key has one row per slice here."""
+    later = f"(PARTITION BY {key} ORDER BY _slice DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     marked = days.selectExpr(
         "*",
         f"coalesce(sum(ok) OVER {later}, 0) AS _later_ok",
         f"coalesce(sum(not_atm) OVER {later}, 0) AS _later_not_atm",
-        f"(unix_micros(first_ts) - unix_micros(lag(last.ts) OVER (PARTITION BY {key} ORDER BY _day))) / 1e6D AS _join_gap",
+        f"(unix_micros(first_ts) - unix_micros(lag(last.ts) OVER (PARTITION BY {key} ORDER BY _slice))) / 1e6D AS _join_gap",
+        # slices never cross midnight; without finer ones this is the slice itself
+        f"sum(n_30d) OVER (PARTITION BY {key}, to_date(first_ts)) AS _day_n",
+        f"sum(amt_30d) OVER (PARTITION BY {key}, to_date(first_ts)) AS _day_amt",
     )
     added = [c for w in WINDOWS for c in (f"n_{w}", f"amt_{w}", f"failed_{w}")] + [
         "amt_sq", "night", "weekend_amt", *[f"on_{c.lower()}" for c in CHANNELS],
@@ -176,7 +184,7 @@ def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams =
         "coalesce(sum(gap_sq), 0D) + coalesce(sum(_join_gap * _join_gap), 0D) AS gap_sq",
         f"sum(repeats_24h) + count_if({since(as_of, DAY, 'first_ts')} AND _join_gap <= {params.repeat_seconds}) AS repeats_24h",
         "max(struct(last.ts, last.transaction_id, last._band, coalesce(last._gap, _join_gap) AS _gap)) AS last",
-        "max(n_30d) AS best_day_n", "max(amt_30d) AS best_day_amt",
+        "max(_day_n) AS best_day_n", "max(_day_amt) AS best_day_amt",
         "sum(CASE WHEN _later_ok = 0 THEN fail_tail ELSE 0 END) AS fail_streak",
         "sum(CASE WHEN _later_not_atm = 0 THEN atm_tail ELSE 0 END) AS atm_streak",
     ])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.scalars import DAY, failure_signature, seconds_between
+from tidegate.functions.scalars import failure_signature, seconds_between
 from tidegate.operators import quality as q
 from tidegate.operators.slices import Running, running
 
@@ -63,7 +63,7 @@ def failures(results: DataFrame, contracts: DataFrame | None = None) -> DataFram
 
 def deduplicate(
     signals: DataFrame, signature: str = "failure_signature", ts: str = "timestamp",
-    row_id: str = "event_id", kind: str = "kind", slice_seconds: int = DAY,
+    row_id: str = "event_id", kind: str = "kind", slice_seconds: int | None = None,
 ) -> DataFrame:
     """Incidents from a log of FAIL and RESOLVE signals per signature.
 

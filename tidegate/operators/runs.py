@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import display_name, minutes_between
 
+SKETCH_ACCURACY = 100_000
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
@@ -100,29 +102,34 @@ def duration_stats(runs: DataFrame, by: Sequence[str], value: str = "duration_ms
     """p50/p95/p99 with linear interpolation, mean, population deviation, min, max, runs per second.
 
     Exact quantiles without holding a group in memory: values reduce to counts per distinct
-    value, bands of values get their starting rank from one small row each, and only the
-    values at the wanted ranks are kept.
+    value, a quantile sketch cuts the values into bands, narrow ones around the wanted ranks,
+    and only the bands that hold a wanted rank (known from exact counts) are ranked.
     """
     by = list(by)
     v = F.col(value).cast("double")
+    # cut points that enclose each quantile by the error of the sketch; only layout depends on them
+    margin = 2.0 / SKETCH_ACCURACY
+    cuts = sorted({min(1.0, max(0.0, p + d)) for p in QUANTILES.values() for d in (-margin, margin)})
     stats = runs.filter(v.isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean_ms"), F.stddev_pop(v).alias("std_ms"),
         F.min(v).alias("min_ms"), F.max(v).alias("max_ms"), F.sum(v).alias("_total"),
+        F.percentile_approx(v, cuts, SKETCH_ACCURACY).alias("_cuts"),
     )
-    # 1024 equal-width bands between the group's minimum and maximum
-    span = F.col("max_ms") - F.col("min_ms")
-    band = F.when(span > 0, F.floor((F.col("_v") - F.col("min_ms")) / span * 1023)).otherwise(0)
     counted = (
         runs.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        .join(stats.select(*by, "n", "min_ms", "max_ms"), by, "inner")
-        .withColumn("_band", band)
+        .join(stats.select(*by, "n", "_cuts"), by, "inner")
+        .selectExpr("*", "size(filter(_cuts, c -> c < _v)) AS _band").drop("_cuts")
     )
     earlier = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.groupBy(*by, "_band").agg(F.sum("_c").alias("_k")).select(
-        *by, "_band", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_start")
+    starts = counted.groupBy(*by, "_band", "n").agg(F.sum("_c").alias("_k")).select(
+        *by, "_band", "_k", "n", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_start")
     )
+    ranks = [f(F.lit(p) * (F.col("n") - 1)) for p in QUANTILES.values() for f in (F.floor, F.ceil)]
+    holds = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_k")) for r in ranks]
+    # only the narrow bands that hold a wanted rank are ranked
+    chosen = starts.filter(reduce(lambda a, b: a | b, holds)).drop("n", "_k")
     within = Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.join(starts, [*by, "_band"], "inner").withColumn(
+    ranked = counted.join(chosen, [*by, "_band"], "inner").withColumn(
         "_upto", F.col("_start") + F.sum("_c").over(within)
     )
     # the value holds the zero-based ranks [upto - c, upto)

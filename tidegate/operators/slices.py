@@ -16,6 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, HOUR, MICROS, micros, slice_id
+from tidegate.session import plan_bytes
+
+# slice widths in seconds; each divides the ones before it
+LADDER = [DAY, 6 * HOUR, HOUR, 600, 60, 10, 1]
+# rows of one (key, slice) that one task sorts with ease
+TARGET_ROWS = 4_000_000
+# below this size no slice can be too large for a task
+SMALL_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -43,13 +51,36 @@ def add_slice(df: DataFrame, ts: str, seconds: int, name: str = "_slice") -> Dat
     return df.withColumn(name, slice_id(micros(ts), seconds))
 
 
+def fit_slice(
+    df: DataFrame, key: Sequence[str], ts: str, widest: int = DAY, target_rows: int = TARGET_ROWS,
+    small_bytes: int = SMALL_BYTES,
+) -> int:
+    """The widest slice, at most ``widest`` seconds, that holds at most ``target_rows`` of a key.
+
+    Only the layout of the work depends on it, never a result.  Data that is small anyway is
+    not counted; otherwise each try is one grouped count with map-side combine over two
+    columns, and data without hot keys needs one try.
+    """
+    widths = [w for w in LADDER if w <= widest]
+    if plan_bytes(df) > small_bytes:
+        times = df.select(*key, ts).filter(F.col(ts).isNotNull())
+        for width in widths:
+            largest = (
+                add_slice(times, ts, width).groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            )
+            if largest is None or largest <= target_rows:
+                return width
+        return widths[-1]
+    return widths[0]
+
+
 def running(
     df: DataFrame,
     key: Sequence[str],
     ts: str,
     row_id: str,
     aggregates: Mapping[str, Running],
-    slice_seconds: int = DAY,
+    slice_seconds: int | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Running aggregates per key in (ts, row_id) order, skew-safe.
@@ -59,7 +90,7 @@ def running(
     (ts, row_id) and is exclusive gives the previous row.
     """
     key = list(key)
-    sliced = add_slice(df, ts, slice_seconds)
+    sliced = add_slice(df, ts, slice_seconds or fit_slice(df, key, ts))
     order = [F.desc(ts), F.desc(row_id)] if descending else [F.asc(ts), F.asc(row_id)]
     before = Window.partitionBy(*key).orderBy(F.desc("_slice") if descending else F.asc("_slice"))
     before = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +120,7 @@ def with_previous(
     row_id: str,
     columns: Sequence[str] = (),
     name: str = "_prev",
-    slice_seconds: int = DAY,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Attach the previous row of the key as a struct (ts, row_id, columns...)."""
     value = F.struct(F.col(ts), F.col(row_id), *[F.col(c) for c in columns])
@@ -109,7 +140,7 @@ def trailing(
     ts: str,
     measures: Mapping[str, str],
     windows: Mapping[str, int],
-    slice_seconds: int = HOUR,
+    slice_seconds: int | None = None,
     wanted: Mapping[str, Sequence[str]] | None = None,
     row_id: str | None = None,
     marks: Mapping[str, str] | None = None,
@@ -135,7 +166,8 @@ def trailing(
     ``carried`` names aggregates of which each slice gets the maximum over earlier slices.
     ``after`` are SQL columns over all of these and the sums' parts.
     """
-    keys, width, carried, marks = list(key), slice_seconds, dict(carried or {}), dict(marks or {})
+    keys, carried, marks = list(key), dict(carried or {}), dict(marks or {})
+    width = slice_seconds or fit_slice(events, keys, ts, min(windows.values()))
     for name, seconds in windows.items():
         if seconds % width:
             raise ValueError(f"window {name} is no multiple of the {width} s slice")
@@ -183,7 +215,9 @@ def trailing(
         local = local.join(
             per_slice.selectExpr(
                 *keys, "_slice",
-                *[f"coalesce(sum(_m_{m}) OVER ({by_key} RANGE BETWEEN {whole[w] - 1} PRECEDING AND 1 PRECEDING), 0D) AS _mid_{m}_{w}"
+                # the difference of two growing frames, which unlike a sliding one costs O(1) per row
+                *[f"coalesce(sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) - coalesce("
+                  f"sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND {whole[w]} PRECEDING), 0D) AS _mid_{m}_{w}"
                   for m, w in middle],
                 *[f"max({n}) OVER ({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}" for n in carried],
             ),

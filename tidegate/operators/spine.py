@@ -51,12 +51,13 @@ def snapshot_history(
     step = step_seconds // HOUR
     # snapshots that can see this hour: from the next step on for 30 days
     first = F.ceil(F.col("_h") / step).cast("bigint") * step
-    reach = F.sequence(first, F.col("_h") + HORIZON_HOURS, F.lit(step).cast("bigint"))
-    end = per_hour.agg((F.ceil(F.max("_h") / step).cast("bigint") * step).alias("_end")).first()["_end"]
+    end = txn.filter(F.col(key).isNotNull()).agg((F.ceil(F.max(hour) / step).cast("bigint") * step).alias("_end")).first()["_end"]
+    last = F.least(F.col("_last") + HORIZON_HOURS, F.lit(end if end is not None else 0))
+    # hours between the same two snapshots are seen by the same ones up to the last hour's reach
     points = (
-        per_hour.filter(first <= F.col("_h") + HORIZON_HOURS)
-        .select("_k", F.explode(reach).alias("_h"))
-        .filter(F.col("_h") <= F.lit(end if end is not None else 0))
+        per_hour.groupBy("_k", first.alias("_first")).agg(F.max("_h").alias("_last"))
+        .filter(F.col("_first") <= last)
+        .select("_k", F.explode(F.sequence(F.col("_first"), last, F.lit(step).cast("bigint"))).alias("_h"))
         .distinct()
         .withColumn("_point", F.lit(True))
     )

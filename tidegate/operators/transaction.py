@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, HOUR
 from tidegate.operators.customer import DEFAULTS, RiskParams, ratio_sql, std_sql
-from tidegate.operators.slices import trailing
+from tidegate.operators.slices import Running, fit_slice, running, trailing
 
 CUSTOMER_WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 MERCHANT_WINDOWS = {"7d": 7 * DAY, "30d": 30 * DAY}
@@ -22,12 +22,13 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
-def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds: int = HOUR) -> DataFrame:
+def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds: int | None = None) -> DataFrame:
     """Trailing windows, previous event and run of high-value events, in one shuffle by (customer, hour).
 
     The run counts the high-value events up to this one within an hour.  It ends inside the
     event's own slice at the last event that is not of high value; without one it goes on
-    into the slice before, whose events are at hand as rows expiring after an hour.
+    into the slice before, whose events are at hand as rows expiring after an hour.  With
+    slices shorter than an hour (hot keys) it follows from running row numbers instead.
     ``txn`` may carry ``lat`` and ``lon``; the previous event then carries its own.
     """
     place = [c for c in ("lat", "lon") if c in txn.columns]
@@ -48,20 +49,31 @@ def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds:
             f"- coalesce(max(CASE WHEN _role = 0 AND _calm THEN _n0 END) OVER ({whole}), 0) AS _earlier_run",
         ],
     ]
-    return trailing(
-        txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL"), ["customer_id"], "ts",
-        {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, slice_seconds,
-        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id",
-        marks={"_calm": f"NOT coalesce(amount > {params.high_value}D, false)"}, steps=steps,
-        carried={"_last": f"max({previous('')})"},
-        after=[
-            "coalesce(_before, _last) AS prev",
-            "coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run",
-        ],
+    rows = txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL")
+    width = slice_seconds or fit_slice(rows, ["customer_id"], "ts", HOUR)
+    calm = f"NOT coalesce(amount > {params.high_value}D, false)"
+    hourly = width == HOUR
+    run = (
+        "coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run" if hourly
+        else "cast(_own_c_n AS bigint) - _n AS _later_peers"
+    )
+    out = trailing(
+        rows, ["customer_id"], "ts", {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, width,
+        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id", marks={"_calm": calm},
+        steps=steps if hourly else steps[:1], carried={"_last": f"max({previous('')})"},
+        after=["coalesce(_before, _last) AS prev", run],
     )
+    if hourly:
+        return out
+    order = ["customer_id"], "ts", "transaction_id"
+    out = running(out, *order, {"_rn": Running(F.lit(1).cast("bigint"))}, width)
+    out = running(out, *order, {"_calm_rn": Running(F.expr(f"CASE WHEN {calm} THEN _rn END"), "max")}, width)
+    return out.withColumn(
+        "high_run", F.expr("least(_rn - coalesce(_calm_rn, 0), cast(c_n_1h AS bigint) - _later_peers)")
+    ).drop("_rn", "_calm_rn", "_later_peers")
 
 
-def merchant_windows(txn: DataFrame, slice_seconds: int = DAY) -> DataFrame:
+def merchant_windows(txn: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Trailing count and sum per merchant at each event."""
     return trailing(
         txn.filter("merchant_id IS NOT NULL AND ts IS NOT NULL").select("transaction_id", "merchant_id", "ts", "amount"),
@@ -105,7 +117,9 @@ def transaction_features(
     base = txn.select("transaction_id", "customer_id", "merchant_id", "amount", "ts", "channel")
     located = locate(base, customers, merchants, countries)
     placed = located.filter("customer_id IS NOT NULL AND ts IS NOT NULL")
-    f = customer_chain(located, params).unionByName(
+    # the width is taken before the lookups, whose size estimates multiply
+    width = fit_slice(base, ["customer_id"], "ts", HOUR)
+    f = customer_chain(located, params, width).unionByName(
         located.filter("customer_id IS NULL OR ts IS NULL"), allowMissingColumns=True
     )
     for part in (

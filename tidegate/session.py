@@ -53,3 +53,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (very large where it knows nothing)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
