@@ -95,7 +95,7 @@ def test_rerun_is_idempotent_and_invalid_contract_stops(spark, tmp_path):
 
 
 def test_breaking_schema_can_be_allowed(spark, tmp_path):
-    wide = snapshot(spark, 20).withColumn("cust_txn_count_24h", F.lit(2.0))
+    wide = snapshot(spark, 20).withColumn("cust_txn_count_24h", F.lit("2"))
     assert states(run(spark, str(tmp_path / "a"), wide))["SCHEMA_VALIDATION"] == "FAILED"
     assert run(spark, str(tmp_path / "b"), wide, allow_breaking=True).status == "SUCCESS"
 

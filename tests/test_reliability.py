@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import contracts, diff, freshness, gate, incidents, referential
 from tidegate.operators import quality as q
 from tidegate.operators.catalog import catalog, entries, feature_groups, list_features
-from tidegate.functions.scalars import display_name, failure_signature, is_widening, normalize_type
+from tidegate.functions.scalars import display_name, failure_signature, normalize_type
 from tidegate.sources.contracts import contracts_frame, read_contracts
 from tidegate.sources.introspect import live_contract
 
@@ -105,7 +105,8 @@ def test_type_names(spark, raw, kind):
 @pytest.mark.parametrize("old,new,safe", [("integer", "bigint", True), ("integer", "numeric", True), ("float", "numeric", True),
                                           ("float", "integer", False), ("bigint", "integer", False), ("integer", "string", False)])
 def test_widening(spark, old, new, safe):
-    assert spark.range(1).select(is_widening(F.lit(old), F.lit(new))).first()[0] is safe
+    row = spark.range(1).select(F.expr(diff.type_change_sql(f"'{old}'", f"'{new}'")[0])).first()
+    assert (row[0] == "SAFE") is safe
 
 
 def mutate(name, **kw):

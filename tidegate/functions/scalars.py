@@ -64,11 +64,6 @@ def normalize_type(c: str | Column) -> Column:
     )
 
 
-def is_widening(old: Column, new: Column) -> Column:
-    """True where (old, new) is one of the safe type changes."""
-    return F.concat_ws(">", old, new).isin([f"{a}>{b}" for a, b in SAFE_WIDENINGS])
-
-
 def micros(c: str | Column) -> Column:
     return F.unix_micros(col(c))
 
@@ -87,15 +82,6 @@ def minutes_between(later: Column, earlier: Column) -> Column:
     return seconds_between(later, earlier) / F.lit(60.0)
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """num / den as double, null where the denominator is zero or null."""
-    return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
-
-
-def ratio0(num: Column, den: Column) -> Column:
-    return F.coalesce(ratio(num, den), F.lit(0.0))
-
-
 def is_missing(c: Column, dtype: str) -> Column:
     """Null, or NaN in a floating column."""
     if dtype in ("double", "float"):
@@ -122,12 +108,3 @@ def failure_signature(dataset, pipeline, check_name, check_type, column) -> Colu
 def display_name(identifier: str | Column) -> Column:
     """``fraud_score_job`` -> ``Fraud Score Job``."""
     return F.initcap(F.translate(col(identifier), "_", " "))
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance on a sphere of radius 6371 km."""
-    dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
-    a = F.pow(F.sin(dlat / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * F.pow(F.sin(dlon / 2), F.lit(2.0))
-    return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))

@@ -6,13 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidegate.operators import incidents, lineage
+from tidegate.operators import lineage
 from tidegate.operators.customer import customer_features
 from tidegate.operators.online import to_online
 from tidegate.operators.customer import velocity_features
 from tidegate.plans import publish
 from tidegate.plans import table_contracts as c
-from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound, inside
+from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound
 from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED
 from tidegate.plans.registry import query, r
 from tidegate.session import scratch

@@ -25,8 +25,10 @@ def flatten_contract(doc: Mapping) -> dict:
     """A contract document in the shape of ``CONTRACT_SCHEMA``.
 
     ``keys`` and ``root_keys`` remember which fields were written down, so that a missing
-    field and an explicit null stay apart.
+    field and an explicit null stay apart.  What is no mapping counts as an empty document.
     """
+    doc = doc if isinstance(doc, Mapping) else {}
+
     def text(v):
         return None if v is None else str(v)
 
@@ -76,7 +78,7 @@ def contracts_frame(spark: SparkSession, docs: list[Mapping]) -> DataFrame:
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     """A folder of ``*.yaml`` / ``*.yml`` / ``*.json`` contracts, one document per file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{yaml,yml,json}").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{yaml,yml,json}")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:

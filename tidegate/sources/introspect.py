@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegate.functions.scalars import is_missing, normalize_type
 
 
-def contract_type(t: T.DataType) -> str:
-    """Contract type of a Spark type."""
-    return t.simpleString()
-
-
 def introspect(df: DataFrame) -> DataFrame:
     """One row per column: name, physical type, contract type, and whether a null occurs."""
     types = dict(df.dtypes)
