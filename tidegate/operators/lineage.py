@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.session import cut_lineage
+from tidegate.session import stage_table
 
 FIELD = "struct<namespace:string,name:string,field:string>"
 FACET = f"struct<fields:map<string,struct<inputFields:array<{FIELD}>,transformationDescription:string>>>"
@@ -185,16 +185,16 @@ def closure(links: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame
 
     ``links`` (src, dst) and ``seeds`` (start).  Breadth-first: each hop joins the frontier
     with the distinct links and keeps what was not seen before, so cycles end and no pair
-    is expanded twice.  Every hop is checkpointed, which keeps the plan short.
+    is expanded twice.  Every hop is written out, which keeps the plan short.
     """
-    links = cut_lineage(links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    links = stage_table(links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
     frontier = seeds.select("start", F.col("start").alias("node")).distinct()
     seen = None
     for depth in range(1, max_depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"], "inner").select("start", F.col("dst").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = cut_lineage(step.withColumn("hops", F.lit(depth)))
+        frontier = stage_table(step.withColumn("hops", F.lit(depth)), "hop")
         seen = frontier if seen is None else seen.unionByName(frontier)
         if frontier.isEmpty():
             break

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.session import one_row
+
 # The domain's relationships, child -> (child column, parent, parent column).
 RELATIONSHIPS = {
     "orders": [("customer_id", "customers", "customer_id")],
@@ -71,7 +73,7 @@ def foreign_key_check(
             details.alias("details"),
         )
 
-    one, none = spark.range(1), F.lit(None)
+    one, none = one_row(spark), F.lit(None)
     if parent is None:
         return row(one, F.lit("WARNING"), F.lit("MEDIUM"),
                    F.lit(f"Error evaluating referential check: {parent_name} not found"),

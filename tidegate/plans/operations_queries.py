@@ -216,11 +216,11 @@ def lineage_declared_facets(spark, sf):
 
 def graph(spark, sf):
     """(nodes, edges), staged once as the traversals read them repeatedly."""
-    from tidegate.session import cut_lineage
+    from tidegate.session import stage_table
 
     events = derived.lineage_events(spark, sf)
-    edge_rows = cut_lineage(lineage.edges(events))
-    return cut_lineage(lineage.graph_nodes(lineage.datasets(events), lineage.jobs(events), edge_rows)), edge_rows
+    edge_rows = stage_table(lineage.edges(events), "edges")
+    return stage_table(lineage.graph_nodes(lineage.datasets(events), lineage.jobs(events), edge_rows), "nodes"), edge_rows
 
 
 @query("lineage_graph_nodes", f"WITH {LIN} SELECT id, type, count(*) AS n FROM nodes GROUP BY id, type")

@@ -20,7 +20,7 @@ from tidegate.operators.contracts import validate_contracts
 from tidegate.operators.diff import schema_diff
 from tidegate.operators.online import assemble, to_online
 from tidegate.operators.scoring import score
-from tidegate.session import scratch
+from tidegate.session import one_row, scratch
 from tidegate.sources import stores
 from tidegate.sources.contracts import contracts_frame
 from tidegate.sources.introspect import live_contract
@@ -66,7 +66,7 @@ def _lineage_event(spark: SparkSession, run_id: str, kind: str, at: dt.datetime,
     ]) if outputs else F.expr(
         f"cast(array() as array<struct<namespace:string,name:string,facets:struct<columnLineage:{lineage.FACET}>>>)"
     )
-    return spark.range(1).select(
+    return one_row(spark).select(
         F.lit(kind).alias("eventType"), F.lit(at).cast("timestamp").alias("eventTime"),
         F.struct(F.lit(run_id).alias("runId"), F.expr("map('engine', 'spark')").alias("facets")).alias("run"),
         F.struct(F.lit("default").alias("namespace"), F.lit(PIPELINE).alias("name"),
@@ -76,7 +76,7 @@ def _lineage_event(spark: SparkSession, run_id: str, kind: str, at: dt.datetime,
 
 
 def _run_row(spark: SparkSession, run_id: str, status: str, start: dt.datetime, ms: float, error: str | None) -> DataFrame:
-    return spark.range(1).select(
+    return one_row(spark).select(
         F.lit(run_id).alias("run_id"), F.lit(PIPELINE).alias("pipeline_id"), F.lit(status).alias("status"),
         F.lit(start).cast("timestamp").alias("start_time"), F.lit(ms).alias("duration_ms"),
         F.lit(error).cast("string").alias("error_message"),
@@ -212,14 +212,14 @@ def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, i
         "expectation_type": f"expect_{stage.lower()}_to_succeed", "observed_value": message,
         "expected_value": "SUCCESS", "details": "{}",
     }
-    row = spark.range(1).select(
+    row = one_row(spark).select(
         F.lit(dataset).alias("dataset"), F.lit(PIPELINE).alias("pipeline"), F.lit("FAIL").alias("status"),
         F.lit(False).alias("success"), F.lit(out.run_id).alias("run_id"),
         *[F.lit(check[c]).cast("string").alias(c)
           for c in ("check_name", "column", "expectation_type", "observed_value", "expected_value", "details")],
         F.lit(at).cast("timestamp").alias("timestamp"),
     )
-    owners = spark.range(1).select(F.lit(dataset).alias("dataset"), F.lit(contract.get("owner")).cast("string").alias("owner"))
+    owners = one_row(spark).select(F.lit(dataset).alias("dataset"), F.lit(contract.get("owner")).cast("string").alias("owner"))
     failure = incidents.failures(row, owners)
     stores.append_log(failure, root, "incidents")
     out.incident = failure.first().asDict()

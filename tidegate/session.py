@@ -42,19 +42,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back."""
+    """Write a frame once to the shared folder and read it back.
+
+    The result has a plan of one scan and survives the loss of any executor; unlike a
+    checkpoint, which runs its job twice, the frame is computed once.
+    """
     path = scratch(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_row(spark: SparkSession) -> DataFrame:
+    """A frame of one row in one partition, to select literals from."""
+    return spark.range(0, 1, 1, 1)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (very large where it knows nothing)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.session import one_row
+
 COLUMN_TYPE = (
     "struct<name:string,type:string,nullable:boolean,unique:boolean,description:string,"
     "allowed_values:array<string>,min:double,max:double,keys:array<string>>"
@@ -70,8 +72,8 @@ def flatten_contract(doc: Mapping) -> dict:
 
 def contracts_frame(spark: SparkSession, docs: list[Mapping]) -> DataFrame:
     """Contract documents that the driver already holds, as a table."""
-    lines = [(json.dumps(flatten_contract(d)),) for d in docs]
-    return spark.createDataFrame(lines, "j string").select(
+    lines = F.array(*[F.lit(json.dumps(flatten_contract(d))) for d in docs])
+    return one_row(spark).select(F.explode(lines).alias("j")).select(
         F.from_json("j", CONTRACT_SCHEMA).alias("c")
     ).select("c.*")
 

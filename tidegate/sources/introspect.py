@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.session import one_row
+
 from tidegate.functions.scalars import is_missing, normalize_type
 
 
@@ -42,7 +44,7 @@ def live_contract(df: DataFrame, dataset: str, scan_nulls: bool = False) -> Data
             x["name"].alias("name"), x["physical_type"].alias("type"), x["observed_nullable"].alias("nullable"),
         )).alias("c"))
     else:
-        columns = df.sparkSession.range(1).select(F.array(*[
+        columns = one_row(df.sparkSession).select(F.array(*[
             F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
                      F.lit(f.nullable).alias("nullable"))
             for f in df.schema.fields

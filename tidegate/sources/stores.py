@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.session import one_row
+
 from tidegate.operators.online import newest
 
 
@@ -58,7 +60,7 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def mark_published(spark: SparkSession, root: str, run_id: str, at: dt.datetime) -> None:
     """The pointer row that makes a run's online rows visible, written last."""
-    row = spark.range(1).select(F.lit(run_id).alias("change_id"), F.lit(at).cast("timestamp").alias("published_at"))
+    row = one_row(spark).select(F.lit(run_id).alias("change_id"), F.lit(at).cast("timestamp").alias("published_at"))
     append_log(row, root, "published")
 
 
@@ -76,7 +78,7 @@ def materialization_log_row(
     spark: SparkSession, run_id: str, group: str, start: dt.datetime, end: dt.datetime,
     records: int, status: str, error: str | None = None,
 ) -> DataFrame:
-    return spark.range(1).select(
+    return one_row(spark).select(
         F.lit(run_id).alias("run_id"), F.lit(group).alias("feature_group"),
         F.lit(start).cast("timestamp").alias("started_at"), F.lit(end).cast("timestamp").alias("finished_at"),
         F.lit(records).cast("bigint").alias("records_written"), F.lit(status).alias("status"),
