@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.operators import slices
-from tidegate.operators.training import stratified_split
+from tidegate.operators.training import roc_auc, stratified_split
 from tidegate.operators.transaction import customer_chain
 from tidegate.operators.customer import RiskParams, daily_profile, profile
 
@@ -104,3 +104,13 @@ def test_split_cuts_every_label(events):
         F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("k")
     ).collect():
         assert abs(r["k"] - 0.75 * r["n"]) <= 1
+
+
+def test_auc_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(round(rng.random(), 2), float(rng.random() < 0.3)) for _ in range(300)]
+    pos, neg = [p for p, y in rows if y == 1], [p for p, y in rows if y == 0]
+    expected = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    got = roc_auc(spark.createDataFrame(rows, "p double, label double"), "p").first()["roc_auc"]
+    assert abs(got - expected) < 1e-12
+    assert roc_auc(spark.createDataFrame([(0.5, 1.0)], "p double, label double"), "p").first()["roc_auc"] is None

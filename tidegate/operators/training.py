@@ -79,6 +79,28 @@ class Fitted:
     metadata: DataFrame
 
 
+def roc_auc(scored: DataFrame, probability: str, label: str = "label") -> DataFrame:
+    """One row: the area under the ROC curve, ties counted half; null without both labels.
+
+    Scores reduce to counts per distinct value.  Negatives below a value are those in lower
+    bands (at most 10,001 rows) plus those below it in its own band.
+    """
+    y = F.col(label) == 1
+    values = scored.groupBy(F.col(probability).alias("_p")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")
+    ).withColumn("_band", F.floor(F.col("_p") * 10_000))
+    below = "OVER ({} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    bands = values.groupBy("_band").agg(F.sum("neg").alias("_neg")).selectExpr(
+        "_band", f"coalesce(sum(_neg) {below.format('ORDER BY _band')}, 0) AS _lower"
+    )
+    ranked = values.join(bands, "_band", "inner").selectExpr(
+        "pos", "neg", f"_lower + coalesce(sum(neg) {below.format('PARTITION BY _band ORDER BY _p')}, 0) AS _below"
+    )
+    return ranked.selectExpr(
+        "sum(pos * (_below + neg / 2D)) / nullif(cast(sum(pos) AS double) * sum(neg), 0D) AS roc_auc"
+    )
+
+
 def metrics_of(scored: DataFrame, auc: float | None) -> DataFrame:
     """Precision, recall and F1 at 0.5 from confusion counts; 0 where undefined."""
     p, y = F.col("prediction") == 1, F.col("label") == 1
@@ -100,8 +122,8 @@ def train(data: DataFrame, features: list[str] | None = None, row_id: str = "tra
     """Fit the forest on the training share and measure it on the rest."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     from tidegate.operators.scoring import score_with_model
     from tidegate.session import stage_table
@@ -118,9 +140,8 @@ def train(data: DataFrame, features: list[str] | None = None, row_id: str = "tra
     ])
     model = pipeline.fit(split.filter("is_train"))
     test = split.filter("NOT is_train")
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(
-        model.transform(test)
-    )
+    scored = model.transform(test).select("label", vector_to_array("probability")[1].alias("p"))
+    auc = roc_auc(scored, "p").first()["roc_auc"]
     measured = metrics_of(score_with_model(test, model, model_version), auc)
     metadata = measured.select(
         F.lit(model_version).alias("model_version"), F.lit("RandomForestClassifier").alias("algorithm"),

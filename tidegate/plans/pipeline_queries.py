@@ -67,7 +67,7 @@ def publish_gate_blocked(spark, sf):
 
 @query("materialization_log", COUNTED + " SELECT 'run_1' AS run_id, 'customer' AS feature_group, n AS records_written, 'SUCCESS' AS status FROM n")
 def materialization_log(spark, sf):
-    """The log row of a materialization, its count observed while writing."""
+    """The log row of a materialization, its count read from the file footers."""
     now, features = snapshot(spark, sf)
     root = scratch(spark, "store")
     publish.publish_features(spark, lambda: features, c.CUSTOMER_FEATURES, "customer", "customer_id", root, "run_1", now)

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators import incidents, lineage
@@ -20,7 +20,7 @@ from tidegate.operators.contracts import validate_contracts
 from tidegate.operators.diff import schema_diff
 from tidegate.operators.online import assemble, to_online
 from tidegate.operators.scoring import score
-from tidegate.session import one_row, scratch
+from tidegate.session import one_row, stage_table
 from tidegate.sources import stores
 from tidegate.sources.contracts import contracts_frame
 from tidegate.sources.introspect import live_contract
@@ -126,12 +126,10 @@ def publish_features(
         done(stage)
 
         stage = "FEATURE_COMPUTATION"
-        staging, seen = scratch(spark, f"stage-{entity}"), Observation()
-        features.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staging)
-        out.records = seen.get["n"]
+        staged = stage_table(features, f"stage-{entity}")
+        out.records = staged.count()  # from the file footers
         if not out.records:
             raise StageFailed("feature computation gave no rows")
-        staged = spark.read.schema(features.schema).parquet(staging)
         done(stage, out.records)
 
         stage = "CONTRACT_VALIDATION"
@@ -171,18 +169,17 @@ def publish_features(
         done(stage, out.records)
 
         stage = "MATERIALIZATION"
-        wrote = Observation()
-        online = to_online(staged, entity, id_column, F.lit(ref_time)).observe(wrote, F.count(F.lit(1)).alias("n"))
-        stores.write_changes(online, f"{root}/online", run_id)
+        stores.write_changes(to_online(staged, entity, id_column, F.lit(ref_time)), f"{root}/online", run_id)
+        wrote = stores.change_count(spark, f"{root}/online", run_id)
         stores.mark_published(spark, root, run_id, ref_time)
         stores.append_log(
-            stores.materialization_log_row(spark, run_id, entity, ref_time, ref_time, wrote.get["n"], "SUCCESS"),
+            stores.materialization_log_row(spark, run_id, entity, ref_time, ref_time, wrote, "SUCCESS"),
             root, "materializations",
         )
-        done(stage, wrote.get["n"])
+        done(stage, wrote)
 
         stage = "REDIS_ONLINE_STORE"
-        probe = spark.read.schema(features.schema).parquet(staging).select(F.col(id_column).alias("customer_id")).limit(1)
+        probe = staged.select(F.col(id_column).alias("customer_id")).limit(1)
         request = probe.select("customer_id", F.lit(250.0).alias("amount"))
         current = stores.read_online(spark, root)
         vector = assemble(request, current, entity, "customer_id").first()

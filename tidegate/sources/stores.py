@@ -50,6 +50,11 @@ def write_changes(rows: DataFrame, path: str, change_id: str) -> None:
     )
 
 
+def change_count(spark: SparkSession, path: str, change_id: str) -> int:
+    """Rows of one run or batch, from the footers of its files (no pass over the data)."""
+    return spark.read.parquet(path).filter(F.col("change_id").cast("string") == change_id).count()
+
+
 def append_log(rows: DataFrame, root: str, name: str) -> None:
     rows.write.mode("append").parquet(f"{root}/{name}")
 
