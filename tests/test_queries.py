@@ -4,8 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from tidegate.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -24,4 +23,5 @@ def test_query(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
