@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidegate.llm import packing, pii, quality, secrets  # noqa: F401
+from tidegate.llm import lm, packing, pii, quality, secrets  # noqa: F401
 from tidegate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
