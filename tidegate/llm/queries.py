@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidegate.llm import decontamination, lm, neardup, packing, pii, quality, secrets, toolcalls  # noqa: F401
+from tidegate.llm import decontamination, lm, neardup, packing, pii, quality, secrets, substrings, toolcalls  # noqa: F401
 from tidegate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
