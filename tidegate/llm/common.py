@@ -112,13 +112,12 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         out, owner = mix(acc[inside]), doc[: len(h) - n + 1][inside]
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        whole = []
-        for d in short:
-            acc = np.uint64(count[d])
-            for x in h[first[d]: first[d + 1]]:
-                acc = mix(np.asarray([acc * np.uint64(5) + x], np.uint64))[0]
-            whole.append(acc)
-        out, owner = np.concatenate([out, np.asarray(whole, np.uint64)]), np.concatenate([owner, short])
+        whole = count[short].astype(np.uint64)
+        for k in range(n - 1):
+            has = count[short] > k
+            at = first[:-1][short[has]] + k
+            whole[has] = mix(whole[has] * np.uint64(5) + h[at])
+        out, owner = np.concatenate([out, whole]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")
         out, owner = out[order], owner[order]
     return out, owner

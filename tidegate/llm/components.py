@@ -31,3 +31,20 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         edges = stage_table(small.select("a", F.col("m").alias("b")).union(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+
+
+class Forest:
+    """Union-find over the links that one task sees; the smallest member is the root."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        while (p := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[p]
+        return x
+
+    def join(self, x, y) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)

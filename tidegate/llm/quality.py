@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,9 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     weights = model.p if isinstance(model, Network) else None
 
     @F.pandas_udf("double")
-    def score(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:
-        import pandas as pd
-
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = Network()
         net.p = weights
         for part in texts:

@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,9 +182,7 @@ def redact(docs: DataFrame, length: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with secrets masked; ``length`` is set anew in the rows that change."""
 
     @F.pandas_udf("string")
-    def masked(texts):
-        import pandas as pd
-
+    def masked(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mask(t) for t in texts], dtype=object)
 
     out = docs.withColumn("__masked", masked(F.col("text")))
