@@ -6,9 +6,10 @@ only these leading tokens are indexed.  The order puts rare tokens first: the mo
 ones (``HEAVY`` at most, from counts over all texts) come last by count, so passages that many
 documents share seldom lead; any order gives the same result.
 
-1. Leading tokens that more than one set leads with are kept; sets without any are alone.
-2. Sets are partitioned into groups of similar ones: by their most widely shared leading token,
-   in parts of about ``GROUP`` sets.  The token-group matrix has a row for each (token, group).
+1. Leading tokens that may be the first common one of two sets, by their ranks and the sets'
+   sizes, are kept; sets without any are alone.
+2. Sets are partitioned into groups of similar ones: by their most widely shared leading token
+   and a band of sizes, in parts of about ``GROUP`` sets.  The token-group matrix has a row for each (token, group).
 3. Groups whose matrix rows share a token, and whose sizes are compatible, are candidates.  The
    sets of one group query the other: the overlap of the query with the group's whole token
    union bounds its overlap with any member, and only a group that reaches the bound is opened
@@ -41,6 +42,7 @@ from tidegate.session import stage_table
 
 HEAVY = 1 << 15
 GROUP = 256
+COMPARED = 16
 BLOCK_BYTES = 8 << 20
 FLUSH_TOKENS = 1_500_000
 
@@ -141,17 +143,17 @@ def leading(docs: DataFrame, size: int, percent: int, heavy, bits: int) -> DataF
     """Leading tokens with their sets, packed by block of tokens; pairs with a heavy token by set, as negative blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, blocks, pending = [], [], [], 0
+        held, pending = [], 0
 
         def rows():
-            t, n, b = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(blocks)
+            b, *columns = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(b, kind="stable")
-            t, n, b = t[order], n[order], b[order]
+            b, columns = b[order], [c[order] for c in columns]
             first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             last = np.append(first[1:], len(b))
             return pa.RecordBatch.from_arrays([
-                pa.array(b[first]), pa.array([t[x:y].tobytes() for x, y in zip(first, last)], pa.binary()),
-                pa.array([n[x:y].tobytes() for x, y in zip(first, last)], pa.binary())], ["block", "tokens", "nodes"])
+                pa.array(b[first]), *[pa.array([c[x:y].tobytes() for x, y in zip(first, last)], pa.binary()) for c in columns]],
+                ["block", "tokens", "nodes", "sizes", "ranks"])
 
         for _, texts in slices(batches):
             h, first, node = token_sets(texts, size)
@@ -165,46 +167,57 @@ def leading(docs: DataFrame, size: int, percent: int, heavy, bits: int) -> DataF
             top = np.uint64(64 - bits)
             block = (t >> top).astype(np.int64) if bits else np.zeros(len(t), np.int64)
             spread = (s >> top).astype(np.int64) if bits else np.zeros(len(t), np.int64)
-            tokens.append(t)
-            nodes.append(s)
-            blocks.append(np.where(w[lead] > 0, -1 - spread, block))
+            held.append((np.where(w[lead] > 0, -1 - spread, block), t, s, n[owner[lead]].astype("<i4"), rank[rank < (n - least_overlap(n, percent) + 1)[owner]].astype("<i4")))
             pending += len(t)
             if pending > FLUSH_TOKENS:
                 yield rows()
-                tokens, nodes, blocks, pending = [], [], [], 0
+                held, pending = [], 0
         if pending:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "block long, tokens binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "block long, tokens binary, nodes binary, sizes binary, ranks binary")
+
+
+def may_link(n, m, i, j, percent: int):
+    """Whether sets of n and m tokens whose first common token has ranks i and j can overlap enough."""
+    return (100 + percent) * np.minimum(n - i, m - j) >= percent * (n + m)
 
 
-def shared(packed: DataFrame) -> DataFrame:
-    """(token, node) pairs of tokens that lead more than one set, and of heavy tokens."""
+def shared(packed: DataFrame, percent: int) -> DataFrame:
+    """(token, node) pairs of tokens that may be the first common one of two sets, and of heavy tokens."""
 
     def run(t: pa.Table) -> pa.Table:
-        token = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("tokens").to_pylist()])
-        node = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("nodes").to_pylist()])
+        token, node, size, rank = (
+            np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+            for c, kind in (("tokens", "<u8"), ("nodes", "<u8"), ("sizes", "<i4"), ("ranks", "<i4")))
         order = np.lexsort((node, token))
         token, node = token[order], node[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node = token[new], node[new]
+        token, node, size, rank = token[new], node[new], size[order][new].astype(np.int64), rank[order][new].astype(np.int64)
         if t.column("block")[0].as_py() >= 0:
-            more = np.zeros(len(token) + 1, bool)
-            more[1:-1] = token[1:] == token[:-1]
-            use = more[1:] | more[:-1]
+            use = np.zeros(len(token), bool)
+            for k in range(1, COMPARED + 1):  # every pair of a list of up to COMPARED + 1 sets; all of a longer one stay
+                same = token[k:] == token[:-k]
+                if k < COMPARED:
+                    same &= may_link(size[k:], size[:-k], rank[k:], rank[:-k], percent)
+                use[k:] |= same
+                use[:-k] |= same
+            long = token[COMPARED:][token[COMPARED:] == token[:-COMPARED]] if len(token) > COMPARED else token[:0]
+            use |= np.isin(token, long)
             token, node = token[use], node[use]
         return pa.table({"token": pa.array(token.view(np.int64)), "node": pa.array(node.view(np.int64))})
 
     return packed.groupBy("block").applyInArrow(run, "token long, node long")
 
 
-def grouped(pairs: DataFrame) -> DataFrame:
-    """node and the group it is put in."""
+def grouped(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """node, n, key and the group it is put in; sets of a group have similar sizes."""
     count = pairs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     choice = pairs.join(count, "token").groupBy("node").agg(F.max(F.struct("n", "token")).alias("c")).select("node", F.col("c.token").alias("token"))
-    parts = choice.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    return choice.join(parts, "token").select("node", F.xxhash64("token", F.pmod(F.xxhash64("node"), "parts")).alias("gid"))
+    choice = choice.join(sizes, "node").withColumn("band", F.floor(F.log("n") / float(np.log(100 / min(percent, 99)))))
+    parts = choice.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    return choice.join(parts, ["token", "band"]).select("node", "n", "key", F.xxhash64("token", "band", F.pmod(F.xxhash64("node"), "parts")).alias("gid"))
 
 
 class Group:
@@ -266,9 +279,9 @@ def links(docs: DataFrame, sets: DataFrame, heavy, size: int, percent: int) -> D
     """(a, b) links that connect exactly the sets that link."""
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, bytes_ / BLOCK_BYTES)))))
-    pairs = stage_table(shared(leading(docs, size, percent, heavy, bits)), "shared")
+    pairs = stage_table(shared(leading(docs, size, percent, heavy, bits), percent), "shared")
     sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("key").alias("key"))
-    member = stage_table(grouped(pairs).join(sizes, "node"), "groups")
+    member = stage_table(grouped(pairs, sizes, percent), "groups")
     matrix = pairs.join(member.select("node", "gid"), "node").select("token", "gid").distinct()
     bounds = member.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("sets"))
     left = matrix.join(bounds, "gid")
