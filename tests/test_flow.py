@@ -90,10 +90,30 @@ def test_rerun_is_idempotent_and_invalid_contract_stops(spark, tmp_path):
         assert run(spark, root, snapshot(spark, 20)).status == "SUCCESS"
     assert stores.read_online(spark, root).count() == 20
     assert stores.read_offline(spark, root, "customer").count() == 20
+    for name, rows in (("quality_runs", 1), ("pipeline_runs", 1), ("materializations", 1), ("published", 1), ("lineage_events", 2)):
+        assert stores.read_log(spark, root, name).count() == rows, name
     bad = {**c.CUSTOMER_FEATURES, "status": "RETIRED"}
     assert states(run(spark, root, snapshot(spark, 20), "r3", bad))["CONTRACT_VALIDATION"] == "FAILED"
 
 
+def test_failures_open_one_incident_each(spark, tmp_path):
+    root, spoiled = str(tmp_path), snapshot(spark, 20).withColumns({
+        "cust_txn_amount_sum_24h": F.lit(-5.0), "customer_id": F.when(F.col("customer_id") > 0, F.col("customer_id"))})
+    for run_id in ("r1", "r2", "r2"):
+        assert run(spark, root, spoiled, run_id).status == "FAILED"
+    rows = stores.read_log(spark, root, "incidents").select("failure_signature", "run_id").collect()
+    assert len(rows) == len({r["failure_signature"] for r in rows}) >= 2 and {r["run_id"] for r in rows} == {"r1"}
+    assert {r["eventType"] for r in stores.read_log(spark, root, "lineage_events").collect()} == {"START", "FAIL"}
+
+
+def test_every_snapshot_of_a_day_is_kept(spark, tmp_path):
+    root = str(tmp_path)
+    for hour in (10, 11, 11):
+        stores.write_offline(snapshot(spark, 4, NOW.replace(hour=hour)), root, "customer")
+    times = [r["feature_timestamp"].hour for r in stores.read_offline(spark, root, "customer").collect()]
+    assert sorted(times) == [10] * 4 + [11] * 4
+
+
 def test_breaking_schema_can_be_allowed(spark, tmp_path):
     wide = snapshot(spark, 20).withColumn("cust_txn_count_24h", F.lit("2"))
     assert states(run(spark, str(tmp_path / "a"), wide))["SCHEMA_VALIDATION"] == "FAILED"

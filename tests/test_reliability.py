@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators import contracts, diff, freshness, gate, incidents, referential
+from tidegate.operators import contracts, diff, freshness, gate, incidents, lineage, referential
 from tidegate.operators import quality as q
 from tidegate.operators.catalog import catalog, entries, feature_groups, list_features
 from tidegate.functions.scalars import display_name, failure_signature, normalize_type
@@ -242,3 +242,18 @@ def test_catalogue(spark):
     assert list_features(rows, entity="account").count() == 23
     assert feature_groups(rows).count() == 9
     assert spark.range(1).select(display_name(F.lit("fraud_score_job"))).first()[0] == "Fraud Score Job"
+
+
+def test_columns_are_traced_over_any_number_of_hops(spark):
+    chain = spark.createDataFrame(
+        [("d", f"c{i}", "d", f"c{i + 1}") for i in range(12)] + [("d", "c12", "d", "c0")],
+        "source_dataset string, source_column string, target_dataset string, target_column string")
+    got = lineage.trace_columns(chain, spark.createDataFrame([("d.c0",)], "start string"))
+    assert sorted(r["hops"] for r in got.collect()) == list(range(1, 14))
+
+
+def test_newest_mapping_is_by_time(spark):
+    rows = [("a", "x", "b", "y", "p", "old", "run_9", dt.datetime(2024, 1, 1)), ("a", "x", "b", "y", "q", "new", "run_10", dt.datetime(2024, 1, 2))]
+    m = spark.createDataFrame(rows, "source_dataset string, source_column string, target_dataset string, target_column string, pipeline_id string, "
+                                    "transformation string, run_id string, at timestamp")
+    assert lineage.column_lineage(m, "b").select("transformation", "run_id").first() == ("new", "run_10")

@@ -80,7 +80,7 @@ def test_high_value_runs(events, width):
 
 def test_fit_slice_narrows_for_a_hot_key(events):
     assert slices.fit_slice(events, ["customer_id"], "ts") == 86_400
-    assert slices.fit_slice(events, ["customer_id"], "ts", target_rows=20, small_bytes=0) < 86_400
+    assert slices.fit_slice(events, ["customer_id"], "ts", target_rows=20) < 86_400
 
 
 def test_profile_does_not_depend_on_the_slice(spark, events, monkeypatch):
@@ -114,3 +114,22 @@ def test_auc_matches_brute_force(spark):
     got = roc_auc(spark.createDataFrame(rows, "p double, label double"), "p").first()["roc_auc"]
     assert abs(got - expected) < 1e-12
     assert roc_auc(spark.createDataFrame([(0.5, 1.0)], "p double, label double"), "p").first()["roc_auc"] is None
+
+
+def test_large_amounts_leave_no_trace(spark):
+    rows = [(1, dt.datetime(2024, 1, 1 + d, h), v) for d, h, v in ((0, 1, 5e8), (0, 2, 20.0), (9, 0, 7e8), (9, 23, 1.0))]
+    rows += [(1, dt.datetime(2024, 3, 1, h), 20.0 + h / 100) for h in range(10)] + [(1, dt.datetime(2024, 1, 8, 1, 30), 3.0)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, v double")
+    for width in (86_400, 3600, 60):
+        out = slices.trailing(df, ["k"], "ts", {"v": "v", "sq": "v * v"}, {"7d": 7 * 86_400, "30d": 30 * 86_400}, width).collect()
+        for r in out:
+            for w, days in (("7d", 7), ("30d", 30)):
+                inside = [v for _, t, v in rows if r["ts"] - dt.timedelta(days=days) <= t <= r["ts"]]
+                assert abs(r[f"v_{w}"] - sum(inside)) <= 1e-12 * sum(inside) + 1e-9
+                assert abs(r[f"sq_{w}"] - sum(v * v for v in inside)) <= 1e-12 * sum(v * v for v in inside) + 1e-9
+
+
+def test_rows_without_a_time_are_kept(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, dt.datetime(2024, 1, 1), 2), (None, dt.datetime(2024, 1, 1), 3)], "k long, ts timestamp, i long")
+    out = slices.running(df, ["k"], "ts", "i", {"n": slices.Running(F.lit(1))}, 60)
+    assert sorted(r["i"] for r in out.collect()) == [1, 2, 3]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import failure_signature, seconds_between
 from tidegate.operators import quality as q
+from tidegate.operators.contracts import latest_versions
 from tidegate.operators.slices import Running, running
 
 DEFAULT_OWNER = "data-platform-team"
@@ -18,13 +19,13 @@ KEY_COLUMNS = [
 
 
 def severity(kind="expectation_type", column="column", details="details") -> Column:
-    """Severity policy of a failed check.  Any column whose name contains ``id`` is key-like."""
+    """Severity policy of a failed check.  A column named ``id`` or ending in ``_id`` is key-like."""
     k = F.col(kind)
     name = F.lower(F.coalesce(F.col(column), F.lit("")))
     state = F.upper(F.coalesce(F.get_json_object(F.col(details), "$.status"), F.lit("")))
     return (
         F.when(k.isin(q.FOREIGN_KEY, q.EXISTS, q.SCHEMA), "CRITICAL")
-        .when(k == q.UNIQUE, F.when(name.isin(KEY_COLUMNS) | name.contains("id"), "CRITICAL").otherwise("HIGH"))
+        .when(k == q.UNIQUE, F.when(name.isin(KEY_COLUMNS) | name.rlike("(^|_)id$"), "CRITICAL").otherwise("HIGH"))
         .when(
             k == q.FRESHNESS,
             F.when(state.contains("STALE"), "CRITICAL").when(state.contains("WARNING"), "MEDIUM").otherwise("CRITICAL"),
@@ -37,10 +38,13 @@ def severity(kind="expectation_type", column="column", details="details") -> Col
 def failures(results: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
     """Failing check rows with owner, severity, signature and texts; passing rows are dropped.
 
-    ``contracts`` (dataset, owner) gives the owner; without one a default owns the failure.
+    ``contracts`` (dataset, owner) gives the owner, of the last registered version if it is a
+    registry; without one a default owns the failure.
     """
     failing = results.filter(~F.col("success") & (F.col("status") != "PASS"))
     if contracts is not None:
+        if "registered_at" in contracts.columns:
+            contracts = latest_versions(contracts)
         owners = contracts.groupBy("dataset").agg(F.max("owner").alias("_owner"))
         failing = failing.join(owners, "dataset", "left")
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def column_mappings(events: DataFrame) -> DataFrame:
     })
     newest = F.struct("at", "run_id", "transformation")
     return rows.groupBy("source_dataset", "source_column", "target_dataset", "target_column", "pipeline_id").agg(
-        F.max_by("transformation", newest).alias("transformation"), F.max_by("run_id", newest).alias("run_id")
+        F.max_by("transformation", newest).alias("transformation"), F.max_by("run_id", newest).alias("run_id"), F.max("at").alias("at")
     )
 
 
@@ -153,11 +154,12 @@ def column_lineage(mappings: DataFrame, dataset: str, column: str | None = None)
     rows = mappings.filter((name == wanted) | name.endswith("." + wanted))
     if column is not None:
         rows = rows.filter(F.lower("target_column") == column.lower())
+    newest = F.struct("at", "run_id", "transformation")
     return rows.groupBy("target_column").agg(
         F.array_sort(F.collect_set(F.struct("source_dataset", "source_column"))).alias("source_columns"),
-        F.max_by("transformation", "run_id").alias("transformation"),
-        F.max_by("pipeline_id", "run_id").alias("pipeline"),
-        F.max("run_id").alias("run_id"),
+        F.max_by("transformation", newest).alias("transformation"),
+        F.max_by("pipeline_id", newest).alias("pipeline"),
+        F.max_by("run_id", newest).alias("run_id"),
     )
 
 
@@ -180,8 +182,8 @@ def graph_nodes(dataset_rows: DataFrame, job_rows: DataFrame, edge_rows: DataFra
     return known.unionByName(extra)
 
 
-def closure(links: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Nodes reachable from each seed within ``max_depth`` hops, with the fewest hops.
+def closure(links: DataFrame, seeds: DataFrame, max_depth: int | None = 5) -> DataFrame:
+    """Nodes reachable from each seed within ``max_depth`` hops (None: any number), with the fewest hops.
 
     ``links`` (src, dst) and ``seeds`` (start).  Breadth-first: each hop joins the frontier
     with the distinct links and keeps what was not seen before, so cycles end and no pair
@@ -190,7 +192,7 @@ def closure(links: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame
     links = stage_table(links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
     frontier = seeds.select("start", F.col("start").alias("node")).distinct()
     seen = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"], "inner").select("start", F.col("dst").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
@@ -252,13 +254,17 @@ def dataset_summary(
     )
 
 
-def trace_columns(mappings: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Transitive column lineage: every (dataset.column) with all columns it feeds, and hops."""
+def trace_columns(mappings: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Transitive column lineage: (dataset.column) with all columns it feeds over any number of hops.
+
+    ``columns`` (start) names the columns to trace; without it all are traced, which can be as
+    many rows as pairs of columns.
+    """
     links = mappings.select(
         F.concat_ws(".", "source_dataset", "source_column").alias("src"),
         F.concat_ws(".", "target_dataset", "target_column").alias("dst"),
     )
-    return closure(links, links.select(F.col("src").alias("start")), max_depth)
+    return closure(links, links.select(F.col("src").alias("start")) if columns is None else columns, max_depth=None)
 
 
 def counts(dataset_rows, job_rows, run_rows, edge_rows, mapping_rows) -> DataFrame:

@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, HOUR, MICROS, micros, slice_id
-from tidegate.session import plan_bytes
 
 # slice widths in seconds; each divides the ones before it
 LADDER = [DAY, 6 * HOUR, HOUR, 600, 60, 10, 1]
 # rows of one (key, slice) that one task sorts with ease
 TARGET_ROWS = 4_000_000
-# below this size no slice can be too large for a task
-SMALL_BYTES = 1 << 30
+# sums that are subtracted from each other; exact for amounts below 1e29
+EXACT = "decimal(38,9)"
 
 
 @dataclass(frozen=True)
@@ -53,25 +52,22 @@ def add_slice(df: DataFrame, ts: str, seconds: int, name: str = "_slice") -> Dat
 
 def fit_slice(
     df: DataFrame, key: Sequence[str], ts: str, widest: int = DAY, target_rows: int = TARGET_ROWS,
-    small_bytes: int = SMALL_BYTES,
 ) -> int:
     """The widest slice, at most ``widest`` seconds, that holds at most ``target_rows`` of a key.
 
-    Only the layout of the work depends on it, never a result.  Data that is small anyway is
-    not counted; otherwise each try is one grouped count with map-side combine over two
-    columns, and data without hot keys needs one try.
+    Only the layout of the work depends on it, never a result.  A try is one grouped count with
+    map-side combine over two columns; data without hot keys needs one.  Where even a second of
+    a key holds more, no slice is small enough and the caller's tasks spill.
     """
     widths = [w for w in LADDER if w <= widest]
-    if plan_bytes(df) > small_bytes:
-        times = df.select(*key, ts).filter(F.col(ts).isNotNull())
-        for width in widths:
-            largest = (
-                add_slice(times, ts, width).groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-            )
-            if largest is None or largest <= target_rows:
-                return width
-        return widths[-1]
-    return widths[0]
+    times = df.select(*key, ts).filter(F.col(ts).isNotNull())
+    for width in widths:
+        largest = (
+            add_slice(times, ts, width).groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        )
+        if largest is None or largest <= target_rows:
+            return width
+    return widths[-1]
 
 
 def running(
@@ -105,7 +101,10 @@ def running(
           for n, a in aggregates.items()],
     )
     within = Window.partitionBy(*key, "_slice").orderBy(*order)
-    joined = sliced.join(prior, [*key, "_slice"], "inner")
+    # rows without a time or key are kept; they meet their own group only
+    on = " AND ".join(f"s.{c} <=> p.{c}" for c in [*key, "_slice"])
+    joined = sliced.alias("s").join(prior.alias("p"), F.expr(on), "inner").select(
+        "s.*", *[f"p._prior_{n}" for n in aggregates])
     out = {}
     for name, a in aggregates.items():
         frame = within.rowsBetween(Window.unboundedPreceding, -1 if a.exclusive else 0)
@@ -157,7 +156,9 @@ def trailing(
     slices in between (one pre-aggregated row each), and the end of the slice in which the
     window starts.  For the last part every event also enters the slice ``w`` later as a
     narrow "expiring" row, where it still counts for events that come no later than its own
-    time plus ``w``.
+    time plus ``w``.  Own slice and expiring rows are only ever added up; the slices in
+    between are differences of exact decimal sums, so a large amount leaves no trace in the
+    windows after it.
 
     More can be computed while the rows of a (key, slice) are together.  ``steps`` are SQL
     columns, evaluated step by step in a window text ``{rows}`` that is ordered by time and
@@ -198,11 +199,12 @@ def trailing(
     def over(m: str, r: int, upto: str) -> str:
         return f"coalesce(sum(CASE WHEN _role = {r} THEN _m_{m} END) OVER ({by_time} {upto}), 0D)"
 
-    # rows that have not expired: all of the slice minus those strictly before
+    # rows that have not expired are those at or after the event, added up from the end of the slice
+    late = f"{part} ORDER BY _us DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     local = local.selectExpr(
         "*",
         *[f"{over(m, -1, 'CURRENT ROW')} AS _own_{m}" for m in measures],
-        *[f"{over(m, role[w], 'UNBOUNDED FOLLOWING')} - {over(m, role[w], '1 PRECEDING')} AS _head_{m}_{w}" for m, w in pairs],
+        *[f"coalesce(sum(CASE WHEN _role = {role[w]} THEN _m_{m} END) OVER ({late}), 0D) AS _head_{m}_{w}" for m, w in pairs],
     ).filter("_role = -1")
 
     whole = {w: s // width for w, s in windows.items() if s // width >= 2}
@@ -210,14 +212,14 @@ def trailing(
     if middle or carried:
         by_key = f"PARTITION BY {', '.join(keys)} ORDER BY _slice"
         per_slice = base.groupBy(*keys, "_slice").agg(
-            *[F.sum(f"_m_{m}").alias(f"_m_{m}") for m in measures], *[F.expr(f"{e} AS {n}") for n, e in carried.items()]
+            *[F.expr(f"sum(cast(_m_{m} AS {EXACT})) AS _m_{m}") for m in measures], *[F.expr(f"{e} AS {n}") for n, e in carried.items()]
         )
         local = local.join(
             per_slice.selectExpr(
                 *keys, "_slice",
-                # the difference of two growing frames, which unlike a sliding one costs O(1) per row
-                *[f"coalesce(sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) - coalesce("
-                  f"sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND {whole[w]} PRECEDING), 0D) AS _mid_{m}_{w}"
+                # the exact difference of two growing frames, which unlike a sliding one costs O(1) per row
+                *[f"cast(coalesce(sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - coalesce("
+                  f"sum(_m_{m}) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND {whole[w]} PRECEDING), 0) AS double) AS _mid_{m}_{w}"
                   for m, w in middle],
                 *[f"max({n}) OVER ({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}" for n in carried],
             ),

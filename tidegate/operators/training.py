@@ -21,8 +21,8 @@ def hash_order(row_id: str, seed: int = SEED) -> Column:
 
 
 def sample_rows(df: DataFrame, row_id: str, n: int, seed: int = SEED) -> DataFrame:
-    """n rows without replacement (all of them if fewer)."""
-    return df.orderBy(hash_order(row_id, seed), F.col(row_id)).limit(n)
+    """n rows without replacement (all of them if fewer), first by the md5 of id and seed, which any engine has."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(row_id), F.lit(seed)).cast("binary")), F.col(row_id)).limit(n)
 
 
 def stratified_split(
@@ -47,8 +47,10 @@ def stratified_split(
     )
     inside = Window.partitionBy(label, "_b").orderBy("_h", row_id)
     rank = F.col("_start") + F.row_number().over(inside)
+    # rows without a label are a class of their own
+    met = ranked.alias("r").join(starts.alias("s"), F.expr(f"r.{label} <=> s.{label} AND r._b = s._b"), "inner")
     return (
-        ranked.join(starts, [label, "_b"], "inner")
+        met.select("r.*", "s._start", "s._n")
         .withColumn("is_train", rank <= F.round(F.col("_n") * train_share))
         .drop("_h", "_b", "_start", "_n")
     )
@@ -59,7 +61,10 @@ def training_set(
     label: str = "is_fraud", row_id: str = "transaction_id", n: int | None = 5000,
     features: list[str] | None = None,
 ) -> DataFrame:
-    """Sampled observations with their point-in-time features, nulls as 0, and the label."""
+    """Sampled observations with their point-in-time features, nulls as 0, and the label.
+
+    ``n`` bounds the labelled rows the classifier is fitted on; None takes all.
+    """
     names = features or MODEL_FEATURES
     rows = observations.select(row_id, key, "amount", obs_ts, label)
     if n is not None:

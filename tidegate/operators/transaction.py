@@ -23,12 +23,10 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds: int | None = None) -> DataFrame:
-    """Trailing windows, previous event and run of high-value events, in one shuffle by (customer, hour).
+    """Trailing windows, previous event and run of high-value events, by slices of (customer, time).
 
-    The run counts the high-value events up to this one within an hour.  It ends inside the
-    event's own slice at the last event that is not of high value; without one it goes on
-    into the slice before, whose events are at hand as rows expiring after an hour.  With
-    slices shorter than an hour (hot keys) it follows from running row numbers instead.
+    The run counts the high-value events up to this one within an hour: the events since the
+    last one that is not of high value, from running row numbers, but no more than the hour's.
     ``txn`` may carry ``lat`` and ``lon``; the previous event then carries its own.
     """
     place = [c for c in ("lat", "lon") if c in txn.columns]
@@ -36,35 +34,20 @@ def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds:
     def previous(prefix: str) -> str:
         return "struct(" + ", ".join(f"{prefix}{c}" for c in ("ts", "transaction_id", *place)) + ")"
 
-    upto, whole = "{rows} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "{rows} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    steps = [
-        [
-            f"sum(CASE WHEN _role = -1 THEN 1 END) OVER ({upto}) AS _n",
-            f"sum(CASE WHEN _role = 0 THEN 1 END) OVER ({upto}) AS _n0",
-            f"max(CASE WHEN _role = -1 THEN {previous('_row.')} END) OVER ({{rows}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before",
-        ],
-        [
-            f"max(CASE WHEN _role = -1 AND _calm THEN _n END) OVER ({upto}) AS _calm_n",
-            f"coalesce(max(CASE WHEN _role = 0 THEN _n0 END) OVER ({whole}), 0) "
-            f"- coalesce(max(CASE WHEN _role = 0 AND _calm THEN _n0 END) OVER ({whole}), 0) AS _earlier_run",
-        ],
-    ]
+    upto = "{rows} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    steps = [[
+        f"sum(CASE WHEN _role = -1 THEN 1 END) OVER ({upto}) AS _n",
+        f"max(CASE WHEN _role = -1 THEN {previous('_row.')} END) OVER ({{rows}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before",
+    ]]
     rows = txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL")
     width = slice_seconds or fit_slice(rows, ["customer_id"], "ts", HOUR)
     calm = f"NOT coalesce(amount > {params.high_value}D, false)"
-    hourly = width == HOUR
-    run = (
-        "coalesce(_n - _calm_n, _n + least(_earlier_run, cast(_head_c_n_1h AS bigint))) AS high_run" if hourly
-        else "cast(_own_c_n AS bigint) - _n AS _later_peers"
-    )
     out = trailing(
         rows, ["customer_id"], "ts", {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, width,
-        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id", marks={"_calm": calm},
-        steps=steps if hourly else steps[:1], carried={"_last": f"max({previous('')})"},
-        after=["coalesce(_before, _last) AS prev", run],
+        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id",
+        steps=steps, carried={"_last": f"max({previous('')})"},
+        after=["coalesce(_before, _last) AS prev", "cast(_own_c_n AS bigint) - _n AS _later_peers"],
     )
-    if hourly:
-        return out
     order = ["customer_id"], "ts", "transaction_id"
     out = running(out, *order, {"_rn": Running(F.lit(1).cast("bigint"))}, width)
     out = running(out, *order, {"_calm_rn": Running(F.expr(f"CASE WHEN {calm} THEN _rn END"), "max")}, width)

@@ -527,6 +527,22 @@ def user_sessions(spark, sf):
 
 # -- training ----------------------------------------------------------------------------------------
 
+@query("trailing_extremes", f"""WITH priced AS (
+  SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey, l_shipdate AS ts,
+         CASE WHEN l_orderkey % 97 = 0 THEN 1e9 + l_extendedprice ELSE l_extendedprice END AS price FROM lineitem)
+SELECT line_id, {r("sum(price) OVER w7")} AS price_7d, {r("sum(price) OVER w30")} AS price_30d,
+  CAST(count(*) OVER w30 AS DOUBLE) AS n_30d FROM priced
+WINDOW w7 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW),
+  w30 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
+def trailing_extremes(spark, sf):
+    """Trailing sums per supplier at every line, with prices a million times larger in between."""
+    priced = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS line_id", "l_suppkey", "cast(l_shipdate AS timestamp) AS ts",
+        "CASE WHEN l_orderkey % 97 = 0 THEN 1e9D + l_extendedprice ELSE l_extendedprice END AS price")
+    out = trailing(priced, ["l_suppkey"], "ts", {"price": "price", "n": "1"}, {"7d": 7 * DAY, "30d": 30 * DAY}, wanted={"n": ["30d"]})
+    return out.select("line_id", "price_7d", "price_30d", "n_30d")
+
+
 @query("stratified_split", f"""WITH {TXN}
 SELECT CAST(is_fraud AS BIGINT) AS is_fraud, CAST(round(count(*) * 0.75) AS BIGINT) AS train_rows,
   count(*) - CAST(round(count(*) * 0.75) AS BIGINT) AS test_rows FROM txn GROUP BY is_fraud""")
@@ -538,7 +554,9 @@ def stratified_split(spark, sf):
     )
 
 
-@query("sample_rows")
+@query("sample_rows", f"""WITH {TXN}
+SELECT transaction_id, customer_id, {r("amount")} AS amount, ts, CAST(is_fraud AS BIGINT) AS is_fraud
+FROM txn ORDER BY md5(CAST(transaction_id AS VARCHAR) || '-42'), transaction_id LIMIT 5000""")
 def sample_rows(spark, sf):
     """A repeatable sample of 5,000 observations."""
     rows = t.bind_transactions(spark, sf).select("transaction_id", "customer_id", "amount", "ts", "is_fraud")

@@ -184,18 +184,18 @@ def lineage_edges(spark, sf):
 
 
 MAPPED = """map AS (SELECT 'ds_' || j AS sd, 'c_' || (x % 3) AS sc, 'ds_' || ((j * 3 + 1) % 60) AS td, 'c_' || ((j + 2) % 3) AS tc, 'pipe_' || j AS pipe,
-  'rule ' || (j % 7) AS rule, arg_max(run_id, ts) AS run_id FROM st, (VALUES (0), (1)) AS v(o), LATERAL (SELECT j + o AS x) WHERE ends GROUP BY ALL)"""
+  'rule ' || (j % 7) AS rule, arg_max(run_id, ts) AS run_id, max(ts) AS at FROM st, (VALUES (0), (1)) AS v(o), LATERAL (SELECT j + o AS x) WHERE ends GROUP BY ALL)"""
 
 
 @query("lineage_column_mappings", f"""WITH {LIN}, {MAPPED}
 SELECT sd AS source_dataset, sc AS source_column, td AS target_dataset, tc AS target_column, pipe AS pipeline_id, rule AS transformation, run_id FROM map""")
 def lineage_column_mappings(spark, sf):
-    return lineage.column_mappings(derived.lineage_events(spark, sf))
+    return lineage.column_mappings(derived.lineage_events(spark, sf)).drop("at")
 
 
 @query("lineage_column_lookup", f"""WITH {LIN}, {MAPPED}
 SELECT tc AS target_column, '[' || string_agg(DISTINCT '{{"source_dataset":"' || sd || '","source_column":"' || sc || '"}}', ',' ORDER BY '{{"source_dataset":"' || sd || '","source_column":"' || sc || '"}}') || ']' AS source_columns,
-  arg_max(rule, run_id) AS transformation, arg_max(pipe, run_id) AS pipeline, max(run_id) AS run_id FROM map WHERE td = 'ds_4' GROUP BY tc""")
+  arg_max(rule, ROW(at, run_id, rule)) AS transformation, arg_max(pipe, ROW(at, run_id, rule)) AS pipeline, arg_max(run_id, ROW(at, run_id, rule)) AS run_id FROM map WHERE td = 'ds_4' GROUP BY tc""")
 def lineage_column_lookup(spark, sf):
     """Sources of every column of one dataset, its name given in another case."""
     return lineage.column_lineage(lineage.column_mappings(derived.lineage_events(spark, sf)), "DS_4")
@@ -276,7 +276,7 @@ def lineage_dataset_summary(spark, sf):
 
 
 @query("lineage_column_trace", f"""WITH RECURSIVE {LIN}, {MAPPED}, link AS (SELECT DISTINCT sd || '.' || sc AS a, td || '.' || tc AS b FROM map),
-walk(start, node, hops) AS (SELECT a, a, 0 FROM link UNION SELECT start, b, hops + 1 FROM walk JOIN link ON node = a WHERE hops < 8)
+walk(start, node, hops) AS (SELECT a, a, 0 FROM link UNION SELECT start, b, hops + 1 FROM walk JOIN link ON node = a WHERE hops < (SELECT count(*) FROM link))
 SELECT start, node, CAST(min(hops) AS BIGINT) AS hops FROM walk WHERE hops > 0 GROUP BY start, node""")
 def lineage_column_trace(spark, sf):
     """Every column with all columns it feeds, directly or not."""

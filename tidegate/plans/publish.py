@@ -36,9 +36,9 @@ STAGE_SCHEMA = "run_id string, position int, stage string, status string, record
 
 
 class StageFailed(Exception):
-    def __init__(self, message: str, check: Mapping | None = None):
+    def __init__(self, message: str, *checks: Mapping):
         super().__init__(message)
-        self.check = check
+        self.checks = checks
 
 
 @dataclass
@@ -120,7 +120,7 @@ def publish_features(
         mark = now
 
     stage = STAGES[0]
-    stores.append_log(_lineage_event(spark, run_id, "START", ref_time, list(inputs), []), root, "lineage_events")
+    stores.write_log(_lineage_event(spark, run_id, "START", ref_time, list(inputs), []), root, "lineage_events", f"{run_id}.start")
     try:
         features = compute()
         done(stage)
@@ -153,15 +153,14 @@ def publish_features(
         failed = [r for r in checks if r["status"] == "FAIL"]
         out.quality_score = round(100.0 * sum(r["status"] == "PASS" for r in checks) / len(checks), 2)
         if failed:
-            raise StageFailed(f"{len(failed)} of {len(checks)} checks failed", failed[0].asDict())
+            raise StageFailed(f"{len(failed)} of {len(checks)} checks failed", *[r.asDict() for r in failed])
         done(stage, len(checks))
 
+        # the records of these two say that the run is complete, so they are written when it is
         stage = "OPENLINEAGE"
-        stores.append_log(_lineage_event(spark, run_id, "COMPLETE", ref_time, list(inputs), [dataset]), root, "lineage_events")
         done(stage)
 
         stage = "AIRFLOW_ORCHESTRATION"
-        stores.append_log(_run_row(spark, run_id, "SUCCESS", ref_time, (clock() - started) * 1000.0, None), root, "pipeline_runs")
         done(stage)
 
         stage = "OFFLINE_STORE"
@@ -172,9 +171,9 @@ def publish_features(
         stores.write_changes(to_online(staged, entity, id_column, F.lit(ref_time)), f"{root}/online", run_id)
         wrote = stores.change_count(spark, f"{root}/online", run_id)
         stores.mark_published(spark, root, run_id, ref_time)
-        stores.append_log(
+        stores.write_log(
             stores.materialization_log_row(spark, run_id, entity, ref_time, ref_time, wrote, "SUCCESS"),
-            root, "materializations",
+            root, "materializations", run_id,
         )
         done(stage, wrote)
 
@@ -190,6 +189,8 @@ def publish_features(
         stage = "ML_PREDICTION"
         score(assemble(request, current, entity, "customer_id")).select("risk_score").first()
         done(stage, 1)
+        stores.write_log(_lineage_event(spark, run_id, "COMPLETE", ref_time, list(inputs), [dataset]), root, "lineage_events", f"{run_id}.end")
+        stores.write_log(_run_row(spark, run_id, "SUCCESS", ref_time, (clock() - started) * 1000.0, None), root, "pipeline_runs", run_id)
     except Exception as e:
         _abort(spark, out, root, dataset, contract, stage, e, ref_time, inputs, (clock() - started) * 1000.0, (clock() - mark) * 1000.0)
         if not isinstance(e, StageFailed):
@@ -204,24 +205,27 @@ def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, i
     out.stages.append((out.run_id, STAGES.index(stage), stage, "FAILED", None, stage_ms, message))
     for later in STAGES[STAGES.index(stage) + 1:]:
         out.stages.append((out.run_id, STAGES.index(later), later, "SKIPPED", None, 0.0, f"halted in {stage}"))
-    check = getattr(error, "check", None) or {
+    checks = getattr(error, "checks", ()) or [{
         "check_name": f"{stage.lower()}_check", "column": None,
         "expectation_type": f"expect_{stage.lower()}_to_succeed", "observed_value": message,
         "expected_value": "SUCCESS", "details": "{}",
-    }
-    row = one_row(spark).select(
+    }]
+    columns = ("check_name", "column", "expectation_type", "observed_value", "expected_value", "details")
+    texts = [tuple(None if x[c] is None else str(x[c]) for c in columns) for x in checks]
+    rows = spark.createDataFrame(texts, ", ".join(f"`{c}` string" for c in columns)).select(
         F.lit(dataset).alias("dataset"), F.lit(PIPELINE).alias("pipeline"), F.lit("FAIL").alias("status"),
-        F.lit(False).alias("success"), F.lit(out.run_id).alias("run_id"),
-        *[F.lit(check[c]).cast("string").alias(c)
-          for c in ("check_name", "column", "expectation_type", "observed_value", "expected_value", "details")],
-        F.lit(at).cast("timestamp").alias("timestamp"),
+        F.lit(False).alias("success"), F.lit(out.run_id).alias("run_id"), *columns, F.lit(at).cast("timestamp").alias("timestamp"),
     )
     owners = one_row(spark).select(F.lit(dataset).alias("dataset"), F.lit(contract.get("owner")).cast("string").alias("owner"))
-    failure = incidents.failures(row, owners)
-    stores.append_log(failure, root, "incidents")
-    out.incident = failure.first().asDict()
-    stores.append_log(_lineage_event(spark, out.run_id, "FAIL", at, list(inputs), []), root, "lineage_events")
-    stores.append_log(_run_row(spark, out.run_id, "FAILED", at, total_ms, message), root, "pipeline_runs")
+    failures = incidents.failures(rows, owners)
+    out.incident = failures.first().asDict()
+    if stores.path_exists(spark, f"{root}/incidents"):
+        # a failure whose incident another run has opened is the same incident
+        known = stores.read_log(spark, root, "incidents").filter(F.col("run_id") != out.run_id).select("failure_signature").distinct()
+        failures = failures.join(known, "failure_signature", "left_anti").select(failures.columns)
+    stores.write_log(failures, root, "incidents", out.run_id)
+    stores.write_log(_lineage_event(spark, out.run_id, "FAIL", at, list(inputs), []), root, "lineage_events", f"{out.run_id}.end")
+    stores.write_log(_run_row(spark, out.run_id, "FAILED", at, total_ms, message), root, "pipeline_runs", out.run_id)
 
 
 def validate_dataset(

@@ -27,9 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
+    """The shared folder the cluster names; a local one only where the session runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidegate-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -56,8 +58,3 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def one_row(spark: SparkSession) -> DataFrame:
     """A frame of one row in one partition, to select literals from."""
     return spark.range(0, 1, 1, 1)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (very large where it knows nothing)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

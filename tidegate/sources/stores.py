@@ -23,20 +23,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_offline(snapshot: DataFrame, root: str, entity: str, ts: str = "feature_timestamp") -> str:
-    """Snapshot rows below ``offline/<entity>/as_of_date=...``; a day is replaced as a whole."""
+    """Snapshot rows below ``offline/<entity>/as_of_date=.../as_of=...``.
+
+    A snapshot replaces an earlier one of exactly the same time; others of the day stay.
+    """
     path = f"{root}/offline/{entity}"
     (
-        snapshot.withColumn("as_of_date", F.to_date(ts))
+        snapshot.withColumns({"as_of_date": F.to_date(ts), "as_of": F.concat(F.lit("us_"), F.unix_micros(ts))})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("as_of_date")
+        .partitionBy("as_of_date", "as_of")
         .parquet(path)
     )
     return path
 
 
 def read_offline(spark: SparkSession, root: str, entity: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/offline/{entity}").drop("as_of_date")
+    return spark.read.parquet(f"{root}/offline/{entity}").drop("as_of_date", "as_of")
 
 
 def write_changes(rows: DataFrame, path: str, change_id: str) -> None:
@@ -55,18 +58,20 @@ def change_count(spark: SparkSession, path: str, change_id: str) -> int:
     return spark.read.parquet(path).filter(F.col("change_id").cast("string") == change_id).count()
 
 
-def append_log(rows: DataFrame, root: str, name: str) -> None:
-    rows.write.mode("append").parquet(f"{root}/{name}")
+def write_log(rows: DataFrame, root: str, name: str, entry: str) -> None:
+    """Log rows of one entry (a run, or a step of it); the same entry again replaces them."""
+    rows.withColumn("log_entry", F.lit(f"entry_{entry}")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("log_entry").parquet(f"{root}/{name}")
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/{name}").drop("log_entry")
 
 
 def mark_published(spark: SparkSession, root: str, run_id: str, at: dt.datetime) -> None:
     """The pointer row that makes a run's online rows visible, written last."""
     row = one_row(spark).select(F.lit(run_id).alias("change_id"), F.lit(at).cast("timestamp").alias("published_at"))
-    append_log(row, root, "published")
+    write_log(row, root, "published", run_id)
 
 
 def read_online(spark: SparkSession, root: str) -> DataFrame | None:
@@ -92,6 +97,7 @@ def materialization_log_row(
 
 
 def write_quality(results: DataFrame, runs: DataFrame, root: str) -> None:
-    """Persist a validation run and its check rows (one action each, both tiny)."""
-    append_log(results, root, "quality_results")
-    append_log(runs, root, "quality_runs")
+    """Persist a validation run and its check rows (one action each, both tiny); a run id written again is replaced."""
+    entry = runs.first()["run_id"]
+    write_log(results, root, "quality_results", entry)
+    write_log(runs, root, "quality_runs", entry)
