@@ -40,7 +40,7 @@ from tidegate.llm.components import Forest, components
 from tidegate.llm.registry import query
 from tidegate.session import stage_table
 
-HEAVY = 1 << 15
+HEAVY = 1 << 20
 GROUP = 256
 COMPARED = 16
 BLOCK_BYTES = 8 << 20
