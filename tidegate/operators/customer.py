@@ -15,9 +15,10 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, HOUR
-from tidegate.operators.slices import fit_slice, slice_sql
+from tidegate.operators.slices import Running, fit_slice, running, slice_sql, with_previous
 from tidegate.sources.tables import CHANNELS
 
 WINDOWS = {"1h": HOUR, "6h": 6 * HOUR, "12h": 12 * HOUR, "24h": DAY, "3d": 3 * DAY,
@@ -319,3 +320,21 @@ def customer_features(
         # d / (d + 100) keeps the degree in [0, 1) on a graph of any size
         "coalesce(h_shared / (h_shared + 100D), 0D) AS network_risk_centrality_score",
     )
+
+
+def sessions(txn: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Customer sessions: runs of events closer together than the gap, by slices of a customer's time.
+
+    A session starts where the event before is a gap or more away; its number is a running
+    count, so no task needs a whole customer.
+    """
+    rows = txn.filter("customer_id IS NOT NULL AND ts IS NOT NULL").select("customer_id", "ts", "transaction_id")
+    order = ["customer_id"], "ts", "transaction_id"
+    width = fit_slice(rows, ["customer_id"], "ts")
+    marked = with_previous(rows, *order, slice_seconds=width).withColumn("_new", F.expr(
+        f"CASE WHEN _prev IS NULL OR unix_micros(ts) - unix_micros(_prev.ts) >= {gap_seconds} * 1000000L THEN 1L ELSE 0L END"))
+    numbered = running(marked, *order, {"_session": Running(F.col("_new"))}, width)
+    return numbered.groupBy("customer_id", "_session").agg(
+        F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("events"), F.max("ts").alias("_last")
+    ).selectExpr("customer_id", "created_at", "events",
+                 "cast(round((unix_micros(_last) - unix_micros(created_at)) / 1e6) AS bigint) AS duration_seconds")

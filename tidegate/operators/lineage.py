@@ -104,7 +104,7 @@ def edges(events: DataFrame) -> DataFrame:
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("src", "dst", "pipeline_id").agg(
         F.max_by("edge_type", F.struct("at", "run_id")).alias("edge_type"),
-        F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"),
+        F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"), F.max("at").alias("at"),
     ).withColumnsRenamed({"src": "source_dataset", "dst": "target_dataset"})
 
 

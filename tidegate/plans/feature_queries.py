@@ -12,7 +12,6 @@ from tidegate.operators.customer import RiskParams
 from tidegate.operators.slices import trailing
 from tidegate.plans.registry import query, r
 from tidegate.sources import tables as t
-from tidegate.streaming import jobs
 
 # amounts in the supplied events stay below 500, so the thresholds are set to match
 PARAMS = RiskParams(high_value=100.0, reporting_threshold=300.0)
@@ -323,7 +322,7 @@ def burst_windows(spark, sf):
     """The busiest ten minutes of every customer."""
     rows = trailing(
         t.bind_transactions(spark, sf).select("transaction_id", "customer_id", "ts", "amount"), ["customer_id"], "ts",
-        {"n": "1", "a": "amount"}, {"10min": 600}, slice_seconds=600,
+        {"n": "1", "a": "amount"}, {"10min": 600},
     )
     return rows.groupBy("customer_id").agg(
         F.max("n_10min").cast("bigint").alias("most_txns_10min"), F.max("a_10min").alias("most_amount_10min")
@@ -393,7 +392,7 @@ def asof_join_ttl(spark, sf):
     refunds = t.bind_transactions(spark, sf).filter(F.col("status") == "REFUNDED").select(
         "customer_id", F.col("ts").alias("feature_timestamp"), F.col("amount").alias("refund")
     )
-    joined = asof.asof_join(obs, refunds, "customer_id", "ts", ttl_seconds=DAY, slice_seconds=6 * HOUR)
+    joined = asof.asof_join(obs, refunds, "customer_id", "ts", ttl_seconds=DAY)
     return joined.select("transaction_id", "feature_timestamp", F.coalesce("refund", F.lit(-1.0)).alias("refund"))
 
 
@@ -522,7 +521,7 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY customer_id ORDER BY ts) AS s FROM
 SELECT customer_id, min(ts) AS created_at, count(*) AS events, CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS duration_seconds
 FROM i GROUP BY customer_id, s""")
 def user_sessions(spark, sf):
-    return jobs.sessions(t.bind_transactions(spark, sf))
+    return customer.sessions(t.bind_transactions(spark, sf))
 
 
 # -- training ----------------------------------------------------------------------------------------
@@ -530,7 +529,8 @@ def user_sessions(spark, sf):
 @query("trailing_extremes", f"""WITH priced AS (
   SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey, l_shipdate AS ts,
          CASE WHEN l_orderkey % 97 = 0 THEN 1e9 + l_extendedprice ELSE l_extendedprice END AS price FROM lineitem)
-SELECT line_id, {r("sum(price) OVER w7")} AS price_7d, {r("sum(price) OVER w30")} AS price_30d,
+SELECT line_id, CAST(sum(CAST(price AS DECIMAL(18,2))) OVER w7 AS DECIMAL(18,2)) AS price_7d,
+  CAST(sum(CAST(price AS DECIMAL(18,2))) OVER w30 AS DECIMAL(18,2)) AS price_30d,
   CAST(count(*) OVER w30 AS DOUBLE) AS n_30d FROM priced
 WINDOW w7 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW),
   w30 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
@@ -540,7 +540,7 @@ def trailing_extremes(spark, sf):
         "l_orderkey * 10 + l_linenumber AS line_id", "l_suppkey", "cast(l_shipdate AS timestamp) AS ts",
         "CASE WHEN l_orderkey % 97 = 0 THEN 1e9D + l_extendedprice ELSE l_extendedprice END AS price")
     out = trailing(priced, ["l_suppkey"], "ts", {"price": "price", "n": "1"}, {"7d": 7 * DAY, "30d": 30 * DAY}, wanted={"n": ["30d"]})
-    return out.select("line_id", "price_7d", "price_30d", "n_30d")
+    return out.selectExpr("line_id", "cast(price_7d AS decimal(18,2)) AS price_7d", "cast(price_30d AS decimal(18,2)) AS price_30d", "n_30d")
 
 
 @query("stratified_split", f"""WITH {TXN}

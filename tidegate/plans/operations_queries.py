@@ -180,11 +180,11 @@ def lineage_run_facets(spark, sf):
 
 @query("lineage_edges", f"WITH {LIN} SELECT src AS source_dataset, dst AS target_dataset, pipe AS pipeline_id, kind AS edge_type, run_id FROM edges")
 def lineage_edges(spark, sf):
-    return lineage.edges(derived.lineage_events(spark, sf))
+    return lineage.edges(derived.lineage_events(spark, sf)).drop("at")
 
 
 MAPPED = """map AS (SELECT 'ds_' || j AS sd, 'c_' || (x % 3) AS sc, 'ds_' || ((j * 3 + 1) % 60) AS td, 'c_' || ((j + 2) % 3) AS tc, 'pipe_' || j AS pipe,
-  'rule ' || (j % 7) AS rule, arg_max(run_id, ts) AS run_id, max(ts) AS at FROM st, (VALUES (0), (1)) AS v(o), LATERAL (SELECT j + o AS x) WHERE ends GROUP BY ALL)"""
+  'rule ' || (j % 7) AS rule, arg_max(run_id, ts) AS run_id, max(ts) AS mapped_at FROM st, (VALUES (0), (1)) AS v(o), LATERAL (SELECT j + o AS x) WHERE ends GROUP BY ALL)"""
 
 
 @query("lineage_column_mappings", f"""WITH {LIN}, {MAPPED}
@@ -195,7 +195,7 @@ def lineage_column_mappings(spark, sf):
 
 @query("lineage_column_lookup", f"""WITH {LIN}, {MAPPED}
 SELECT tc AS target_column, '[' || string_agg(DISTINCT '{{"source_dataset":"' || sd || '","source_column":"' || sc || '"}}', ',' ORDER BY '{{"source_dataset":"' || sd || '","source_column":"' || sc || '"}}') || ']' AS source_columns,
-  arg_max(rule, ROW(at, run_id, rule)) AS transformation, arg_max(pipe, ROW(at, run_id, rule)) AS pipeline, arg_max(run_id, ROW(at, run_id, rule)) AS run_id FROM map WHERE td = 'ds_4' GROUP BY tc""")
+  arg_max(rule, ROW(mapped_at, run_id, rule)) AS transformation, arg_max(pipe, ROW(mapped_at, run_id, rule)) AS pipeline, arg_max(run_id, ROW(mapped_at, run_id, rule)) AS run_id FROM map WHERE td = 'ds_4' GROUP BY tc""")
 def lineage_column_lookup(spark, sf):
     """Sources of every column of one dataset, its name given in another case."""
     return lineage.column_lineage(lineage.column_mappings(derived.lineage_events(spark, sf)), "DS_4")

@@ -14,7 +14,7 @@ from tidegate.plans import publish
 from tidegate.plans import table_contracts as c
 from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound
 from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED
-from tidegate.plans.registry import query, r
+from tidegate.plans.registry import ORACLES, query, r
 from tidegate.session import scratch
 from tidegate.sources import derived, stores
 from tidegate.sources import tables as t
@@ -168,18 +168,16 @@ SELECT 'inc_' || substr(failure_signature, 5, 12) || '_' || opened_by AS inciden
 def stream_incidents(spark, sf):
     """Incident deduplication over several batches equals the batch result."""
     signals = derived.incident_signals(spark, sf)
-    feed = scratch(spark, "signals")
-    # three files in order of time, one per batch
+    feed, path, state = scratch(spark, "signals"), scratch(spark, "incidents"), scratch(spark, "incidents-state")
+    # three deliveries in order of time, a folder and a run of the stream each
     bounds = signals.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
     step = (bounds["b"] - bounds["a"]) / 3
     for i in range(3):
         part = signals.filter(F.col("timestamp") >= F.lit(bounds["a"] + step * i).cast("timestamp")) if i else signals
         if i < 2:
             part = part.filter(F.col("timestamp") < F.lit(bounds["a"] + step * (i + 1)).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(feed)
-    stream = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    path = scratch(spark, "incidents")
-    jobs.track_incidents(stream, path, scratch(spark, "incidents-state"))
+        part.write.parquet(f"{feed}/{i}")
+        jobs.track_incidents(spark.readStream.schema(signals.schema).parquet(f"{feed}/*"), path, state)
     return jobs.read_incidents(spark, path).select("incident_id", "opened_at", "failure_count", "last_failure_at", "resolved_at")
 
 
@@ -247,3 +245,27 @@ def stream_lineage(spark, sf):
     stream = lineage.read_events(spark, feed, stream=True)
     jobs.ingest_lineage(stream, path, scratch(spark, "lineage-state"))
     return jobs.read_runs(spark, path).select("run_id", "pipeline_id", "status", "start_time", "end_time")
+
+
+def taken_in(spark, sf):
+    """Lineage events delivered in two runs of the stream, the later half of the time first."""
+    events = derived.lineage_events(spark, sf)
+    feed, path, state = scratch(spark, "run-events"), scratch(spark, "lineage"), scratch(spark, "lineage-state")
+    middle = events.agg(F.expr("timestamp_micros(cast(avg(unix_micros(eventTime)) AS bigint))")).first()[0]
+    late = F.col("eventTime") >= F.lit(middle)
+    for i, part in enumerate((events.filter(late), events.filter(~late))):
+        part.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{feed}/{i}")
+        jobs.ingest_lineage(lineage.read_events(spark, f"{feed}/*", stream=True), path, state)
+    return path
+
+
+@query("stream_lineage_edges", ORACLES["lineage_edges"])
+def stream_lineage_edges(spark, sf):
+    """Edges from files out of order equal those of the whole log."""
+    return jobs.read_edges(spark, taken_in(spark, sf))
+
+
+@query("stream_lineage_mappings", ORACLES["lineage_column_mappings"])
+def stream_lineage_mappings(spark, sf):
+    """Column mappings from files out of order equal those of the whole log."""
+    return jobs.read_mappings(spark, taken_in(spark, sf)).drop("at")

@@ -91,7 +91,7 @@ def daily_customers(txn: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def sessions(txn: DataFrame, gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Customer sessions: events no further apart than the gap (batch or stream)."""
+    """Customer sessions of a stream; ``operators.customer.sessions`` is the batch form."""
     s = F.session_window("ts", gap)
     return (
         txn.withWatermark("ts", watermark)
@@ -226,10 +226,15 @@ def gate_batches(txn: DataFrame, contract: Mapping, good: str, bad: str, checkpo
 
 
 def ingest_lineage(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Run events to partial run states per batch; ``read_runs`` folds them."""
+    """Run events to edges, column mappings and events per batch; the readers fold them by event time."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_changes(lineage.edges(batch), f"{path}/edges", f"batch-{batch_id}")
-        write_changes(batch, f"{path}/events", f"batch-{batch_id}")
+        batch = batch.persist()
+        try:
+            write_changes(lineage.edges(batch), f"{path}/edges", f"batch-{batch_id}")
+            write_changes(lineage.column_mappings(batch), f"{path}/mappings", f"batch-{batch_id}")
+            write_changes(batch, f"{path}/events", f"batch-{batch_id}")
+        finally:
+            batch.unpersist()
 
     run_batches(events, handle, checkpoint)
 
@@ -240,9 +245,16 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Edges over all batches, the last batch that saw an edge winning."""
-    rows = spark.read.parquet(f"{path}/edges")
-    batch = F.regexp_extract(F.col("change_id").cast("string"), r"(\d+)$", 1).cast("bigint")
-    return rows.groupBy("source_dataset", "target_dataset", "pipeline_id").agg(
-        F.max_by("edge_type", batch).alias("edge_type"), F.max_by("run_id", batch).alias("run_id")
+    """Edges over all batches, the latest event that gave an edge winning, however late its file came."""
+    newest = F.struct("at", "run_id")
+    return spark.read.parquet(f"{path}/edges").groupBy("source_dataset", "target_dataset", "pipeline_id").agg(
+        F.max_by("edge_type", newest).alias("edge_type"), F.max_by("run_id", newest).alias("run_id")
     )
+
+
+def read_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """Column mappings over all batches, the latest event winning."""
+    newest = F.struct("at", "run_id", "transformation")
+    return spark.read.parquet(f"{path}/mappings").groupBy(
+        "source_dataset", "source_column", "target_dataset", "target_column", "pipeline_id"
+    ).agg(F.max_by("transformation", newest).alias("transformation"), F.max_by("run_id", newest).alias("run_id"), F.max("at").alias("at"))
