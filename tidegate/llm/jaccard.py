@@ -6,8 +6,9 @@ only these leading tokens are indexed.  The order puts rare tokens first: the mo
 ones (``HEAVY`` at most, from counts over all texts) come last by count, so passages that many
 documents share seldom lead; any order gives the same result.
 
-1. Leading tokens that may be the first common one of two sets, by their ranks and the sets'
-   sizes, are kept; sets without any are alone.
+1. Leading tokens that more than one set leads with are kept if two of these sets can link, by the
+   tokens' ranks, the sets' sizes, and how many leading tokens each shares at all; sets without
+   any are alone.
 2. Sets are partitioned into groups of similar ones: by their most widely shared leading token
    and a band of sizes, in parts of about ``GROUP`` sets.  The token-group matrix has a row for each (token, group).
 3. Groups whose matrix rows share a token, and whose sizes are compatible, are candidates.  The
@@ -42,7 +43,7 @@ from tidegate.session import stage_table
 
 HEAVY = 1 << 20
 GROUP = 256
-COMPARED = 16
+LIST = 2048
 BLOCK_BYTES = 8 << 20
 FLUSH_TOKENS = 1_500_000
 
@@ -183,8 +184,8 @@ def may_link(n, m, i, j, percent: int):
     return (100 + percent) * np.minimum(n - i, m - j) >= percent * (n + m)
 
 
-def shared(packed: DataFrame, percent: int) -> DataFrame:
-    """(token, node) pairs of tokens that may be the first common one of two sets, and of heavy tokens."""
+def shared(packed: DataFrame) -> DataFrame:
+    """(token, node, n, rank) of tokens that lead more than one set, and of heavy tokens."""
 
     def run(t: pa.Table) -> pa.Table:
         token, node, size, rank = (
@@ -194,21 +195,65 @@ def shared(packed: DataFrame, percent: int) -> DataFrame:
         token, node = token[order], node[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, size, rank = token[new], node[new], size[order][new].astype(np.int64), rank[order][new].astype(np.int64)
+        token, node, size, rank = token[new], node[new], size[order][new], rank[order][new]
         if t.column("block")[0].as_py() >= 0:
-            use = np.zeros(len(token), bool)
-            for k in range(1, COMPARED + 1):  # every pair of a list of up to COMPARED + 1 sets; all of a longer one stay
-                same = token[k:] == token[:-k]
-                if k < COMPARED:
-                    same &= may_link(size[k:], size[:-k], rank[k:], rank[:-k], percent)
-                use[k:] |= same
-                use[:-k] |= same
-            long = token[COMPARED:][token[COMPARED:] == token[:-COMPARED]] if len(token) > COMPARED else token[:0]
-            use |= np.isin(token, long)
-            token, node = token[use], node[use]
-        return pa.table({"token": pa.array(token.view(np.int64)), "node": pa.array(node.view(np.int64))})
+            more = np.zeros(len(token) + 1, bool)
+            more[1:-1] = token[1:] == token[:-1]
+            use = more[1:] | more[:-1]
+            token, node, size, rank = token[use], node[use], size[use], rank[use]
+        return pa.table({"token": pa.array(token.view(np.int64)), "node": pa.array(node.view(np.int64)), "n": pa.array(size), "rank": pa.array(rank)})
 
-    return packed.groupBy("block").applyInArrow(run, "token long, node long")
+    return packed.groupBy("block").applyInArrow(run, "token long, node long, n int, rank int")
+
+
+def viable(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, node) pairs of tokens with which the set may meet a set it links with.
+
+    Of two sets that link, let A be the one whose leading tokens end first in the order: all
+    their common tokens up to there lead both.  A has s leading tokens that others lead with, and
+    n - p tokens beyond its p leading ones, so at most s + n - p are common, which bounds the size
+    of its partner by ``reach``.  Lists of tokens are compared as far as ``LIST`` sets; longer ones
+    stay as they are.
+    """
+    shared_by = rows.groupBy("node").agg(F.count("*").alias("s"))
+    sized = rows.join(shared_by, "node").withColumn("reach", F.floor(
+        (F.col("s") + F.floor((percent * F.col("n") + 99) / 100) - 1) * (100 + percent) / F.lit(percent) - F.col("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, long = 0, False
+        last = None
+        for batch in batches:
+            token = batch.column("token").to_numpy()
+            columns = [batch.column(c).to_numpy() for c in ("node", "n", "rank", "reach")]
+            edge = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1), len(token)]
+            for x, y in zip(edge, edge[1:]):
+                if token[x] != last:
+                    if held:
+                        yield from checked(last, held)
+                    last, held, size, long = token[x], [], 0, False
+                held.append([c[x:y] for c in columns])
+                size += y - x
+                if long or size > LIST:
+                    long = True
+                    yield kept(last, np.concatenate([h[0] for h in held]))
+                    held = []
+        if held:
+            yield from checked(last, held)
+
+    def checked(token, held):
+        node, n, rank, reach = (np.concatenate(c) for c in zip(*held))
+        if len(node) > 1:
+            n, rank = n.astype(np.int64), rank.astype(np.int64)
+            fits = may_link(n[:, None], n[None], rank[:, None], rank[None], percent) & ((n[None] <= reach[:, None]) | (n[:, None] <= reach[None]))
+            np.fill_diagonal(fits, False)
+            if (use := fits.any(1)).any():
+                yield kept(token, node[use])
+
+    def kept(token, node):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), token)), pa.array(node)], ["token", "node"])
+
+    return sized.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, node long")
 
 
 def grouped(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +324,8 @@ def links(docs: DataFrame, sets: DataFrame, heavy, size: int, percent: int) -> D
     """(a, b) links that connect exactly the sets that link."""
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, bytes_ / BLOCK_BYTES)))))
-    pairs = stage_table(shared(leading(docs, size, percent, heavy, bits), percent), "shared")
+    rows = stage_table(shared(leading(docs, size, percent, heavy, bits)), "shared")
+    pairs = stage_table(viable(rows, percent), "viable")
     sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("key").alias("key"))
     member = stage_table(grouped(pairs, sizes, percent), "groups")
     matrix = pairs.join(member.select("node", "gid"), "node").select("token", "gid").distinct()
@@ -305,8 +351,8 @@ def links(docs: DataFrame, sets: DataFrame, heavy, size: int, percent: int) -> D
     full = stage_table(full, "sets")
     kept = full.join(couples.select("gid").distinct(), "gid", "left_semi").selectExpr("gid", "false AS asks", "node", "tokens", "false AS home")
     asking = full.withColumnRenamed("gid", "asker").join(couples, "asker").selectExpr("gid", "true AS asks", "node", "tokens", "asker = gid AS home")
-    rows = kept.union(asking).repartition("gid").sortWithinPartitions("gid", "asks")
-    return opened(rows, percent).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    asked = kept.union(asking).repartition("gid").sortWithinPartitions("gid", "asks")
+    return opened(asked, percent).select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def similar_documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
