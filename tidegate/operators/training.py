@@ -82,6 +82,12 @@ class Fitted:
     model: object
     metrics: DataFrame
     metadata: DataFrame
+    split: DataFrame
+
+    def save(self, path: str) -> None:
+        """The model and, beside it, its metadata; an earlier one at the path is replaced."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def roc_auc(scored: DataFrame, probability: str, label: str = "label") -> DataFrame:
@@ -153,4 +159,4 @@ def train(data: DataFrame, features: list[str] | None = None, row_id: str = "tra
         F.array(*[F.lit(n) for n in names]).alias("features_used"),
         F.struct("roc_auc", "precision", "recall", "f1_score").alias("metrics"),
     )
-    return Fitted(model, measured, metadata)
+    return Fitted(model, measured, metadata, split)

@@ -578,11 +578,22 @@ def training_set(spark, sf):
     return training.training_set(txn, spine.snapshot_history(txn, "customer_id"), n=None, features=TRAIN_FEATURES)
 
 
-@query("train_fraud_model")
+@query("train_fraud_model", f"""WITH {TXN},
+drawn AS (SELECT is_fraud FROM txn ORDER BY md5(CAST(transaction_id AS VARCHAR) || '-42'), transaction_id LIMIT 5000),
+sides AS (SELECT is_fraud, count(*) AS n, CAST(round(count(*) * 0.75) AS BIGINT) AS train FROM drawn GROUP BY is_fraud)
+SELECT CAST(sum(train) AS BIGINT) AS train_rows, CAST(sum(train) FILTER (is_fraud = 1) AS BIGINT) AS train_positives,
+  CAST(sum(n - train) AS BIGINT) AS test_rows, CAST(sum(n - train) FILTER (is_fraud = 1) AS BIGINT) AS test_positives,
+  CAST(sum(n - train) AS BIGINT) AS measured_rows FROM sides""")
 def train_fraud_model(spark, sf):
-    """Metrics of the forest on the held-out rows; failing transactions are the label."""
-    txn = t.bind_transactions(spark, sf).withColumn("is_failed", (F.col("status") == "FAILED").cast("int"))
-    data = training.training_set(
-        txn, spine.snapshot_history(txn, "customer_id"), label="is_failed", features=TRAIN_FEATURES
-    )
-    return training.train(data, TRAIN_FEATURES, trees=10, depth=5).metrics
+    """The forest on fraud labels: rows and positives of both sides, and the rows its metrics count.
+
+    Scores of a forest have no SQL; its metrics are tested by properties.
+    """
+    txn = t.bind_transactions(spark, sf)
+    data = training.training_set(txn, spine.snapshot_history(txn, "customer_id"), features=TRAIN_FEATURES)
+    fitted = training.train(data, TRAIN_FEATURES)
+    sides = fitted.split.agg(
+        F.count_if("is_train").alias("train_rows"), F.count_if(F.col("is_train") & (F.col("label") == 1)).alias("train_positives"),
+        F.count_if(~F.col("is_train")).alias("test_rows"), F.count_if(~F.col("is_train") & (F.col("label") == 1)).alias("test_positives"))
+    measured = fitted.metrics.selectExpr("tp + fp + fn + tn AS measured_rows")
+    return sides.join(measured, how="cross")
