@@ -380,26 +380,32 @@ def quality_trend(spark, sf):
 
 # -- online store and scoring ---------------------------------------------------------------------
 
-SERVED = ["cust_txn_count_24h", "cust_failed_txn_count_24h", "cust_txn_amount_sum_7d"]
+SERVED = ["cust_txn_count_24h", "cust_failed_txn_count_24h", "cust_txn_amount_sum_7d", "burst_txn_count_10min"]
 FEAT = f"""feat AS (SELECT customer_id, count(*) FILTER ({inside("24h")}) AS n24, count(*) FILTER ({inside("24h")} AND status = 'FAILED') AS f24,
-  coalesce(sum(amount) FILTER ({inside("7d")}), 0) AS a7 FROM txn, now_at WHERE {inside("30d")} GROUP BY customer_id)"""
+  coalesce(sum(amount) FILTER ({inside("7d")}), 0) AS a7, count(*) FILTER (ts >= t - INTERVAL 10 MINUTE) AS b10 FROM txn, now_at WHERE {inside("30d")} GROUP BY customer_id)"""
+
+
+def served(txn, at):
+    """The published features of every customer at one time."""
+    burst = txn.filter(F.col("ts").between(F.lit(at - dt.timedelta(minutes=10)).cast("timestamp"), F.lit(at).cast("timestamp")))
+    counts = burst.groupBy("customer_id").agg(F.count(F.lit(1)).alias("burst_txn_count_10min"))
+    return velocity_features(txn, at).join(counts, "customer_id", "left").fillna(0, ["burst_txn_count_10min"]).withColumn(
+        "feature_timestamp", F.lit(at).cast("timestamp"))
 
 
 def online_table(spark, sf):
     """Two generations of customer vectors, the newer one a day later, upserted."""
     now, txn = bound(spark, sf)
-    fresh = velocity_features(txn, now).withColumn("feature_timestamp", F.lit(now).cast("timestamp"))
     before = now - dt.timedelta(days=1)
-    old = velocity_features(t.bind_transactions(spark, sf, before - dt.timedelta(days=30), before), before).withColumn(
-        "feature_timestamp", F.lit(before).cast("timestamp")
-    )
+    fresh = served(txn, now)
+    old = served(t.bind_transactions(spark, sf, before - dt.timedelta(days=30), before), before)
     rows = [online.to_online(x, "customer", "customer_id", F.lit(now), columns=SERVED) for x in (old, fresh)]
     return online.upsert(rows[0], rows[1])
 
 
 @query("online_vectors", f"""WITH {TXN}, {FEAT}
 SELECT 'features:customer:' || customer_id AS store_key, CAST(customer_id AS VARCHAR) AS entity_id, (SELECT t FROM now_at) AS feature_timestamp, {r("n24")} AS cust_txn_count_24h,
-  {r("f24")} AS cust_failed_txn_count_24h, {r("a7")} AS cust_txn_amount_sum_7d FROM feat""")
+  {r("f24")} AS cust_failed_txn_count_24h, {r("a7")} AS cust_txn_amount_sum_7d, {r("b10")} AS burst_txn_count_10min FROM feat""")
 def online_vectors(spark, sf):
     """Newest vector per entity after two materializations."""
     return online_table(spark, sf).select(
@@ -424,7 +430,7 @@ def online_lookup(spark, sf):
 
 
 SCORED = f"""{FEAT},
-s AS (SELECT x.transaction_id, x.customer_id, x.ts, least(0.99, greatest(0.02, least(0.5, x.amount / 2000.0 * 0.3) + coalesce(f24, 0) * 0.20)) AS raw
+s AS (SELECT x.transaction_id, x.customer_id, x.ts, least(0.99, greatest(0.02, least(0.5, x.amount / 2000.0 * 0.3) + coalesce(b10, 0) * 0.25 + coalesce(f24, 0) * 0.20)) AS raw
   FROM txn x LEFT JOIN feat USING (customer_id))"""
 
 

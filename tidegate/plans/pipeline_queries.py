@@ -13,7 +13,7 @@ from tidegate.operators.customer import velocity_features
 from tidegate.plans import publish
 from tidegate.plans import table_contracts as c
 from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound
-from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED
+from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED, served
 from tidegate.plans.registry import ORACLES, query, r
 from tidegate.session import scratch
 from tidegate.sources import derived, stores
@@ -155,7 +155,7 @@ def stream_online_upsert(spark, sf):
     feed = scratch(spark, "feed")
     for back in (1, 0):
         at = now - dt.timedelta(days=back)
-        velocity_features(txn, at).withColumn("feature_timestamp", F.lit(at).cast("timestamp")).write.mode("append").parquet(feed)
+        served(txn, at).write.mode("append").parquet(feed)
     stream = spark.readStream.schema(spark.read.parquet(feed).schema).option("maxFilesPerTrigger", 1).parquet(feed)
     path = scratch(spark, "online")
     jobs.materialize_online(stream.select("customer_id", "feature_timestamp", *SERVED), "customer", "customer_id", path, scratch(spark, "online-state"), now)
@@ -209,14 +209,13 @@ def stream_quality_gate(spark, sf):
 
 
 @query("stream_scoring", f"""WITH {TXN}, {FEAT},
-s AS (SELECT x.transaction_id, x.customer_id, x.ts, least(0.99, greatest(0.02, least(0.5, x.amount / 2000.0 * 0.3) + coalesce(f24, 0) * 0.20)) AS raw
+s AS (SELECT x.transaction_id, x.customer_id, x.ts, least(0.99, greatest(0.02, least(0.5, x.amount / 2000.0 * 0.3) + coalesce(b10, 0) * 0.25 + coalesce(f24, 0) * 0.20)) AS raw
   FROM txn x LEFT JOIN feat USING (customer_id))
 SELECT 'pred_' || transaction_id AS prediction_id, {r("round(raw + 1e-12, 4)")} AS risk_score, CAST(raw >= 0.5 AS BIGINT) AS prediction, ts AS created_at FROM s""")
 def stream_scoring(spark, sf):
     """Transactions scored as they arrive."""
     now, txn = bound(spark, sf)
-    rows = velocity_features(txn, now).withColumn("feature_timestamp", F.lit(now).cast("timestamp"))
-    current = to_online(rows, "customer", "customer_id", F.lit(now), columns=SERVED)
+    current = to_online(served(txn, now), "customer", "customer_id", F.lit(now), columns=SERVED)
     log = once(spark, jobs.score_stream(jobs.event_stream(spark, sf), current), "scores")
     return log.select("prediction_id", "risk_score", "prediction", "created_at")
 
