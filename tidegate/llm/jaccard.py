@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ from tidegate.session import stage_table
 HEAVY = 1 << 20
 GROUP = 256
 LIST = 2048
+FILTER_BITS = 1 << 24
 BLOCK_BYTES = 8 << 20
 FLUSH_TOKENS = 1_500_000
 
@@ -265,6 +267,27 @@ def grouped(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return choice.join(parts, ["token", "band"]).select("node", "n", "key", F.xxhash64("token", "band", F.pmod(F.xxhash64("node"), "parts")).alias("gid"))
 
 
+def key_filter(keys: DataFrame):
+    """A column function: whether a key may be among ``keys`` (never false for one that is).
+
+    A Bloom filter of FILTER_BITS bits, 2 MB whatever the data, spares most rows a shuffle of
+    their texts; beyond some ten million keys it passes nearly all rows, and only that is lost.
+    """
+    places = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(k)), F.lit(FILTER_BITS)) for k in range(2)])).alias("p"))
+    table_ = places.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[table_.column("w").to_numpy()] = table_.column("bits").to_numpy()
+
+    @F.pandas_udf("boolean")
+    def has(a: pd.Series, b: pd.Series) -> pd.Series:
+        hit = np.ones(len(a), bool)
+        for p in (a.to_numpy(), b.to_numpy()):
+            hit &= (bits[p // 64] >> (p % 64)) & 1 == 1
+        return pd.Series(hit)
+
+    return lambda key: has(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(FILTER_BITS)) for k in range(2)])
+
+
 class Group:
     """The sets of one group: token union, and which members hold each token."""
 
@@ -340,6 +363,7 @@ def links(docs: DataFrame, sets: DataFrame, heavy, size: int, percent: int) -> D
     couples = stage_table(couples.union(own), "couples")
     used = couples.select("gid").union(couples.select(F.col("asker").alias("gid"))).distinct()
     wanted = member.join(used, "gid", "left_semi").select("key", "node", "gid")
+    docs = docs.where(key_filter(wanted)("key"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -373,13 +397,19 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows, with all their columns, of one document of each group: the one of the smallest id; empty texts stay."""
     found = similar_documents(docs, size, percent).where("root IS NOT NULL")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    losers = found.join(first, "root").where("key <> first.key").select(F.col("key").alias("__loser")).distinct()
+    losers = found.join(first, "root").where("key <> first.key").select("key").distinct()
+    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    marked = stage_table(losers.withColumn("lost", F.lit(True)).unionByName(twice.withColumn("lost", F.lit(False)))
+                         .groupBy("key").agg(F.max("lost").alias("lost")), "losers").selectExpr("key AS __marked", "lost AS __lost")
     keyed_docs = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    rest = keyed_docs.join(losers, F.col("__key") == F.col("__loser"), "left_anti")
-    # equal rows share a key; of those with words one stays
+    may = key_filter(marked.withColumnRenamed("__marked", "key"))
+    seen = keyed_docs.withColumn("__may", may(F.col("__key")))
+    # equal rows share a key; of those with words (others are not among the marked) one stays
     nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    rest = rest.withColumn("__nth", nth).where(F.expr(r"__nth = 1 OR NOT coalesce(text, '') RLIKE '[^\\x20\\x09-\\x0D]'"))
-    return rest.select([F.col(f"`{c}`") for c in docs.columns])
+    met = seen.where("__may").join(marked, F.col("__key") == F.col("__marked"), "left").where("NOT coalesce(__lost, false)")
+    met = met.withColumn("__nth", nth).where("__nth = 1 OR __marked IS NULL")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return seen.where("NOT __may").select(names).union(met.select(names))
 
 
 @query("op8_jaccard")
