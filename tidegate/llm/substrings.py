@@ -231,10 +231,12 @@ def refine_suffixes(docs: DataFrame, rows: DataFrame, length: int, gram: int) ->
                 # the pair of bucket identifiers, at the suffix and one gram later
                 pair = mix(span_hash(sums, at, at + gram) * np.uint64(3) + span_hash(sums, at + length - gram, at + length))
                 place = mix(bucket[row].view(np.uint64) + (lead[row] - at).astype(np.uint64))
+                # a partner is only compared with: where it lies is not needed, and zeros shuffle small
+                own, doc_id = state[row] == _MIXED, batch.column("doc_id")[i].as_py()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(place.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(np.full(len(at), batch.column("key")[i].as_py())),
-                    pa.array([batch.column("doc_id")[i].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)),
-                    pa.array(state[row] == _MIXED)], ["place", "pair", "key", "doc_id", "lo", "mixed"])
+                    pa.array(place.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(np.where(own, batch.column("key")[i].as_py(), 0)),
+                    pa.array(np.full(len(at), doc_id or 0), pa.int64(), mask=np.full(len(at), doc_id is None) | ~own),
+                    pa.array(np.where(own, at, 0).astype(np.int32)), pa.array(own)], ["place", "pair", "key", "doc_id", "lo", "mixed"])
 
     suffixes = texts.mapInArrow(run, "place long, pair long, key long, doc_id long, lo int, mixed boolean")
 
