@@ -45,6 +45,7 @@ from tidegate.session import stage_table
 HEAVY = 1 << 20
 GROUP = 256
 LIST = 2048
+STRIP = 128
 FILTER_BITS = 1 << 24
 BLOCK_BYTES = 8 << 20
 FLUSH_TOKENS = 1_500_000
@@ -246,10 +247,13 @@ def viable(rows: DataFrame, percent: int) -> DataFrame:
     def checked(token, held):
         node, n, rank, reach = (np.concatenate(c) for c in zip(*held))
         if len(node) > 1:
-            n, rank = n.astype(np.int64), rank.astype(np.int64)
-            fits = may_link(n[:, None], n[None], rank[:, None], rank[None], percent) & ((n[None] <= reach[:, None]) | (n[:, None] <= reach[None]))
-            np.fill_diagonal(fits, False)
-            if (use := fits.any(1)).any():
+            n, rank, use = n.astype(np.int64), rank.astype(np.int64), np.zeros(len(node), bool)
+            for at in range(0, len(node), STRIP):  # in strips, so a long list takes little memory
+                i = slice(at, at + STRIP)
+                fits = may_link(n[i, None], n[None], rank[i, None], rank[None], percent) & ((n[None] <= reach[i, None]) | (n[i, None] <= reach[None]))
+                fits[np.arange(len(fits)), np.arange(at, at + len(fits))] = False
+                use[i] = fits.any(1)
+            if use.any():
                 yield kept(token, node[use])
 
     def kept(token, node):
