@@ -2,7 +2,7 @@
 
 Restaurants: one per context and one root that all contexts share as parent; the root's base
 measure is uniform over the V training words and one unknown word.  A context is the class of
-the word before (21 classes of ending, length and alphabet, and the start of a text).  Seating
+the word before (20 classes by ending, length and alphabet, or the start of a text).  Seating
 is sampled by Gibbs: a sweep takes all customers of a dish out of a restaurant and seats them
 again one after another, given everybody else and the parent's current predictive, dish by
 dish; every table of a context is a customer of the root.  Customers are kept as table counts,
