@@ -197,6 +197,43 @@ def test_recall_at_the_largest_distance(spark, sf_dir):
     assert found >= 0.95 * n
 
 
+@pytest.mark.parametrize("size", [20, 30, 40, 59, 100, 200])
+@pytest.mark.parametrize("kind", ["out", "in", "cut"])
+def test_recall_of_one_kind_of_edit(size, kind):
+    r = np.random.default_rng(size)
+    word = lambda: f"w{r.integers(0, 1 << 40)}"
+    items = [[word() for _ in range(n)] for n in (size, size * 4 // 5 + 1) for _ in range(30)]
+    block, found = decontamination.Benchmark([(j, " ".join(t)) for j, t in enumerate(items)]), []
+    for j, t in enumerate(items):
+        for _ in range(5):
+            k, w = decontamination.edits(len(t)), list(t)
+            at = int(r.integers(0, len(w) - k + 1))
+            if kind == "cut":
+                del w[at: at + k]
+            for _ in range(k if kind != "cut" else 0):
+                if kind == "out":
+                    del w[int(r.integers(0, len(w)))]
+                else:
+                    w.insert(int(r.integers(1, len(w))), word())
+            text = " ".join([word() for _ in range(40)] + w + [word() for _ in range(40)])
+            found.append(any(x[1] == j for x in block.find([text])))
+    exact = all(c["plan"] is None for c in block.classes)
+    assert exact == (size >= 30) and np.mean(found) >= (1 if exact else 0.97)
+
+
+def test_shared_grams_find_all_that_brute_force_finds(monkeypatch):
+    monkeypatch.setattr(decontamination, "plan", lambda *_: None)
+    monkeypatch.setattr(decontamination, "POSTINGS", 50)
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        items = [r.integers(0, 4, int(n)).tolist() for n in r.integers(1, 14, 12)]
+        text = r.integers(0, 4, 60).tolist()
+        block = decontamination.Benchmark([(j, " ".join(map(str, t))) for j, t in enumerate(items)])
+        got = {(x[1], x[4]) for x in block.find([" ".join(map(str, text))])}
+        least = [min(min(plain_distance(t, text[s: s + 2 * len(t)])) for s in range(len(text))) for t in items]
+        assert got == {(j, d) for j, d in enumerate(least) if d <= decontamination.edits(len(items[j]))}
+
+
 def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     items = spark.createDataFrame([(1, "No ID, here at all TODAY"), (2, None), (3, ""), (4, "..."), (None, "word")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.find_passages(odd_documents, items).collect()}

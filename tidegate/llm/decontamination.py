@@ -3,9 +3,13 @@
 The CGK random walk reads a word sequence with a pointer: at each step it writes the word
 under the pointer and a random bit of (walk, step, word) decides whether the pointer moves on.
 Sequences at a small edit distance give outputs at a small Hamming distance, so windows and
-items that agree at a few sampled steps are candidates; walks and samples are repeated until
-the target recall is reached at the largest allowed distance.  Every candidate is then checked
-by the exact edit distance in words between the item and the window's best ending.
+items that agree at a few sampled steps are candidates.  For each length class, ``plan`` tries
+edited random passages at the full edit budget (words left out, put in, exchanged, and one cut
+of neighbours) and takes the first walks and sampled steps that find ``TARGET`` of each kind.
+A class for which none does, as all of longer items, is searched without the walk: every window
+and item that share as many word n-grams as an item must keep are candidates, so none is lost.
+Every candidate is then checked by the exact edit distance in words between the item and the
+window's best ending.
 
 Windows start at every word and have the size of the items of their length class.  A window is
 embedded only if enough of its word trigrams occur in the benchmark (with at most k edits an
@@ -24,6 +28,7 @@ and kept by ``clean``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +40,11 @@ from tidegate.llm.common import identified, mix, prefix_hash, slices, span_hash,
 from tidegate.llm.registry import query
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, SAMPLED = 6, 10, 3
+TARGET, TRIALS = 0.99, 400
+PLANS = ((6, 3), (6, 2), (12, 2))  # walks and sampled steps, cheapest first; one step would meet every common word
+SAMPLES = 10
+EDIT_KINDS = ("out", "in", "other", "cut")
+POSTINGS = 2_000_000  # shared grams held at once
 CLASS_RATIO = 1.25
 GRAM = 3
 BLOCK_ITEMS = 20_000
@@ -85,17 +94,60 @@ def walk_steps(width: int) -> int:
     return width + (width + 1) // 2
 
 
-def signatures(out: np.ndarray, walk: int, width: int) -> Iterator[np.ndarray]:
+def signatures(out: np.ndarray, walk: int, width: int, sampled: int) -> Iterator[np.ndarray]:
     """Keys from sampled steps."""
     r = np.random.default_rng([walk, width])
     for s in range(SAMPLES):
-        at = np.sort(r.choice(out.shape[1], min(SAMPLED, out.shape[1]), replace=False))
+        at = np.sort(r.choice(out.shape[1], min(sampled, out.shape[1]), replace=False))
         key = np.full(len(out), s + SAMPLES * walk, np.uint64)
         for a in at:
             key = mix(key * np.uint64(3) + out[:, a])
         yield key
 
 
+def edited(item: np.ndarray, k: int, kind: str, r: np.random.Generator) -> np.ndarray:
+    """The item after k edits of one kind at random places, from its first kept word on."""
+    n = len(item)
+    fresh = lambda: r.integers(1, 1 << 63, k).astype(np.uint64)
+    if kind == "in":
+        return np.insert(item, r.integers(1, n + 1, k), fresh())
+    at = r.integers(0, n - k + 1) + np.arange(k) if kind == "cut" else r.choice(n, k, replace=False)
+    if kind != "other":
+        return np.delete(item, at)
+    out = item.copy()
+    out[at] = fresh()
+    return out[np.flatnonzero(out == item)[0]:]
+
+
+@lru_cache(maxsize=None)
+def plan(low: int, high: int, similarity: float) -> tuple[int, int] | None:
+    """The first of PLANS that finds TARGET of the passages of every kind of edit in a class, or None."""
+    cases = [(n, kind) for n in {low, high} for kind in EDIT_KINDS if edits(n, similarity)]
+    left = list(PLANS)
+    for n, kind in cases:
+        r = np.random.default_rng([n, low])
+        items, windows = np.zeros((2, TRIALS, low), np.uint64)
+        for a, b in zip(items, windows):
+            item = r.integers(1, 1 << 63, n).astype(np.uint64)
+            a[:] = item[:low]
+            text = edited(item, edits(n, similarity), kind, r)[:low]
+            b[:] = r.integers(1, 1 << 63, low).astype(np.uint64)  # the text goes on after the passage
+            b[: len(text)] = text
+        while left:
+            walks, sampled = left[0]
+            found = np.zeros(TRIALS, bool)
+            for walk in range(walks):
+                pair = [signatures(embed(x, walk, walk_steps(low)), walk, low, sampled) for x in (items, windows)]
+                for x, y in zip(*pair):
+                    found |= x == y
+            if found.mean() >= TARGET:
+                break
+            left.pop(0)
+        if not left:
+            return None
+    return left[0] if left else PLANS[0]
+
+
 def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of the item to a beginning of each window, and that beginning's length."""
     n, width = windows.shape
@@ -110,6 +162,11 @@ def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nda
     return d[np.arange(n), end], end
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n following places from each start on."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 class Benchmark:
     """The signatures of a block of items."""
 
@@ -140,15 +197,29 @@ class Benchmark:
         rows = np.zeros((end - at, low), np.uint64)
         for r, (_, w) in zip(rows, self.items[at:end]):
             r[:] = w[:low]
+        heads = [w[: edits(len(w), self.similarity) + 1] for _, w in self.items[at:end]]
+        out = {"from": at, "to": end, "low": low, "reach": high + edits(high, self.similarity), "gram": gram,
+               "least": max(1, keep[gram]), "heads": np.sort(np.concatenate(heads)), "plan": plan(low, high, self.similarity)}
+        if out["plan"] is None:
+            return out | self.shared(at, heads, gram)
         keys, owner = [], []
-        for walk in range(WALKS):
-            for key in signatures(embed(rows, walk, walk_steps(low)), walk, low):
+        for walk in range(out["plan"][0]):
+            for key in signatures(embed(rows, walk, walk_steps(low)), walk, low, out["plan"][1]):
                 keys.append(key)
                 owner.append(np.arange(at, end))
         keys, owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(keys, kind="stable")
-        return {"from": at, "to": end, "low": low, "reach": high + edits(high, self.similarity), "gram": gram,
-                "least": max(1, keep[gram]), "heads": np.sort(np.concatenate([w[: edits(len(w), self.similarity) + 1] for _, w in self.items[at:end]])), "keys": keys[order], "owner": owner[order]}
+        return out | {"keys": keys[order], "owner": owner[order]}
+
+    def shared(self, at: int, heads: list[np.ndarray], gram: int) -> dict:
+        """Which items hold each gram and how often, how many grams an item keeps, and what it can begin with."""
+        lists = [np.unique(grams(w, gram), return_counts=True) for _, w in self.items[at: at + len(heads)]]
+        keys, times = (np.concatenate(x) for x in zip(*lists))
+        owner = np.repeat(np.arange(len(lists)), [len(k) for k, _ in lists])
+        order = np.argsort(keys, kind="stable")
+        need = [max(1, len(w) - gram + 1 - edits(len(w), self.similarity) * gram) for _, w in self.items[at: at + len(heads)]]
+        begin = [mix(h + np.uint64(i)) for i, h in enumerate(heads)]
+        return {"keys": keys[order], "owner": owner[order], "times": times[order], "need": np.array(need), "begin": np.sort(np.concatenate(begin))}
 
     def find(self, texts: list[str]) -> list[tuple[int, int | None, int, int, int]]:
         """(text, item, first word, words, distance) of the best window of every text and item."""
@@ -178,19 +249,53 @@ class Benchmark:
                 self.compare(c, h, stop, starts[at: at + 8192], doc, first, best)
         return [(d, self.items[i][0], s, n, k) for (d, i), (k, s, n) in sorted(best.items())]
 
-    def compare(self, c, h, stop, starts, doc, first, best) -> None:
-        place = starts[:, None] + np.arange(c["reach"])
-        rows = np.where(place < stop[starts][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
+    def near(self, c, h, starts, rows) -> np.ndarray:
+        """Pairs (item, line) that agree at the sampled steps of a walk."""
         pairs = []
-        for walk in range(WALKS):
-            for key in signatures(embed(rows[:, : c["low"]], walk, walk_steps(c["low"])), walk, c["low"]):
+        walks, sampled = c["plan"]
+        for walk in range(walks):
+            for key in signatures(embed(rows[:, : c["low"]], walk, walk_steps(c["low"])), walk, c["low"], sampled):
                 left, right = np.searchsorted(c["keys"], key, "left"), np.searchsorted(c["keys"], key, "right")
                 hit = np.flatnonzero(right > left)
                 n = (right - left)[hit]
-                item = c["owner"][np.repeat(left[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                item = c["owner"][spread(left[hit], n)]
                 pairs.append(item * np.int64(len(starts)) + np.repeat(hit, n))
-        pairs = np.sort(np.concatenate(pairs))
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        return np.unique(np.concatenate(pairs))
+
+    def sharing(self, c, h, starts, rows) -> np.ndarray:
+        """Pairs (item, line) that share the grams an item must keep, the window beginning with a first word of the item."""
+        size, out = c["gram"], []
+        g = grams(rows.ravel(), size)
+        g = np.concatenate([g, np.zeros(rows.size - len(g), np.uint64)]).reshape(rows.shape)[:, : rows.shape[1] - size + 1]
+        g = np.sort(g, axis=1)
+        new = np.ones(g.shape, bool)
+        new[:, 1:] = g[:, 1:] != g[:, :-1]  # a gram counts once a window
+        line, _ = place = np.nonzero(new)
+        key = g[place]
+        left, right = np.searchsorted(c["keys"], key, "left"), np.searchsorted(c["keys"], key, "right")
+        hit = np.flatnonzero(right > left)
+        line, left, n = line[hit], left[hit], (right - left)[hit]
+        total = np.bincount(line, n, len(starts)).cumsum()
+        part = (total // POSTINGS).astype(np.int64)  # runs of windows of bounded work; one window is never cut
+        for p in np.unique(part[line]):
+            own = part[line] == p
+            at = spread(left[own], n[own])
+            pair = c["owner"][at] * np.int64(len(starts)) + np.repeat(line[own], n[own])
+            pair, back = np.unique(pair, return_inverse=True)
+            held = np.bincount(back, c["times"][at], len(pair))
+            item = pair // len(starts)
+            pair = pair[held >= c["need"][item]]
+            item, first = pair // len(starts), pair % len(starts)
+            begin = mix(h[starts[first]] + item.astype(np.uint64))
+            known = c["begin"]
+            pair = pair[known[np.minimum(np.searchsorted(known, begin), len(known) - 1)] == begin]
+            out.append(pair + c["from"] * np.int64(len(starts)))
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+    def compare(self, c, h, stop, starts, doc, first, best) -> None:
+        place = starts[:, None] + np.arange(c["reach"])
+        rows = np.where(place < stop[starts][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
+        pairs = (self.sharing if c["plan"] is None else self.near)(c, h, starts, rows)
         item, line = pairs // max(1, len(starts)), pairs % max(1, len(starts))
         edge = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else []
         for a, b in zip(edge, [*edge[1:], len(item)]):
