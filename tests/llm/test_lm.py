@@ -69,3 +69,32 @@ def test_predictive_is_a_distribution():
     new = (lm.STRENGTH + 0.5 * sizes["t0"]) / (sizes["words"] + 1) / (lm.STRENGTH + sizes["c0"])
     unknown = (lm.STRENGTH + 0.6 * sizes["t"][:contexts]) * new / (lm.STRENGTH + sizes["c"][:contexts])
     assert np.allclose(p + unknown, 1)
+
+
+def test_the_previous_word_itself_is_a_context(spark):
+    """Words of one class of which each has followers of its own."""
+    pairs = [("red", "apple"), ("big", "stone"), ("old", "house"), ("wet", "grass")]
+    rows = [(i, " ".join(pairs[i % 4])) for i in range(400)]
+    rows += [(1000 + i, f"{a} {b}") for i, (a, b) in enumerate((p[0], q[1]) for p in pairs for q in pairs)]
+    got = {r.doc_id: r.score for r in lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same = [got[1000 + 5 * i] for i in range(4)]
+    other = [got[1000 + i] for i in range(16) if i % 5]
+    assert min(same) > max(other) + 0.5
+
+
+def test_predictive_of_previous_words_is_a_distribution():
+    r = np.random.default_rng(1)
+    pairs = np.array([(w, u) for w in range(1, 41) for u in range(6)], np.uint64)
+    keys, before = (pairs[:, 0] << lm.SHIFT) | (pairs[:, 1] % np.uint64(2)), pairs[:, 1]
+    keys, before, counts = lm.summed_pairs(keys, before, r.integers(0, 4, len(keys)))
+    counts[:6] = 1
+    u = before.astype(int)
+    b = lm.Contexts(keys, before, counts, {}, np.bincount(u, counts)[u], np.bincount(u, counts > 0)[u])
+    p = b.parent
+    b.sizes = p.sizes = lm.class_sizes(lm.seated(b)) | {"words": float((p.total > 0).sum()), "d0": 0.4, "d1": 0.5, "d2": 0.6}
+    s = b.sizes
+    total = np.bincount(u, b.predictive() * (b.seen > 0))
+    new = (lm.STRENGTH + s["d0"] * s["t0"]) / (s["words"] + 1) / (lm.STRENGTH + s["c0"])
+    new = (lm.STRENGTH + s["d1"] * s["t"][:2]) * new / (lm.STRENGTH + s["c"][:2])
+    c, t = np.bincount(u, counts), np.bincount(u, counts > 0)
+    assert np.allclose(total + (lm.STRENGTH + s["d2"] * t) * new[np.arange(6) % 2] / (lm.STRENGTH + c), 1)

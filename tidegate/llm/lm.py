@@ -1,24 +1,25 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one per context and one root that all contexts share as parent; the root's base
-measure is uniform over the V training words and one unknown word.  A context is the class of
-the word before (20 classes by ending, length and alphabet, or the start of a text).  Seating
-is sampled by Gibbs: a sweep takes all customers of a dish out of a restaurant and seats them
-again one after another, given everybody else and the parent's current predictive, dish by
-dish; every table of a context is a customer of the root.  Customers are kept as table counts,
+Restaurants: one per previous word, whose parent is the restaurant of that word's class (20
+classes by ending, length and alphabet), whose parent is one root; its base measure is uniform
+over the V training words and one unknown word.  The start of a text is a word and class of its
+own.  Seating is sampled by Gibbs: a sweep takes all customers of a dish out of a restaurant and
+seats them again one after another, given everybody else and the parent's current predictive,
+dish by dish; every table is a customer of the parent.  Customers are kept as table counts,
 which is all that the predictive needs.  Predictive probabilities are averaged over samples.
 
-Scale: words are dealt over blocks by fingerprint, and all contexts of a word lie in its block,
-so a sweep needs nothing from other blocks but the restaurants' sizes, which are sums per class
-taken over all blocks between rounds.  No task sees the vocabulary: the corpus is read in
-chunks of rows, every chunk sends its distinct (context, word) pairs and training counts to
-the blocks, and gets back exactly those entries, with which its texts are scored.
+Scale: words are dealt over blocks by fingerprint, and all contexts of a word lie in its block.
+A sweep needs from other blocks only the sizes of restaurants, taken between rounds: a fixed
+number of sums for the classes, and for the previous words sums that each block gets for its own
+contexts (``context_sizes``).  No task sees the vocabulary: the corpus is read in chunks of rows,
+every chunk sends its distinct (previous word, word) pairs and training counts to the blocks, and
+gets back exactly those entries, with which its texts are scored.
 
 Learning uses the documents whose crc32(id) mod 10 is not 0; all are scored.
 
 Defined cases: null and empty texts are one end token; repeated rows are learned from and
 scored each; without training rows all scores are 0; an empty table gives no rows; other
-columns are ignored.  Words are told apart by 59-bit fingerprints.
+columns are ignored.  Words are told apart by 59-bit fingerprints, previous words and pairs by 64.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import LOWER, SPACE, fold, identified, prefix_hash, slices, span_hash, table
+from tidegate.llm.common import LOWER, SPACE, fold, identified, mix, prefix_hash, slices, span_hash, table
 from tidegate.llm.registry import query
 from tidegate.session import stage_table
 
-CHUNK_ROWS = 4096
-BLOCK_BYTES = 8 << 20
+CHUNK_ROWS = 1024
+BLOCK_BYTES = 4 << 20
 CONTEXTS = 22
 SHIFT = np.uint64(5)
 LOW = np.uint64(31)
 END_WORD = np.uint64(0x6A09E667F3BCC908)
+BEGIN_WORD = np.uint64(0xBB67AE8584CAA73B)
 ROUNDS, SWEEPS, BURN, SAMPLES = 2, 2, 2, 4
 STRENGTH = 1.0
 PENDING = 4_000_000
@@ -55,8 +57,8 @@ _ending[128:] = 5
 _length = np.array([0, 0, 1, 2, 3, 3, 4, 4, 4, 5])
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (word fingerprint, context class in the low bits) of all texts with their end tokens; the first of each text."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (word fingerprint, class of the word before in the low bits) of all texts with their end tokens, the words before, and the first of each text."""
     data = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(LOWER), np.uint8)
     space = SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -75,7 +77,24 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         kind = np.where(last == 5, 5 + _length[np.minimum(end - start, 9)], last)
         shape[where + 1] = 2 * kind + wide - 1
     shape[at[:-1]] = 0  # a text begins
-    return (words & ~LOW) | shape[:-1].astype(np.uint64), at[:-1]
+    before = np.empty_like(words)
+    before[1:], before[at[:-1]] = words[:-1], BEGIN_WORD
+    return (words & ~LOW) | shape[:-1].astype(np.uint64), before, at[:-1]
+
+
+def paired(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Fingerprints of (word before, word)."""
+    return mix(keys ^ mix(before))
+
+
+def summed_pairs(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of key and word before, and the sum of each."""
+    if not len(keys):
+        return keys, before, counts
+    order = np.lexsort((before, keys))
+    keys, before, counts = keys[order], before[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])]))
+    return keys[first], before[first], np.add.reduceat(counts, first)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,45 +124,43 @@ def chunk_counts(docs: DataFrame, bits: int) -> DataFrame:
     """Distinct keys of every chunk with their training counts, by block of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, keys, counts, pending = None, [], [], 0
+        chunk, parts, pending = None, [], 0
 
         def compact():
-            nonlocal keys, counts, pending
-            k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            keys, counts, pending = [k], [c], len(k)
+            nonlocal parts, pending
+            parts = [summed_pairs(*map(np.concatenate, zip(*parts)))]
+            pending = len(parts[0][0])
 
         def rows():
             compact()
-            k, c = keys[0], counts[0]
+            k, p, c = parts[0]
             block = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             last = np.append(first[1:], len(k))
             yield pa.RecordBatch.from_arrays([
                 pa.array(block[first]), pa.array(np.full(len(first), chunk)),
-                pa.array([k[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
-                pa.array([c[a:b].astype("<i4").tobytes() for a, b in zip(first, last)], pa.binary()),
-            ], ["block", "chunk", "keys", "counts"])
+                *[pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (k, p, c.astype("<i4"))],
+            ], ["block", "chunk", "keys", "before", "counts"])
 
         for batch, texts in slices(batches):
             owner = batch.column("chunk").to_numpy()
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             for a, b in runs(owner):
                 if owner[a] != chunk:
-                    if keys:
+                    if parts:
                         yield from rows()
-                    chunk, keys, counts, pending = owner[a], [], [], 0
-                key, at = tokens(texts[a:b])
+                    chunk, parts, pending = owner[a], [], 0
+                key, before, at = tokens(texts[a:b])
                 n = np.diff(np.append(at, len(key)))
-                key, one = summed(key, np.repeat(train[a:b].astype(np.int64), n))
-                keys.append(key)
-                counts.append(one)
-                pending += len(key)
+                parts.append(summed_pairs(key, before, np.repeat(train[a:b].astype(np.int64), n)))
+                pending += len(parts[-1][0])
                 if pending > PENDING:
                     compact()
-        if keys:
+        if parts:
             yield from rows()
 
-    return docs.select("text", "chunk", "held_out").mapInArrow(run, "block long, chunk long, keys binary, counts binary")
+    return docs.select("text", "chunk", "held_out").mapInArrow(
+        run, "block long, chunk long, keys binary, before binary, counts binary")
 
 
 def runs(owner: np.ndarray) -> list[tuple[int, int]]:
@@ -157,35 +174,41 @@ def gathered(counts: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         chunks = t.column("chunk").to_numpy()
-        keys = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
+        keys, before = ([np.frombuffer(x, "<u8") for x in t.column(c).to_pylist()] for c in ("keys", "before"))
         n = [np.frombuffer(x, "<i4").astype(np.int64) for x in t.column("counts").to_pylist()]
-        every, total = summed(np.concatenate(keys), np.concatenate(n))
-        held = [np.searchsorted(every, k).astype("<i4").tobytes() for k in keys]
+        sizes = list(map(len, keys))
+        keys, before, n = map(np.concatenate, (keys, before, n))
+        every, prev, total = summed_pairs(keys, before, n)
+        pair = paired(every, prev)
+        order = np.argsort(pair)
+        place = order[np.searchsorted(pair, paired(keys, before), sorter=order)].astype("<i4")
+        held = [x.tobytes() for x in np.split(place, np.cumsum(sizes)[:-1])]
         return pa.table({
             "block": pa.array([t.column("block")[0].as_py()], pa.int64()), "keys": pa.array([every.tobytes()], pa.binary()),
-            "counts": pa.array([total.astype("<i8").tobytes()], pa.binary()),
+            "before": pa.array([prev.tobytes()], pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary()),
             "chunks": pa.array([chunks.tolist()], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.binary()))})
 
     return counts.groupBy("block").applyInArrow(
-        run, "block long, keys binary, counts binary, chunks array<long>, held array<binary>")
+        run, "block long, keys binary, before binary, counts binary, chunks array<long>, held array<binary>")
 
 
 def seat(count: np.ndarray, mass: np.ndarray, discount: float, r: np.random.Generator) -> np.ndarray:
     """Tables of one dish after its customers sit down one after another.
 
-    A newcomer to n customers at t tables opens a table with odds mass : n - discount * t.  Beyond
-    32 customers an eighth of those present is seated at once with the same odds.
+    A newcomer to n customers at t tables opens a table with odds mass : n - discount * t.  Until
+    that happens the customers are draws of an urn, so the wait for the next table is geometric
+    with a chance from a beta distribution.
     """
     tables = np.minimum(count, 1).astype(np.float64)
     live = np.flatnonzero(count > 1)
-    n = 1
+    n = np.ones(len(live))
     while len(live):
-        step = 1 if n < 32 else n // 8
-        m = np.minimum(step, count[live] - n)
-        p = mass[live] / (mass[live] + n - discount * tables[live])
-        tables[live] += r.random(len(live)) < p if step == 1 else r.binomial(m, p)
-        n += step
-        live = live[count[live] > n]
+        chance = r.beta(mass[live], n - discount * tables[live])
+        with np.errstate(divide="ignore"):
+            n += np.floor(np.log1p(-r.random(len(live))) / np.log1p(-np.maximum(chance, 1e-300))) + 1
+        on = n <= count[live]
+        live, n = live[on], n[on]
+        tables[live] += 1
     return tables
 
 
@@ -220,77 +243,159 @@ class Block:
         return (own + (STRENGTH + s["d1"] * s["t"][self.kind]) * self.root()[self.owner]) / (STRENGTH + s["c"][self.kind])
 
 
+class Contexts:
+    """The restaurants of previous words over those of a block; sizes are customers and tables of each pair's restaurant."""
+
+    def __init__(self, keys: np.ndarray, before: np.ndarray, counts: np.ndarray, sizes: dict, customers=0, tables=0):
+        self.before, self.count, self.sizes, self.customers, self.seated = before, counts, sizes, customers, tables
+        self.first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
+        self.tables = np.minimum(counts, 1).astype(np.float64)
+        self.parent = Block(keys[self.first], np.add.reduceat(counts, self.first) if len(keys) else counts, sizes)
+        self.seen = self.parent.total[self.parent.owner][self.owner]  # training count of each pair's word
+        self.parent = Block(keys[self.first], self.served(), sizes)
+
+    def served(self) -> np.ndarray:
+        return np.add.reduceat(self.tables, self.first).astype(np.int64) if len(self.first) else self.count
+
+    def weight(self) -> np.ndarray:
+        return STRENGTH + self.sizes["d2"] * self.seated
+
+    def sweep(self, r: np.random.Generator) -> None:
+        self.tables = seat(self.count, self.weight() * self.parent.predictive()[self.owner], self.sizes["d2"], r)
+        self.parent.count = self.served()
+        self.parent.sweep(r)
+
+    def predictive(self) -> np.ndarray:
+        own = self.count - self.sizes["d2"] * self.tables
+        return (own + self.weight() * self.parent.predictive()[self.owner]) / (STRENGTH + self.customers)
+
+
 def totals(rows: DataFrame) -> dict[str, float]:
     """Sums by name over all blocks: a fixed number of rows for any input."""
     return {x.name: float(x.value) for x in rows.groupBy("name").agg(F.sum("value").alias("value")).collect()}
 
 
-def named(values: dict[str, float]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(values), pa.string()), pa.array([float(v) for v in values.values()], pa.float64())], ["name", "value"])
+def block_rows(batches: Iterator[pa.RecordBatch], sizes: dict):
+    """Rows with the restaurants of their block; sizes of contexts lie in the order of the distinct previous words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            keys, before, counts = (np.frombuffer(row[c], t) for c, t in (("keys", "<u8"), ("before", "<u8"), ("counts", "<i8")))
+            known = {}
+            if "customers" in row:
+                which = np.unique(before, return_inverse=True)[1]
+                known = {c: np.frombuffer(row[c], "<f8")[which] for c in ("customers", "tables")}
+            yield row, keys, Contexts(keys, before, counts, sizes, **known)
 
 
-def block_rows(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield row, np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8")
+SUMS = "name string, value double, block long, home long, before binary, customers binary, tables binary"
 
 
-def corpus_sizes(state: DataFrame) -> dict:
-    """Customers of every context, words, and discounts from the counts of counts."""
+def sums(values: dict[str, float], block: int, b: Contexts, bits: int) -> Iterator[pa.RecordBatch]:
+    """Named sums of a block, and the customers and tables of its previous words by the task that adds them up."""
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    made = lambda n, **c: pa.RecordBatch.from_arrays([pa.array(c.get(x, [None] * n), t) for x, t in zip(names, kinds)], names)
+    yield made(len(values), name=list(values), value=[float(v) for v in values.values()])
+    word, which = np.unique(b.before, return_inverse=True)
+    home = (word >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
+    columns = word, np.bincount(which, b.count, len(word)), np.bincount(which, b.tables, len(word))
+    cuts = runs(home)
+    before, customers, tables = ([x[i:j].tobytes() for i, j in cuts] for x in columns)
+    yield made(len(cuts), block=[block] * len(cuts), home=[int(home[i]) for i, _ in cuts], before=before, customers=customers, tables=tables)
 
-    def run(batches):
-        for _, keys, counts in block_rows(batches):
-            b = Block(keys, counts, {})
-            out = {"words": (b.total > 0).sum(), "once": (counts == 1).sum(), "twice": (counts == 2).sum(),
-                   "root_once": (b.served == 1).sum(), "root_twice": (b.served == 2).sum()}
-            for name, w in (("c", counts), ("t", b.tables)):
-                out |= {f"{name}{k}": v for k, v in enumerate(np.bincount(b.kind, w, CONTEXTS)) if v}
-            yield named(out)
-
-    got = totals(state.select("keys", "counts").mapInArrow(run, "name string, value double"))
+
+def context_sizes(rows: DataFrame) -> DataFrame:
+    """For every block, customers and tables of its previous words over all blocks, in the order of their fingerprints."""
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        parts = [np.frombuffer(x, "<u8") for x in t.column("before").to_pylist()]
+        cuts = np.cumsum(list(map(len, parts)))[:-1]
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        out = {"block": t.column("block"), "home": t.column("home")}
+        for c in ("customers", "tables"):
+            total = np.bincount(which, np.concatenate([np.frombuffer(x, "<f8") for x in t.column(c).to_pylist()]))[which]
+            out[c] = pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary())
+        return pa.table(out)
+
+    def line_up(t: pa.Table) -> pa.Table:
+        t = t.sort_by("home")
+        whole = {c: pa.array([b"".join(t.column(c).to_pylist())], pa.binary()) for c in ("customers", "tables")}
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), **whole})
+
+    added = rows.where("home IS NOT NULL").select("block", "home", "before", "customers", "tables").groupBy("home").applyInArrow(
+        add, "block long, home long, customers binary, tables binary")
+    return stage_table(added.groupBy("block").applyInArrow(line_up, "block long, customers binary, tables binary"), "contexts")
+
+
+def class_sizes(got: dict[str, float]) -> dict:
     per = lambda x: np.array([got.get(f"{x}{k}", 0.0) for k in range(CONTEXTS)])
-    share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
-    words = got.get("words", 0.0)
-    return {"c": per("c"), "t": per("t"), "words": words, "t0": words, "c0": per("t").sum(),
-            "d1": share(got.get("once", 0), got.get("twice", 0)), "d0": share(got.get("root_once", 0), got.get("root_twice", 0))}
+    return {"c": per("kc"), "t": per("kt"), "c0": got.get("c0", 0.0), "t0": got.get("t0", 0.0)}
+
 
+def seated(b: Contexts) -> dict[str, float]:
+    p = b.parent
+    out = {"c0": p.served.sum(), "t0": p.root_tables.sum()}
+    for name, w in (("kc", p.count), ("kt", p.tables)):
+        out |= {f"{name}{k}": v for k, v in enumerate(np.bincount(p.kind, w, CONTEXTS)) if v}
+    return out
 
-def gibbs_round(state: DataFrame, sizes: dict, seed: int) -> dict:
+
+def corpus_sizes(state: DataFrame, bits: int) -> tuple[dict, DataFrame]:
+    """Customers and tables at first, words, discounts from the counts of counts, and the sizes of contexts."""
+
+    def run(batches):
+        for row, _, b in block_rows(batches, {}):
+            p = b.parent
+            out = {"words": (p.total > 0).sum(), "train": b.count.sum()}
+            for name, n in (("pair", b.count), ("class", p.count), ("root", p.served)):
+                out |= {f"{name}_once": (n == 1).sum(), f"{name}_twice": (n == 2).sum()}
+            yield from sums(out | seated(b), row["block"], b, bits)
+
+    rows = stage_table(state.select("block", "keys", "before", "counts").mapInArrow(run, SUMS), "sums")
+    got = totals(rows.where("name IS NOT NULL"))
+    once = lambda x: got.get(f"{x}_once", 0.0)
+    share = lambda x: float(np.clip(once(x) / max(once(x) + 2 * got.get(f"{x}_twice", 0.0), 1), 0.05, 0.95))
+    return class_sizes(got) | {"words": got.get("words", 0.0), "train": got.get("train", 0.0),
+                               "d2": share("pair"), "d1": share("class"), "d0": share("root")}, context_sizes(rows)
+
+
+def gibbs_round(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int, bits: int) -> tuple[dict, DataFrame]:
     """Sweep all blocks with the given restaurant sizes and give the sizes afterwards."""
 
     def run(batches):
-        for row, keys, counts in block_rows(batches):
-            b, r = Block(keys, counts, sizes), np.random.default_rng([seed, row["block"]])
+        for row, _, b in block_rows(batches, sizes):
+            r = np.random.default_rng([seed, row["block"]])
             for _ in range(SWEEPS):
                 b.sweep(r)
-            out = {"t0": b.root_tables.sum(), "c0": b.served.sum()}
-            yield named(out | {f"k{k}": v for k, v in enumerate(np.bincount(b.kind, b.tables, CONTEXTS)) if v})
+            yield from sums(seated(b), row["block"], b, bits)
 
-    got = totals(state.select("block", "keys", "counts").mapInArrow(run, "name string, value double"))
-    t = np.array([got.get(f"k{k}", 0.0) for k in range(CONTEXTS)])
-    return sizes | {"t": t, "t0": got.get("t0", 0.0), "c0": got.get("c0", 0.0)}
+    met = state.select("block", "keys", "before", "counts").join(contexts, "block")
+    rows = stage_table(met.mapInArrow(run, SUMS), "sums")
+    return sizes | class_sizes(totals(rows.where("name IS NOT NULL"))), context_sizes(rows)
 
 
-def dictionaries(state: DataFrame, sizes: dict, seed: int) -> DataFrame:
-    """For every chunk and block, the chunk's keys with word counts and averaged log10 probabilities."""
+def dictionaries(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int) -> DataFrame:
+    """For every chunk and block, the chunk's pairs with word counts and averaged log10 probabilities."""
 
     def run(batches):
-        for row, keys, counts in block_rows(batches):
-            b, r = Block(keys, counts, sizes), np.random.default_rng([seed, row["block"]])
+        for row, keys, b in block_rows(batches, sizes):
+            r = np.random.default_rng([seed, row["block"]])
             mean = np.zeros(len(keys))
             for k in range(BURN + SAMPLES):
                 b.sweep(r)
                 if k >= BURN:
                     mean += b.predictive() / SAMPLES
-            score, seen = np.log10(mean).astype("<f4"), b.total[b.owner].astype("<i8")
+            pair, score, seen = paired(keys, b.before), np.log10(mean).astype("<f4"), b.seen.astype("<i8")
             for chunk, held in zip(row["chunks"], row["held"]):
                 at = np.frombuffer(held, "<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), *[pa.array([x[at].tobytes()], pa.binary()) for x in (keys, seen, score)]],
+                    [pa.array([chunk], pa.int64()), *[pa.array([x[at].tobytes()], pa.binary()) for x in (pair, seen, score)]],
                     ["chunk", "keys", "seen", "score"])
 
-    return state.mapInArrow(run, "chunk long, keys binary, seen binary, score binary")
+    return state.join(contexts, "block").mapInArrow(run, "chunk long, keys binary, seen binary, score binary")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -302,11 +407,12 @@ def score_corpus(docs: DataFrame, seed: int = 7) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / BLOCK_BYTES)))))
     state = stage_table(gathered(chunk_counts(rows, bits)), "restaurants")
-    sizes = corpus_sizes(state)
+    home = max(0, bits - 2)  # fewer tasks add up contexts than there are blocks
+    sizes, contexts = corpus_sizes(state, home)
     for k in range(ROUNDS):
-        sizes = gibbs_round(state, sizes, seed + k)
-    entries = dictionaries(state, sizes, seed + ROUNDS)
-    train, words = int(sizes["c"].sum()), sizes["words"]
+        sizes, contexts = gibbs_round(state, contexts, sizes, seed + k, home)
+    entries = dictionaries(state, contexts, sizes, seed + ROUNDS)
+    train, words = int(sizes["train"]), sizes["words"]
 
     # the entries of a chunk come before its texts, so a task holds one chunk's entries and a batch
     none = {"doc_id": T.LongType(), "text": T.StringType(), "held_out": T.BooleanType()}
@@ -337,8 +443,8 @@ def score_corpus(docs: DataFrame, seed: int = 7) -> DataFrame:
         keys, seen, score = book
         base = np.log10((seen + 0.1) / (train + 0.1 * (words + 1)))
         for rows_, texts in slices(iter([part])):
-            key, at = tokens(texts)
-            i = np.searchsorted(keys, key)
+            key, before, at = tokens(texts)
+            i = np.searchsorted(keys, paired(key, before))
             n = np.diff(np.append(at, len(key)))
             yield pa.RecordBatch.from_arrays([
                 rows_.column("doc_id"), rows_.column("held_out"), pa.array(n, pa.int64()),
