@@ -94,6 +94,24 @@ def test_structures_are_confirmed():
         assert not secrets.scan(f"{text} end")[1], text
 
 
+def test_hex_of_either_case_and_encrypted_keys_are_confirmed():
+    encode = lambda x: base64.encodebytes(x).decode()
+    key = der(0x30, der(2, b"\0") + der(2, b"\x1a\xbc\xde\xf5" * 10) * 8)
+    mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(key.hex()))
+    wrapped = der(0x30, der(0x30, der(6, b"*\x86H\x86\xf7\r\x01\x05\r") + der(0x30, b"")) + der(4, b"x" * 48))
+    encrypted = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{encode(wrapped)}-----END ENCRYPTED PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    old = f"-----BEGIN RSA PRIVATE KEY-----\n{headers}{encode(bytes(range(64)))}-----END RSA PRIVATE KEY-----"
+    noted = f"-----BEGIN RSA PRIVATE KEY-----\r\nComment: a\r\n  b\r\n\r\n{encode(rsa())}-----END RSA PRIVATE KEY-----"
+    for text in (key.hex().upper(), mixed, encrypted, old, noted):
+        assert ("key", 2, 2 + len(text)) in secrets.scan(f"é {text} end")[1], text
+        assert secrets.mask(f"é {text} end") == "é [SECRET] end"
+    assert not [x for x in secrets.scan(f"{mixed} end")[0] if x[2] - x[1] == len(mixed)]  # the plain pattern is as it was
+    for text in (encrypted.replace("ENCRYPTED ", ""), old.replace(headers, ""), key[:-1].hex().upper(),
+                 old.replace(encode(bytes(range(64))), encode(bytes(range(63))))):
+        assert not secrets.scan(f"{text} end")[1], text
+
+
 def test_redaction_keeps_rows_and_columns(odd_documents, no_documents, spark):
     text = "x token = abcdef0123456789abcdef01 y"
     docs = odd_documents.unionByName(odd_documents.limit(1).selectExpr("99L AS doc_id", f"'{text}' AS text", "source", "key", "node", "lo", "score"))

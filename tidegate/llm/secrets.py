@@ -1,9 +1,11 @@
 """Secret scans with structural confirmation.
 
-Plain patterns find assignments, access ids and long hex strings.  Beyond them, base64 and
-hex candidates are decoded and reported only if the bytes prove a secret: nested DER lengths
-that close exactly around a private-key structure, the length-prefixed fields of an OpenSSH
-key, or a signed token whose header and payload are JSON objects and name an algorithm.
+Plain patterns find assignments, access ids and long lower-case hex strings.  Beyond them, base64
+and hex candidates (hex digits of either case) are decoded and reported only if the bytes prove a
+secret: nested DER lengths that close exactly around a private-key structure, the length-prefixed
+fields of an OpenSSH key, or a signed token whose header and payload are JSON objects and name an
+algorithm.  An encrypted key is proved by its PEM label with an algorithm and octets that close
+exactly, or by PEM headers that name the cipher with a body of whole cipher blocks.
 
 Defined cases: null text is empty and has no spans; offsets are code points, end exclusive;
 repeated rows give repeated results; an empty table gives no rows; other columns are ignored
@@ -35,9 +37,13 @@ ASSIGN = re.compile(
     r"[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}+")
+HEX_KEY = re.compile(r"[0-9A-Fa-f]{24,}+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
+PEM = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[ \t]*+(?:\r?\n)?((?:[A-Za-z0-9-]++:[^\r\n]*+\r?\n(?:[ \t]++[^\s][^\r\n]*+\r?\n)*+)*+)"
+    r"([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
+CIPHER = re.compile(r"^DEK-Info:[ \t]*(?:[A-Za-z0-9-]+),[ \t]*[0-9A-Fa-f]{16,}", re.M)
 LONG = 24  # no candidate lies in a shorter run without white space
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -93,6 +99,30 @@ def is_key(data: bytes) -> bool:
     return version == b"\1" and len(tags) >= 2 and tags[1] == 4 and parts[1][2] - parts[1][1] >= 16  # elliptic curve
 
 
+def is_encrypted(data: bytes) -> bool:
+    """Whether the bytes are an algorithm with its parameters and octets, and nothing else."""
+    outer = nested(data, 0, len(data))
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    parts = nested(data, *outer[0][1:])
+    if not parts or [t for t, _, _ in parts] != [0x30, 4] or parts[1][2] - parts[1][1] < 16:
+        return False
+    algorithm = nested(data, *parts[0][1:])
+    return bool(algorithm) and algorithm[0][0] == 6
+
+
+def is_pem(label: str, headers: str, body: str) -> bool:
+    """Whether the block holds a private key, plain or encrypted as its label or headers say."""
+    data = decode("".join(body.split()))
+    if not data:
+        return False
+    if label.endswith("ENCRYPTED ") and is_encrypted(data):
+        return True
+    if "ENCRYPTED" in headers and CIPHER.search(headers):  # the whole key is cipher blocks of 8 or 16 bytes
+        return len(data) >= 32 and len(data) % 8 == 0
+    return is_key(data)
+
+
 def ssh_fields(data: bytes) -> bool:
     """Cipher, function, options, number of keys, and as many public parts and one private part fill the bytes."""
     at, fields = len(SSH_MAGIC), []
@@ -131,13 +161,13 @@ def scan(text: str) -> tuple[list, list]:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = decode("".join(m[2].split()))
-            if data and is_key(data):
+            if is_pem(m[1], m[2], m[3]):
                 more.append(("key", m.start(), m.end()))
     if max(map(len, text.split()), default=0) < LONG:
         return base, more
     for m in HEX.finditer(text):
         base.append(("hex", m.start(), m.end()))
+    for m in HEX_KEY.finditer(text):
         if (m.end() - m.start()) % 2 == 0 and m[0].startswith("30") and is_key(bytes.fromhex(m[0])):
             more.append(("key", m.start(), m.end()))
     if text.count(".") >= 2:
