@@ -26,6 +26,14 @@ def test_query(spark, sf_dir):
     assert {r.call_id: r.record for r in rows} == {k: toolcalls.canonical(v) for k, v in want.items()}
 
 
+def test_turns_of_other_roles_are_carried(spark, sf_dir):
+    turns = [r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect() if r.role not in ("user", "assistant")]
+    rows = [json.loads(r.record) for r in toolcalls.op3_tool_calls(spark, sf_dir).collect() if '"role":' in r.record and r.errors == ["no call"]]
+    assert turns and sorted((x["turn"], x["role"], x["result"]) for x in rows if "role" in x) == sorted((r.turn, r.role, r.text or "") for r in turns)
+    odd = spark.createDataFrame([(1, 0, None, None), (1, 1, "tool", "x"), (1, 2, "user", "y")], "conv_id int, turn int, role string, text string")
+    assert sorted(json.loads(r.record)["turn"] for r in toolcalls.turns_without_call(odd).collect()) == [0, 1]
+
+
 def linked(spark, calls, results=()):
     frame = toolcalls.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(list(results), RESULTS), SCHEMA)
     return sorted(frame.collect(), key=lambda r: (str(r.call_id), r.step is None, str(r.step)))

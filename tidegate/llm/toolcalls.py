@@ -228,7 +228,27 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def turns_without_call(turns: DataFrame) -> DataFrame:
+    """Turns of any other role, or of none, as rows without a call: their record has the role, the turn and the text as result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = [canonical({"arguments": None, "call_id": None, "errors": ["no call"], "name": None, "result": r["text"],
+                                  "role": r["role"], "step": None, "turn": r["turn"]}) for r in batch.to_pylist()]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([
+                batch.column("conv_id"), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int64()),
+                pa.array([False] * n), pa.array([["no call"]] * n, pa.list_(pa.string())), pa.array(records, pa.string())],
+                ["conv_id", "call_id", "step", "n_results", "valid", "errors", "record"])
+
+    other = turns.where("NOT coalesce(role IN ('user', 'assistant'), false)").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    return other.mapInArrow(
+        run, "conv_id long, call_id string, step long, n_results long, valid boolean, errors array<string>, record string")
+
+
 @query("op3_tool_calls")
 def op3_tool_calls(spark, sf_dir):
-    """All turns of all conversations, linked as calls and results."""
-    return link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), ANSWER)
+    """All turns of all conversations: user turns are calls, assistant turns results, and all others rows without a call."""
+    turns = table(spark, sf_dir, "conversations")
+    return link_tool_calls(*turns_as_calls(turns), ANSWER).unionByName(turns_without_call(turns))
