@@ -33,3 +33,11 @@ def documents(spark, sf_dir):
 @pytest.fixture(scope="session")
 def texts(documents):
     return {r.doc_id: r.text for r in documents.collect()}
+
+
+@pytest.fixture
+def many_tasks(monkeypatch):
+    """Small partitions stay apart, so that keys span tasks."""
+    from tidegate import session
+
+    monkeypatch.setitem(session.RUNTIME_CONF, "spark.sql.adaptive.coalescePartitions.enabled", "false")

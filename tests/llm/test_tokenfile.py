@@ -54,27 +54,22 @@ def test_odd_documents(spark, odd_documents, no_documents, tmp_path):
     assert read(odd_documents, empty).count() == 0 and empty.get(1) is None
 
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_a_hot_id_over_many_tasks(spark, tmp_path, monkeypatch, buckets):
-    monkeypatch.setattr(tokenfile, "LEAST_BUCKETS", buckets)
+def test_a_hot_id_over_many_tasks(spark, tmp_path, monkeypatch, many_tasks):
+    monkeypatch.setattr(tokenfile, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(tokenfile, "BUCKET", 500)
     monkeypatch.setattr(tokenfile, "READ_BYTES", 64)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        rows = [(7 if i % 3 else i, "copy" if i % 2 else f"text {i}") for i in range(3000)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-        files = write(docs, str(tmp_path / "a"))
-        got = read(docs, files).collect()
-        assert len(list((tmp_path / "a").glob("shard-*.ids"))) > 1
-        assert sorted((r.n_tokens, r.ids_crc32) for r in got) == want(rows)
-        order = sorted(got, key=lambda r: r.start)
-        assert [r.doc_id for r in order] == sorted(r[0] for r in rows)
-        hot = [r.nth for r in order if r.doc_id == 7]
-        assert hot == list(range(len(hot)))
-        some = spark.createDataFrame([(9,), (9,), (10 ** 9,), (None,)], "doc_id long")
-        assert [r.doc_id for r in read(some, files).collect()] == [9]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [(7 if i % 3 else i, "copy" if i % 2 else f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    files = write(docs, str(tmp_path / "a"))
+    got = read(docs, files).collect()
+    assert len(list((tmp_path / "a").glob("shard-*.ids"))) > 1
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == want(rows)
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == sorted(r[0] for r in rows)
+    hot = [r.nth for r in order if r.doc_id == 7]
+    assert hot == list(range(len(hot)))
+    some = spark.createDataFrame([(9,), (9,), (10 ** 9,), (None,)], "doc_id long")
+    assert [r.doc_id for r in read(some, files).collect()] == [9]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 20_000])

@@ -38,6 +38,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tidegate.llm.common import identified, mix, prepare, table
 from tidegate.llm.registry import query
@@ -60,6 +62,15 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
 
 
+def whole_file(folder: str, name: str) -> bytes | None:
+    """The bytes of a file; None if there is none."""
+    store, root = opened(folder)
+    if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_file(f"{root}/{name}") as f:
+        return f.read()
+
+
 class Hash:
     """A minimal perfect hash: each level sends the keys that are left to bits; a key alone on its bit stays there."""
 
@@ -152,13 +163,15 @@ class Files:
         if not self.buckets:
             return None
         a, b = key_hashes(pa.array([doc_id], pa.int64()), pa.array([nth], pa.int64()))
-        store, root = opened(self.folder)
-        with store.open_input_file(f"{root}/{self.bucket(int(bucket_of(a, self.buckets)[0]))}") as f:
-            head, slots = unpack_bucket(f.read())
+        data = whole_file(self.folder, self.bucket(int(bucket_of(a, self.buckets)[0])))
+        if data is None:  # no key fell into this bucket
+            return None
+        head, slots = unpack_bucket(data)
         at = int(head.find(a, b)[0])
         if at < 0 or slots[at]["mark"] != b[0]:
             return None
         s = slots[at]
+        store, root = opened(self.folder)
         with store.open_input_file(f"{root}/{self.shard(int(s['shard']))}") as f:
             return np.frombuffer(f.read_at(int(s["tokens"]) * self.width, int(s["place"]) * self.width), f"<u{self.width}")
 
@@ -267,15 +280,17 @@ def by_bucket(keyed: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
 
     fields = ", ".join(f"{n} {t}" for n, t in keyed.dtypes)
     routed = keyed.mapInArrow(route, f"{fields}, bucket int")
-    return routed.groupBy("bucket").applyInArrow(lambda key, rows: pa.Table.from_batches(list(fn(key[0].as_py(), rows))), schema)
+    empty = [pa.RecordBatch.from_pylist([], to_arrow_schema(_parse_datatype_string(schema)))]
+    return routed.groupBy("bucket").applyInArrow(lambda key, rows: pa.Table.from_batches([*fn(key[0].as_py(), rows)] or empty), schema)
 
 
 def look_up(keys: DataFrame, files: Files) -> DataFrame:
     """Places of the keys (doc_id, nth) that the files hold, by index."""
     def probe(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        store, root = opened(files.folder)
-        with store.open_input_file(f"{root}/{files.bucket(bucket)}") as f:
-            head, slots = unpack_bucket(f.read())
+        data = whole_file(files.folder, files.bucket(bucket))
+        if data is None:
+            return
+        head, slots = unpack_bucket(data)
         doc_id, nth = rows.column("doc_id").combine_chunks(), rows.column("nth").combine_chunks()
         a, b = key_hashes(doc_id, nth)
         at = head.find(a, b)
