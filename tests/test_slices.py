@@ -1,7 +1,9 @@
 """Sliced windows equal plain windows, for hot keys, ties and every slice width."""
 
+import math
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window
@@ -63,6 +65,32 @@ def test_trailing_equals_range_windows(events, width):
     assert sorted(got.select(columns).collect()) == sorted(expected.collect())
 
 
+@pytest.mark.parametrize("width,offset", [(3_600, 0.0), (600, 5e7), (60, 5e7)])
+def test_trailing_spread_keeps_small_differences(spark, events, width, offset):
+    """Against exact arithmetic: a large level, a value a million times larger now and then, and nulls."""
+    rows = [(r.customer_id, r.ts, r.transaction_id, None if r.transaction_id % 7 == 0 else offset + 0.1 * (r.transaction_id % 10) + (1e9 if r.transaction_id % 41 == 0 else 0))
+            for r in events.collect()]
+    windows = {"1h": 3_600, "6h": 21_600, "2d": 172_800}
+    df = spark.createDataFrame(rows, "customer_id int, ts timestamp, transaction_id long, v double")
+    got = {r.transaction_id: r for r in slices.trailing(df, ["customer_id"], "ts", {"n": "1"}, windows, width, spread={"v": ("v", list(windows))}).collect()}
+    assert len(got) == len(rows)
+    for k, ts, i, _ in rows:
+        for w, s in windows.items():
+            inside = [Fraction(v) for k2, t2, _, v in rows if k2 == k and ts - dt.timedelta(seconds=s) <= t2 <= ts and v is not None]
+            want = 0.0
+            if len(inside) > 1:
+                mean = sum(inside) / len(inside)
+                want = math.sqrt(sum((x - mean) ** 2 for x in inside) / (len(inside) - 1))
+            assert got[i][f"v_std_{w}"] == pytest.approx(want, rel=1e-6, abs=1e-7)
+
+
+def test_spread_of_ten_close_values(spark):
+    rows = [(1, T0 + dt.timedelta(minutes=i), i, 5e7 + 0.1 * i) for i in range(10)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, i long, v double")
+    out = slices.trailing(df, ["k"], "ts", {"n": "1"}, {"1h": 3_600}, 60, spread={"v": ("v", ["1h"])}).orderBy("i").collect()
+    assert out[-1].v_std_1h == pytest.approx(0.30277, abs=1e-4)
+
+
 @pytest.mark.parametrize("width", [3_600, 60])
 def test_high_value_runs(events, width):
     rows = sorted((r.customer_id, r.ts, r.transaction_id, r.amount) for r in events.collect())
@@ -90,7 +118,7 @@ def test_profile_does_not_depend_on_the_slice(spark, events, monkeypatch):
 
     def result():
         return sorted(map(str, profile(daily_profile(txn, "customer_id", as_of), "customer_id", as_of).selectExpr(
-            "customer_id", "n_30d", "gaps", "round(gap_sum, 3)", "round(gap_sq, 3)", "fail_streak", "best_day_n", "last").collect()))
+            "customer_id", "n_30d", "gaps", "round(gap_sum, 3)", "round(sqrt(gap_m2), 3)", "round(sqrt(amt_m2), 6)", "fail_streak", "best_day_n", "last").collect()))
 
     whole = result()
     import tidegate.operators.customer as c

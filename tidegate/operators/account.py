@@ -7,10 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions import moments
 from tidegate.functions.scalars import DAY
 from tidegate.operators.customer import (
     DEFAULTS, UNUSUAL_HOUR, RiskParams, aggregate, daily_profile, in_horizon, instant, profile, ratio_sql, since,
-    std_sql, visited,
+    visited,
 )
 from tidegate.operators.slices import Running, running
 
@@ -81,7 +82,7 @@ def account_features(
         *[f"{spend(w)} / {d}D AS acc_avg_daily_spend_{w}" for w, d in (("7d", 7), ("14d", 14), ("30d", 30))],
         "coalesce(max_7d, 0D) AS acc_max_txn_amount_7d", "max_30d AS acc_max_txn_amount_30d",
         "min_30d AS acc_min_txn_amount_30d",
-        f"{std_sql('n_30d', 'amt_30d', 'amt_sq')} AS acc_stddev_txn_amount_30d",
+        f"{moments.std('amt_n', 'amt_m2')} AS acc_stddev_txn_amount_30d",
         *[f"{drained(w)} AS acc_balance_drain_rate_{w}" for w in ("24h", "7d")],
         *[f"high_{w} AS acc_high_val_txn_count_{w}" for w in SPANS],
         "cast(coalesce(balance < 0, false) AS bigint) AS acc_is_overdrawn_flag",

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions import moments
 from tidegate.functions.scalars import DAY, HOUR
 from tidegate.operators.slices import Running, fit_slice, running, slice_sql, with_previous
 from tidegate.sources.tables import CHANNELS
@@ -59,12 +60,6 @@ def ratio_sql(num: str, den: str) -> str:
     return f"coalesce(cast({num} AS double) / nullif(cast({den} AS double), 0D), 0D)"
 
 
-def std_sql(n: str, total: str, squares: str) -> str:
-    """SQL: sample standard deviation from sums; 0 below two rows."""
-    return (f"CASE WHEN {n} >= 2 THEN sqrt(greatest(({squares} - {total} * {total} / {n}) / nullif({n} - 1, 0), 0D)) "
-            "ELSE 0D END")
-
-
 def in_horizon(txn: DataFrame, key: str, as_of: dt.datetime) -> DataFrame:
     return txn.filter(f"{key} IS NOT NULL AND {since(as_of, HORIZON)} AND ts <= {instant(as_of)}")
 
@@ -141,12 +136,12 @@ def daily_profile(txn: DataFrame, key: str, as_of: dt.datetime, params: RiskPara
             f"count_if({inside} AND is_failed = 1) AS failed_{w}",
         ]
     measures += [
-        "sum(amount * amount) AS amt_sq",
+        *[f"{e} AS amt_{c}" for c, e in zip(("n", "mean", "m2"), moments.state("amount"))],
         "sum(is_night) AS night",
         "sum(CASE WHEN is_weekend = 1 THEN amount END) AS weekend_amt",
         *[f"sum(on_{c.lower()}) AS on_{c.lower()}" for c in CHANNELS],
         *[f"max(CASE WHEN {in_24h} THEN on_{c.lower()} END) AS seen_{c.lower()}" for c in CHANNELS],
-        "count(_gap) AS gaps", "sum(_gap) AS gap_sum", "sum(_gap * _gap) AS gap_sq",
+        "count(_gap) AS gaps", "sum(_gap) AS gap_sum", "var_pop(_gap) * count(_gap) AS gap_m2",
         f"count_if({in_24h} AND _gap <= {params.repeat_seconds}) AS repeats_24h",
         *[f"count_if(_band = {b}) AS band_{b}" for b in range(4)],
         "min(ts) AS first_ts",
@@ -172,9 +167,14 @@ def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams =
         # slices never cross midnight; without finer ones this is the slice itself
         f"sum(n_30d) OVER (PARTITION BY {key}, to_date(first_ts)) AS _day_n",
         f"sum(amt_30d) OVER (PARTITION BY {key}, to_date(first_ts)) AS _day_amt",
+        f"sum(amt_n * amt_mean) OVER (PARTITION BY {key}) / nullif(sum(amt_n) OVER (PARTITION BY {key}), 0) AS _amt_mean",
+    ).selectExpr(
+        "*",
+        f"(coalesce(sum(gap_sum) OVER (PARTITION BY {key}), 0D) + coalesce(sum(_join_gap) OVER (PARTITION BY {key}), 0D))"
+        f" / nullif(sum(gaps) OVER (PARTITION BY {key}) + count(_join_gap) OVER (PARTITION BY {key}), 0) AS _gap_mean",
     )
     added = [c for w in WINDOWS for c in (f"n_{w}", f"amt_{w}", f"failed_{w}")] + [
-        "amt_sq", "night", "weekend_amt", *[f"on_{c.lower()}" for c in CHANNELS],
+        "amt_n", "night", "weekend_amt", *[f"on_{c.lower()}" for c in CHANNELS],
         *[f"band_{b}" for b in range(4)], "micro_1h", "structured_24h", "n_10min", "amt_10min",
     ]
     return aggregate(marked, [key], [
@@ -182,7 +182,9 @@ def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams =
         *[f"max(seen_{c.lower()}) AS seen_{c.lower()}" for c in CHANNELS],
         "sum(gaps) + count(_join_gap) AS gaps",
         "coalesce(sum(gap_sum), 0D) + coalesce(sum(_join_gap), 0D) AS gap_sum",
-        "coalesce(sum(gap_sq), 0D) + coalesce(sum(_join_gap * _join_gap), 0D) AS gap_sq",
+        "coalesce(sum(amt_m2 + amt_n * pow(amt_mean - _amt_mean, 2)), 0D) AS amt_m2",
+        "coalesce(sum(gap_m2 + gaps * pow(gap_sum / nullif(gaps, 0) - _gap_mean, 2)), 0D)"
+        " + coalesce(sum(pow(_join_gap - _gap_mean, 2)), 0D) AS gap_m2",
         f"sum(repeats_24h) + count_if({since(as_of, DAY, 'first_ts')} AND _join_gap <= {params.repeat_seconds}) AS repeats_24h",
         "max(struct(last.ts, last.transaction_id, last._band, coalesce(last._gap, _join_gap) AS _gap)) AS last",
         "max(_day_n) AS best_day_n", "max(_day_amt) AS best_day_amt",
@@ -297,7 +299,7 @@ def customer_features(
         *[f"{count(f'h_new_{w}')} AS cust_new_merchants_count_{w}" for w in ("7d", "30d")],
         *[f"{count(f'h_abroad_{w}')} AS cust_cross_border_count_{w}" for w in ("7d", "30d")],
         f"{ratio_sql('gap_sum', 'gaps')} / {DAY} AS cust_avg_days_between_txns_30d",
-        f"{std_sql('gaps', 'gap_sum', 'gap_sq')} / {DAY} AS cust_stddev_days_between_txns_30d",
+        f"{moments.std('gaps', 'gap_m2')} / {DAY} AS cust_stddev_days_between_txns_30d",
         "coalesce(h_entropy, 0D) AS cust_preferred_category_entropy_30d",
         *[f"{ratio_sql(f'on_{c}', 'n_30d')} AS cust_{n}_usage_ratio_30d"
           for c, n in (("mobile_app", "mobile"), ("pos", "pos"), ("wire", "wire"))],
@@ -310,7 +312,7 @@ def customer_features(
         "least(1D, 0.3D * n_1h + 0.7D * failed_24h) AS cust_risk_velocity_composite",
         f"{count('fail_streak')} AS consecutive_failed_auth_count",
         f"{UNUSUAL_HOUR} AS unusual_hour_spending_index",
-        f"{std_sql('n_30d', 'amt_30d', 'amt_sq')} / ({ratio_sql('amt_30d', 'n_30d')} + 1e-5D) AS amount_dispersion_index_30d",
+        f"({moments.std('amt_n', 'amt_m2')}) / ({ratio_sql('amt_30d', 'n_30d')} + 1e-5D) AS amount_dispersion_index_30d",
         *[f"coalesce(h_risky_{w}, 0D) AS high_risk_merchant_spend_ratio_{w}" for w in ("7d", "30d")],
         f"cast(micro_1h >= {params.micro_count} AS bigint) AS card_testing_pattern_flag",
         f"cast(structured_24h >= {params.structuring_count} AS bigint) AS structuring_pattern_flag",

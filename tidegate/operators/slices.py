@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions import moments
 from tidegate.functions.scalars import DAY, HOUR, MICROS, micros, slice_id
 
 # slice widths in seconds; each divides the ones before it
@@ -146,6 +147,7 @@ def trailing(
     steps: Sequence[Sequence[str]] = (),
     carried: Mapping[str, str] | None = None,
     after: Sequence[str] = (),
+    spread: Mapping[str, tuple[str, Sequence[str]]] | None = None,
 ) -> DataFrame:
     """Sums over ``[ts - w, ts]`` at each event, for several windows in one shuffle and one sort.
 
@@ -166,8 +168,13 @@ def trailing(
     ``_row`` holds the event's columns, ``marks`` are SQL columns that expiring rows have too.
     ``carried`` names aggregates of which each slice gets the maximum over earlier slices.
     ``after`` are SQL columns over all of these and the sums' parts.
+
+    ``spread`` maps a name to (SQL text, windows) and adds ``{name}_std_{window}``, the sample
+    standard deviation.  Its parts are states (number, mean, squared deviations), which are
+    merged and never subtracted; see ``whole_slices`` for the slices in between.
     """
     keys, carried, marks = list(key), dict(carried or {}), dict(marks or {})
+    spread = {x: (v, list(ws)) for x, (v, ws) in (spread or {}).items()}
     width = slice_seconds or fit_slice(events, keys, ts, min(windows.values()))
     for name, seconds in windows.items():
         if seconds % width:
@@ -177,6 +184,7 @@ def trailing(
     role = {w: i for i, w in enumerate(windows)}
     base = events.selectExpr(
         "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()],
+        *[f"cast({v} AS double) AS _v_{x}" for x, (v, _) in spread.items()],
         *[f"{v} AS {n}" for n, v in marks.items()], f"{row_id or 'NULL'} AS _id", f"unix_micros({ts}) AS _us",
     ).selectExpr("*", f"{slice_sql('_us', width)} AS _slice")
 
@@ -187,7 +195,7 @@ def trailing(
         "*", f"explode(array(named_struct('role', -1, 'by', 0L), {shifts})) AS _step"
     ).selectExpr(
         *keys, "_step.role AS _role", f"_us + _step.by * {MICROS}L AS _us", f"_slice + _step.by DIV {width}L AS _slice", "_id",
-        *[f"_m_{m}" for m in measures], *marks, f"CASE WHEN _step.role = -1 THEN struct({', '.join(payload)}) END AS _row",
+        *[f"_m_{m}" for m in measures], *[f"_v_{x}" for x in spread], *marks, f"CASE WHEN _step.role = -1 THEN struct({', '.join(payload)}) END AS _row",
     )
     # windows by (time, id) come first: their sort also serves the windows by time
     part = f"PARTITION BY {', '.join(keys)}, _slice"
@@ -201,12 +209,22 @@ def trailing(
 
     # rows that have not expired are those at or after the event, added up from the end of the slice
     late = f"{part} ORDER BY _us DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    spreads = [(x, w) for x, (_, ws) in spread.items() for w in ws]
+
+    def states(x: str, r: int, window: str, name: str) -> list[str]:
+        value = f"CASE WHEN _role = {r} THEN _v_{x} END"
+        return [f"count({value}) OVER ({window}) AS {name}_n", f"avg({value}) OVER ({window}) AS {name}_mean",
+                f"var_pop({value}) OVER ({window}) * count({value}) OVER ({window}) AS {name}_m2"]
+
     local = local.selectExpr(
         "*",
         *[f"{over(m, -1, 'CURRENT ROW')} AS _own_{m}" for m in measures],
         *[f"coalesce(sum(CASE WHEN _role = {role[w]} THEN _m_{m} END) OVER ({late}), 0D) AS _head_{m}_{w}" for m, w in pairs],
+        *[e for x in spread for e in states(x, -1, f"{by_time} CURRENT ROW", f"_at_own_{x}")],
+        *[e for x, w in spreads for e in states(x, role[w], late, f"_at_head_{x}_{w}")],
     ).filter("_role = -1")
 
+    # slices wholly inside a window lie between its first one and the event's own
     whole = {w: s // width for w, s in windows.items() if s // width >= 2}
     middle = [(m, w) for m, w in pairs if w in whole]
     if middle or carried:
@@ -225,8 +243,50 @@ def trailing(
             ),
             [*keys, "_slice"], "inner",
         )
+    inner = [(x, w) for x, w in spreads if w in whole]
+    if inner:
+        per_slice = base.groupBy(*keys, "_slice").agg(
+            *[F.expr(f"{e} AS _at_{x}_{c}") for x in spread for c, e in zip(("n", "mean", "m2"), moments.state(f"_v_{x}"))])
+        local = local.join(whole_slices(per_slice, keys, [(x, w, whole[w] - 1) for x, w in inner]), [*keys, "_slice"], "inner")
+    parts = {
+        (x, w): [tuple(f"{p}_{c}" for c in ("n", "mean", "m2")) for p in
+                 (f"_at_own_{x}", f"_at_head_{x}_{w}", *([f"_pre_{x}_{w}", f"_suf_{x}_{w}"] if (x, w) in inner else []))]
+        for x, w in spreads
+    }
+    local = local.selectExpr("*", *[
+        f"{e} AS _all_{c}_{x}_{w}" for (x, w), p in parts.items() for c, e in zip(("n", "mean"), moments.merged(p))])
     return local.selectExpr(
         *keys, *[f"_row.{c} AS {c}" for c in payload],
+        *[f"{moments.std(f'_all_n_{x}_{w}', moments.merged_m2(p, f'_all_mean_{x}_{w}'))} AS {x}_std_{w}" for (x, w), p in parts.items()],
         *[f"_own_{m} + _head_{m}_{w}" + (f" + _mid_{m}_{w}" if (m, w) in middle else "") + f" AS {m}_{w}" for m, w in pairs],
         *after,
     )
+
+
+def whole_slices(per_slice: DataFrame, keys: list[str], wanted: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """States of the m slices before each slice, as two parts: ``_pre_{x}_{w}`` and ``_suf_{x}_{w}``.
+
+    States cannot be taken away again, so a window that slides over m slices is made of two runs
+    that only grow.  Slices are grouped m at a time; m slices in a row hold exactly one group
+    border, so they are the end of one group and the beginning of the next, both of which are
+    running states within their group.  Cost per slice does not depend on m.
+    """
+    by_key = f"PARTITION BY {', '.join(keys)} ORDER BY _slice"
+    out, kept = per_slice, [*keys, "_slice"]
+    for x, w, m in wanted:
+        state = tuple(f"_at_{x}_{c}" for c in ("n", "mean", "m2"))
+        out = out.selectExpr("*", f"_slice - pmod(_slice, {m}L) AS _group")
+        for side, order in (("pre", "ASC"), ("suf", "DESC")):
+            for step in moments.running(*state, f"PARTITION BY {', '.join([*keys, '_group'])} ORDER BY _slice {order}"):
+                out = out.selectExpr("*", *step)
+            out = out.selectExpr("*", f"struct(_slice AS at, _rn AS n, _rmean AS mean, _rm2 AS m2) AS _{side}").drop("_bn", "_bsum", "_rn", "_rmean", "_inc", "_rm2")
+        # the slice before this one, and the first one that the window reaches
+        out = out.selectExpr("*", f"lag(_pre) OVER ({by_key}) AS _l", f"lead(_suf) OVER ({by_key}) AS _next", f"_slice - 1 - pmod(_slice - 1, {m}L) AS _border")
+        out = out.selectExpr("*", f"coalesce(last(_next) OVER ({by_key} RANGE BETWEEN UNBOUNDED PRECEDING AND {m + 1} PRECEDING), "
+                                  f"first(_suf) OVER ({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS _f")
+        out = out.selectExpr(
+            "*", *[f"CASE WHEN _l.at >= _border THEN _l.{c} END AS _pre_{x}_{w}_{c}" for c in ("n", "mean", "m2")],
+            *[f"CASE WHEN _f.at < _border AND _f.at >= _slice - {m} THEN _f.{c} END AS _suf_{x}_{w}_{c}" for c in ("n", "mean", "m2")],
+        ).drop("_group", "_pre", "_suf", "_l", "_next", "_border", "_f")
+        kept += [f"_{side}_{x}_{w}_{c}" for side in ("pre", "suf") for c in ("n", "mean", "m2")]
+    return out.select(*kept)

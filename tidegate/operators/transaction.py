@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import DAY, HOUR
-from tidegate.operators.customer import DEFAULTS, RiskParams, ratio_sql, std_sql
+from tidegate.operators.customer import DEFAULTS, RiskParams, ratio_sql
 from tidegate.operators.slices import Running, fit_slice, running, trailing
 
 CUSTOMER_WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
@@ -43,8 +43,8 @@ def customer_chain(txn: DataFrame, params: RiskParams = DEFAULTS, slice_seconds:
     width = slice_seconds or fit_slice(rows, ["customer_id"], "ts", HOUR)
     calm = f"NOT coalesce(amount > {params.high_value}D, false)"
     out = trailing(
-        rows, ["customer_id"], "ts", {"c_n": "1", "c_amt": "amount", "c_sq": "amount * amount"}, CUSTOMER_WINDOWS, width,
-        wanted={"c_amt": ["7d", "30d"], "c_sq": ["30d"]}, row_id="transaction_id",
+        rows, ["customer_id"], "ts", {"c_n": "1", "c_amt": "amount"}, CUSTOMER_WINDOWS, width,
+        wanted={"c_amt": ["7d", "30d"]}, spread={"c": ("amount", ["30d"])}, row_id="transaction_id",
         steps=steps, carried={"_last": f"max({previous('')})"},
         after=["coalesce(_before, _last) AS prev", "cast(_own_c_n AS bigint) - _n AS _later_peers"],
     )
@@ -112,7 +112,6 @@ def transaction_features(
     ):
         f = f.join(part, "transaction_id", "left")
     elapsed = "(unix_micros(ts) - unix_micros(prev.ts)) / 1e6D"
-    std30 = f"nullif({std_sql('c_n_30d', 'c_amt_30d', 'c_sq_30d')}, 0D)"
     channels = (("MOBILE_APP", "mobile"), ("WEB", "web"), ("POS", "pos"), ("ATM", "atm"), ("WIRE", "wire"))
 
     def flag(cond: str) -> str:
@@ -128,7 +127,7 @@ def transaction_features(
         "cast(hour(ts) AS bigint) AS txn_hour_of_day",
         "cast(weekday(ts) AS bigint) AS txn_day_of_week",
         *[f"""{flag(f"channel = '{c}'")} AS txn_channel_is_{n}""" for c, n in channels],
-        f"coalesce((amount - c_amt_30d / nullif(c_n_30d, 0D)) / {std30}, 0D) AS txn_amount_zscore_30d",
+        "coalesce((amount - c_amt_30d / nullif(c_n_30d, 0D)) / nullif(c_std_30d, 0D), 0D) AS txn_amount_zscore_30d",
         "coalesce(high_run, 0L) AS txn_consecutive_high_val_count",
         "coalesce(new_merchant, 0L) AS txn_is_first_time_merchant",
         "coalesce(new_country, 0L) AS txn_is_first_time_country",

@@ -528,19 +528,24 @@ def user_sessions(spark, sf):
 
 @query("trailing_extremes", f"""WITH priced AS (
   SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey, l_shipdate AS ts,
-         CASE WHEN l_orderkey % 97 = 0 THEN 1e9 + l_extendedprice ELSE l_extendedprice END AS price FROM lineitem)
+         CASE WHEN l_orderkey % 97 = 0 THEN 1e9 + l_extendedprice ELSE l_extendedprice END AS price, l_quantity FROM lineitem)
 SELECT line_id, CAST(sum(CAST(price AS DECIMAL(18,2))) OVER w7 AS DECIMAL(18,2)) AS price_7d,
   CAST(sum(CAST(price AS DECIMAL(18,2))) OVER w30 AS DECIMAL(18,2)) AS price_30d,
-  CAST(count(*) OVER w30 AS DOUBLE) AS n_30d FROM priced
+  CAST(count(*) OVER w30 AS DOUBLE) AS n_30d,
+  {r("round(ln(1 + coalesce(stddev_samp(price) OVER w7, 0)), 4)")} AS log_std_7d, {r("round(ln(1 + coalesce(stddev_samp(1e5 + l_quantity / 10) OVER w30, 0)), 4)")} AS log_std_30d
+FROM priced
 WINDOW w7 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW),
   w30 AS (PARTITION BY l_suppkey ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
 def trailing_extremes(spark, sf):
-    """Trailing sums per supplier at every line, with prices a million times larger in between."""
+    """Trailing sums and spreads per supplier at every line, with prices a million times larger in between, and the
+    spread of values that differ by little from a large one."""
     priced = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
         "l_orderkey * 10 + l_linenumber AS line_id", "l_suppkey", "cast(l_shipdate AS timestamp) AS ts",
-        "CASE WHEN l_orderkey % 97 = 0 THEN 1e9D + l_extendedprice ELSE l_extendedprice END AS price")
-    out = trailing(priced, ["l_suppkey"], "ts", {"price": "price", "n": "1"}, {"7d": 7 * DAY, "30d": 30 * DAY}, wanted={"n": ["30d"]})
-    return out.selectExpr("line_id", "cast(price_7d AS decimal(18,2)) AS price_7d", "cast(price_30d AS decimal(18,2)) AS price_30d", "n_30d")
+        "CASE WHEN l_orderkey % 97 = 0 THEN 1e9D + l_extendedprice ELSE l_extendedprice END AS price", "1e5D + l_quantity / 10 AS level")
+    out = trailing(priced, ["l_suppkey"], "ts", {"price": "price", "n": "1"}, {"7d": 7 * DAY, "30d": 30 * DAY}, wanted={"n": ["30d"]},
+                   spread={"price": ("price", ["7d"]), "level": ("level", ["30d"])})
+    return out.selectExpr("line_id", "cast(price_7d AS decimal(18,2)) AS price_7d", "cast(price_30d AS decimal(18,2)) AS price_30d", "n_30d",
+                          "round(ln(1 + price_std_7d), 4) AS log_std_7d", "round(ln(1 + level_std_30d), 4) AS log_std_30d")
 
 
 @query("stratified_split", f"""WITH {TXN}
