@@ -358,6 +358,59 @@ def snapshot_history(spark, sf):
     return spine.snapshot_history(t.bind_transactions(spark, sf), "customer_id")
 
 
+# snapshot times at which something of an entity is in sight, with the events they see
+def sight(key: str) -> str:
+    return f"""
+steps AS (SELECT unnest(generate_series((SELECT min(ts) FROM txn)::DATE::TIMESTAMP, (SELECT max(ts) FROM txn) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS s),
+sight AS (SELECT txn.*, s AS t, CAST(status = 'FAILED' AS INTEGER) AS failed,
+    sum(CASE WHEN status = 'FAILED' THEN 0 ELSE 1 END) OVER (PARTITION BY {key}, s ORDER BY ts DESC, transaction_id DESC) AS ok_after
+  FROM txn JOIN steps ON ts <= s AND ts >= s - INTERVAL 720 HOUR
+  WHERE s <= date_trunc('day', (SELECT max(ts) FROM txn) - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY AND {key} IS NOT NULL)"""
+
+
+# The features of the risk model, in its order, as SQL over the events in sight.
+MODEL_SQL = {
+    **{f"cust_txn_count_{w}": f"count(*) FILTER ({inside(w)})" for w in ("1h", "24h", "7d")},
+    **{f"cust_txn_amount_sum_{w}": f"coalesce(sum(amount) FILTER ({inside(w)}), 0)" for w in ("1h", "24h")},
+    "cust_txn_amount_avg_7d": f"coalesce(avg(amount) FILTER ({inside('7d')}), 0)",
+    "cust_failed_txn_count_24h": f"count(*) FILTER ({inside('24h')} AND failed = 1)",
+    "cust_unique_merchants_7d": f"count(DISTINCT merchant_id) FILTER ({inside('7d')})",
+    "cust_activity_score": "least(count(*) / 50.0, 1.0)",
+    "cust_night_owl_ratio_30d": "avg(CAST(hour(ts) < 5 AS INTEGER))",
+    "cust_declined_ratio_7d": f"coalesce(avg(failed) FILTER ({inside('7d')}), 0)",
+    "cust_risk_velocity_composite": f"least(1.0, 0.3 * count(*) FILTER ({inside('1h')}) + 0.7 * count(*) FILTER ({inside('24h')} AND failed = 1))",
+    "consecutive_failed_auth_count": "count(*) FILTER (ok_after = 0)",
+    "amount_dispersion_index_30d": "coalesce(stddev_samp(amount), 0) / (avg(amount) + 1e-5)",
+    "burst_txn_count_10min": "count(*) FILTER (ts >= t - INTERVAL 10 MINUTE)",
+    "burst_txn_amount_10min": "coalesce(sum(amount) FILTER (ts >= t - INTERVAL 10 MINUTE), 0)",
+}
+WHOLE = {c for c in MODEL_SQL if "count" in c or "unique" in c}
+MODEL_SNAPS = sight("customer_id") + ", snap AS (SELECT customer_id, t AS feature_timestamp, " + ", ".join(
+    f"{e} AS {c}" for c, e in MODEL_SQL.items()) + " FROM sight GROUP BY customer_id, t)"
+
+
+@query("snapshot_history_model", f"WITH {TXN}, {MODEL_SNAPS} SELECT customer_id, feature_timestamp, " + ", ".join(
+    c if c in WHOLE else f"{r(c)} AS {c}" for c in MODEL_SQL) + " FROM snap")
+def snapshot_history_model(spark, sf):
+    """The sixteen features of the risk model for every customer at every midnight."""
+    return spine.model_history(t.bind_transactions(spark, sf))
+
+
+@query("snapshot_history_merchants", f"WITH {TXN}, {sight('merchant_id')} SELECT merchant_id, t AS feature_timestamp, " + ", ".join(
+    [f"count(*) FILTER ({inside(w)}) AS merch_txn_count_{w}" for w in ("1h", "24h", "7d", "30d")]
+    + [r(f"coalesce(avg(amount) FILTER ({inside(w)}), 0)") + f" AS merch_avg_txn_amount_{w}" for w in ("24h", "7d", "30d")]
+    + [r(f"coalesce(avg(is_fraud) FILTER ({inside(w)}), 0)") + f" AS merch_fraud_rate_{w}" for w in ("7d", "30d")]
+    + [r(f"coalesce(avg(failed) FILTER ({inside(w)}), 0)") + f" AS merch_declined_txn_rate_{w}" for w in ("24h", "7d")]
+    + [f"count(DISTINCT customer_id) FILTER ({inside(w)}) AS merch_unique_customers_{w}" for w in ("24h", "7d", "30d")]
+    + [r("max(amount)") + " AS merch_max_txn_amount_30d",
+       r(f"least(count(*) FILTER ({inside('1h')}) / (count(*) FILTER ({inside('24h')}) / 24.0 + 1e-5), 10.0)") + " AS merch_velocity_spike_index",
+       r("coalesce(coalesce(sum(amount) FILTER (status = 'REFUNDED'), 0) / nullif(sum(amount), 0), 0)") + " AS merch_refund_ratio_30d"]
+) + " FROM sight GROUP BY merchant_id, t")
+def snapshot_history_merchants(spark, sf):
+    """Measures of every merchant at every midnight."""
+    return spine.merchant_history(t.bind_transactions(spark, sf))
+
+
 def asof_parts(spark, sf):
     """Purchases as observations, daily customer snapshots as features."""
     obs = t.bind_transactions(spark, sf).filter(F.col("status") == "APPROVED").select(
@@ -568,19 +621,13 @@ def sample_rows(spark, sf):
     return training.sample_rows(rows, "transaction_id", 5000)
 
 
-TRAIN_FEATURES = [f"cust_{m}_{w}" for w in ("1h", "24h", "7d") for m in ("txn_count", "txn_amount_sum", "failed_txn_count")]
-
-
-@query("training_set", f"""WITH {TXN}, {SPINE}
-SELECT o.transaction_id, o.customer_id, o.ts, """ + ", ".join(
-    r(f"coalesce(s.{c}_{w}, 0)") + f" AS cust_{m}_{w}"
-    for w in ("1h", "24h", "7d") for c, m in (("n", "txn_count"), ("a", "txn_amount_sum"), ("f", "failed_txn_count"))
-) + f""", {r("o.is_fraud")} AS label
+@query("training_set", f"""WITH {TXN}, {MODEL_SNAPS}
+SELECT o.transaction_id, o.customer_id, o.ts, """ + ", ".join(f"{r(f'coalesce(s.{c}, 0)')} AS {c}" for c in MODEL_SQL) + f""", {r("o.is_fraud")} AS label
 FROM txn o ASOF LEFT JOIN snap s ON o.customer_id = s.customer_id AND o.ts >= s.feature_timestamp""")
 def training_set(spark, sf):
-    """Every transaction with its point-in-time features and its label."""
+    """Every transaction with the sixteen point-in-time features of the model and its label."""
     txn = t.bind_transactions(spark, sf)
-    return training.training_set(txn, spine.snapshot_history(txn, "customer_id"), n=None, features=TRAIN_FEATURES)
+    return training.training_set(txn, spine.model_history(txn), n=None)
 
 
 @query("train_fraud_model", f"""WITH {TXN},
@@ -595,8 +642,7 @@ def train_fraud_model(spark, sf):
     Scores of a forest have no SQL; its metrics are tested by properties.
     """
     txn = t.bind_transactions(spark, sf)
-    data = training.training_set(txn, spine.snapshot_history(txn, "customer_id"), features=TRAIN_FEATURES)
-    fitted = training.train(data, TRAIN_FEATURES)
+    fitted = training.train(training.training_set(txn, spine.model_history(txn)))
     sides = fitted.split.agg(
         F.count_if("is_train").alias("train_rows"), F.count_if(F.col("is_train") & (F.col("label") == 1)).alias("train_positives"),
         F.count_if(~F.col("is_train")).alias("test_rows"), F.count_if(~F.col("is_train") & (F.col("label") == 1)).alias("test_positives"))
