@@ -63,7 +63,8 @@ def asof_join_groups(
     and each slice that has observations starts with a carried-in row holding the newest
     feature row of the earlier slices.  A feature row is taken as a whole (one struct), so
     a null in the newest row is not replaced by an older value.  Every observation is kept
-    exactly once; null keys and times match nothing and bypass the shuffle.
+    exactly once; null keys and times match nothing and bypass the shuffle.  Features are read
+    more than once: give computed ones as a written table (``session.stage_table``).
     """
     if slice_seconds is None:
         slice_seconds = min(
@@ -154,6 +155,14 @@ def assert_no_leakage(joined: DataFrame, obs_ts: str, feature_ts: str = "feature
         raise LeakageError(f"{leaking} rows carry a feature newer than the observation")
 
 
+def latest_values(features: DataFrame, key: str, feature_ts: str, columns: Sequence[str]) -> DataFrame:
+    """Newest non-null value of each column per key, and the newest time."""
+    return features.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max(feature_ts).alias(feature_ts),
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(feature_ts), F.col(c)))).alias(c) for c in columns],
+    )
+
+
 def naive_latest_join(
     observations: DataFrame,
     features: DataFrame,
@@ -164,16 +173,7 @@ def naive_latest_join(
     """The deliberately leaky join: newest non-null value of each column, whatever its time."""
     if columns is None:
         columns = [c for c in features.columns if c not in (key, feature_ts)]
-    latest = features.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.max(feature_ts).alias(feature_ts),
-        *[
-            F.max_by(
-                F.col(c),
-                F.when(F.col(c).isNotNull(), F.struct(F.col(feature_ts), F.col(c))),
-            ).alias(c)
-            for c in columns
-        ],
-    )
+    latest = latest_values(features, key, feature_ts, columns)
     return observations.join(latest, key, "left")
 
 
@@ -181,24 +181,21 @@ def skew_report(
     observations: DataFrame,
     features: DataFrame,
     key: str,
-    row_id: str,
     obs_ts: str,
     feature_ts: str = "feature_timestamp",
     columns: Sequence[str] | None = None,
     ttl_seconds: int = 30 * DAY,
 ) -> DataFrame:
-    """Per feature: rows where the leaky join differs from the correct one, and rows it leaks into."""
+    """Per feature: rows where the leaky join differs from the correct one, and rows it leaks into.
+
+    The newest values, one row per key, meet the result of the as-of join; the observations are shuffled once.
+    """
     if columns is None:
         columns = [c for c in features.columns if c not in (key, feature_ts)]
     right = asof_join(observations, features, key, obs_ts, feature_ts, columns, ttl_seconds)
-    latest = naive_latest_join(
-        observations.select(row_id, key), features, key, feature_ts, columns
-    ).select(
-        row_id,
-        F.col(feature_ts).alias("_naive_ts"),
-        *[F.col(c).alias(f"_naive_{c}") for c in columns],
-    )
-    both = right.join(latest, row_id, "inner")
+    latest = latest_values(features, key, feature_ts, columns).select(
+        key, F.col(feature_ts).alias("_naive_ts"), *[F.col(c).alias(f"_naive_{c}") for c in columns])
+    both = right.join(latest, key, "left")
     counts = both.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_naive_ts") > F.col(obs_ts)).alias("leaking"),

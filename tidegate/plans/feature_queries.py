@@ -11,6 +11,7 @@ from tidegate.operators import account, asof, customer, merchant, spine, trainin
 from tidegate.operators.customer import RiskParams
 from tidegate.operators.slices import trailing
 from tidegate.plans.registry import query, r
+from tidegate.session import stage_table
 from tidegate.sources import tables as t
 
 # amounts in the supplied events stay below 500, so the thresholds are set to match
@@ -416,7 +417,7 @@ def asof_parts(spark, sf):
     obs = t.bind_transactions(spark, sf).filter(F.col("status") == "APPROVED").select(
         "transaction_id", "customer_id", "ts", "amount", "is_fraud"
     )
-    return obs, spine.snapshot_history(t.bind_transactions(spark, sf), "customer_id")
+    return obs, stage_table(spine.snapshot_history(t.bind_transactions(spark, sf), "customer_id"), "snapshots")
 
 
 FEATURES = ["cust_txn_count_24h", "cust_txn_count_7d", "cust_txn_amount_sum_30d", "cust_failed_txn_count_7d"]
@@ -441,7 +442,7 @@ SELECT o.transaction_id, f.feature_timestamp,
 FROM obs o ASOF LEFT JOIN f ON o.customer_id = f.customer_id AND o.ts >= f.feature_timestamp""")
 def asof_join_ttl(spark, sf):
     """Values older than a day are void; the time they were found at stays."""
-    obs, _ = asof_parts(spark, sf)
+    obs = t.bind_transactions(spark, sf).filter(F.col("status") == "APPROVED").select("transaction_id", "customer_id", "ts")
     refunds = t.bind_transactions(spark, sf).filter(F.col("status") == "REFUNDED").select(
         "customer_id", F.col("ts").alias("feature_timestamp"), F.col("amount").alias("refund")
     )
@@ -497,7 +498,7 @@ SELECT 'cust_txn_count_24h' AS feature, n AS rows_compared, d24 AS rows_differin
 UNION ALL SELECT 'cust_txn_count_7d', n, d7, leak FROM c UNION ALL SELECT 'cust_failed_txn_count_7d', n, df, leak FROM c""")
 def skew_report(spark, sf):
     obs, snaps = asof_parts(spark, sf)
-    return asof.skew_report(obs, snaps, "customer_id", "transaction_id", "ts", columns=SKEW)
+    return asof.skew_report(obs, snaps, "customer_id", "ts", columns=SKEW)
 
 
 @query("leakage_audit", f"""WITH {TXN}, {SPINE}, {OBS}
@@ -627,7 +628,7 @@ FROM txn o ASOF LEFT JOIN snap s ON o.customer_id = s.customer_id AND o.ts >= s.
 def training_set(spark, sf):
     """Every transaction with the sixteen point-in-time features of the model and its label."""
     txn = t.bind_transactions(spark, sf)
-    return training.training_set(txn, spine.model_history(txn), n=None)
+    return training.training_set(txn, stage_table(spine.model_history(txn), "snapshots"), n=None)
 
 
 @query("train_fraud_model", f"""WITH {TXN},
@@ -642,7 +643,7 @@ def train_fraud_model(spark, sf):
     Scores of a forest have no SQL; its metrics are tested by properties.
     """
     txn = t.bind_transactions(spark, sf)
-    fitted = training.train(training.training_set(txn, spine.model_history(txn)))
+    fitted = training.train(training.training_set(txn, stage_table(spine.model_history(txn), "snapshots")))
     sides = fitted.split.agg(
         F.count_if("is_train").alias("train_rows"), F.count_if(F.col("is_train") & (F.col("label") == 1)).alias("train_positives"),
         F.count_if(~F.col("is_train")).alias("test_rows"), F.count_if(~F.col("is_train") & (F.col("label") == 1)).alias("test_positives"))
