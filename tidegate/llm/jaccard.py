@@ -47,8 +47,10 @@ GROUP = 256
 LIST = 2048
 STRIP = 128
 FILTER_BITS = 1 << 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 FLUSH_TOKENS = 1_500_000
+# 32 bytes each, held about four times over while they are sorted and packed
+LEAD_TOKENS = 300_000
 
 
 def token_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,14 +152,15 @@ def leading(docs: DataFrame, size: int, percent: int, heavy, bits: int) -> DataF
         held, pending = [], 0
 
         def rows():
-            b, *columns = (np.concatenate(x) for x in zip(*held))
+            b = np.concatenate([x[0] for x in held])
             order = np.argsort(b, kind="stable")
-            b, columns = b[order], [c[order] for c in columns]
+            b = b[order]
             first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            last = np.append(first[1:], len(b))
-            return pa.RecordBatch.from_arrays([
-                pa.array(b[first]), *[pa.array([c[x:y].tobytes() for x, y in zip(first, last)], pa.binary()) for c in columns]],
-                ["block", "tokens", "nodes", "sizes", "ranks"])
+            last, columns = np.append(first[1:], len(b)), []
+            for k in range(1, 5):  # one column at a time
+                c = np.concatenate([x[k] for x in held])[order]
+                columns.append(pa.array([c[x:y].tobytes() for x, y in zip(first, last)], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(b[first]), *columns], ["block", "tokens", "nodes", "sizes", "ranks"])
 
         for _, texts in slices(batches):
             h, first, node = token_sets(texts, size)
@@ -173,7 +176,7 @@ def leading(docs: DataFrame, size: int, percent: int, heavy, bits: int) -> DataF
             spread = (s >> top).astype(np.int64) if bits else np.zeros(len(t), np.int64)
             held.append((np.where(w[lead] > 0, -1 - spread, block), t, s, n[owner[lead]].astype("<i4"), rank[rank < (n - least_overlap(n, percent) + 1)[owner]].astype("<i4")))
             pending += len(t)
-            if pending > FLUSH_TOKENS:
+            if pending > LEAD_TOKENS:
                 yield rows()
                 held, pending = [], 0
         if pending:
