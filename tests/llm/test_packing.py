@@ -6,13 +6,13 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegate.llm.packing import Encoder, Packer, op5_packing, pack
+from tidegate.llm.packing import Packer, op5_packing, pack
+from tidegate.llm.tokens import encoder
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -50,9 +50,16 @@ def test_query_round_trip(spark, sf_dir, texts, reference):
 
 
 def test_encoder_equals_the_tokenizer(reference):
-    encode = Encoder()
-    for text in ["", " ", "a", " a  b", "a\n b", "x \n", "it's  we'll ' s", "1 2  33", "é ñ x y　z", "<|endoftext|> a", "a\tb c", "!! ?\r\n", "日本 語 a"]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == reference(text)[:-1], text
+    encode = encoder()
+    for text in ["", " ", "a", " a  b", "a\n b", "x \n", "it's  we'll ' s", "1 2  33", "é ñ x y　z", "<|endoftext|> a", "a\tb c", "!! ?\r\n", "日本 語 a", "a <|endoftext|> b"]:
+        assert np.frombuffer(encode.batch([text])[0], encode.kind).tolist() == reference(text)[:-1], text
+
+
+def test_an_added_token_in_a_text_is_that_token(spark, reference):
+    text = "a <|endoftext|> b"
+    assert reference(text)[:-1] == [64, 220, 50256, 275]
+    rows = pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    check(rows, {1: reference(text)})
 
 
 def test_odd_rows(odd_documents, no_documents, reference):

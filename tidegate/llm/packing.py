@@ -8,13 +8,15 @@ end, so that every window but the last of a task is exactly full.  Each task pac
 rows in one pass without a shuffle; it holds at most ``POOL`` open rests.  The windows of a
 tier are dealt evenly into step groups of about ``step_tokens`` tokens.
 
+Ids are those of the tokenizers library, which takes an added token of the file that stands in a
+text (``<|endoftext|>``) as that token.
+
 Defined cases: null or empty text is the end token alone; repeated rows and null ids are
 packed as they come; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -26,60 +28,16 @@ from pyspark.sql import DataFrame
 
 from tidegate.llm.common import identified, table
 from tidegate.llm.registry import query
+from tidegate.llm.tokens import encoder, runs
 
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 1 << 16
 END = 0
 POOL = 8192
-CACHE_WORDS = 300_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier long, step_group long")
 
 
-class Encoder:
-    """Byte-level BPE ids of a text as little-endian 32-bit values.
-
-    A text is split before every blank between two characters that are no white space; the
-    vocabulary's pattern always starts a piece there, so parts are encoded apart and cached.
-    A text with other uses of white space at a part's edge is encoded as a whole.
-    """
-
-    def __init__(self, path: str | None = None):
-        import public_tokenizers as public
-        import tiktoken
-
-        path = path or public.path("byte_bpe_50k.tiktoken")
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("bytes", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes | None] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.core.encode_ordinary(text), "<u4").tobytes()
-
-    def part(self, word: str) -> bytes | None:
-        out = None if not word or word[0].isspace() or word[-1].isspace() else self.ids(" " + word)
-        if len(self.cache) < CACHE_WORDS and len(word) < 64:
-            self.cache[word] = out
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        if not rest:
-            return self.ids(text)
-        if not head or head[-1].isspace():
-            return self.ids(text)
-        out, get, missing = [self.ids(head)], self.cache.get, self.part
-        for word in rest:
-            x = get(word, 0)
-            if x == 0:
-                x = missing(word)
-            if x is None:
-                return self.ids(text)
-            out.append(x)
-        return b"".join(out)
-
-
 class Packer:
     """Packs the rests of one task; rows() gives what is complete."""
 
@@ -160,15 +118,17 @@ def pack(docs: DataFrame, tiers=TIERS, step_tokens: int = STEP_TOKENS, vocabular
     closing = np.asarray([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        encode, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + closing
-                packer.add((doc_id, len(ids) // 4), ids)
-                if len(packer.pool) >= POOL:
-                    packer.pack(last=False)
-                if len(packer.done) >= 2 * POOL:
-                    yield packer.rows()
+            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for piece in runs(texts):
+                for doc_id, raw in zip(doc_ids[piece], encode.batch(texts[piece])):
+                    ids = np.frombuffer(raw, encode.kind).astype("<u4").tobytes() + closing
+                    packer.add((doc_id, len(ids) // 4), ids)
+                    if len(packer.pool) >= POOL:
+                        packer.pack(last=False)
+                    if len(packer.done) >= 2 * POOL:
+                        yield packer.rows()
         packer.pack(last=True)
         if (rows := packer.rows()) is not None:
             yield rows
