@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> SparkSession:
+    """Python workers started from another folder find the package too; a cluster gets it with --py-files."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where the session runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
