@@ -18,7 +18,7 @@ from tidegate.plans.registry import ORACLES, query, r
 from tidegate.session import scratch
 from tidegate.sources import derived, stores
 from tidegate.sources import tables as t
-from tidegate.streaming import jobs, stateful
+from tidegate.streaming import jobs, progress, stateful
 
 COUNTED = """WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 720 HOUR)"""
 
@@ -182,6 +182,27 @@ def stream_incidents(spark, sf):
     return stateful.read_incidents(spark, path).select("incident_id", "opened_at", "failure_count", "last_failure_at", "resolved_at")
 
 
+@query("stream_late_rows", """WITH e AS (SELECT event_id, ts, epoch_us(ts) AS us, (SELECT epoch_us(min(ts)) FROM events) AS lo, (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) // 3 FROM events) AS step FROM events),
+d AS (SELECT *, least((us - lo) // step, 2) AS third, CASE WHEN event_id % 50 = 0 THEN 2 ELSE least((us - lo) // step, 2) END AS delivery FROM e),
+m AS (SELECT max(us) FILTER (delivery < 2) - 3600000000 AS mark FROM d)
+SELECT count(*) AS delivered, count(*) FILTER (NOT (delivery = 2 AND us <= mark // 1000 * 1000)) AS kept, count(*) FILTER (delivery = 2 AND us <= mark // 1000 * 1000) AS dropped FROM d, m""")
+def stream_late_rows(spark, sf):
+    """Rows kept and dropped of a feed in which every fiftieth event comes with the last delivery only, most of them too late."""
+    txn = t.bind_transactions(spark, sf).select("transaction_id", "ts")
+    feed, path, state = scratch(spark, "feed"), scratch(spark, "kept"), scratch(spark, "kept-state")
+    us = F.unix_micros("ts")
+    lo, hi = txn.agg(F.min(us), F.max(us)).first()
+    third = F.least(F.floor((us - lo) / max(1, (hi - lo) // 3)), F.lit(2))
+    delivery = F.when(F.col("transaction_id") % 50 == 0, 2).otherwise(third)
+    total = progress.Counts()
+    for i in range(3):
+        txn.filter(delivery == i).write.parquet(f"{feed}/{i}")
+        stream = spark.readStream.schema(txn.schema).parquet(f"{feed}/*")
+        total += progress.append_counted(jobs.deduplicate_events(stream), path, state)
+    kept = spark.read.schema(txn.schema).parquet(path)
+    return kept.agg(F.lit(total.read).cast("bigint").alias("delivered"), F.count(F.lit(1)).alias("kept"), F.lit(total.dropped).cast("bigint").alias("dropped"))
+
+
 @query("stream_freshness", """
 SELECT event_type AS dataset, max(ts) AS last_record_timestamp, CASE WHEN d <= 60 THEN 'FRESH' WHEN d <= 120 THEN 'WARNING' ELSE 'STALE' END AS freshness_status
 FROM (SELECT event_type, ts, (epoch_us((SELECT max(ts) FROM events) + INTERVAL 1 HOUR) - epoch_us(max(ts) OVER (PARTITION BY event_type))) / 60e6 AS d FROM events) GROUP BY event_type, d""")

@@ -13,13 +13,13 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.operators import incidents, lineage
+from tidegate.operators import lineage
 from tidegate.operators import quality as q
 from tidegate.operators.freshness import classify
 from tidegate.functions.scalars import minutes_between
 from tidegate.operators.online import assemble, to_online
 from tidegate.operators.scoring import prediction_log, score
-from tidegate.sources.stores import path_exists, write_changes
+from tidegate.sources.stores import write_changes
 from tidegate.sources.tables import shape_transactions, table
 
 WATERMARK = "1 hour"
@@ -51,13 +51,6 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def dropped_rows(query) -> int:
-    """Rows a query dropped as too late, summed over its recent batches."""
-    return sum(
-        op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
-    )
-
-
 # -- windowed aggregates --------------------------------------------------------------
 
 def sliding_velocity(txn: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -143,58 +136,6 @@ def materialize_online(
     run_batches(snapshots, handle, checkpoint)
 
 
-def track_incidents(signals: DataFrame, path: str, checkpoint: str) -> None:
-    """Incident deduplication across batches.
-
-    A batch sees its own signals and, for each of its signatures, the incident that is still
-    open from earlier batches as one carried failure; the batch operator does the rest, so
-    no signature is held by one task.  Batches must not overlap in time per signature.
-    """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        signals_now = batch.select("failure_signature", "event_id", "timestamp", "kind")
-        earlier = None
-        if path_exists(spark, path):
-            done = spark.read.parquet(path).filter(
-                F.regexp_extract(F.col("change_id").cast("string"), r"(\d+)$", 1).cast("bigint") < batch_id
-            )
-            newest_state = done.groupBy("incident_id").agg(
-                F.max_by(F.struct(*[c for c in done.columns if c != "change_id"]),
-                         F.regexp_extract(F.col("change_id").cast("string"), r"(\d+)$", 1).cast("bigint")).alias("r")
-            ).select("r.*")
-            earlier = newest_state.filter("resolved_at IS NULL").join(
-                signals_now.select("failure_signature").distinct(), "failure_signature", "left_semi"
-            )
-            carried = earlier.select(
-                "failure_signature", F.col("opened_by").alias("event_id"), F.col("opened_at").alias("timestamp"),
-                F.lit("FAIL").alias("kind"),
-            )
-            signals_now = signals_now.unionByName(carried)
-        found = incidents.deduplicate(signals_now).drop("epoch")
-        if earlier is not None:
-            known = earlier.select(
-                F.col("opened_by").alias("_by"), F.col("failure_count").alias("_before"),
-                F.col("last_failure_at").alias("_last"),
-            )
-            # the carried row stands for all failures counted before
-            found = found.join(known, found["opened_by"] == known["_by"], "left").withColumns({
-                "failure_count": F.col("failure_count") + F.coalesce(F.col("_before") - 1, F.lit(0)),
-                "last_failure_at": F.greatest("last_failure_at", "_last"),
-            }).drop("_by", "_before", "_last")
-        write_changes(found, path, f"batch-{batch_id}")
-
-    run_batches(signals, handle, checkpoint)
-
-
-def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state of every incident written by ``track_incidents``."""
-    rows = spark.read.parquet(path)
-    batch = F.regexp_extract(F.col("change_id").cast("string"), r"(\d+)$", 1).cast("bigint")
-    return rows.groupBy("incident_id").agg(
-        F.max_by(F.struct(*[c for c in rows.columns if c not in ("incident_id", "change_id")]), batch).alias("r")
-    ).select("incident_id", "r.*")
-
-
 def monitor_freshness(
     arrivals: DataFrame, sla_minutes: Mapping[str, int], path: str, checkpoint: str, ref_time: dt.datetime
 ) -> None:
