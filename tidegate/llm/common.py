@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -123,6 +124,13 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out, owner
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on from stage to stage."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES):
     """Cut batches to runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
     for batch in batches:
@@ -135,3 +143,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             held += len(t) + 1
         if at < len(texts):
             yield batch.slice(at), texts[at:]
+    release()

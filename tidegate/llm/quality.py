@@ -35,6 +35,8 @@ EMBED, FILTERS, UNITS = 8, 32, 24
 PAD = 256
 FIT_ROWS = 1200
 FIT_BLOCKS = 48
+# bytes scored at once where other columns of the rows are held beside them; about 130 bytes of memory each
+SCORE_BYTES = 1 << 17
 EPOCHS = 14
 THRESHOLD = 0.3
 PER_BLOCK = BLOCK // STEP
@@ -219,7 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         net.p = weights
         for part in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])
-            p = [net.score(run) if weights else np.full(len(run), model) for _, run in slices(iter([batch]))]
+            p = [net.score(run) if weights else np.full(len(run), model) for _, run in slices(iter([batch]), size=SCORE_BYTES)]
             yield pd.Series(np.concatenate(p) if p else np.zeros(0))
 
     return docs.where(score(F.coalesce("text", F.lit(""))) >= threshold)
