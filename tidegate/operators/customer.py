@@ -194,10 +194,14 @@ def profile(days: DataFrame, key: str, as_of: dt.datetime, params: RiskParams =
 
 
 def visited(txn: DataFrame, key: str, as_of: dt.datetime) -> DataFrame:
-    """One row per (key, merchant) over all history up to ``as_of``."""
+    """One row per (key, merchant) over all history up to ``as_of``.
+
+    A column ``first_ts`` marks rows that stand for several visits (see ``sources.visits``).
+    """
+    first = "first_ts" if "first_ts" in txn.columns else "ts"
     month, week = since(as_of, HORIZON), since(as_of, WINDOWS["7d"])
     return aggregate(txn.filter(f"ts <= {instant(as_of)} AND {key} IS NOT NULL"), [key, "merchant_id"], [
-        "min(ts) AS first_ts", "max(ts) AS last_ts", f"max(CASE WHEN NOT ({month}) THEN ts END) AS older_ts",
+        f"min({first}) AS first_ts", "max(ts) AS last_ts", f"max(CASE WHEN NOT ({month}) THEN ts END) AS older_ts",
         f"count_if({week}) AS n_7d", f"count_if({month}) AS n_30d",
         f"sum(CASE WHEN {week} THEN amount END) AS amt_7d", f"sum(CASE WHEN {month} THEN amount END) AS amt_30d",
     ])
@@ -266,8 +270,8 @@ def customer_features(
 ) -> DataFrame:
     """All customer features at ``as_of``, one row per customer with an event in 30 days.
 
-    ``history`` is the unrestricted transaction table; pass it when ``txn`` is already cut
-    to the last 30 days (so that the cut reaches the scan).
+    ``history`` is the unrestricted transaction table, or the short one that
+    ``sources.visits.history`` makes of a kept table; pass it when ``txn`` is already cut to the last 30 days (so that the cut reaches the scan).
     """
     p = profile(daily_profile(txn, "customer_id", as_of, params), "customer_id", as_of, params)
     habits = merchant_habits(

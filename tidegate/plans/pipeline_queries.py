@@ -16,7 +16,7 @@ from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound
 from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED, served
 from tidegate.plans.registry import ORACLES, query, r
 from tidegate.session import scratch
-from tidegate.sources import derived, stores
+from tidegate.sources import derived, stores, visits
 from tidegate.sources import tables as t
 from tidegate.streaming import jobs, progress, stateful
 
@@ -87,6 +87,17 @@ def offline_snapshot(spark, sf):
     )
 
 
+@query("merchant_visits", f"""WITH {TXN}
+SELECT customer_id, merchant_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS visits FROM txn WHERE customer_id IS NOT NULL GROUP BY 1, 2""")
+def merchant_visits(spark, sf):
+    """The kept table of visits after six steps of five days each, the fourth of which folds what came before."""
+    txn, root = t.bind_transactions(spark, sf), scratch(spark, "visits")
+    now = t.latest_event_time(spark, sf)
+    for days in range(25, -1, -5):
+        visits.advance(txn, root, "customer_id", now - dt.timedelta(days=days), fold_after=2)
+    return visits.table(spark, root, "customer_id")
+
+
 @query("dataset_pipeline", """
 SELECT 'CONTRACT_VALIDATION' AS stage, 'SUCCESS' AS status UNION ALL SELECT 'SCHEMA_VALIDATION', 'SUCCESS'
 UNION ALL SELECT 'DATA_QUALITY', CASE WHEN count(*) FILTER (event_type NOT IN ('click', 'purchase', 'signup', 'view') OR value < 0.5 OR value > 300) > 0 THEN 'FAILED' ELSE 'SUCCESS' END FROM events""")
