@@ -12,7 +12,8 @@ from tidegate.operators.customer import velocity_features
 from tidegate.plans.feature_queries import TXN, bound, inside
 from tidegate.plans.quality_queries import CHECKS
 from tidegate.plans.registry import query, r
-from tidegate.sources import derived
+from tidegate.session import scratch
+from tidegate.sources import derived, stores
 from tidegate.sources import tables as t
 
 KINDS = "['" + "','".join(derived.CHECK_KINDS) + "']"
@@ -429,6 +430,29 @@ def online_lookup(spark, sf):
     )
 
 
+@query("online_lookup_compacted", f"""WITH {TXN},
+days AS (SELECT t - d * INTERVAL 1 DAY AS snap FROM now_at, (SELECT unnest(range(6)) AS d)),
+newest AS (SELECT customer_id, max(snap) AS snap FROM days, txn WHERE ts <= snap AND ts >= snap - INTERVAL 30 DAY GROUP BY customer_id),
+v AS (SELECT n.customer_id, n.snap, sum(amount) FILTER (ts >= n.snap - INTERVAL 7 DAY) AS a7 FROM newest n JOIN txn x ON x.customer_id = n.customer_id AND x.ts <= n.snap GROUP BY 1, 2)
+SELECT CAST(c_custkey AS VARCHAR) AS entity_id, snap AS feature_timestamp, {r("CASE WHEN snap IS NULL THEN -1 ELSE coalesce(a7, 0) END")} AS cust_txn_amount_sum_7d
+FROM customer LEFT JOIN v ON c_custkey = customer_id""")
+def online_lookup_compacted(spark, sf):
+    """Lookup of all customers after six daily publications, folded after the third and the fifth; the last one is a change still."""
+    now, root = t.latest_event_time(spark, sf), scratch(spark, "store")
+    for day in range(5, -1, -1):
+        at = now - dt.timedelta(days=day)
+        rows = served(t.bind_transactions(spark, sf, at - dt.timedelta(days=30), at), at)
+        stores.write_changes(online.to_online(rows, "customer", "customer_id", F.lit(at), columns=SERVED), f"{root}/online", f"day_{day}")
+        stores.mark_published(spark, root, f"day_{day}", at)
+        if day in (3, 1):
+            stores.compact_online(spark, root, buckets=32)
+    requests = t.table(spark, sf, "customer").select(
+        F.lit("customer").alias("entity_name"), F.col("c_custkey").cast("string").alias("entity_id")
+    )
+    return online.lookup(stores.read_online(spark, root), requests, now).select(
+        "entity_id", "feature_timestamp", F.coalesce(F.col("features")["cust_txn_amount_sum_7d"], F.lit(-1.0)).alias("cust_txn_amount_sum_7d"))
+
+
 SCORED = f"""{FEAT},
 s AS (SELECT x.transaction_id, x.customer_id, x.ts, least(0.99, greatest(0.02, least(0.5, x.amount / 2000.0 * 0.3) + coalesce(b10, 0) * 0.25 + coalesce(f24, 0) * 0.20)) AS raw
   FROM txn x LEFT JOIN feat USING (customer_id))"""

@@ -8,14 +8,14 @@ run or batch changes nothing, and no job rewrites what others have published.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.operators.online import merge, newest
 from tidegate.session import one_row
 
-from tidegate.operators.online import newest
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,19 +69,99 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def mark_published(spark: SparkSession, root: str, run_id: str, at: dt.datetime) -> None:
-    """The pointer row that makes a run's online rows visible, written last."""
-    row = one_row(spark).select(F.lit(run_id).alias("change_id"), F.lit(at).cast("timestamp").alias("published_at"))
+    """The pointer row that makes a run's online rows visible, written last.
+
+    Its token tells a run from the same run done again.
+    """
+    row = one_row(spark).select(
+        F.lit(run_id).alias("change_id"), F.lit(at).cast("timestamp").alias("published_at"), F.lit(uuid.uuid4().hex).alias("token")
+    )
     write_log(row, root, "published", run_id)
 
 
+def _generation(spark: SparkSession, root: str):
+    """The pointer row of the newest generation, or None."""
+    if not path_exists(spark, f"{root}/generations"):
+        return None
+    order = F.struct("generation", "folder")
+    return read_log(spark, root, "generations").agg(F.max_by(F.struct("generation", "folder", "buckets"), order).alias("g")).first()["g"]
+
+
+def _generation_rows(spark: SparkSession, root: str, pointer) -> DataFrame:
+    """The rows of a generation through a catalogue entry that tells Spark its buckets; any session can declare it."""
+    name = f"online_{pointer['folder']}"
+    if not spark.catalog.tableExists(name):
+        path = f"{root}/online_generations/{pointer['folder']}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        location = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (row_key) SORTED BY (row_key) "
+                  f"INTO {pointer['buckets']} BUCKETS LOCATION '{location}'")
+    return spark.table(name)
+
+
+def _pending(spark: SparkSession, root: str) -> DataFrame:
+    """Published changes (change_id, token) that no generation holds yet."""
+    published = read_log(spark, root, "published").select("change_id", "token")
+    if _generation(spark, root) is None:
+        return published
+    # what a compaction that died has noted does not count
+    made = read_log(spark, root, "generations").select("folder")
+    held = read_log(spark, root, "absorbed").join(made, "folder", "left_semi").select("token")
+    return published.join(held, "token", "left_anti").select("change_id", "token")
+
+
+def _changes(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{root}/online")
+    visible = rows.withColumn("change_id", F.col("change_id").cast("string")).join(ids.select("change_id"), "change_id", "left_semi")
+    return visible.drop("change_id")
+
+
 def read_online(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current online table: newest row per key among published runs."""
+    """The current online table: newest row per key among published runs.
+
+    With a generation (see ``compact_online``) only changes published since are folded, and
+    without such changes the generation is the table: bucketed by key, so that a lookup or a
+    join on the key does not shuffle it.
+    """
     if not path_exists(spark, f"{root}/published"):
         return None
-    published = read_log(spark, root, "published").select("change_id").distinct()
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{root}/online")
-    visible = rows.withColumn("change_id", F.col("change_id").cast("string")).join(published, "change_id", "left_semi")
-    return newest(visible.drop("change_id"))
+    pointer, pending = _generation(spark, root), _pending(spark, root)
+    if pointer is None:
+        return newest(_changes(spark, root, pending))
+    current = _generation_rows(spark, root, pointer)
+    return current if pending.isEmpty() else merge(current, newest(_changes(spark, root, pending)))
+
+
+def compact_online(spark: SparkSession, root: str, buckets: int | None = None) -> bool:
+    """Fold the published changes into a new generation, bucketed and sorted by key; False if there are none.
+
+    The pointer is written last, so readers see the old generation or the new one.  One
+    compaction runs at a time.  ``buckets`` defaults to the session's shuffle partitions, as Spark
+    shuffles a table with fewer.  A run done again after its rows were folded is an upsert.
+    """
+    if not path_exists(spark, f"{root}/published"):
+        return False
+    tokens = _pending(spark, root).collect()  # one short row per run since the last compaction
+    if not tokens:
+        return False
+    pointer = _generation(spark, root)
+    number = 0 if pointer is None else pointer["generation"] + 1
+    pending = spark.createDataFrame(tokens, "change_id string, token string")
+    rows = newest(_changes(spark, root, pending))
+    if pointer is not None:
+        rows = merge(_generation_rows(spark, root, pointer), rows)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"g{number:06d}_{uuid.uuid4().hex[:12]}"
+    (
+        rows.repartition(n, "row_key").write.bucketBy(n, "row_key").sortBy("row_key")
+        .option("path", f"{root}/online_generations/{folder}").saveAsTable(f"online_{folder}", format="parquet")
+    )
+    write_log(pending.select(F.lit(folder).alias("folder"), "token"), root, "absorbed", folder)
+    row = one_row(spark).select(
+        F.lit(number).cast("bigint").alias("generation"), F.lit(folder).alias("folder"), F.lit(n).alias("buckets")
+    )
+    write_log(row, root, "generations", folder)
+    return True
 
 
 def materialization_log_row(

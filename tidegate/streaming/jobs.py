@@ -19,7 +19,7 @@ from tidegate.operators.freshness import classify
 from tidegate.functions.scalars import minutes_between
 from tidegate.operators.online import assemble, to_online
 from tidegate.operators.scoring import prediction_log, score
-from tidegate.sources.stores import write_changes
+from tidegate.sources.stores import mark_published, write_changes
 from tidegate.sources.tables import shape_transactions, table
 
 WATERMARK = "1 hour"
@@ -136,6 +136,19 @@ def materialize_online(
     run_batches(snapshots, handle, checkpoint)
 
 
+def publish_online(
+    snapshots: DataFrame, entity: str, id_column: str, root: str, checkpoint: str, materialized_at: dt.datetime
+) -> None:
+    """Snapshot rows to the store below ``root``: each batch is a change that is visible once it is
+    whole and that ``stores.compact_online`` folds into the next generation."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        change = f"{entity}-batch-{batch_id}"
+        write_changes(to_online(batch, entity, id_column, F.lit(materialized_at)), f"{root}/online", change)
+        mark_published(batch.sparkSession, root, change, materialized_at)
+
+    run_batches(snapshots, handle, checkpoint)
+
+
 def monitor_freshness(
     arrivals: DataFrame, sla_minutes: Mapping[str, int], path: str, checkpoint: str, ref_time: dt.datetime
 ) -> None:
