@@ -106,6 +106,27 @@ def test_failures_open_one_incident_each(spark, tmp_path):
     assert {r["eventType"] for r in stores.read_log(spark, root, "lineage_events").collect()} == {"START", "FAIL"}
 
 
+def test_a_resolved_incident_opens_again(spark, tmp_path):
+    root = str(tmp_path)
+    spoiled = snapshot(spark, 20).withColumn("customer_id", F.when(F.col("customer_id") > 0, F.col("customer_id")))
+
+    def fail(run_id):
+        out = run(spark, root, spoiled, run_id)
+        assert out.status == "FAILED"
+        return out.incident["failure_signature"]
+
+    signature = fail("r1")
+    assert fail("r2") == signature
+    # other signatures, and a resolve before the failure, leave it open
+    publish.resolve_incident(spark, root, "sig_other", NOW + dt.timedelta(hours=1), "me")
+    publish.resolve_incident(spark, root, signature, NOW - dt.timedelta(hours=1), "me")
+    assert [r["status"] for r in publish.open_incidents(spark, root).collect()] == ["OPEN"]
+    publish.resolve_incident(spark, root, signature, NOW, "me")
+    assert publish.open_incidents(spark, root).count() == 0
+    fail("r3")
+    assert sorted(r["run_id"] for r in stores.read_log(spark, root, "incidents").collect()) == ["r1", "r3"]
+
+
 def test_every_snapshot_of_a_day_is_kept(spark, tmp_path):
     root = str(tmp_path)
     for hour in (10, 11, 11):

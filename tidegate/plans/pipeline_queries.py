@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.operators import lineage
@@ -65,6 +66,36 @@ def publish_gate_blocked(spark, sf):
     )
 
 
+@query("publish_gate_reopened", """
+WITH n AS (SELECT max(ts) AS t FROM events)
+SELECT 'run_' || d AS run_id, t + d * INTERVAL 1 HOUR AS opened_at, CASE d WHEN 1 THEN 'RESOLVED' ELSE 'OPEN' END AS status, CAST(2 AS BIGINT) AS failing_runs
+FROM n, (VALUES (1), (3)) AS v(d)""")
+def publish_gate_reopened(spark, sf):
+    """Four failing publications with null keys, the first incident resolved before the third: a new one opens, the fourth attaches."""
+    now, txn = bound(spark, sf)
+    root = scratch(spark, "store")
+    spoiled = velocity_features(txn, now).withColumns({
+        "customer_id": F.when(F.col("customer_id") > 3, F.col("customer_id")), "feature_timestamp": F.lit(now).cast("timestamp")})
+    contract = {**c.CUSTOMER_FEATURES, "columns": [x for x in c.CUSTOMER_FEATURES["columns"] if x["name"] in spoiled.columns]}
+    failed = []
+    for i in range(1, 5):
+        if i == 3:
+            publish.resolve_incident(spark, root, failed[0].incident["failure_signature"], now + dt.timedelta(hours=2.5), "on-call")
+        failed.append(publish.publish_features(
+            spark, lambda: spoiled, contract, "customer", "customer_id", root, f"run_{i}", now + dt.timedelta(hours=i)))
+    signature = failed[0].incident["failure_signature"]
+    opened = stores.read_log(spark, root, "incidents").filter(F.col("failure_signature") == signature).select("run_id", "timestamp")
+    still = publish.open_incidents(spark, root).filter(F.col("failure_signature") == signature).select(F.col("opened_at"), "status")
+    runs = stores.read_log(spark, root, "quality_results").filter(
+        (F.col("check_name") == failed[0].incident["check_name"]) & (F.col("status") == "FAIL")).select(F.col("timestamp").alias("failed_at"))
+    states = opened.join(still, F.col("timestamp") == F.col("opened_at"), "left").select(
+        "run_id", F.col("timestamp").alias("opened_at"), F.coalesce("status", F.lit("RESOLVED")).alias("status"))
+    ends = F.lead("opened_at").over(Window.orderBy("opened_at"))
+    spans = states.withColumn("_end", ends)
+    return spans.join(runs, (F.col("failed_at") >= F.col("opened_at")) & (F.col("_end").isNull() | (F.col("failed_at") < F.col("_end")))).groupBy(
+        "run_id", "opened_at", "status").agg(F.count(F.lit(1)).alias("failing_runs"))
+
+
 @query("materialization_log", COUNTED + " SELECT 'run_1' AS run_id, 'customer' AS feature_group, n AS records_written, 'SUCCESS' AS status FROM n")
 def materialization_log(spark, sf):
     """The log row of a materialization, its count read from the file footers."""

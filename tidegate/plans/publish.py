@@ -198,6 +198,35 @@ def publish_features(
     return out
 
 
+def _resolutions(spark: SparkSession, root: str) -> DataFrame:
+    """Resolve signals written so far (none: an empty frame)."""
+    if stores.path_exists(spark, f"{root}/incident_resolutions"):
+        return stores.read_log(spark, root, "incident_resolutions").select("failure_signature", "timestamp")
+    return spark.createDataFrame([], "failure_signature string, timestamp timestamp")
+
+
+def open_incidents(spark: SparkSession, root: str, except_run: str | None = None) -> DataFrame:
+    """Incidents of failed publications that no later resolve has closed."""
+    opened = stores.read_log(spark, root, "incidents")
+    if except_run is not None:
+        opened = opened.filter(F.col("run_id") != except_run)
+    signals = opened.select(
+        "failure_signature", "timestamp", F.lit("FAIL").alias("kind"), F.concat(F.lit("1_"), "run_id").alias("event_id")
+    ).unionByName(_resolutions(spark, root).select(
+        # a resolve comes after the failures of its own instant
+        "failure_signature", "timestamp", F.lit("RESOLVE").alias("kind"), F.lit("2_resolve").alias("event_id")
+    ))
+    return incidents.deduplicate(signals).filter("status = 'OPEN'")
+
+
+def resolve_incident(spark: SparkSession, root: str, signature: str, at: dt.datetime, actor: str) -> None:
+    """Close the open incident of a signature; the next failure of it opens a new one."""
+    row = one_row(spark).select(
+        F.lit(signature).alias("failure_signature"), F.lit(at).cast("timestamp").alias("timestamp"), F.lit(actor).alias("actor")
+    )
+    stores.write_log(row, root, "incident_resolutions", f"{signature}_{at:%Y%m%dT%H%M%S%f}")
+
+
 def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, inputs, total_ms, stage_ms) -> None:
     """Record a failed run: FAIL event, incident, run row, and SKIPPED for what did not run."""
     message = str(error)
@@ -220,8 +249,8 @@ def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, i
     failures = incidents.failures(rows, owners)
     out.incident = failures.first().asDict()
     if stores.path_exists(spark, f"{root}/incidents"):
-        # a failure whose incident another run has opened is the same incident
-        known = stores.read_log(spark, root, "incidents").filter(F.col("run_id") != out.run_id).select("failure_signature").distinct()
+        # a failure whose incident another run has opened is the same incident, as long as that one is open
+        known = open_incidents(spark, root, out.run_id).select("failure_signature")
         failures = failures.join(known, "failure_signature", "left_anti").select(failures.columns)
     stores.write_log(failures, root, "incidents", out.run_id)
     stores.write_log(_lineage_event(spark, out.run_id, "FAIL", at, list(inputs), []), root, "lineage_events", f"{out.run_id}.end")
