@@ -12,7 +12,7 @@ from tidegate.operators.catalog import catalog
 from tidegate.plans import table_contracts as c
 from tidegate.plans.feature_queries import TXN, bound, inside
 from tidegate.plans.registry import query, r
-from tidegate.sources import derived
+from tidegate.sources import derived, records
 from tidegate.sources import tables as t
 from tidegate.sources.introspect import introspect
 
@@ -315,3 +315,29 @@ def list_check_results(spark, sf):
 @query("datasets_with_runs", f"WITH {CHECKS} SELECT DISTINCT dataset FROM qruns")
 def datasets_with_runs(spark, sf):
     return derived.quality_runs(spark, sf).select("dataset").distinct()
+
+
+@query("record_intake", """
+WITH x AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 1 WHEN event_id % 89 = 0 THEN 2 WHEN event_id % 83 = 0 THEN 3 WHEN event_id % 79 = 0 THEN 4 ELSE 0 END AS planted,
+  event_type NOT IN ('click', 'view', 'purchase', 'signup') AS odd FROM events),
+o AS (SELECT CASE planted WHEN 1 THEN 'malformed_record' ELSE concat_ws('|', CASE WHEN planted = 2 THEN 'type:value' END,
+    CASE WHEN planted = 4 THEN 'expect_column_values_to_not_be_null_user_id' END, CASE WHEN odd THEN 'expect_column_values_to_be_in_set_event_type' END) END AS violations,
+  CASE planted WHEN 1 THEN '_record' WHEN 2 THEN 'value' WHEN 3 THEN 'note' ELSE '' END AS rescued, planted = 1 AS broken FROM x)
+SELECT violations, rescued, count(*) AS records, count(*) FILTER (NOT broken) AS with_id FROM o GROUP BY ALL""")
+def record_intake(spark, sf):
+    """Events as JSON texts, some cut short, of a wrong type, with a field too many or without a user, against a contract."""
+    contract = {"dataset": "records", "columns": [
+        {"name": "event_id", "type": "integer", "nullable": False}, {"name": "user_id", "type": "integer", "nullable": False},
+        {"name": "event_type", "type": "string", "nullable": True, "allowed_values": ["click", "view", "purchase", "signup"]},
+        {"name": "value", "type": "float", "nullable": True}, {"name": "ts", "type": "timestamp", "nullable": False}]}
+    n = F.col("event_id")
+    planted = F.when(n % 97 == 0, 1).when(n % 89 == 0, 2).when(n % 83 == 0, 3).when(n % 79 == 0, 4).otherwise(0)
+    events = t.table(spark, sf, "events").withColumn("planted", planted)
+    doc = F.to_json(F.struct(
+        "event_id", F.when(F.col("planted") != 4, F.col("user_id")).alias("user_id"), "event_type",
+        F.when(F.col("planted") == 2, F.lit("abc")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.when(F.col("planted") == 3, F.lit("late")).alias("note")))
+    cut = F.when(F.col("planted") == 1, F.substring(doc, F.lit(1), F.length(doc) - 3)).otherwise(doc)
+    rows = records.check(events.select(cut.alias("value")), contract)
+    return rows.groupBy(F.concat_ws("|", "violations").alias("violations"), F.concat_ws("|", F.map_keys("_rescued")).alias("rescued")).agg(
+        F.count(F.lit(1)).alias("records"), F.count("event_id").alias("with_id"))
