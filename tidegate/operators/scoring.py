@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
@@ -36,6 +38,43 @@ def score_with_model(assembled: DataFrame, model, model_version: str) -> DataFra
     }).drop("rawPrediction", "probability", "features_vector")
 
 
+@dataclass(frozen=True)
+class StoredModel:
+    """A model read back from disk, with what its metadata say."""
+
+    model: object
+    version: str
+    features: list[str]
+
+
+def load_model(spark: SparkSession, path: str) -> StoredModel:
+    """The model that ``training.Fitted.save`` wrote at ``path``."""
+    from pyspark.ml import PipelineModel
+
+    row = spark.read.parquet(f"{path}/metadata").first()
+    return StoredModel(PipelineModel.load(f"{path}/model"), row["model_version"], list(row["features_used"]))
+
+
+def load_version(spark: SparkSession, root: str, version: str | None = None) -> StoredModel:
+    """The model of a version below ``root``, or of the one published last."""
+    from tidegate.sources.stores import read_log
+
+    rows = read_log(spark, root, "models")
+    if version is not None:
+        rows = rows.filter(F.col("model_version") == version)
+    found = rows.agg(F.max_by("path", F.struct("published_at", "model_version")).alias("path")).first()["path"]
+    if found is None:
+        raise LookupError(f"no model {version or ''} below {root}")
+    return load_model(spark, found)
+
+
+def score_stored(rows: DataFrame, stored: StoredModel) -> DataFrame:
+    """Batch or stream rows scored by a stored model; a null or absent feature counts as 0."""
+    known = set(rows.columns)
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in known else F.lit(0.0) for f in stored.features}
+    return score_with_model(rows.withColumns(filled), stored.model, stored.version)
+
+
 def prediction_log(scored: DataFrame, row_id: str, created_at: Column) -> DataFrame:
     """Scored rows in the shape of the prediction log."""
     return scored.select(

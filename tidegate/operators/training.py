@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +91,18 @@ class Fitted:
         self.model.write().overwrite().save(f"{path}/model")
         self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
+    def publish(self, root: str, at: dt.datetime) -> None:
+        """Save the model below ``root`` in a folder of its own; the row that makes it its version's model is written last."""
+        from tidegate.session import one_row
+        from tidegate.sources.stores import write_log
+
+        version = self.metadata.first()["model_version"]
+        path = f"{root}/models_saved/{version}-{uuid.uuid4().hex[:12]}"
+        self.save(path)
+        row = one_row(self.metadata.sparkSession).select(
+            F.lit(version).alias("model_version"), F.lit(path).alias("path"), F.lit(at).cast("timestamp").alias("published_at"))
+        write_log(row, root, "models", version)
+
 
 def roc_auc(scored: DataFrame, probability: str, label: str = "label") -> DataFrame:
     """One row: the area under the ROC curve, ties counted half; null without both labels.

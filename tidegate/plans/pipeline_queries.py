@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegate.operators import lineage
+from tidegate.operators import lineage, scoring, spine, training
 from tidegate.operators.customer import customer_features
 from tidegate.operators.online import to_online
 from tidegate.operators.customer import velocity_features
@@ -16,7 +16,7 @@ from tidegate.plans import table_contracts as c
 from tidegate.plans.feature_queries import PARAMS, SESSIONS, TXN, bound
 from tidegate.plans.operations_queries import CHECKS, DEDUP, FEAT, LIN, SERVED, served
 from tidegate.plans.registry import ORACLES, query, r
-from tidegate.session import scratch
+from tidegate.session import scratch, stage_table
 from tidegate.sources import derived, stores, visits
 from tidegate.sources import tables as t
 from tidegate.streaming import jobs, progress, stateful
@@ -332,3 +332,32 @@ def stream_lineage_edges(spark, sf):
 def stream_lineage_mappings(spark, sf):
     """Column mappings from files out of order equal those of the whole log."""
     return jobs.read_mappings(spark, taken_in(spark, sf)).drop("at")
+
+
+@query("stored_model_scores", """
+SELECT count(*) AS scored, count(*) AS in_bounds, CAST(0 AS BIGINT) AS other_than_fitted, count(*) AS streamed, 'v2' AS model_version FROM events""")
+def stored_model_scores(spark, sf):
+    """A forest trained, published as second version, read back, and applied to all rows as a batch and as a stream.
+
+    Scores of a forest have no SQL: the rows are counted, and those whose score is not the fitted model's.
+    """
+    txn, root = t.bind_transactions(spark, sf), scratch(spark, "models")
+    now = t.latest_event_time(spark, sf)
+    rows = stage_table(training.training_set(txn, stage_table(spine.model_history(txn), "snapshots"), n=None), "rows")
+    sample = training.sample_rows(rows, "transaction_id", 5000)
+    for i, trees in ((1, 2), (2, 20)):
+        fitted = training.train(sample, model_version=f"v{i}", trees=trees)
+        fitted.publish(root, now + dt.timedelta(minutes=i))
+    stored = scoring.load_version(spark, root)
+    batch = scoring.prediction_log(scoring.score_stored(rows, stored), "transaction_id", F.col("ts"))
+    own = scoring.score_with_model(rows, fitted.model, "v2").select(
+        F.concat(F.lit("pred_"), F.col("transaction_id").cast("string")).alias("prediction_id"), F.col("risk_score").alias("_own"))
+    feed = scratch(spark, "rows-feed")
+    rows.write.parquet(feed)
+    stream = spark.readStream.schema(rows.schema).parquet(feed)
+    streamed = once(spark, scoring.prediction_log(scoring.score_stored(stream, stored), "transaction_id", F.col("ts")), "stored-scores")
+    seen = streamed.select("prediction_id", F.col("risk_score").alias("_streamed"))
+    return batch.join(own, "prediction_id").join(seen, "prediction_id", "left").agg(
+        F.count(F.lit(1)).alias("scored"), F.count_if(F.col("risk_score").between(0, 1)).alias("in_bounds"),
+        F.count_if(F.col("risk_score") != F.col("_own")).alias("other_than_fitted"),
+        F.count_if(F.col("_streamed") == F.col("risk_score")).alias("streamed"), F.max("model_version").alias("model_version"))
