@@ -7,9 +7,11 @@ turns a chunk's pooled responses into units, which are max-pooled over all chunk
 with their mean into one probability.
 
 The network is fitted on the driver on a bounded sample of labelled rows: at most
-``FIT_ROWS`` rows, half of each label as far as there are, first by a hash of the text, and at
-most ``FIT_BLOCKS`` blocks of each.  Losses are weighted back to the true share of the labels,
-so the score is a probability.  Scoring reads every byte of every document.
+``FIT_ROWS`` rows, half of each label as far as there are, first by a hash of the id, and of those,
+in that order, the rows whose texts fit in ``FIT_BYTES`` together.  A row is taken with its whole
+text or not at all.  Losses are weighted back to the true share of the labels, so the score is a
+probability.  Scoring reads every byte of every document.  Filter responses are computed for
+``RUN`` blocks at a time, in fitting and in scoring, so a long text takes little memory.
 
 Defined cases: null and empty texts are scored like a block of padding; a document id with
 several labels counts as good if most of them are; without usable labels every score is 0.5;
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import fold, identified, slices, table
 from tidegate.llm.registry import query
+from tidegate.session import stage_table
 
 WIDTH, STEP, BLOCK = 8, 4, 128
 EMBED, FILTERS, UNITS = 8, 32, 24
 PAD = 256
 FIT_ROWS = 1200
-FIT_BLOCKS = 48
-# bytes scored at once where other columns of the rows are held beside them; about 130 bytes of memory each
-SCORE_BYTES = 1 << 17
+FIT_BYTES = 32 << 20
+RUN = 1024
 EPOCHS = 14
 THRESHOLD = 0.3
 PER_BLOCK = BLOCK // STEP
@@ -73,24 +75,38 @@ class Network:
         n = (len(x) - WIDTH) // STEP
         return np.lib.stride_tricks.as_strided(e, (n, WIDTH * EMBED), (STEP * EMBED * 4, 4))
 
+    def blocks(self, x: np.ndarray, last: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Pooled responses of every block; with ``keep`` also the winning position in it.
+
+        ``last`` are the last blocks of texts: their last position would read the next text and does not count.
+        """
+        n = (len(x) - WIDTH) // BLOCK
+        block = np.empty((n, FILTERS), self.p["filters"].dtype)
+        arg = np.empty((n, FILTERS), np.int8) if keep else None
+        for at in range(0, n, RUN):
+            end = min(n, at + RUN)
+            h = (self.windows(x[at * BLOCK: end * BLOCK + WIDTH]) @ self.p["filters"]).reshape(-1, PER_BLOCK, FILTERS)
+            h[last[(last >= at) & (last < end)] - at, -1] = -np.inf
+            block[at:end] = np.maximum(h.max(1) + self.p["bias"], 0)
+            if keep:
+                arg[at:end] = h.argmax(1)
+        return block, arg
+
     def forward(self, x: np.ndarray, count: np.ndarray, keep: bool = False):
         """Log-odds of each text; with ``keep`` also what the gradient needs."""
-        h = self.windows(x) @ self.p["filters"]
-        h = h.reshape(-1, PER_BLOCK, FILTERS)
-        arg = h.argmax(1) if keep else None
-        block = np.maximum(h.max(1) + self.p["bias"], 0)
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
         last = np.cumsum(count) - 1
+        first = np.concatenate([[0], last[:-1] + 1])
+        block, arg = self.blocks(x, last, keep)
         after = np.minimum(np.arange(len(block)) + 1, np.repeat(last, count))
         chunk = np.maximum(block, block[after])
         unit = np.maximum(chunk @ self.p["dense"] + self.p["unit"], 0)
         top = np.maximum.reduceat(unit, first, axis=0)
         mean = np.add.reduceat(unit, first, axis=0) / count[:, None]
         z = np.concatenate([top, mean], 1) @ self.p["top"] + self.p["out"][0]
-        return (z, h, arg, block, after, chunk, unit, top, mean, first) if keep else z
+        return (z, arg, block, after, chunk, unit, top, mean, first) if keep else z
 
     def gradient(self, x, count, y, weight):
-        z, _, arg, block, after, chunk, unit, top, mean, first = self.forward(x, count, True)
+        z, arg, block, after, chunk, unit, top, mean, first = self.forward(x, count, True)
         p = self.p
         dz = (weight * (1 / (1 + np.exp(-z)) - y)).astype(np.float32)
         g = {"out": dz.sum(keepdims=True), "top": np.concatenate([top, mean], 1).T @ dz}
@@ -107,14 +123,17 @@ class Network:
         np.add.at(dblock, after, dchunk * ~own)
         dblock *= block > 0
         g["bias"] = dblock.sum(0)
-        # only the winning position of each block and filter passes the gradient on
-        position = (np.arange(len(block))[:, None] * PER_BLOCK + arg) * STEP
-        byte = x[position[..., None] + np.arange(WIDTH)]
-        e = p["embed"][byte].reshape(len(block), FILTERS, WIDTH * EMBED)
-        g["filters"] = np.einsum("bfk,bf->kf", e, dblock, optimize=True)
-        de = (dblock[..., None] * p["filters"].T[None]).reshape(-1, EMBED)
-        flat = byte.reshape(-1)
-        g["embed"] = np.stack([np.bincount(flat, de[:, k], PAD + 1) for k in range(EMBED)], 1).astype(np.float32)
+        g["filters"], g["embed"] = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
+        for at in range(0, len(block), RUN):
+            # only the winning position of each block and filter passes the gradient on
+            d = dblock[at: at + RUN]
+            position = (np.arange(at, at + len(d))[:, None] * PER_BLOCK + arg[at: at + RUN]) * STEP
+            byte = x[position[..., None] + np.arange(WIDTH)]
+            e = p["embed"][byte].reshape(len(d), FILTERS, WIDTH * EMBED)
+            g["filters"] += np.einsum("bfk,bf->kf", e, d, optimize=True)
+            de = (d[..., None] * p["filters"].T[None]).reshape(-1, EMBED)
+            flat = byte.reshape(-1)
+            g["embed"] += np.stack([np.bincount(flat, de[:, k], PAD + 1) for k in range(EMBED)], 1).astype(p["embed"].dtype)
         return g
 
     def fit(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, batch: int = 24, rate: float = 4e-3):
@@ -138,27 +157,12 @@ class Network:
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities; a long text is read in runs of blocks that overlap by one, so memory is bounded."""
-        x, count = symbols(texts)
-        if len(texts) == 1 and count[0] > 8192:
-            return self.score_long(x, int(count[0]))
-        return 1 / (1 + np.exp(-self.forward(x, count).astype(np.float64)))
-
-    def score_long(self, x: np.ndarray, n: int, run: int = 4096) -> np.ndarray:
-        top, total = np.zeros(UNITS, np.float32), np.zeros(UNITS)
-        for at in range(0, n, run):
-            end = min(n, at + run + 1)
-            h = self.windows(x[at * BLOCK: end * BLOCK + WIDTH]) @ self.p["filters"]
-            block = np.maximum(h.reshape(-1, PER_BLOCK, FILTERS).max(1) + self.p["bias"], 0)
-            chunk = np.maximum(block, np.concatenate([block[1:], block[-1:]]))[: min(run, n - at)]
-            unit = np.maximum(chunk @ self.p["dense"] + self.p["unit"], 0)
-            top, total = np.maximum(top, unit.max(0)), total + unit.sum(0)
-        z = np.concatenate([top, total / n]) @ self.p["top"] + self.p["out"][0]
-        return np.array([1 / (1 + np.exp(-z))])
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 0):
-    """(text, label, share of the label among the usable rows) of at most ``rows`` rows outside the held-out fold."""
+        """Probabilities."""
+        return 1 / (1 + np.exp(-self.forward(*symbols(texts)).astype(np.float64)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, limit: int = FIT_BYTES, seed: int = 0):
+    """(whole text, label) of at most ``rows`` rows of ``limit`` bytes outside the held-out fold, and the number of usable rows by label."""
     usable = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
               .where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold() % 5 != 0)
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")))
@@ -170,16 +174,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, se
     if picked is None:
         return [], share
     # at most ``rows`` ids, so the side is small whatever the size of the tables
-    found = (identified(docs).select("doc_id", F.encode("text", "utf-8").alias("body")).join(F.broadcast(picked), "doc_id")
-             .groupBy("doc_id", "quality").agg(F.max("body").alias("body"))
-             .select("quality", F.length("body").alias("size"), F.expr(
-                 f"transform(sequence(0, {FIT_BLOCKS - 1}), i -> substring(body, CAST(1 + {BLOCK} * floor(i * "
-                 f"greatest(1, ceil(length(body) / {BLOCK}D) / {FIT_BLOCKS})) AS INT), {BLOCK}))").alias("parts")))
-    out = []
-    for r in found.orderBy("quality", F.md5(F.array_join(F.transform("parts", F.md5), ""))).collect():
-        n = max(1, -(-r.size // BLOCK))
-        out.append((b"".join(bytes(p) for p in r.parts[:n]), r.quality))
-    return out, share
+    found = stage_table(
+        identified(docs).select("doc_id", F.encode("text", "utf-8").alias("body")).join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.max("body").alias("body")), "labelled")
+    sizes = found.select("doc_id", "quality", F.length("body").alias("size")).orderBy(F.xxhash64(F.col("doc_id") + seed), "doc_id").collect()
+    chosen, held = [], 0
+    for r in sizes:
+        if held + r.size <= limit:
+            chosen.append(r.doc_id)
+            held += r.size
+    rows_ = found.where(F.col("doc_id").isin(chosen)).orderBy("quality", F.md5("body"), "doc_id").collect()
+    return [(bytes(r.body), r.quality) for r in rows_], share
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
@@ -221,7 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         net.p = weights
         for part in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])
-            p = [net.score(run) if weights else np.full(len(run), model) for _, run in slices(iter([batch]), size=SCORE_BYTES)]
+            p = [net.score(run) if weights else np.full(len(run), model) for _, run in slices(iter([batch]))]
             yield pd.Series(np.concatenate(p) if p else np.zeros(0))
 
     return docs.where(score(F.coalesce("text", F.lit(""))) >= threshold)
