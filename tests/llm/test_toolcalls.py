@@ -67,3 +67,17 @@ def test_odd_rows(spark):
     assert "arguments: not JSON" in by_id["b"][0].errors
     assert [e for e in by_id["q"][0].errors if e.startswith("/")] == ["/y: unknown", "/x: below 0"]
     assert linked(spark, []) == []
+
+
+def test_arguments_that_no_record_can_hold(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    odd = {"s": '{"x":"\\ud800"}', "k": '{"\\udfff":1}', "n": '{"x":NaN}', "i": '{"x":1e999}', "d": deep, "l": json.dumps({"x": 1, "y": "z" * 1_000_000}), "m": None}
+    calls = spark.createDataFrame([(1, k, "t", v, i, []) for i, (k, v) in enumerate(odd.items())], CALLS)
+    results = spark.createDataFrame([(k, 9, "ok") for k in odd], RESULTS)
+    rows = {r.call_id: r for r in toolcalls.link_tool_calls(calls, results, SCHEMA).collect()}
+    assert set(rows) == set(odd) and not any(r.valid for r in rows.values())
+    assert rows["s"].errors == ["/x: not integer"] and json.loads(rows["s"].record)["arguments"] == {"x": "\ud800"}
+    assert rows["k"].errors == ["/x: missing", "/\\udfff: unknown"] and json.loads(rows["k"].record)["arguments"] == {"\udfff": 1}
+    assert {k: rows[k].errors for k in "nim"} == dict.fromkeys("nim", ["arguments: not JSON"])
+    assert rows["d"].errors == ["arguments: nested too deeply"] and len(rows["l"].record) > 1_000_000
+    assert all(json.loads(r.record)["arguments"] is None for k, r in rows.items() if k in "nimd")

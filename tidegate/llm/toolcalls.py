@@ -20,6 +20,7 @@ have no step; results without a call are returned with a null name; empty tables
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,8 +64,29 @@ def violations(value, schema: dict, at: str = "") -> list[str]:
     return out
 
 
+def constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def parsed(text: str | None):
+    """The value of JSON arguments and what is wrong with them (the value is then null)."""
+    try:
+        value = json.loads(text or "", parse_constant=constant)
+        canonical(value)
+    except RecursionError:
+        return None, "arguments: nested too deeply"
+    except ValueError:  # no JSON, or a number beyond the range of a double
+        return None, "arguments: not JSON"
+    return value, None
+
+
+def writable(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return writable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -170,15 +192,14 @@ def serialise(linked: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 if r["name"] is None:
                     bad.append("no call")
                 else:
-                    try:
-                        arguments = json.loads(r["arguments"] or "")
-                    except ValueError:
-                        bad.append("arguments: not JSON")
+                    arguments, wrong = parsed(r["arguments"])
+                    if wrong:
+                        bad.append(wrong)
                     else:
                         schema = schemas.get(r["name"])
                         bad += ["unknown tool"] if schema is None else violations(arguments, schema)
                 valid.append(not bad)
-                errors.append(bad)
+                errors.append([writable(x) for x in bad])
                 records.append(canonical({
                     "arguments": arguments, "call_id": r["call_id"], "errors": bad, "name": r["name"], "result": r["content"], "step": r["step"]}))
             yield pa.RecordBatch.from_arrays([
