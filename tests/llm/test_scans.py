@@ -2,6 +2,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -128,9 +129,79 @@ def test_segments_are_decoded_jointly():
     model = pii.fit(sample)
     text = "so +1 (777) 555-4242 and zed.q@mail3.example.com at 10.1.2.3 with 17 items"
     assert sorted(model.find(text)) == sorted(plain_pii(text))
-    # the best segmentation scores at least as much as any other
     tokens = next(pii.regions(text))
     where, what = pii.segments(text, tokens)
-    scores = model.scores(what)
-    z, p, _ = model.expectations(len(tokens), where, scores)
+    z, p, _ = model.expectations(len(tokens), where, model.scores(what))
     assert p.min() >= 0 and p.sum(1).max() <= 1 + 1e-9
+
+
+def segmentations(n, where, at=0):
+    """All ways to cut tokens at..n into segments of any kind and tokens outside."""
+    if at == n:
+        yield ()
+        return
+    for rest in segmentations(n, where, at + 1):
+        yield ((at, at + 1, pii.OUTSIDE), *rest)
+    for i, j in where:
+        if i == at:
+            for rest in segmentations(n, where, j):
+                for y in range(pii.OUTSIDE):
+                    yield ((i, j, y), *rest)
+
+
+def test_decoding_and_probabilities_equal_all_segmentations():
+    r = np.random.default_rng(4)
+    for text in ("a@b.c 7", "+1 (2) 3", "1 2 3"):
+        tokens = next(pii.regions(text))
+        where, what = pii.segments(text, tokens)
+        model = pii.Model(r.normal(0, 1, (pii.BUCKETS, pii.OUTSIDE)), r.normal(0, 1, (pii.OUTSIDE + 1, pii.OUTSIDE + 1)))
+        scores, place = model.scores(what), {s: k for k, s in enumerate(where)}
+
+        def total(cut):
+            last, out = pii.OUTSIDE, 0.0
+            for i, j, y in cut:
+                out += model.follow[last, y] + (scores[place[i, j], y] if y != pii.OUTSIDE else 0)
+                last = y
+            return out
+
+        cuts = list(segmentations(len(tokens), where))
+        totals = np.array([total(c) for c in cuts])
+        best = [x for x in cuts[int(totals.argmax())] if x[2] != pii.OUTSIDE]
+        assert model.decode(len(tokens), where, scores) == best
+        z, p, _ = model.expectations(len(tokens), where, scores)
+        share = np.exp(totals - np.logaddexp.reduce(totals))
+        assert abs(z - np.logaddexp.reduce(totals)) < 1e-9
+        want = np.zeros_like(p)
+        for c, w in zip(cuts, share):
+            for i, j, y in c:
+                if y != pii.OUTSIDE:
+                    want[place[i, j], y] += w
+        assert np.abs(p - want).max() < 1e-9
+
+
+def test_the_model_alone_finds_the_base_spans_of_texts_it_was_not_fitted_on(spark):
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").collect()]
+    regions = [t[max(0, k[0][0] - 1): k[-1][1] + 1] for t in docs if pii.CORE.search(t) for k in pii.regions(t)]
+    model = pii.fit(regions[::3])
+    pairs = [(set(pii.base_spans(t)), set(model.find(t))) for t in regions[1::3]]
+    base, hit, more = (sum(map(len, x)) for x in ([b for b, _ in pairs], [b & f for b, f in pairs], [f - b for b, f in pairs]))
+    assert hit >= 0.95 * base and hit >= 0.95 * (hit + more)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.integers(0, 30), st.integers(1, 6))
+def test_overlaps(spans, start, size):
+    spans = [("ip", s, s + n) for s, n in spans]
+    plain = any(s < start + size and start < e for _, s, e in spans)
+    assert pii.overlaps(pii.merged(spans), start, start + size) == plain
+
+
+def test_regions_hold_whole_addresses_and_long_logs_end():
+    local, domain = "first.middle.last.name", "a.bc.de.example.com"
+    text = f"some words go before {local}@{domain} and many more come after it"
+    run = next(pii.regions(text))
+    assert text[run[0][0]:run[-1][1]].count(f"{local}@{domain}") == 1
+    log = "10.0.0.1 " * 20_000
+    taken = pii.merged(pii.base_spans(log))
+    assert len(taken[0]) == 20_000
+    assert all(pii.overlaps(taken, k, k + 2) for k in range(0, len(log), 9))

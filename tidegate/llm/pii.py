@@ -6,9 +6,9 @@ digit or at sign inside) is scored as a whole from its shape, checks and surroun
 dynamic programming chooses boundaries and types jointly.  Tokens outside regions can only
 be outside any entity, so the chain factorises there exactly.
 
-The model is fitted on at most ``FIT_REGIONS`` regions, taken in the order of a hash of
-document and place, with the base spans as labels (a silver standard: no labelled table
-exists).  The fit runs on the driver on that bounded sample; the scan covers all texts.
+The model is fitted on at most ``FIT_REGIONS`` whole regions of at most ``FIT_TOKENS`` tokens,
+taken in the order of a hash of document and place, with the base spans as labels (a silver
+standard: no labelled table exists).  The fit runs on the driver on that bounded sample; the scan covers all texts.
 
 Defined cases: null text is empty; offsets are code points, end exclusive; repeated rows give
 repeated results; without any region, or on an empty table, nothing is added to the base.
@@ -16,6 +16,7 @@ repeated results; without any region, or on an empty table, nothing is added to
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -31,9 +32,9 @@ from tidegate.llm.spans import SPAN, digest, ordered
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 LONGEST = 18
-AROUND = 3        # tokens of context on either side of a region
-REGION = 64       # a longer fitted region is cut; scanned regions are not
+AROUND = 3        # tokens of context on either side of a region, at least
 FIT_REGIONS = 600
+FIT_TOKENS = 256  # fitted regions have at most so many tokens; scanned ones any number
 EPOCHS = 6
 BUCKETS = 1 << 14
 
@@ -90,21 +91,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens (start, end) around digits and at signs."""
+    """Runs of tokens (start, end) around digits and at signs, with AROUND tokens on either side.
+
+    Where the text goes on without a blank (the rest of an address), up to LONGEST tokens belong to the run.
+    """
     held: list[tuple[int, int]] = []
-    core = -1  # index in held of the last token with a digit or at sign
+    first = last = -1  # places in held of the first and the last token with a digit or at sign
+
+    def edges() -> tuple[int, int]:
+        i, j = first, last + 1
+        while i > 0 and first - i < LONGEST and (first - i < AROUND or held[i - 1][1] == held[i][0]):
+            i -= 1
+        while j < len(held) and j - last <= LONGEST and (j - last <= AROUND or held[j - 1][1] == held[j][0]):
+            j += 1
+        return i, j
+
     for m in PIECE.finditer(text):
         held.append(m.span())
         c = text[m.start()]
         if c == "@" or "0" <= c <= "9":
-            core = len(held) - 1
-        elif core < 0 and len(held) > AROUND:
-            held.pop(0)
-        elif core >= 0 and len(held) - core > 2 * AROUND:
-            yield held[: core + 1 + AROUND]
-            held, core = held[core + 1 + AROUND:][-AROUND:], -1
-    if core >= 0:
-        yield held[: core + 1 + AROUND]
+            last = len(held) - 1
+            first = last if first < 0 else first
+        elif first < 0:
+            if len(held) > LONGEST:
+                held.pop(0)
+        elif len(held) - last > LONGEST + AROUND:
+            i, j = edges()
+            yield held[i:j]
+            held, first, last = held[j:][-LONGEST:], -1, -1
+    if first >= 0:
+        i, j = edges()
+        yield held[i:j]
 
 
 def shape(s: str) -> str:
@@ -267,7 +284,6 @@ def fit(sample: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: float
     for text in sample:
         spans = base_spans(text)
         for tokens in regions(text):
-            tokens = tokens[:REGION]
             where, what = segments(text, tokens)
             gold = target(text, tokens, spans)
             if where and {(i, j) for i, j, _ in gold} <= set(where):
@@ -299,7 +315,7 @@ def fit(sample: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: float
 
 
 def sample_regions(docs: DataFrame, limit: int = FIT_REGIONS) -> list[str]:
-    """Snippets of at most ``limit`` regions of the corpus, first by hash of document and place."""
+    """Snippets of at most ``limit`` whole regions of at most FIT_TOKENS tokens, first by hash of document and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,10 +323,10 @@ def sample_regions(docs: DataFrame, limit: int = FIT_REGIONS) -> list[str]:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if CORE.search(text):
                     for tokens in regions(text):
-                        tokens = tokens[:REGION]
-                        ids.append(doc_id)
-                        at.append(tokens[0][0])
-                        out.append(text[max(0, tokens[0][0] - 1): tokens[-1][1] + 1][:4096])
+                        if len(tokens) <= FIT_TOKENS:
+                            ids.append(doc_id)
+                            at.append(tokens[0][0])
+                            out.append(text[max(0, tokens[0][0] - 1): tokens[-1][1] + 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(out, pa.string())], ["doc_id", "at", "snippet"])
 
@@ -336,7 +352,7 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
                 plain, more = [], []
                 if CORE.search(text):
                     plain = base_spans(text)
-                    taken = sorted((s, e) for _, s, e in plain)
+                    taken = merged(plain)
                     more = [x for x in crf.find(text) if not overlaps(taken, x[1], x[2])]
                 base.append(ordered(plain, KINDS))
                 every.append(ordered(plain + more, KINDS))
@@ -346,8 +362,23 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
     return identified(docs).mapInArrow(run, f"doc_id long, base {SPAN}, spans {SPAN}")
 
 
-def overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in taken)
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the text that spans cover, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether the span meets covered text: the last cover that starts before its end decides."""
+    k = bisect.bisect_left(taken[0], end) - 1
+    return k >= 0 and taken[1][k] > start
 
 
 @query("op4_pii")
