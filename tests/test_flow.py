@@ -90,7 +90,7 @@ def test_rerun_is_idempotent_and_invalid_contract_stops(spark, tmp_path):
         assert run(spark, root, snapshot(spark, 20)).status == "SUCCESS"
     assert stores.read_online(spark, root).count() == 20
     assert stores.read_offline(spark, root, "customer").count() == 20
-    for name, rows in (("quality_runs", 1), ("pipeline_runs", 1), ("materializations", 1), ("published", 1), ("lineage_events", 2)):
+    for name, rows in (("quality_runs", 1), ("pipeline_runs", 1), ("materializations", 1), ("published", 1), ("lineage_events", 3)):
         assert stores.read_log(spark, root, name).count() == rows, name
     bad = {**c.CUSTOMER_FEATURES, "status": "RETIRED"}
     assert states(run(spark, root, snapshot(spark, 20), "r3", bad))["CONTRACT_VALIDATION"] == "FAILED"
@@ -152,3 +152,24 @@ def test_newest_vector_and_lookup(spark):
     requests = spark.createDataFrame([("customer", "0"), ("customer", "77")], "entity_name string, entity_id string")
     found = {r["entity_id"]: r["freshness_minutes"] for r in online.lookup(table, requests, NOW + dt.timedelta(minutes=5)).collect()}
     assert found == {"0": 5.0, "77": None}
+
+
+def test_dataset_runs_are_recorded(spark, tmp_path):
+    root = str(tmp_path)
+    good = snapshot(spark, 20)
+    bad = good.withColumn("cust_txn_amount_sum_24h", F.lit(-5.0))
+
+    def check(df, run_id, contract=c.CUSTOMER_FEATURES):
+        return publish.validate_dataset(spark, df, contract, run_id, NOW, root=root)
+
+    assert check(good, "r1").status == "SUCCESS" and not stores.path_exists(spark, f"{root}/incidents")
+    failed = check(bad, "r2")
+    assert failed.status == "FAILED" and failed.incident["column"] == "cust_txn_amount_sum_24h"
+    assert check(bad, "r3").incident["failure_signature"] == failed.incident["failure_signature"]
+    assert {r["run_id"] for r in stores.read_log(spark, root, "incidents").collect()} == {"r2"}
+    assert check(good, "r4", {**c.CUSTOMER_FEATURES, "status": "RETIRED"}).stages[0][3] == "FAILED"
+    runs = {r["run_id"]: (r["pipeline_id"], r["status"]) for r in stores.read_log(spark, root, "pipeline_runs").collect()}
+    assert runs == {f"r{i}": (publish.DATASET_PIPELINE, "SUCCESS" if i == 1 else "FAILED") for i in range(1, 5)}
+    kinds = [(r["run_id"], r["eventType"]) for r in stores.read_log(spark, root, "lineage_events").select("run.runId", "eventType").toDF("run_id", "eventType").collect()]
+    assert sorted(kinds) == sorted([(r, "START") for r in runs] + [("r1", "COMPLETE"), ("r2", "FAIL"), ("r3", "FAIL"), ("r4", "FAIL")])
+    assert {r["run_id"] for r in stores.read_log(spark, root, "quality_runs").collect()} == {"r1", "r2", "r3"}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.operators import catalog as cat
-from tidegate.operators import contracts, diff, gate
+from tidegate.operators import contracts, diff, gate, quality
 from tidegate.plans import table_contracts as docs
-from tidegate.plans.registry import query
+from tidegate.plans.quality_queries import CHECKS
+from tidegate.plans.registry import query, r
+from tidegate.session import stage_table
 from tidegate.sources import derived
 from tidegate.sources import tables as t
 from tidegate.sources.contracts import contracts_frame
@@ -126,6 +128,22 @@ def live_schema_diff(spark, sf):
     return diff.schema_diff(contracts_frame(spark, [docs.ORDERS]), live, live=True).select("column", "change_type", "severity")
 
 
+ERRORS = """n AS (SELECT dataset, d, row_number() OVER (PARTITION BY dataset ORDER BY pk) - 1 AS i, name, type, lo, vals FROM b),
+s AS (SELECT *, i + d AS k, CASE WHEN (i + d) % 41 = 0 THEN 'c_0' ELSE name END AS nm FROM n),
+errs AS (
+  SELECT dataset, count(*) AS errors FROM (
+    SELECT dataset FROM roots WHERE d % 10 = 9
+    UNION ALL SELECT dataset FROM roots WHERE d % 10 = 9
+    UNION ALL SELECT dataset FROM roots WHERE d % 9 = 4
+    UNION ALL SELECT dataset FROM roots WHERE d % 7 = 3
+    UNION ALL SELECT dataset FROM roots WHERE d % 8 = 5
+    UNION ALL SELECT dataset FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset, nm ORDER BY i) AS seen FROM s) WHERE seen > 1
+    UNION ALL SELECT dataset FROM s WHERE k % 43 = 0
+    UNION ALL SELECT dataset FROM s WHERE k % 47 = 0
+    UNION ALL SELECT dataset FROM s WHERE k % 53 = 0
+    UNION ALL SELECT dataset FROM s WHERE (CASE WHEN k % 29 = 0 THEN 1000.0 ELSE lo END) > 100.0)
+  GROUP BY dataset)"""
+
 GATE = f"""{CHANGES}, {SUMMARY},
 verdicts AS (SELECT r.dataset, coalesce(breaking_count, 0) AS breaking_count, coalesce(warning_count, 0) AS warning_count,
   CASE WHEN r.d % 10 = 7 THEN 1 ELSE coalesce(safe_count, 0) END AS safe_count0, r.d FROM roots r LEFT JOIN summed s ON r.dataset = s.dataset),
@@ -157,24 +175,52 @@ def gate_summary(spark, sf):
     return gate.gate_summary(gated(spark, sf))
 
 
+SPOILT = "d % 10 = 9 OR d % 9 = 4 OR d % 7 = 3 OR d % 8 = 5"
+SCORED = f"""{CHANGES}, {SUMMARY}, {ERRORS}, {CHECKS},
+scores AS (SELECT dataset, quality_score FROM qruns QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ts DESC, run_id DESC) = 1),
+x AS (SELECT dataset, d, {SPOILT} AS spoilt FROM roots),
+g AS (SELECT x.dataset, NOT spoilt AS contract_valid, quality_score, CASE WHEN spoilt THEN errors WHEN d % 10 = 7 THEN 0 ELSE coalesce(breaking_count, 0) END AS breaking_count,
+  CASE WHEN spoilt OR d % 10 = 7 THEN 0 ELSE coalesce(warning_count, 0) END AS warning_count, CASE WHEN spoilt THEN 0 WHEN d % 10 = 7 THEN 1 ELSE coalesce(safe_count, 0) END AS safe_count
+  FROM x LEFT JOIN summed USING (dataset) LEFT JOIN errs USING (dataset) LEFT JOIN scores USING (dataset)),
+v AS (SELECT *, CASE WHEN breaking_count > 0 OR coalesce(quality_score < 70, false) THEN 'BREAKING' WHEN warning_count > 0 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM g)"""
+
+
+def gated_with_quality(spark, sf):
+    """Verdicts where some targets have structure errors and the datasets' latest quality scores count."""
+    base, target = versions(spark, sf)
+    number = F.floor(F.col("contract_id") / 2)
+    spoilt = F.expr(SPOILT.replace("d %", "floor(contract_id / 2) %"))
+    target = target.filter(~spoilt).unionByName(derived.broken_contracts(spark, sf).filter(spoilt))
+    scores = quality.latest_runs(derived.quality_runs(spark, sf)).select("dataset", "quality_score")
+    return gate.gate_verdicts(base.filter(number % 10 != 7), target, scores)
+
+
+@query("gate_with_quality", f"""WITH {SCORED}
+SELECT dataset, contract_valid, breaking_count, warning_count, safe_count, {r("coalesce(quality_score, -1)")} AS quality_score, verdict, verdict <> 'BREAKING' AS can_merge FROM v""")
+def gate_with_quality(spark, sf):
+    """Merge verdicts with structure errors in a third of the targets, and a floor on the latest quality score."""
+    return gated_with_quality(spark, sf).withColumn("quality_score", F.coalesce("quality_score", F.lit(-1.0)))
+
+
+@query("gate_override", f"""WITH {SCORED},
+o AS (SELECT unnest([false, true]) AS allow_breaking)
+SELECT allow_breaking, count(*) AS total_contracts, count(*) FILTER (verdict = 'BREAKING') AS contracts_breaking, count(*) FILTER (verdict = 'WARNING') AS contracts_warning,
+  count(*) FILTER (verdict = 'SAFE') AS contracts_safe, CAST(sum(breaking_count) AS BIGINT) AS total_breaking_changes,
+  CASE WHEN count(*) FILTER (verdict = 'BREAKING') > 0 AND NOT allow_breaking THEN 'BREAKING' WHEN count(*) FILTER (verdict = 'WARNING') > 0 THEN 'WARNING' ELSE 'SAFE' END AS verdict,
+  count(*) FILTER (verdict = 'BREAKING') = 0 OR allow_breaking AS can_merge, CAST(count(*) FILTER (verdict = 'BREAKING') > 0 AND NOT allow_breaking AS BIGINT) AS exit_code
+FROM v, o GROUP BY allow_breaking""")
+def gate_override(spark, sf):
+    """The roll-up of the same change as it is, and with breaking changes allowed."""
+    verdicts = stage_table(gated_with_quality(spark, sf), "verdicts")
+    sides = [gate.gate_summary(verdicts, allowed).withColumn("allow_breaking", F.lit(allowed)) for allowed in (False, True)]
+    return sides[0].unionByName(sides[1]).select(
+        "allow_breaking", "total_contracts", "contracts_breaking", "contracts_warning", "contracts_safe", "total_breaking_changes",
+        "verdict", "can_merge", F.col("exit_code").cast("bigint").alias("exit_code"))
+
+
 # -- validation and the registry ------------------------------------------------------------
 
-@query("contract_validation", f"""WITH {COLS},
-n AS (SELECT dataset, d, row_number() OVER (PARTITION BY dataset ORDER BY pk) - 1 AS i, name, type, lo, vals FROM b),
-s AS (SELECT *, i + d AS k, CASE WHEN (i + d) % 41 = 0 THEN 'c_0' ELSE name END AS nm FROM n),
-errs AS (
-  SELECT dataset, count(*) AS errors FROM (
-    SELECT dataset FROM roots WHERE d % 10 = 9
-    UNION ALL SELECT dataset FROM roots WHERE d % 10 = 9
-    UNION ALL SELECT dataset FROM roots WHERE d % 9 = 4
-    UNION ALL SELECT dataset FROM roots WHERE d % 7 = 3
-    UNION ALL SELECT dataset FROM roots WHERE d % 8 = 5
-    UNION ALL SELECT dataset FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset, nm ORDER BY i) AS seen FROM s) WHERE seen > 1
-    UNION ALL SELECT dataset FROM s WHERE k % 43 = 0
-    UNION ALL SELECT dataset FROM s WHERE k % 47 = 0
-    UNION ALL SELECT dataset FROM s WHERE k % 53 = 0
-    UNION ALL SELECT dataset FROM s WHERE (CASE WHEN k % 29 = 0 THEN 1000.0 ELSE lo END) > 100.0)
-  GROUP BY dataset)
+@query("contract_validation", f"""WITH {COLS}, {ERRORS}
 SELECT r.dataset, coalesce(errors, 0) AS errors, errors IS NULL AS is_valid FROM roots r LEFT JOIN errs USING (dataset)""")
 def contract_validation(spark, sf):
     """Number of structure errors per contract of a set with planted errors."""

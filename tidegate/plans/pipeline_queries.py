@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegate.operators import lineage, scoring, spine, training
+from tidegate.operators import freshness, lineage, scoring, spine, training
+from tidegate.operators.catalog import catalog, entries
 from tidegate.operators.customer import customer_features
 from tidegate.operators.online import to_online
 from tidegate.operators.customer import velocity_features
@@ -21,6 +22,7 @@ from tidegate.sources import derived, stores, visits
 from tidegate.sources import tables as t
 from tidegate.streaming import jobs, progress, stateful
 
+SERVED_SLA = [(e[0], e[4]) for e in entries() if e[0] in SERVED and e[2] == "customer"]
 COUNTED = """WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 720 HOUR)"""
 
 
@@ -138,6 +140,48 @@ def dataset_pipeline(spark, sf):
     return out.frame(spark).select("stage", "status")
 
 
+@query("dataset_pipeline_records", """
+WITH f AS (SELECT 'event_type' AS col FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view') GROUP BY 1
+  UNION ALL SELECT 'value' FROM events WHERE value < 0.5 OR value > 300 GROUP BY 1),
+runs AS (SELECT unnest(['run_2', 'run_3']) AS run_id)
+SELECT run_id, CASE WHEN (SELECT count(*) FROM f) > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN (SELECT count(*) FROM f) > 0 THEN 'FAIL' ELSE 'COMPLETE' END AS last_event,
+  (SELECT count(*) FROM f) AS failed_checks, CASE WHEN run_id = 'run_2' THEN (SELECT string_agg(col, ',' ORDER BY col) FROM f) END AS opened FROM runs""")
+def dataset_pipeline_records(spark, sf):
+    """What two runs of the dataset pipeline over events leave behind: the second finds the incidents of the first open."""
+    events, root, now = t.table(spark, sf, "events"), scratch(spark, "runs"), t.latest_event_time(spark, sf)
+    for i in (2, 3):
+        publish.validate_dataset(spark, events, c.EVENTS, f"run_{i}", now + dt.timedelta(minutes=10 * i), root=root)
+    runs = stores.read_log(spark, root, "pipeline_runs").select("run_id", "status")
+    last = stores.read_log(spark, root, "lineage_events").filter("eventType <> 'START'").select(
+        F.col("run.runId").alias("run_id"), F.col("eventType").alias("last_event"))
+    failed = stores.read_log(spark, root, "quality_results").groupBy("run_id").agg(F.count_if(F.col("status") == "FAIL").alias("failed_checks"))
+    out = runs.join(last, "run_id").join(failed, "run_id")
+    if not stores.path_exists(spark, f"{root}/incidents"):
+        return out.withColumn("opened", F.lit(None).cast("string"))
+    # at most one row per check of the contract
+    opened = stores.read_log(spark, root, "incidents").groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list("column")), ",").alias("opened"))
+    return out.join(opened, "run_id", "left").select("run_id", "status", "last_event", "failed_checks", "opened")
+
+
+@query("online_store_freshness", f"""WITH {TXN},
+seen AS (SELECT customer_id, CASE WHEN bool_or(ts >= t - INTERVAL 30 DAY) THEN t ELSE t - INTERVAL 1 DAY END AS made FROM txn, now_at
+  WHERE ts >= t - INTERVAL 30 DAY OR (ts <= t - INTERVAL 1 DAY AND ts >= t - INTERVAL 31 DAY) GROUP BY customer_id, t),
+s AS (SELECT unnest({[x[0] for x in SERVED_SLA]}) AS name, unnest({[x[1] for x in SERVED_SLA]}) AS sla)
+SELECT 'customer' AS entity_name, name, CAST(sla AS BIGINT) AS freshness_sla_minutes, count(*) AS entities,
+  count(*) FILTER ((epoch_us(t) - epoch_us(made)) / 60e6 + 90 > sla) AS breaches FROM seen, s, now_at GROUP BY name, sla""")
+def online_store_freshness(spark, sf):
+    """Ages of the published features, read from the online store ninety minutes after the second of two publications."""
+    now, root = t.latest_event_time(spark, sf), scratch(spark, "store")
+    for days in (1, 0):
+        at = now - dt.timedelta(days=days)
+        rows = served(t.bind_transactions(spark, sf, at - dt.timedelta(days=30), at), at)
+        stores.write_changes(to_online(rows, "customer", "customer_id", F.lit(now), columns=SERVED), f"{root}/online", f"day_{days}")
+        stores.mark_published(spark, root, f"day_{days}", at)
+    stores.compact_online(spark, root)
+    return freshness.online_feature_freshness(stores.read_online(spark, root), catalog(spark), now + dt.timedelta(minutes=90)).withColumn(
+        "freshness_sla_minutes", F.col("freshness_sla_minutes").cast("bigint"))
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"

@@ -56,7 +56,9 @@ class Publication:
         return spark.createDataFrame(self.stages, STAGE_SCHEMA)
 
 
-def _lineage_event(spark: SparkSession, run_id: str, kind: str, at: dt.datetime, inputs: list[str], outputs: list[str]) -> DataFrame:
+def _lineage_event(
+    spark: SparkSession, run_id: str, kind: str, at: dt.datetime, inputs: list[str], outputs: list[str], pipeline: str = PIPELINE
+) -> DataFrame:
     def names(items: list[str]):
         return F.array(*[F.struct(F.lit("default").alias("namespace"), F.lit(i).alias("name")) for i in items])
 
@@ -69,15 +71,17 @@ def _lineage_event(spark: SparkSession, run_id: str, kind: str, at: dt.datetime,
     return one_row(spark).select(
         F.lit(kind).alias("eventType"), F.lit(at).cast("timestamp").alias("eventTime"),
         F.struct(F.lit(run_id).alias("runId"), F.expr("map('engine', 'spark')").alias("facets")).alias("run"),
-        F.struct(F.lit("default").alias("namespace"), F.lit(PIPELINE).alias("name"),
-                 F.expr(f"map('pipeline_id', '{PIPELINE}')").alias("facets")).alias("job"),
+        F.struct(F.lit("default").alias("namespace"), F.lit(pipeline).alias("name"),
+                 F.create_map(F.lit("pipeline_id"), F.lit(pipeline)).alias("facets")).alias("job"),
         names(inputs).alias("inputs"), outs.alias("outputs"),
     )
 
 
-def _run_row(spark: SparkSession, run_id: str, status: str, start: dt.datetime, ms: float, error: str | None) -> DataFrame:
+def _run_row(
+    spark: SparkSession, run_id: str, status: str, start: dt.datetime, ms: float, error: str | None, pipeline: str = PIPELINE
+) -> DataFrame:
     return one_row(spark).select(
-        F.lit(run_id).alias("run_id"), F.lit(PIPELINE).alias("pipeline_id"), F.lit(status).alias("status"),
+        F.lit(run_id).alias("run_id"), F.lit(pipeline).alias("pipeline_id"), F.lit(status).alias("status"),
         F.lit(start).cast("timestamp").alias("start_time"), F.lit(ms).alias("duration_ms"),
         F.lit(error).cast("string").alias("error_message"),
     )
@@ -156,12 +160,15 @@ def publish_features(
             raise StageFailed(f"{len(failed)} of {len(checks)} checks failed", *[r.asDict() for r in failed])
         done(stage, len(checks))
 
-        # the records of these two say that the run is complete, so they are written when it is
+        # both records say that the run goes on; those that say it is complete are written when it is
         stage = "OPENLINEAGE"
-        done(stage)
+        event = _lineage_event(spark, run_id, "RUNNING", ref_time, list(inputs), [dataset])
+        stores.write_log(event, root, "lineage_events", f"{run_id}.running")
+        done(stage, 1)
 
         stage = "AIRFLOW_ORCHESTRATION"
-        done(stage)
+        stores.write_log(_run_row(spark, run_id, "RUNNING", ref_time, (clock() - started) * 1000.0, None), root, "pipeline_runs", run_id)
+        done(stage, 1)
 
         stage = "OFFLINE_STORE"
         stores.write_offline(staged, root, entity)
@@ -229,11 +236,16 @@ def resolve_incident(spark: SparkSession, root: str, signature: str, at: dt.date
 
 def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, inputs, total_ms, stage_ms) -> None:
     """Record a failed run: FAIL event, incident, run row, and SKIPPED for what did not run."""
-    message = str(error)
     out.status = "FAILED"
-    out.stages.append((out.run_id, STAGES.index(stage), stage, "FAILED", None, stage_ms, message))
+    out.stages.append((out.run_id, STAGES.index(stage), stage, "FAILED", None, stage_ms, str(error)))
     for later in STAGES[STAGES.index(stage) + 1:]:
         out.stages.append((out.run_id, STAGES.index(later), later, "SKIPPED", None, 0.0, f"halted in {stage}"))
+    _record_failure(spark, out, root, dataset, contract, stage, error, at, list(inputs), total_ms, PIPELINE)
+
+
+def _record_failure(spark, out: Publication, root, dataset, contract, stage, error, at, inputs, total_ms, pipeline) -> None:
+    """FAIL event, run row, and an incident for every failing check that no open incident covers."""
+    message = str(error)
     checks = getattr(error, "checks", ()) or [{
         "check_name": f"{stage.lower()}_check", "column": None,
         "expectation_type": f"expect_{stage.lower()}_to_succeed", "observed_value": message,
@@ -242,7 +254,7 @@ def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, i
     columns = ("check_name", "column", "expectation_type", "observed_value", "expected_value", "details")
     texts = [tuple(None if x[c] is None else str(x[c]) for c in columns) for x in checks]
     rows = spark.createDataFrame(texts, ", ".join(f"`{c}` string" for c in columns)).select(
-        F.lit(dataset).alias("dataset"), F.lit(PIPELINE).alias("pipeline"), F.lit("FAIL").alias("status"),
+        F.lit(dataset).alias("dataset"), F.lit(pipeline).alias("pipeline"), F.lit("FAIL").alias("status"),
         F.lit(False).alias("success"), F.lit(out.run_id).alias("run_id"), *columns, F.lit(at).cast("timestamp").alias("timestamp"),
     )
     owners = one_row(spark).select(F.lit(dataset).alias("dataset"), F.lit(contract.get("owner")).cast("string").alias("owner"))
@@ -253,18 +265,34 @@ def _abort(spark, out: Publication, root, dataset, contract, stage, error, at, i
         known = open_incidents(spark, root, out.run_id).select("failure_signature")
         failures = failures.join(known, "failure_signature", "left_anti").select(failures.columns)
     stores.write_log(failures, root, "incidents", out.run_id)
-    stores.write_log(_lineage_event(spark, out.run_id, "FAIL", at, list(inputs), []), root, "lineage_events", f"{out.run_id}.end")
-    stores.write_log(_run_row(spark, out.run_id, "FAILED", at, total_ms, message), root, "pipeline_runs", out.run_id)
+    stores.write_log(_lineage_event(spark, out.run_id, "FAIL", at, inputs, [], pipeline), root, "lineage_events", f"{out.run_id}.end")
+    stores.write_log(_run_row(spark, out.run_id, "FAILED", at, total_ms, message, pipeline), root, "pipeline_runs", out.run_id)
+
+
+DATASET_PIPELINE = "dataset_pipeline"
+DATASET_STAGES = ["CONTRACT_VALIDATION", "SCHEMA_VALIDATION", "DATA_QUALITY"]
 
 
 def validate_dataset(
     spark: SparkSession, df: DataFrame, contract: Mapping, run_id: str, ref_time: dt.datetime,
-    parents: Mapping[str, DataFrame] | None = None, relationships=(), check_freshness: bool = True,
+    parents: Mapping[str, DataFrame] | None = None, relationships=(), check_freshness: bool = True, root: str | None = None,
 ) -> Publication:
-    """The dataset pipeline: contract, schema, then freshness and quality; stage rows."""
+    """The dataset pipeline: contract, schema, then freshness and quality; stage rows.
+
+    With ``root`` the run is recorded below it: lineage events, the checks with their run row, the
+    pipeline run, and incidents of a failure.  An exception other than a failed stage is recorded
+    and raised.
+    """
     out, clock = Publication(run_id), time.perf_counter
-    names = ["CONTRACT_VALIDATION", "SCHEMA_VALIDATION", "DATA_QUALITY"]
-    for i, name in enumerate(names):
+    dataset, started = contract.get("dataset", "unknown"), clock()
+
+    def event(kind: str, outputs: list[str], entry: str) -> None:
+        if root is not None:
+            rows = _lineage_event(spark, run_id, kind, ref_time, [dataset], outputs, DATASET_PIPELINE)
+            stores.write_log(rows, root, "lineage_events", f"{run_id}.{entry}")
+
+    event("START", [], "start")
+    for i, name in enumerate(DATASET_STAGES):
         mark, error, records = clock(), None, None
         try:
             if name == "CONTRACT_VALIDATION":
@@ -275,19 +303,33 @@ def validate_dataset(
                     raise StageFailed(f"breaking schema changes: {breaking}")
             else:
                 results, runs = q.run_validation(
-                    df, contract, run_id, ref_time, "dataset_pipeline", parents, relationships, check_freshness
+                    df, contract, run_id, ref_time, DATASET_PIPELINE, parents, relationships, check_freshness
                 )
-                row = runs.first()
-                records, out.quality_score = row["total_checks"], row["quality_score"]
-                if row["failed_checks"]:
-                    raise StageFailed(f"{row['failed_checks']} of {row['total_checks']} checks failed")
-        except StageFailed as e:
-            error = str(e)
+                checks = results.collect()  # one row per check of the contract
+                records = len(checks)
+                if root is not None:
+                    rows = spark.createDataFrame(checks, results.schema)
+                    stores.write_quality(rows, q.score_runs(rows, ("run_id", "dataset", "pipeline", "timestamp")), root)
+                out.quality_score = round(100.0 * sum(r["status"] == "PASS" for r in checks) / records, 2)
+                failed = [r.asDict() for r in checks if r["status"] == "FAIL"]
+                if failed:
+                    raise StageFailed(f"{len(failed)} of {records} checks failed", *failed)
+        except Exception as e:
+            error = e
         ms = (clock() - mark) * 1000.0
-        out.stages.append((run_id, i, name, "FAILED" if error else "SUCCESS", records, ms, error))
+        out.stages.append((run_id, i, name, "FAILED" if error else "SUCCESS", records, ms, str(error) if error else None))
         if error:
             out.status = "FAILED"
             out.stages += [(run_id, j, later, "SKIPPED", None, 0.0, f"halted in {name}")
-                           for j, later in enumerate(names) if j > i]
-            break
+                           for j, later in enumerate(DATASET_STAGES) if j > i]
+            if root is not None:
+                _record_failure(spark, out, root, dataset, contract, name, error, ref_time, [dataset],
+                                (clock() - started) * 1000.0, DATASET_PIPELINE)
+            if not isinstance(error, StageFailed):
+                raise error
+            return out
+    event("COMPLETE", [dataset], "end")
+    if root is not None:
+        row = _run_row(spark, run_id, "SUCCESS", ref_time, (clock() - started) * 1000.0, None, DATASET_PIPELINE)
+        stores.write_log(row, root, "pipeline_runs", run_id)
     return out
