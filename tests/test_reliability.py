@@ -257,3 +257,19 @@ def test_newest_mapping_is_by_time(spark):
     m = spark.createDataFrame(rows, "source_dataset string, source_column string, target_dataset string, target_column string, pipeline_id string, "
                                     "transformation string, run_id string, at timestamp")
     assert lineage.column_lineage(m, "b").select("transformation", "run_id").first() == ("new", "run_10")
+
+
+def test_declared_facets_fold_before_the_join(spark):
+    runs = spark.createDataFrame(
+        [("r1", "p", "postgres.t"), ("r1", "p", "postgres.t"), ("r1", "p", "t"), ("r2", "p", "t"), ("r3", "q", "t")],
+        "run_id string, pipeline_id string, dataset string")
+    rules = [(f"s{i % 7}", f"c{i % 5}", "redis.t" if i % 2 else "t", f"x{i % 2}", f"rule {i % 3}", "p") for i in range(70)]
+    declared = spark.createDataFrame(
+        rules, "source_dataset string, source_column string, target_dataset string, target_column string, transformation string, pipeline_id string")
+    got = lineage.attach_declared(runs, declared)
+    rows = {(r["run_id"], r["dataset"], r["target_column"]): (len(r["input_fields"]), r["transformation"]) for r in got.collect()}
+    assert got.count() == 6
+    assert rows == {(r, d, x): (35, "rule 2") for r, d in (("r1", "postgres.t"), ("r1", "t"), ("r2", "t")) for x in ("x0", "x1")}
+    # a mapping meets no run before it is folded: the sets are built below the join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("collect_set")

@@ -134,17 +134,19 @@ def attach_declared(run_outputs: DataFrame, declared: DataFrame) -> DataFrame:
 
     ``run_outputs`` (run_id, pipeline_id, dataset); ``declared`` (source_dataset,
     source_column, target_dataset, target_column, transformation, pipeline_id).  A store
-    prefix is no part of the name a mapping is declared under.
+    prefix is no part of the name a mapping is declared under.  The mappings are folded to one
+    row per column before they meet the runs, so the join gives one row per run and column.
     """
     bare = F.regexp_replace("dataset", "^(postgres|redis)\\.", "")
-    named = run_outputs.withColumn("target_dataset", bare)
-    rules = declared.withColumn("target_dataset", F.regexp_replace("target_dataset", "^(postgres|redis)\\.", ""))
-    return named.join(rules, ["target_dataset", "pipeline_id"], "inner").groupBy(
-        "run_id", "pipeline_id", "dataset", "target_column"
+    named = run_outputs.select("run_id", "pipeline_id", "dataset").distinct().withColumn("target_dataset", bare)
+    rules = declared.withColumn("target_dataset", F.regexp_replace("target_dataset", "^(postgres|redis)\\.", "")).groupBy(
+        "target_dataset", "pipeline_id", "target_column"
     ).agg(
         F.array_sort(F.collect_set(F.struct("source_dataset", "source_column"))).alias("input_fields"),
         F.max("transformation").alias("transformation"),
     )
+    return named.join(rules, ["target_dataset", "pipeline_id"], "inner").drop("target_dataset").select(
+        "run_id", "pipeline_id", "dataset", "target_column", "input_fields", "transformation")
 
 
 def column_lineage(mappings: DataFrame, dataset: str, column: str | None = None) -> DataFrame:
