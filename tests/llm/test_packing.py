@@ -80,3 +80,26 @@ def test_windows_are_full_and_groups_even():
     rows = packer.rows().to_pandas()
     tokens = rows.groupby(["tier", "step_group"]).length.sum()
     assert tokens.groupby("tier").agg(lambda x: x.max() - x.min()).max() <= 2048
+
+
+def test_complete_windows_hold_no_ids():
+    packer = Packer(0)
+    for d in range(2000):
+        packer.add((d, 2500), bytes(10_000))
+    packer.pack(last=True)
+    windows = len(packer.done)
+    assert packer.settle() == windows and not packer.done and not packer.pool
+    assert not any(isinstance(x, bytes) for _, pieces in packer.settled for p in pieces for x in p)
+    rows = packer.rows()
+    assert sum(rows.column("length").to_pylist()) == 5_000_000 and not packer.settled
+    assert packer.rows() is None
+
+
+def test_the_library_tokenizer_is_loaded_where_it_is_needed():
+    from tidegate.llm.tokens import Encoder
+
+    e = Encoder()
+    assert e.plain is not None and e.batch(["two words"]) and "core" not in vars(e)
+    assert e.width == (2 if e.core.get_vocab_size() <= 1 << 16 else 4)
+    assert e.added == tuple(t.content for t in e.core.get_added_tokens_decoder().values())
+    assert e.batch(["a<|endoftext|>b"]) == [e.whole("a<|endoftext|>b")]

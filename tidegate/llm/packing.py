@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidegate.llm.common import identified, table
+from tidegate.llm.common import identified, release, table
 from tidegate.llm.registry import query
 from tidegate.llm.tokens import encoder, runs
 
@@ -34,6 +34,7 @@ TIERS = (256, 512, 1024)
 STEP_TOKENS = 1 << 16
 END = 0
 POOL = 8192
+SETTLE = 512
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier long, step_group long")
 
@@ -47,6 +48,7 @@ class Packer:
         self.pool: list[tuple] = []   # (length, arrival, document, start, ids), sorted
         self.arrival = self.sequences = self.groups = 0
         self.done: list[tuple[int, list[tuple]]] = []  # (tier, pieces)
+        self.settled: list[tuple[int, list[tuple]]] = []  # the same with number and crc32 of a piece's ids in their place
 
     def add(self, document: tuple, ids: bytes) -> None:
         """document: (doc_id, tokens).  Cuts whole windows; the rest waits."""
@@ -90,25 +92,31 @@ class Packer:
                 return
             self.done.append((tier if not gap else self.top, held))
 
+    def settle(self) -> int:
+        """Number of complete windows; their ids are no longer held."""
+        for tier, pieces in self.done:
+            self.settled.append((tier, [(document, start, len(ids) // 4, zlib.crc32(ids)) for document, start, ids in pieces]))
+        self.done = []
+        return len(self.settled)
+
     def rows(self) -> pa.RecordBatch | None:
-        if not self.done:
+        if not self.settle():
             return None
-        total = {t: sum(1 for tier, _ in self.done if tier == t) for t in self.tiers}
+        total = {t: sum(1 for tier, _ in self.settled if tier == t) for t in self.tiers}
         groups = {t: max(1, round(total[t] * t / self.step)) for t in self.tiers}
         first, seen, out = {}, dict.fromkeys(self.tiers, 0), [[] for _ in range(9)]
         for t in self.tiers:
             first[t] = self.base + self.groups
             self.groups += groups[t] if total[t] else 0
-        for tier, pieces in self.done:
+        for tier, pieces in self.settled:
             group, at = first[tier] + seen[tier] * groups[tier] // total[tier], 0
             seen[tier] += 1
-            for (doc_id, tokens), start, ids in pieces:
-                n = len(ids) // 4
-                for column, value in zip(out, (doc_id, start, n, zlib.crc32(ids), tokens, self.base + self.sequences, at, tier, group)):
+            for (doc_id, tokens), start, n, crc in pieces:
+                for column, value in zip(out, (doc_id, start, n, crc, tokens, self.base + self.sequences, at, tier, group)):
                     column.append(value)
                 at += n
             self.sequences += 1
-        self.done = []
+        self.settled = []
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
@@ -127,11 +135,14 @@ def pack(docs: DataFrame, tiers=TIERS, step_tokens: int = STEP_TOKENS, vocabular
                     packer.add((doc_id, len(ids) // 4), ids)
                     if len(packer.pool) >= POOL:
                         packer.pack(last=False)
-                    if len(packer.done) >= 2 * POOL:
+                    if len(packer.done) >= SETTLE:
+                        packer.settle()
+                    if len(packer.settled) + len(packer.done) >= 2 * POOL:
                         yield packer.rows()
         packer.pack(last=True)
         if (rows := packer.rows()) is not None:
             yield rows
+        release()
 
     return identified(docs).mapInArrow(run, SCHEMA)
 

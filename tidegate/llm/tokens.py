@@ -13,9 +13,12 @@ import array
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
+from tidegate.llm.common import release
+
 _encoders: dict = {}
 
 
@@ -32,16 +35,24 @@ class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers as public
-        from tokenizers import Tokenizer
 
-        path = path or public.path("byte_bpe_50k.json")
-        self.core = Tokenizer.from_file(path)
-        self.width = 2 if self.core.get_vocab_size() <= 1 << 16 else 4
+        self.path, self.plain = path or public.path("byte_bpe_50k.json"), None
+        with open(self.path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = tuple(t["content"] for t in file.get("added_tokens") or ())
+        self._plain_encoder(file, public.PATTERN)
+        size = self.core.get_vocab_size() if self.plain is None else len({*file["model"]["vocab"], *self.added})
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.added = tuple(t.content for t in self.core.get_added_tokens_decoder().values())
-        self.plain = None
-        with open(path, encoding="utf-8") as f:
-            self._plain_encoder(json.load(f), public.PATTERN)
+        del file
+        release()
+
+    @cached_property
+    def core(self):
+        """The library's tokenizer; it is loaded where a text needs it, as it takes more memory than the plain encoder."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _plain_encoder(self, file: dict, pattern: str) -> None:
         import tiktoken
