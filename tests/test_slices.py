@@ -161,3 +161,23 @@ def test_rows_without_a_time_are_kept(spark):
     df = spark.createDataFrame([(1, None, 1), (1, dt.datetime(2024, 1, 1), 2), (None, dt.datetime(2024, 1, 1), 3)], "k long, ts timestamp, i long")
     out = slices.running(df, ["k"], "ts", "i", {"n": slices.Running(F.lit(1))}, 60)
     assert sorted(r["i"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_sparse_keys_need_no_slices(spark, events):
+    rows = spark.range(400).selectExpr(
+        "id AS transaction_id", "id % 40 AS customer_id", "timestamp_seconds(1704067200 + id * 43200 + id % 7) AS ts",
+        "CASE WHEN id % 97 = 0 THEN 1e9D + id ELSE 0.25D * id END AS amount")
+
+    def windows(df, width=None):
+        out = slices.trailing(df, ["customer_id"], "ts", {"a": "amount", "n": "1"}, {"7d": 7 * 86_400, "30d": 30 * 86_400}, width,
+                              wanted={"n": ["30d"]}, spread={"a": ("amount", ["30d"])})
+        return out.select("transaction_id", F.round("a_7d", 4), F.round("a_30d", 4), "n_30d", F.round(F.log1p("a_std_30d"), 9))
+
+    direct = windows(rows)
+    assert sorted(direct.collect()) == sorted(windows(rows, 86_400).collect())
+    plan = direct._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no row is copied and none is met again
+    assert slices.sparse(rows, ["customer_id"], "ts", 30 * 86_400) and slices.sparse(rows.limit(0), ["customer_id"], "ts", 86_400)
+    # a dense or a hot key keeps its slices
+    assert not slices.sparse(events, ["customer_id"], "ts", 30 * 86_400)
+    assert not slices.sparse(rows, ["customer_id"], "ts", 30 * 86_400, target_rows=5)

@@ -22,6 +22,8 @@ from tidegate.functions.scalars import DAY, HOUR, MICROS, micros, slice_id
 LADDER = [DAY, 6 * HOUR, HOUR, 600, 60, 10, 1]
 # rows of one (key, slice) that one task sorts with ease
 TARGET_ROWS = 4_000_000
+# rows around an event, on average, up to which a frame is added up row by row
+FRAME_ROWS = 64
 # sums that are subtracted from each other; exact for amounts below 1e29
 EXACT = "decimal(38,9)"
 
@@ -129,6 +131,34 @@ def with_previous(
     )
 
 
+def sparse(df: DataFrame, key: Sequence[str], ts: str, widest: int, frame_rows: int = FRAME_ROWS, target_rows: int = TARGET_ROWS) -> bool:
+    """Whether frames of ``widest`` seconds hold few rows, and no key more than a task sorts with ease.
+
+    Rows are counted per (key, cell of that width), with map-side combine; the sum of squares over the
+    number of rows is what a row finds in its own cell on average, and a frame meets two cells.
+    """
+    cells = add_slice(df.select(*key, ts), ts, widest).groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("n"))
+    per_key = cells.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("met"))
+    row = per_key.agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("met").alias("met")).first()
+    return row["n"] is None or (row["most"] <= target_rows and row["met"] <= frame_rows * row["n"])
+
+
+def by_frames(
+    events: DataFrame, keys: list[str], ts: str, measures: Mapping[str, str], windows: Mapping[str, int],
+    pairs: Sequence[tuple[str, str]], spread: Mapping[str, tuple[str, Sequence[str]]],
+) -> DataFrame:
+    """``trailing`` for sparse keys: one shuffle and one sort, each frame added up row by row from its own rows."""
+    rows = events.selectExpr(
+        "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()],
+        *[f"cast({v} AS double) AS _v_{x}" for x, (v, _) in spread.items()], f"unix_micros({ts}) AS _us")
+    frame = {w: f"(PARTITION BY {', '.join(keys)} ORDER BY _us RANGE BETWEEN {s * MICROS}L PRECEDING AND CURRENT ROW)" for w, s in windows.items()}
+    return rows.selectExpr(
+        *keys, *[c for c in events.columns if c not in keys],
+        *[f"coalesce(stddev_samp(_v_{x}) OVER {frame[w]}, 0D) AS {x}_std_{w}" for x, (_, ws) in spread.items() for w in ws],
+        *[f"coalesce(sum(_m_{m}) OVER {frame[w]}, 0D) AS {m}_{w}" for m, w in pairs],
+    )
+
+
 def slice_sql(micros_sql: str, seconds: int) -> str:
     """SQL twin of ``slice_id``."""
     return f"(({micros_sql}) - pmod({micros_sql}, {seconds * MICROS}L)) DIV {seconds * MICROS}L"
@@ -172,15 +202,20 @@ def trailing(
     ``spread`` maps a name to (SQL text, windows) and adds ``{name}_std_{window}``, the sample
     standard deviation.  Its parts are states (number, mean, squared deviations), which are
     merged and never subtracted; see ``whole_slices`` for the slices in between.
+
+    Where keys are sparse (``sparse``: few rows in a frame, no key too large for a task) slices would
+    hold a row or less and only multiply the rows: frames are then added up directly (``by_frames``).
     """
     keys, carried, marks = list(key), dict(carried or {}), dict(marks or {})
     spread = {x: (v, list(ws)) for x, (v, ws) in (spread or {}).items()}
+    use = {m: list((wanted or {}).get(m, windows)) for m in measures}
+    pairs = [(m, w) for m in measures for w in use[m]]
+    if not (slice_seconds or steps or carried or after or marks) and sparse(events, keys, ts, max(windows.values())):
+        return by_frames(events, keys, ts, measures, windows, pairs, spread)
     width = slice_seconds or fit_slice(events, keys, ts, min(windows.values()))
     for name, seconds in windows.items():
         if seconds % width:
             raise ValueError(f"window {name} is no multiple of the {width} s slice")
-    use = {m: list((wanted or {}).get(m, windows)) for m in measures}
-    pairs = [(m, w) for m in measures for w in use[m]]
     role = {w: i for i, w in enumerate(windows)}
     base = events.selectExpr(
         "*", *[f"cast({v} AS double) AS _m_{m}" for m, v in measures.items()],
