@@ -181,3 +181,11 @@ def test_sparse_keys_need_no_slices(spark, events):
     # a dense or a hot key keeps its slices
     assert not slices.sparse(events, ["customer_id"], "ts", 30 * 86_400)
     assert not slices.sparse(rows, ["customer_id"], "ts", 30 * 86_400, target_rows=5)
+
+
+def test_expiring_rows_go_before_the_second_sort(events):
+    lines = customer_chain(events, RiskParams(), 3_600)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Filter (_role" in x)
+    above, below = ([x for x in part if "Window [" in x and "_us" in x] for part in (lines[:at], lines[at:]))
+    assert above and not any("DESC" in x for x in above)  # event rows alone are sorted by (time, id)
+    assert any("DESC" in x for x in below)

@@ -195,7 +195,8 @@ def trailing(
     More can be computed while the rows of a (key, slice) are together.  ``steps`` are SQL
     columns, evaluated step by step in a window text ``{rows}`` that is ordered by time and
     ``row_id``: ``_role`` is -1 on events and the index of the window on expiring rows,
-    ``_row`` holds the event's columns, ``marks`` are SQL columns that expiring rows have too.
+    ``_row`` holds the event's columns, ``marks`` are SQL columns that expiring rows have too
+    (steps meet expiring rows only where there are marks).
     ``carried`` names aggregates of which each slice gets the maximum over earlier slices.
     ``after`` are SQL columns over all of these and the sums' parts.
 
@@ -232,16 +233,8 @@ def trailing(
         *keys, "_step.role AS _role", f"_us + _step.by * {MICROS}L AS _us", f"_slice + _step.by DIV {width}L AS _slice", "_id",
         *[f"_m_{m}" for m in measures], *[f"_v_{x}" for x in spread], *marks, f"CASE WHEN _step.role = -1 THEN struct({', '.join(payload)}) END AS _row",
     )
-    # windows by (time, id) come first: their sort also serves the windows by time
     part = f"PARTITION BY {', '.join(keys)}, _slice"
-    local = rows
-    for step in steps:
-        local = local.selectExpr("*", *[e.replace("{rows}", f"{part} ORDER BY _us, _id") for e in step])
     by_time = f"{part} ORDER BY _us RANGE BETWEEN UNBOUNDED PRECEDING AND"
-
-    def over(m: str, r: int, upto: str) -> str:
-        return f"coalesce(sum(CASE WHEN _role = {r} THEN _m_{m} END) OVER ({by_time} {upto}), 0D)"
-
     # rows that have not expired are those at or after the event, added up from the end of the slice
     late = f"{part} ORDER BY _us DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     spreads = [(x, w) for x, (_, ws) in spread.items() for w in ws]
@@ -251,12 +244,20 @@ def trailing(
         return [f"count({value}) OVER ({window}) AS {name}_n", f"avg({value}) OVER ({window}) AS {name}_mean",
                 f"var_pop({value}) OVER ({window}) * count({value}) OVER ({window}) AS {name}_m2"]
 
-    local = local.selectExpr(
+    local = rows.selectExpr(
         "*",
-        *[f"{over(m, -1, 'CURRENT ROW')} AS _own_{m}" for m in measures],
         *[f"coalesce(sum(CASE WHEN _role = {role[w]} THEN _m_{m} END) OVER ({late}), 0D) AS _head_{m}_{w}" for m, w in pairs],
-        *[e for x in spread for e in states(x, -1, f"{by_time} CURRENT ROW", f"_at_own_{x}")],
         *[e for x, w in spreads for e in states(x, role[w], late, f"_at_head_{x}_{w}")],
+    )
+    # expiring rows go before the rows grow wide and are sorted again, unless steps read them through their marks
+    local = local if marks else local.filter("_role = -1")
+    # windows by (time, id) come before those by time, which their sort also serves
+    for step in steps:
+        local = local.selectExpr("*", *[e.replace("{rows}", f"{part} ORDER BY _us, _id") for e in step])
+    local = local.selectExpr(
+        "*",
+        *[f"coalesce(sum(CASE WHEN _role = -1 THEN _m_{m} END) OVER ({by_time} CURRENT ROW), 0D) AS _own_{m}" for m in measures],
+        *[e for x in spread for e in states(x, -1, f"{by_time} CURRENT ROW", f"_at_own_{x}")],
     ).filter("_role = -1")
 
     # slices wholly inside a window lie between its first one and the event's own
