@@ -75,3 +75,17 @@ def test_steps_that_do_not_divide_a_window_are_rejected(spark):
     for step in (600, 7 * 3_600, 40 * 86_400):
         with pytest.raises(ValueError):
             spine.folded(txn, "customer_id", step)
+
+
+def test_no_row_holds_the_states_of_its_window(spark):
+    """Runs that only grow keep the spread of large amounts; lists of states in sliding frames cost time per row and step."""
+    day = dt.timedelta(days=1)
+    rows = [(i, 1, 7, 5e7 + 0.1 * (i % 10), T0 + dt.timedelta(hours=5) + i // 2 * day, "FAILED" if i % 40 else "APPROVED") for i in range(130)]
+    txn = spark.createDataFrame(rows, "transaction_id long, customer_id int, merchant_id int, amount double, ts timestamp, status string")
+    got = spine.folded(txn, "customer_id")
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = brute(rows, 86_400)
+    got = got.collect()
+    assert len(got) == len(want) == 65
+    for r in got:
+        assert r.streak == want[1, r.feature_timestamp][3] and r.std_30d == pytest.approx(want[1, r.feature_timestamp][4], rel=1e-5, abs=1e-7)

@@ -8,7 +8,9 @@ its windows cover.  A state holds sums, extremes, the run of failures at its end
 and squared deviations of the amounts; states are merged and never taken away from each other.
 Windows shorter than a step are taken from the events of the snapshot's own step.  Distinct values
 need no sets: a visit is seen by the snapshots of one interval, and the intervals of a value that
-overlap count once.
+overlap count once.  Spread over a month of steps is the end of one aligned month and the beginning
+of the next, two runs that only grow; a run of failures is counted back to the last step with a
+success.  No row holds the states of its window.
 """
 
 from __future__ import annotations
@@ -131,12 +133,19 @@ def folded(
     end = txn.filter(f"{key} IS NOT NULL").agg(F.max("ts").alias("t")).selectExpr(
         f"{slice_sql('unix_micros(t) - 1', step_seconds)} + 1 AS s").first()["s"]
     # a state is followed by the snapshots that see it, up to the next state of the entity
-    state_columns = [c for c in blocks.columns if c not in ("_k", "_s")]
-    points = blocks.selectExpr(
-        "_k", "_s", f"struct({', '.join(state_columns)}) AS _state",
-        f"least(_s + {reach - 1} + cast(coalesce(e_n, 0) > 0 AS bigint), coalesce(lead(_s) OVER (PARTITION BY _k ORDER BY _s) - 1, {end or 0}L), {end or 0}L) AS _to",
-    ).selectExpr("_k", "_state", "_s AS _own", "explode(sequence(_s, greatest(_s, _to))) AS _s").selectExpr(
-        "_k", "_s", "true AS _point", "CASE WHEN _s = _own THEN _state END AS _state").select("_k", "_s", "_point", "_state.*")
+    state_columns = ", ".join(c for c in blocks.columns if c not in ("_k", "_s"))
+    along = "OVER (PARTITION BY _k ORDER BY _s"
+    chain = blocks.selectExpr("_k", "_s", f"struct({state_columns}) AS _state", "e_n", "tail", "m_n", "m_mean", "m_m2", f"floor(_s / {reach}) AS _month").selectExpr(
+        "*", f"least(_s + {reach - 1} + cast(coalesce(e_n, 0) > 0 AS bigint), coalesce(lead(_s) {along}) - 1, {end or 0}L), {end or 0}L) AS _to",
+        f"sum(tail) {along} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _tails")
+    for name, order in (("end", "DESC"), ("begin", "ASC")):
+        chain = running_months(chain, name, order)
+    spread = [f"{name}_{c}" for name in ("end", "begin") for c in ("n", "mean", "m2")]
+    points = chain.selectExpr(
+        "_k", "_s AS _own", "_to", "_state", f"struct(_s AS s, _month AS month, _tails AS tails, _tails - tail AS before, {', '.join(f'_{c} AS {c}' for c in spread)}) AS _run",
+    ).selectExpr("_k", "_state", "_run", "_own", "explode(sequence(_own, greatest(_own, _to))) AS _s").selectExpr(
+        "_k", "_s", "true AS _point", "CASE WHEN _s = _own THEN _run END AS _run", "CASE WHEN _s = _own THEN _state END AS _state",
+    ).select("_k", "_s", "_point", "_run", "_state.*")
     if distinct:
         points = points.unionByName(seen(txn, key, other, step_seconds, distinct), allowMissingColumns=True)
     by_step = "OVER (PARTITION BY _k ORDER BY _s RANGE BETWEEN"
@@ -145,27 +154,39 @@ def folded(
         frame, edge = f"{by_step} {k - 1} PRECEDING AND CURRENT ROW)", f"{by_step} {k} PRECEDING AND {k} PRECEDING)"
         out += [f"coalesce(sum({m}) {frame}, 0) + coalesce(sum(e_{m}) {edge}, 0) AS w_{m}_{w}" for m in measures]
     month, start = f"{by_step} {reach - 1} PRECEDING AND CURRENT ROW)", f"{by_step} {reach} PRECEDING AND {reach} PRECEDING)"
-    part = "struct({0}m_n AS n, {0}m_mean AS mean, {0}m_m2 AS m2, {0}ok AS ok, {0}tail AS tail)"
+    upto = f"{by_step} UNBOUNDED PRECEDING AND CURRENT ROW)"
     out += [
         f"greatest(max(top) {month}, max(e_top) {start}) AS top_30d",
-        # in the order of time
-        f"collect_list(CASE WHEN n > 0 THEN {part.format('')} END) {month} AS _states",
-        f"collect_list(CASE WHEN e_n > 0 THEN {part.format('e_')} END) {start} AS _start",
-        *[f"sum(d_{w}) OVER (PARTITION BY _k ORDER BY _s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _d_{w}" for w in distinct],
+        f"coalesce(sum(tail) {month}, 0) + coalesce(sum(e_tail) {start}, 0) AS _failed_month",
+        f"first(_run, true) {month} AS _oldest", f"last(_run, true) {upto} AS _latest", f"last(CASE WHEN ok > 0 THEN _run END, true) {upto} AS _success",
+        *[f"max(e_m_{c}) {start} AS _e_{c}" for c in ("n", "mean", "m2")],
+        *[f"sum(d_{w}) {upto} AS _d_{w}" for w in distinct],
     ]
     folds = points.selectExpr("_k", "_s", "_point", *[f"{m}_{w} AS w_{m}_{w}" for w in {**SHORT, **WINDOWS} if w not in outer for m in measures], *out)
-    folds = folds.filter("_point").selectExpr("*", "concat(_start, _states) AS _all").selectExpr(
-        "*", "aggregate(_all, 0L, (a, x) -> a + x.n) AS _n",
-        "aggregate(_all, 0D, (a, x) -> a + coalesce(x.n * x.mean, 0D)) / nullif(aggregate(_all, 0L, (a, x) -> a + x.n), 0) AS _mean",
-    ).selectExpr("*", "aggregate(_all, 0D, (a, x) -> a + coalesce(x.m2 + x.n * pow(x.mean - _mean, 2), 0D)) AS _m2")
+    # the end of one month of steps, the beginning of the next, and the events at exactly the start of the window
+    this = f"floor(_s / {reach})"
+    earlier = [f"CASE WHEN _oldest.month < {this} THEN _oldest.end_{c} END" for c in ("n", "mean", "m2")]
+    later = [f"CASE WHEN _latest.month = {this} THEN _latest.begin_{c} END" for c in ("n", "mean", "m2")]
+    parts = [tuple(earlier), tuple(later), ("_e_n", "_e_mean", "_e_m2")]
+    n, mean = moments.merged(parts)
+    folds = folds.filter("_point").selectExpr("*", f"{n} AS _n", f"{mean} AS _mean").selectExpr("*", f"{moments.merged_m2(parts, '_mean')} AS _m2")
     return folds.selectExpr(
         "_k", f"timestamp_micros(_s * {step_seconds * MICROS}L) AS feature_timestamp",
         *[f"coalesce(w_{m}_{w}, 0) AS {m}_{w}" for w in {**SHORT, **WINDOWS} for m in measures],
-        "top_30d", f"{moments.std('_n', '_m2')} AS std_30d", "aggregate(_all, 0L, (a, x) -> CASE WHEN x.ok > 0 THEN x.tail ELSE a + x.tail END) AS streak",
+        "top_30d", f"{moments.std('_n', '_m2')} AS std_30d",
+        f"CASE WHEN _success.s > _s - {reach} THEN _latest.tails - _success.before ELSE _failed_month END AS streak",
         *[f"coalesce(_d_{w}, 0) AS d_{w}" for w in distinct],
     )
 
 
+def running_months(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """The state of the amounts from one end of a month of steps to each of its states: ``_{name}_n``, ``_mean``, ``_m2``."""
+    for step in moments.running("coalesce(m_n, 0)", "m_mean", "m_m2", f"PARTITION BY _k, _month ORDER BY _s {order}"):
+        rows = rows.selectExpr("*", *step)
+    names = {f"_r{c}": f"_{name}_{c}" for c in ("n", "mean", "m2")}
+    return rows.withColumnsRenamed(names).drop("_bn", "_bsum", "_inc")
+
+
 def snapshot_history(txn: DataFrame, key: str, step_seconds: int = DAY, prefix: str = "cust") -> DataFrame:
     """Count, sum, mean and failures per window at every multiple of ``step_seconds``."""
     return folded(txn, key, step_seconds).selectExpr(

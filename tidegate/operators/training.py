@@ -24,7 +24,9 @@ def hash_order(row_id: str, seed: int = SEED) -> Column:
 
 def sample_rows(df: DataFrame, row_id: str, n: int, seed: int = SEED) -> DataFrame:
     """n rows without replacement (all of them if fewer), first by the md5 of id and seed, which any engine has."""
-    return df.orderBy(F.md5(F.concat_ws("-", F.col(row_id), F.lit(seed)).cast("binary")), F.col(row_id)).limit(n)
+    # a column of its own, or every comparison would take the md5 of both rows
+    hashed = df.withColumn("_md5", F.md5(F.concat_ws("-", F.col(row_id), F.lit(seed)).cast("binary")))
+    return hashed.orderBy("_md5", row_id).limit(n).drop("_md5")
 
 
 def stratified_split(

@@ -387,8 +387,10 @@ def stored_model_scores(spark, sf):
     """
     txn, root = t.bind_transactions(spark, sf), scratch(spark, "models")
     now = t.latest_event_time(spark, sf)
-    rows = stage_table(training.training_set(txn, stage_table(spine.model_history(txn), "snapshots"), n=None), "rows")
-    sample = training.sample_rows(rows, "transaction_id", 5000)
+    feed = scratch(spark, "rows")
+    training.training_set(txn, stage_table(spine.model_history(txn), "snapshots"), n=None).write.parquet(feed)
+    rows = spark.read.parquet(feed)
+    sample = stage_table(training.sample_rows(rows, "transaction_id", 5000), "sample")
     for i, trees in ((1, 2), (2, 20)):
         fitted = training.train(sample, model_version=f"v{i}", trees=trees)
         fitted.publish(root, now + dt.timedelta(minutes=i))
@@ -396,8 +398,6 @@ def stored_model_scores(spark, sf):
     batch = scoring.prediction_log(scoring.score_stored(rows, stored), "transaction_id", F.col("ts"))
     own = scoring.score_with_model(rows, fitted.model, "v2").select(
         F.concat(F.lit("pred_"), F.col("transaction_id").cast("string")).alias("prediction_id"), F.col("risk_score").alias("_own"))
-    feed = scratch(spark, "rows-feed")
-    rows.write.parquet(feed)
     stream = spark.readStream.schema(rows.schema).parquet(feed)
     streamed = once(spark, scoring.prediction_log(scoring.score_stored(stream, stored), "transaction_id", F.col("ts")), "stored-scores")
     seen = streamed.select("prediction_id", F.col("risk_score").alias("_streamed"))
