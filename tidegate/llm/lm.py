@@ -11,9 +11,11 @@ which is all that the predictive needs.  Predictive probabilities are averaged o
 Scale: words are dealt over blocks by fingerprint, and all contexts of a word lie in its block.
 A sweep needs from other blocks only the sizes of restaurants, taken between rounds: a fixed
 number of sums for the classes, and for the previous words sums that each block gets for its own
-contexts (``context_sizes``).  No task sees the vocabulary: the corpus is read in chunks of rows,
-every chunk sends its distinct (previous word, word) pairs and training counts to the blocks, and
-gets back exactly those entries, with which its texts are scored.
+contexts (``context_sizes``); the previous words themselves travel once (``numbered_contexts``).
+Blocks are written in buckets, so rounds shuffle sizes only.  No task sees the vocabulary: the corpus
+is read in chunks of rows, every chunk sends its distinct (previous word, word) pairs and training
+counts to the blocks, and gets back the scores of exactly those pairs, in their order and without
+their fingerprints: where its texts are scored, the same pairs are found in them again.
 
 Learning uses the documents whose crc32(id) mod 10 is not 0; all are scored.
 
@@ -28,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidegate.llm.common import LOWER, SPACE, fold, identified, mix, prefix_hash, slices, span_hash, table
+from tidegate.llm.common import LOWER, SPACE, fold, identified, prefix_hash, release, slices, span_hash, table
 from tidegate.llm.registry import query
-from tidegate.session import stage_table
+from tidegate.session import stage_buckets, stage_table
 
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 4096
 BLOCK_BYTES = 4 << 20
 CONTEXTS = 22
 SHIFT = np.uint64(5)
@@ -82,9 +84,36 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (words & ~LOW) | shape[:-1].astype(np.uint64), before, at[:-1]
 
 
-def paired(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Fingerprints of (word before, word)."""
-    return mix(keys ^ mix(before))
+def packed(x: np.ndarray) -> bytes:
+    """Numbers compressed, after their length in bytes."""
+    data = np.ascontiguousarray(x).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the steps between them, which compress."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def numbered(keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct pairs in the order of ``summed_pairs``, and the number of every given pair among them."""
+    order = np.lexsort((before, keys))
+    k, b = keys[order], before[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return k[new], place
+
+
+def word_starts(keys: np.ndarray) -> np.ndarray:
+    """Whether a pair, in order, is the first of its word."""
+    word = keys >> SHIFT
+    return np.concatenate([[True], word[1:] != word[:-1]]) if len(word) else np.zeros(0, bool)
 
 
 def summed_pairs(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +168,8 @@ def chunk_counts(docs: DataFrame, bits: int) -> DataFrame:
             last = np.append(first[1:], len(k))
             yield pa.RecordBatch.from_arrays([
                 pa.array(block[first]), pa.array(np.full(len(first), chunk)),
-                *[pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (k, p, c.astype("<i4"))],
+                *[pa.array([made(x[a:b]) for a, b in zip(first, last)], pa.binary())
+                  for x, made in ((k, lambda x: packed(steps(x))), (p, np.ndarray.tobytes), (c, packed))],
             ], ["block", "chunk", "keys", "before", "counts"])
 
         for batch, texts in slices(batches):
@@ -174,19 +204,24 @@ def gathered(counts: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         chunks = t.column("chunk").to_numpy()
-        keys, before = ([np.frombuffer(x, "<u8") for x in t.column(c).to_pylist()] for c in ("keys", "before"))
-        n = [np.frombuffer(x, "<i4").astype(np.int64) for x in t.column("counts").to_pylist()]
-        sizes = list(map(len, keys))
+        keys = [np.cumsum(unpacked(x, "<u8")) for x in t.column("keys").to_pylist()]
+        before = [np.frombuffer(x, "<u8") for x in t.column("before").to_pylist()]
+        n = [unpacked(x, "<i8") for x in t.column("counts").to_pylist()]
+        owner = np.repeat(chunks, list(map(len, keys)))
         keys, before, n = map(np.concatenate, (keys, before, n))
         every, prev, total = summed_pairs(keys, before, n)
-        pair = paired(every, prev)
-        order = np.argsort(pair)
-        place = order[np.searchsorted(pair, paired(keys, before), sorter=order)].astype("<i4")
-        held = [x.tobytes() for x in np.split(place, np.cumsum(sizes)[:-1])]
+        place = numbered(keys, before)[1]
+        # a chunk that several tasks read is one list
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])
+        owner, place = owner[new], place[new]
+        cuts = runs(owner)
+        held = [packed(steps(place[a:b])) for a, b in cuts]
         return pa.table({
-            "block": pa.array([t.column("block")[0].as_py()], pa.int64()), "keys": pa.array([every.tobytes()], pa.binary()),
-            "before": pa.array([prev.tobytes()], pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary()),
-            "chunks": pa.array([chunks.tolist()], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.binary()))})
+            "block": pa.array([t.column("block")[0].as_py()], pa.int64()), "keys": pa.array([packed(steps(every))], pa.binary()),
+            "before": pa.array([prev.tobytes()], pa.binary()), "counts": pa.array([packed(total)], pa.binary()),
+            "chunks": pa.array([[int(owner[a]) for a, _ in cuts]], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.binary()))})
 
     return counts.groupBy("block").applyInArrow(
         run, "block long, keys binary, before binary, counts binary, chunks array<long>, held array<binary>")
@@ -281,53 +316,81 @@ def block_rows(batches: Iterator[pa.RecordBatch], sizes: dict):
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            keys, before, counts = (np.frombuffer(row[c], t) for c, t in (("keys", "<u8"), ("before", "<u8"), ("counts", "<i8")))
+            keys, before, counts = np.cumsum(unpacked(row["keys"], "<u8")), np.frombuffer(row["before"], "<u8"), unpacked(row["counts"], "<i8")
             known = {}
             if "customers" in row:
                 which = np.unique(before, return_inverse=True)[1]
-                known = {c: np.frombuffer(row[c], "<f8")[which] for c in ("customers", "tables")}
+                known = {c: np.concatenate([unpacked(x, "<f8") for x in row[c]])[which] for c in ("customers", "tables")}
             yield row, keys, Contexts(keys, before, counts, sizes, **known)
 
 
-SUMS = "name string, value double, block long, home long, before binary, customers binary, tables binary"
+SUMS = "name string, value double, block long, home long, customers binary, tables binary"
+
+
+def homes(word: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """The tasks that add up distinct previous words, and the range of words of each."""
+    home = (word >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
+    return [(int(home[i]), i, j) for i, j in runs(home)]
+
+
+def numbered_contexts(state: DataFrame, bits: int) -> DataFrame:
+    """For every block and home, the numbers that the block's previous words have there."""
+
+    def send(batches):
+        for batch in batches:
+            for block, before in zip(batch.column("block").to_pylist(), batch.column("before")):
+                word = np.unique(np.frombuffer(before.as_buffer(), "<u8"))
+                for home, i, j in homes(word, bits):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([home]), pa.array([block]), pa.array([word[i:j].tobytes()], pa.binary())], ["home", "block", "before"])
+
+    def number(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        parts = [np.frombuffer(x, "<u8") for x in t.column("before").to_pylist()]
+        which = np.unique(np.concatenate(parts), return_inverse=True)[1].astype("<i4")
+        cuts = np.split(which, np.cumsum(list(map(len, parts)))[:-1])
+        return pa.table({"home": t.column("home"), "block": t.column("block"), "which": pa.array([packed(steps(x)) for x in cuts], pa.binary())})
+
+    sent = state.select("block", "before").mapInArrow(send, "home long, block long, before binary")
+    return stage_table(sent.groupBy("home").applyInArrow(number, "home long, block long, which binary"), "numbers")
 
 
 def sums(values: dict[str, float], block: int, b: Contexts, bits: int) -> Iterator[pa.RecordBatch]:
     """Named sums of a block, and the customers and tables of its previous words by the task that adds them up."""
     names = [c.split()[0] for c in SUMS.split(", ")]
-    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), *[pa.binary()] * 2]
     made = lambda n, **c: pa.RecordBatch.from_arrays([pa.array(c.get(x, [None] * n), t) for x, t in zip(names, kinds)], names)
     yield made(len(values), name=list(values), value=[float(v) for v in values.values()])
     word, which = np.unique(b.before, return_inverse=True)
-    home = (word >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
-    columns = word, np.bincount(which, b.count, len(word)), np.bincount(which, b.tables, len(word))
-    cuts = runs(home)
-    before, customers, tables = ([x[i:j].tobytes() for i, j in cuts] for x in columns)
-    yield made(len(cuts), block=[block] * len(cuts), home=[int(home[i]) for i, _ in cuts], before=before, customers=customers, tables=tables)
+    cuts = homes(word, bits)
+    columns = np.bincount(which, b.count, len(word)), np.bincount(which, b.tables, len(word))
+    customers, tables = ([packed(x[i:j]) for _, i, j in cuts] for x in columns)
+    yield made(len(cuts), block=[block] * len(cuts), home=[h for h, _, _ in cuts], customers=customers, tables=tables)
 
 
-def context_sizes(rows: DataFrame) -> DataFrame:
+def context_sizes(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """For every block, customers and tables of its previous words over all blocks, in the order of their fingerprints."""
 
     def add(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        parts = [np.frombuffer(x, "<u8") for x in t.column("before").to_pylist()]
-        cuts = np.cumsum(list(map(len, parts)))[:-1]
-        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        which = {r["block"]: np.cumsum(unpacked(r["which"], "<i4"), dtype=np.int64) for r in t.to_pylist() if r["which"] is not None}
+        t = t.filter(pc.is_valid(t.column("tables")))
+        at = [which[b] for b in t.column("block").to_pylist()]
+        every, cuts = np.concatenate(at), np.cumsum(list(map(len, at)))[:-1]
         out = {"block": t.column("block"), "home": t.column("home")}
         for c in ("customers", "tables"):
-            total = np.bincount(which, np.concatenate([np.frombuffer(x, "<f8") for x in t.column(c).to_pylist()]))[which]
-            out[c] = pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary())
+            total = np.bincount(every, np.concatenate([unpacked(x, "<f8") for x in t.column(c).to_pylist()]))[every]
+            out[c] = pa.array([packed(x) for x in np.split(total, cuts)], pa.binary())
         return pa.table(out)
 
     def line_up(t: pa.Table) -> pa.Table:
         t = t.sort_by("home")
-        whole = {c: pa.array([b"".join(t.column(c).to_pylist())], pa.binary()) for c in ("customers", "tables")}
+        whole = {c: pa.array([t.column(c).to_pylist()], pa.list_(pa.binary())) for c in ("customers", "tables")}
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), **whole})
 
-    added = rows.where("home IS NOT NULL").select("block", "home", "before", "customers", "tables").groupBy("home").applyInArrow(
-        add, "block long, home long, customers binary, tables binary")
-    return stage_table(added.groupBy("block").applyInArrow(line_up, "block long, customers binary, tables binary"), "contexts")
+    met = rows.where("home IS NOT NULL").select("block", "home", "customers", "tables").unionByName(numbers, allowMissingColumns=True)
+    added = met.groupBy("home").applyInArrow(add, "block long, home long, customers binary, tables binary")
+    return stage_table(added.groupBy("block").applyInArrow(line_up, "block long, customers array<binary>, tables array<binary>"), "contexts")
 
 
 def class_sizes(got: dict[str, float]) -> dict:
@@ -343,7 +406,7 @@ def seated(b: Contexts) -> dict[str, float]:
     return out
 
 
-def corpus_sizes(state: DataFrame, bits: int) -> tuple[dict, DataFrame]:
+def corpus_sizes(state: DataFrame, numbers: DataFrame, bits: int) -> tuple[dict, DataFrame]:
     """Customers and tables at first, words, discounts from the counts of counts, and the sizes of contexts."""
 
     def run(batches):
@@ -359,10 +422,10 @@ def corpus_sizes(state: DataFrame, bits: int) -> tuple[dict, DataFrame]:
     once = lambda x: got.get(f"{x}_once", 0.0)
     share = lambda x: float(np.clip(once(x) / max(once(x) + 2 * got.get(f"{x}_twice", 0.0), 1), 0.05, 0.95))
     return class_sizes(got) | {"words": got.get("words", 0.0), "train": got.get("train", 0.0),
-                               "d2": share("pair"), "d1": share("class"), "d0": share("root")}, context_sizes(rows)
+                               "d2": share("pair"), "d1": share("class"), "d0": share("root")}, context_sizes(rows, numbers)
 
 
-def gibbs_round(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int, bits: int) -> tuple[dict, DataFrame]:
+def gibbs_round(state: DataFrame, numbers: DataFrame, contexts: DataFrame, sizes: dict, seed: int, bits: int) -> tuple[dict, DataFrame]:
     """Sweep all blocks with the given restaurant sizes and give the sizes afterwards."""
 
     def run(batches):
@@ -374,11 +437,11 @@ def gibbs_round(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int, b
 
     met = state.select("block", "keys", "before", "counts").join(contexts, "block")
     rows = stage_table(met.mapInArrow(run, SUMS), "sums")
-    return sizes | class_sizes(totals(rows.where("name IS NOT NULL"))), context_sizes(rows)
+    return sizes | class_sizes(totals(rows.where("name IS NOT NULL"))), context_sizes(rows, numbers)
 
 
 def dictionaries(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int) -> DataFrame:
-    """For every chunk and block, the chunk's pairs with word counts and averaged log10 probabilities."""
+    """For every chunk and block, in the order of the chunk's pairs, averaged log10 probabilities, and the counts of their words."""
 
     def run(batches):
         for row, keys, b in block_rows(batches, sizes):
@@ -388,14 +451,30 @@ def dictionaries(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int)
                 b.sweep(r)
                 if k >= BURN:
                     mean += b.predictive() / SAMPLES
-            pair, score, seen = paired(keys, b.before), np.log10(mean).astype("<f4"), b.seen.astype("<i8")
+            score, seen = np.log10(mean).astype("<f4"), b.seen.astype("<i8")
             for chunk, held in zip(row["chunks"], row["held"]):
-                at = np.frombuffer(held, "<i4")
+                at = np.cumsum(unpacked(held, "<i4"), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), *[pa.array([x[at].tobytes()], pa.binary()) for x in (pair, seen, score)]],
-                    ["chunk", "keys", "seen", "score"])
+                    [pa.array([chunk], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([score[at].tobytes()], pa.binary()),
+                     pa.array([packed(seen[at][word_starts(keys[at])])], pa.binary())], ["chunk", "block", "score", "seen"])
+
+    return state.join(contexts, "block").mapInArrow(run, "chunk long, block long, score binary, seen binary")
 
-    return state.join(contexts, "block").mapInArrow(run, "chunk long, keys binary, seen binary, score binary")
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """Rows of a chunk as compressed batches: texts are the larger part of what scoring shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in slices(batches):
+            owner = batch.column("chunk").to_numpy()
+            for a, b in runs(owner):
+                out = pa.BufferOutputStream()
+                part = batch.slice(a, b - a).select(["doc_id", "held_out", "text"])
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+
+    return rows.mapInArrow(run, "chunk long, texts binary")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -406,49 +485,56 @@ def score_corpus(docs: DataFrame, seed: int = 7) -> DataFrame:
     rows = chunked(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / BLOCK_BYTES)))))
-    state = stage_table(gathered(chunk_counts(rows, bits)), "restaurants")
+    # a table with fewer buckets than the session has shuffle partitions would be shuffled in every round
+    buckets = max(1 << bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    state = stage_buckets(gathered(chunk_counts(rows, bits)), "restaurants", buckets, "block")
     home = max(0, bits - 2)  # fewer tasks add up contexts than there are blocks
-    sizes, contexts = corpus_sizes(state, home)
+    numbers = numbered_contexts(state, home)
+    sizes, contexts = corpus_sizes(state, numbers, home)
     for k in range(ROUNDS):
-        sizes, contexts = gibbs_round(state, contexts, sizes, seed + k, home)
+        sizes, contexts = gibbs_round(state, numbers, contexts, sizes, seed + k, home)
     entries = dictionaries(state, contexts, sizes, seed + ROUNDS)
     train, words = int(sizes["train"]), sizes["words"]
-
-    # the entries of a chunk come before its texts, so a task holds one chunk's entries and a batch
-    none = {"doc_id": T.LongType(), "text": T.StringType(), "held_out": T.BooleanType()}
-    left = entries.select("chunk", F.lit(0).alias("kind"), "keys", "seen", "score", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    right = rows.select("chunk", F.lit(1).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("keys", "seen", "score")], *none)
-    met = left.union(right).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    met = packed_texts(rows).unionByName(entries, allowMissingColumns=True).select("chunk", "block", "texts", "score", "seen")
+    # the texts of a chunk come before its entries, and these in the order of blocks, which is that of its pairs
+    met = met.repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts, book = None, [], None
+        chunk, texts, score, seen = None, [], [], []
         for batch in batches:
-            kinds, owners = batch.column("kind").to_numpy(), batch.column("chunk").to_numpy()
-            for a, b in runs(owners * 2 + kinds):
-                if owners[a] != chunk:
-                    chunk, parts, book = owners[a], [], None
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    parts.append(tuple(
-                        np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()])
-                        for c, t in (("keys", "<u8"), ("seen", "<i8"), ("score", "<f4"))))
-                    continue
-                if book is None:
-                    keys, seen, score = (np.concatenate(x) for x in zip(*parts))
-                    order = np.argsort(keys)
-                    book, parts = (keys[order], seen[order], score[order].astype(np.float64)), []
-                yield from scored(part, book)
-
-    def scored(part, book):
-        keys, seen, score = book
+            for k, owner in enumerate(batch.column("chunk").to_pylist()):
+                if owner != chunk:
+                    yield from scored(texts, score, seen)
+                    chunk, texts, score, seen = owner, [], [], []
+                if batch.column("texts")[k].is_valid:
+                    part = pa.ipc.open_stream(batch.column("texts")[k].as_buffer()).read_all().combine_chunks().to_batches()[0]
+                    key, before, at = tokens([t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
+                    which = numbered(key, before)[1]
+                    key, before, _ = summed_pairs(key, before, np.zeros(len(key), np.int64))
+                    texts.append((part.select(["doc_id", "held_out"]), key, before, which, at))
+                else:
+                    score.append(np.frombuffer(batch.column("score")[k].as_py(), "<f4"))
+                    seen.append(unpacked(batch.column("seen")[k].as_py(), "<i8"))
+        yield from scored(texts, score, seen)
+        release()
+
+    def scored(texts, score, seen):
+        if not texts:
+            return
+        # the pairs of the chunk again, and where those of each batch are among them
+        keys, place = numbered(*(np.concatenate([t[c] for t in texts]) for c in (1, 2)))
+        score, seen = np.concatenate(score).astype(np.float64), np.concatenate(seen)[np.cumsum(word_starts(keys)) - 1]
+        if len(score) != len(keys):
+            raise RuntimeError("a chunk was read with other rows than before")
         base = np.log10((seen + 0.1) / (train + 0.1 * (words + 1)))
-        for rows_, texts in slices(iter([part])):
-            key, before, at = tokens(texts)
-            i = np.searchsorted(keys, paired(key, before))
-            n = np.diff(np.append(at, len(key)))
+        known, start = (seen > 0).astype(np.int64), 0
+        for rows_, key, _, which, at in texts:
+            i = place[start:start + len(key)][which]
+            start += len(key)
+            n = np.diff(np.append(at, len(which)))
             yield pa.RecordBatch.from_arrays([
                 rows_.column("doc_id"), rows_.column("held_out"), pa.array(n, pa.int64()),
-                pa.array(np.add.reduceat((seen[i] > 0).astype(np.int64), at), pa.int64()), pa.array(np.full(len(n), train), pa.int64()),
+                pa.array(np.add.reduceat(known[i], at), pa.int64()), pa.array(np.full(len(n), train), pa.int64()),
                 pa.array(np.add.reduceat(base[i], at), pa.float64()), pa.array(np.add.reduceat(score[i], at), pa.float64()),
             ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

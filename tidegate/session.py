@@ -66,6 +66,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Like ``stage_table``, in buckets by a key: a join on it shuffles the other side only."""
+    path = scratch(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table, format="parquet")
+    return df.sparkSession.table(table)
+
+
 def one_row(spark: SparkSession) -> DataFrame:
     """A frame of one row in one partition, to select literals from."""
     return spark.range(0, 1, 1, 1)
