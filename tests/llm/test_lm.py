@@ -98,3 +98,21 @@ def test_predictive_of_previous_words_is_a_distribution():
     new = (lm.STRENGTH + s["d1"] * s["t"][:2]) * new / (lm.STRENGTH + s["c"][:2])
     c, t = np.bincount(u, counts), np.bincount(u, counts > 0)
     assert np.allclose(total + (lm.STRENGTH + s["d2"] * t) * new[np.arange(6) % 2] / (lm.STRENGTH + c), 1)
+
+
+def test_rounds_shuffle_sizes_and_chunks_get_no_fingerprints(spark, tmp_path):
+    """The blocks are read where they lie, and a chunk that two tasks read in parts is scored whole."""
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 30))) for i in range(300)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    cut = lm.chunked(docs).repartition(7, "doc_id")
+    state = lm.stage_buckets(lm.gathered(lm.chunk_counts(cut, 2)), "restaurants", 4, "block")
+    whole = lm.gathered(lm.chunk_counts(lm.chunked(docs).coalesce(1), 2))
+    read = lambda df: sorted((r["block"], lm.unpacked(r["keys"], "<u8").tobytes(), bytes(r["before"]), lm.unpacked(r["counts"], "<i8").tobytes(),
+                              [lm.unpacked(x, "<i4").tobytes() for x in r["held"]]) for r in df.collect())
+    assert read(state) == read(whole)
+    numbers = lm.numbered_contexts(state, 1)
+    sizes, contexts = lm.corpus_sizes(state, numbers, 1)
+    out = lm.dictionaries(state, contexts, sizes, 1)
+    assert set(out.columns) == {"chunk", "block", "score", "seen"}

@@ -100,14 +100,14 @@ def steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def numbered(keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct pairs in the order of ``summed_pairs``, and the number of every given pair among them."""
+def numbered(keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of ``summed_pairs``, and the number of every given pair among them."""
     order = np.lexsort((before, keys))
     k, b = keys[order], before[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
     place = np.empty(len(order), np.int32)
     place[order] = np.cumsum(new) - 1
-    return k[new], place
+    return k[new], b[new], place
 
 
 def word_starts(keys: np.ndarray) -> np.ndarray:
@@ -207,21 +207,19 @@ def gathered(counts: DataFrame) -> DataFrame:
         keys = [np.cumsum(unpacked(x, "<u8")) for x in t.column("keys").to_pylist()]
         before = [np.frombuffer(x, "<u8") for x in t.column("before").to_pylist()]
         n = [unpacked(x, "<i8") for x in t.column("counts").to_pylist()]
-        owner = np.repeat(chunks, list(map(len, keys)))
+        sizes = list(map(len, keys))
         keys, before, n = map(np.concatenate, (keys, before, n))
-        every, prev, total = summed_pairs(keys, before, n)
-        place = numbered(keys, before)[1]
-        # a chunk that several tasks read is one list
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])
-        owner, place = owner[new], place[new]
-        cuts = runs(owner)
-        held = [packed(steps(place[a:b])) for a, b in cuts]
+        every, prev, place = numbered(keys, before)
+        total = np.bincount(place, n, len(every)).astype(np.int64)
+        lists: dict[int, np.ndarray] = {}
+        for chunk, x in zip(chunks.tolist(), np.split(place, np.cumsum(sizes)[:-1])):
+            # a chunk that several tasks read is one list
+            lists[chunk] = np.union1d(lists[chunk], x) if chunk in lists else x
+        held = [packed(steps(x)) for x in lists.values()]
         return pa.table({
             "block": pa.array([t.column("block")[0].as_py()], pa.int64()), "keys": pa.array([packed(steps(every))], pa.binary()),
             "before": pa.array([prev.tobytes()], pa.binary()), "counts": pa.array([packed(total)], pa.binary()),
-            "chunks": pa.array([[int(owner[a]) for a, _ in cuts]], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.binary()))})
+            "chunks": pa.array([list(lists)], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.binary()))})
 
     return counts.groupBy("block").applyInArrow(
         run, "block long, keys binary, before binary, counts binary, chunks array<long>, held array<binary>")
@@ -285,7 +283,7 @@ class Contexts:
         self.before, self.count, self.sizes, self.customers, self.seated = before, counts, sizes, customers, tables
         self.first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         self.owner = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
-        self.tables = np.minimum(counts, 1).astype(np.float64)
+        self.tables, self.many = np.minimum(counts, 1).astype(np.float64), np.flatnonzero(counts > 1)
         self.parent = Block(keys[self.first], np.add.reduceat(counts, self.first) if len(keys) else counts, sizes)
         self.seen = self.parent.total[self.parent.owner][self.owner]  # training count of each pair's word
         self.parent = Block(keys[self.first], self.served(), sizes)
@@ -297,13 +295,20 @@ class Contexts:
         return STRENGTH + self.sizes["d2"] * self.seated
 
     def sweep(self, r: np.random.Generator) -> None:
-        self.tables = seat(self.count, self.weight() * self.parent.predictive()[self.owner], self.sizes["d2"], r)
+        # a single customer has one table whatever the mass
+        many = self.many
+        weight = STRENGTH + self.sizes["d2"] * (self.seated[many] if np.ndim(self.seated) else self.seated)
+        self.tables[many] = seat(self.count[many], weight * self.parent.predictive()[self.owner[many]], self.sizes["d2"], r)
         self.parent.count = self.served()
         self.parent.sweep(r)
 
     def predictive(self) -> np.ndarray:
-        own = self.count - self.sizes["d2"] * self.tables
-        return (own + self.weight() * self.parent.predictive()[self.owner]) / (STRENGTH + self.customers)
+        return self.mixed(self.tables, self.parent.predictive())
+
+    def mixed(self, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Linear in the tables and the parent's predictive, so those of samples may be averaged first."""
+        own = self.count - self.sizes["d2"] * tables
+        return (own + self.weight() * parent[self.owner]) / (STRENGTH + self.customers)
 
 
 def totals(rows: DataFrame) -> dict[str, float]:
@@ -446,17 +451,19 @@ def dictionaries(state: DataFrame, contexts: DataFrame, sizes: dict, seed: int)
     def run(batches):
         for row, keys, b in block_rows(batches, sizes):
             r = np.random.default_rng([seed, row["block"]])
-            mean = np.zeros(len(keys))
+            tables, parent = np.zeros(len(keys)), np.zeros(len(b.first))
             for k in range(BURN + SAMPLES):
                 b.sweep(r)
                 if k >= BURN:
-                    mean += b.predictive() / SAMPLES
-            score, seen = np.log10(mean).astype("<f4"), b.seen.astype("<i8")
+                    tables += b.tables / SAMPLES
+                    parent += b.parent.predictive() / SAMPLES
+            score, seen = np.log10(b.mixed(tables, parent)).astype("<f4"), b.seen.astype("<i8")
             for chunk, held in zip(row["chunks"], row["held"]):
                 at = np.cumsum(unpacked(held, "<i4"), dtype=np.int64)
+                new = at[word_starts(keys[at])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([score[at].tobytes()], pa.binary()),
-                     pa.array([packed(seen[at][word_starts(keys[at])])], pa.binary())], ["chunk", "block", "score", "seen"])
+                     pa.array([packed(seen[new])], pa.binary())], ["chunk", "block", "score", "seen"])
 
     return state.join(contexts, "block").mapInArrow(run, "chunk long, block long, score binary, seen binary")
 
@@ -509,8 +516,7 @@ def score_corpus(docs: DataFrame, seed: int = 7) -> DataFrame:
                 if batch.column("texts")[k].is_valid:
                     part = pa.ipc.open_stream(batch.column("texts")[k].as_buffer()).read_all().combine_chunks().to_batches()[0]
                     key, before, at = tokens([t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
-                    which = numbered(key, before)[1]
-                    key, before, _ = summed_pairs(key, before, np.zeros(len(key), np.int64))
+                    key, before, which = numbered(key, before)
                     texts.append((part.select(["doc_id", "held_out"]), key, before, which, at))
                 else:
                     score.append(np.frombuffer(batch.column("score")[k].as_py(), "<f4"))
@@ -522,7 +528,7 @@ def score_corpus(docs: DataFrame, seed: int = 7) -> DataFrame:
         if not texts:
             return
         # the pairs of the chunk again, and where those of each batch are among them
-        keys, place = numbered(*(np.concatenate([t[c] for t in texts]) for c in (1, 2)))
+        keys, _, place = numbered(*(np.concatenate([t[c] for t in texts]) for c in (1, 2)))
         score, seen = np.concatenate(score).astype(np.float64), np.concatenate(seen)[np.cumsum(word_starts(keys)) - 1]
         if len(score) != len(keys):
             raise RuntimeError("a chunk was read with other rows than before")
