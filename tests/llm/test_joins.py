@@ -1,12 +1,16 @@
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest_llm import plain_shingles, smallest
 
 from tidegate.llm import decontamination, jaccard, neardup, substrings
 from tidegate.llm.components import components
+from tidegate.session import checkpoint_root
 
 
 def jaccard_links(texts, size, percent):
@@ -136,6 +140,70 @@ def test_vector_odd_rows(spark):
     assert neardup.near_duplicates(frame.where("false")).count() == 0
 
 
+def near_groups(d, seed=5):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(40, d)) + 0.3
+    return np.concatenate([c + r.normal(size=(k, d)) * s for c, s, k in zip(centres, np.linspace(0.02, 0.4, 40), [60, *[8] * 39])]).astype(np.float32)
+
+
+def test_vectors_on_disk(spark, tmp_path):
+    """What is shuffled and staged is in proportion to the input, not to the cells that a vector reaches."""
+    x = np.random.default_rng(3).normal(size=(4000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/embeddings")
+    blocks, root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), checkpoint_root(spark).removeprefix("file:")
+
+    def held():
+        files = blocks.getAllFiles()
+        shuffled = {files.apply(k).getPath(): files.apply(k).length() for k in range(files.size())}
+        return shuffled | {str(p): p.stat().st_size for p in Path(root).rglob("*.parquet")}
+
+    before = held()
+    assert neardup.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings")).count() == len(x)
+    written = sum(n for p, n in held().items() if p not in before)
+    assert 0 < written < 4 * sum(p.stat().st_size for p in Path(tmp_path).rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("d", [64, 40])
+def test_vectors_in_dealt_ranges(spark, d, monkeypatch):
+    """Ranges of few targets, some of which are dealt over tasks."""
+    for name, value in (("CELL_ROWS", 3), ("RANGES", 64), ("RANGE_ROWS", 10), ("RANGE_BYTES", 1)):
+        monkeypatch.setattr(neardup, name, value)
+    dealt = []
+    monkeypatch.setattr(neardup, "ranges", lambda *a, f=neardup.ranges: dealt.extend(f(*a)) or dealt)
+    x = near_groups(d)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    check_vectors(neardup.near_duplicates(frame), range(len(x)), x, 0.95)
+    assert len(dealt) > 40 and max(parts for *_, parts in dealt) > 1
+
+
+@pytest.mark.parametrize("near,small", [(None, False), (10, False), (10, True), (None, True)])
+def test_vectors_judged_by_given_numbers(tmp_path, near, small, monkeypatch):
+    """Every pair counts once over all ranges, whether it is near the limit or not and however little is held at once."""
+    if near:
+        monkeypatch.setattr(neardup, "NEAR", near)
+    for name in ("PROBE_BYTES", "PENDING_BYTES", "MEET", "READ_ROWS") if small else ():
+        monkeypatch.setattr(neardup, name, 1 << 9)
+    x = near_groups(64)
+    units = neardup.unit(x) @ neardup.rotation(64)
+    binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+    n = np.random.default_rng(0).integers(1, 4, len(x))
+    for k, at in enumerate(np.array_split(np.arange(len(x)), 2)):
+        pq.write_table(pa.table({"id": pa.array(at + (k << 33)), "n": pa.array(n[at]), "raw": binary(x[at]), "turned": binary(units[at].astype("<f4"))}), f"{tmp_path}/{k}.parquet")
+    place = {int(i): k for k, i in enumerate(i + (int(i >= len(x) // 2 + len(x) % 2) << 33) for i in range(len(x)))}
+    links, pairs = Counter(), []
+    for k in range(4):
+        block = neardup.Block(64, k, units.mean(0), units.var(0), 0.95)
+        for prefix in range(4):
+            for batch in neardup.Range(block, 2, prefix, 0, 1, [f"{tmp_path}/{j}.parquet" for j in range(2)], "<f4", 5).found():
+                for i, count, root in zip(*(c.to_pylist() for c in batch.columns)):
+                    links[place[i]] += count
+                    pairs.append((place[i], place[root]))
+    want = cosine_links(x, 0.95)
+    assert links == sum((Counter({i: int(n[j])}) + Counter({j: int(n[i])}) for i, j in want), Counter())
+    assert smallest(range(len(x)), pairs) == smallest(range(len(x)), want)
+
+
 def test_components(spark):
     r = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in r.integers(0, 300, (150, 2))] + [(1000 + k, 1001 + k) for k in range(60)]
