@@ -4,7 +4,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from conftest_llm import plain_shingles, smallest
 
@@ -156,7 +155,7 @@ def test_vectors_on_disk(spark, tmp_path):
     def held():
         files = blocks.getAllFiles()
         shuffled = {files.apply(k).getPath(): files.apply(k).length() for k in range(files.size())}
-        return shuffled | {str(p): p.stat().st_size for p in Path(root).rglob("*.parquet")}
+        return shuffled | {str(p): p.stat().st_size for p in Path(root).rglob("*") if p.is_file()}
 
     before = held()
     assert neardup.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings")).count() == len(x)
@@ -177,25 +176,33 @@ def test_vectors_in_dealt_ranges(spark, d, monkeypatch):
     assert len(dealt) > 40 and max(parts for *_, parts in dealt) > 1
 
 
-@pytest.mark.parametrize("near,small", [(None, False), (10, False), (10, True), (None, True)])
-def test_vectors_judged_by_given_numbers(tmp_path, near, small, monkeypatch):
+@pytest.mark.parametrize("near,small,dense", [(None, False, False), (10, False, False), (10, True, False), (None, True, False), (None, False, True), (10, True, True)])
+def test_vectors_judged_by_given_numbers(tmp_path, near, small, dense, monkeypatch):
     """Every pair counts once over all ranges, whether it is near the limit or not and however little is held at once."""
     if near:
         monkeypatch.setattr(neardup, "NEAR", near)
-    for name in ("PROBE_BYTES", "PENDING_BYTES", "MEET", "READ_ROWS") if small else ():
+    if dense:
+        monkeypatch.setattr(neardup, "DENSE", 1)
+    for name in ("PROBE_BYTES", "PENDING_BYTES", "MEET", "PAIRS") if small else ():
         monkeypatch.setattr(neardup, name, 1 << 9)
     x = near_groups(64)
-    units = neardup.unit(x) @ neardup.rotation(64)
-    binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
     n = np.random.default_rng(0).integers(1, 4, len(x))
-    for k, at in enumerate(np.array_split(np.arange(len(x)), 2)):
-        pq.write_table(pa.table({"id": pa.array(at + (k << 33)), "n": pa.array(n[at]), "raw": binary(x[at]), "turned": binary(units[at].astype("<f4"))}), f"{tmp_path}/{k}.parquet")
-    place = {int(i): k for k, i in enumerate(i + (int(i >= len(x) // 2 + len(x) % 2) << 33) for i in range(len(x)))}
+    units = neardup.unit(x)
+    turned = units @ neardup.rotation(64)
+    plan = neardup.Layout(64, len(x), turned.mean(0), turned.var(0), 0.95)
+    laid = plan.place(units)
+    files, ids = [], np.arange(len(x)) + ((np.arange(len(x)) % 3) << 33)
+    for k in range(3):
+        with pa.OSFile(f"{tmp_path}/{k}", "wb") as sink, pa.ipc.new_file(sink, neardup.LAID) as file:
+            for part, at in enumerate(np.array_split(np.arange(k, len(x), 3), 4)):
+                file.write_batch(pa.RecordBatch.from_arrays([
+                    pa.array(ids[at]), pa.array(n[at]), *map(neardup.binary, (laid[at], plan.reach(laid[at]), x[at]))], schema=neardup.LAID))
+                files.append((str(k), part, ids[at[0]], ids[at[-1]]))
+    place = {int(i): k for k, i in enumerate(ids)}
     links, pairs = Counter(), []
     for k in range(4):
-        block = neardup.Block(64, k, units.mean(0), units.var(0), 0.95)
         for prefix in range(4):
-            for batch in neardup.Range(block, 2, prefix, 0, 1, [f"{tmp_path}/{j}.parquet" for j in range(2)], "<f4", 5).found():
+            for batch in neardup.Range(plan, k, 2, prefix, 0, 1, f"file:{tmp_path}", files, "<f4", 5).found():
                 for i, count, root in zip(*(c.to_pylist() for c in batch.columns)):
                     links[place[i]] += count
                     pairs.append((place[i], place[root]))
